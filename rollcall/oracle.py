@@ -112,3 +112,275 @@ ORACLE["award_posts"] = f"""WITH {AWARD_POSTS_CTE}, {award_fact_cte()}
 SELECT CAST(year(date) AS INTEGER) AS year, email, region, count(ao_id) AS n_posts, max(date) AS last_date
 FROM fact WHERE is_w
 GROUP BY year(date), email, region"""
+
+
+# ---------------------------------------------------------------------------
+# normalised tables: national fact joins
+# ---------------------------------------------------------------------------
+
+NORMALISED_CTE = """
+nb AS (
+  SELECT CAST(c.c_nationkey AS VARCHAR) AS region, CAST(o.o_custkey AS VARCHAR) AS user_id,
+         CAST(l.l_linenumber AS VARCHAR) AS ao_id, CAST(date_trunc('week', l.l_shipdate) AS DATE) AS date,
+         l.l_orderkey, l.l_quantity
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+),
+n_beatdowns AS (
+  SELECT region, ao_id, date AS bd_date, min(user_id) AS q_user_id,
+         CASE WHEN max(user_id) <> min(user_id) THEN max(user_id) END AS coq_user_id,
+         CASE WHEN min(l_quantity) <= 2 THEN 'Q Source 1.1 lesson' ELSE 'Regular workout at ao-' || ao_id END AS backblast
+  FROM nb GROUP BY region, ao_id, date
+),
+n_attendance AS (
+  SELECT nb.region, nb.user_id, nb.ao_id,
+         CASE WHEN nb.l_orderkey % 2 = 0 THEN b.q_user_id ELSE coalesce(b.coq_user_id, b.q_user_id) END AS q_user_id,
+         nb.date
+  FROM nb JOIN n_beatdowns b ON nb.region = b.region AND nb.ao_id = b.ao_id AND nb.date = b.bd_date
+),
+n_users AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS region, CAST(c_custkey AS VARCHAR) AS user_id,
+         CASE WHEN c_acctbal < 0 THEN 'none' ELSE 'pax' || CAST(c_custkey AS VARCHAR) || '@example.org' END AS email,
+         c_name AS user_name
+  FROM customer
+),
+n_aos AS (SELECT DISTINCT region, ao_id AS channel_id, 'ao-' || ao_id AS ao FROM nb)"""
+
+_DENY_FACT = "('f3devcommunity', 'f3development', 'f3csra', 'f3texarcana')"
+
+J1_SQL = f"""
+  SELECT a.region, u.email, a.user_id, b.bd_date
+  FROM n_attendance a
+  JOIN n_users u ON a.region = u.region AND a.user_id = u.user_id
+  JOIN n_beatdowns b ON a.region = b.region AND a.ao_id = b.ao_id AND a.date = b.bd_date AND a.q_user_id = b.q_user_id
+  JOIN n_aos ao ON b.region = ao.region AND b.ao_id = ao.channel_id
+  WHERE a.region NOT IN {_DENY_FACT}"""
+
+
+def j2_sql(as_of, current_year: bool) -> str:
+    period = f"year(b.bd_date) = {as_of.year}" if current_year else "b.bd_date IS NOT NULL"
+    return f"""
+  SELECT u.email, u.user_name, a.ao_id, ao.ao, b.bd_date AS date,
+         CASE WHEN a.user_id = b.q_user_id OR a.user_id = b.coq_user_id THEN 1 ELSE 0 END AS q_flag,
+         b.backblast, a.region AS site_region, a.user_id
+  FROM n_attendance a
+  JOIN n_users u ON a.region = u.region AND a.user_id = u.user_id
+  JOIN n_beatdowns b ON (a.q_user_id = b.q_user_id OR a.q_user_id = b.coq_user_id)
+                    AND a.region = b.region AND a.ao_id = b.ao_id AND a.date = b.bd_date
+  JOIN n_aos ao ON b.region = ao.region AND b.ao_id = ao.channel_id
+  WHERE {period} AND b.bd_date <= {_d(as_of)} AND u.email <> 'none' AND u.user_name <> 'PAXminer'
+    AND b.q_user_id IS NOT NULL AND a.region NOT IN {_DENY_FACT}"""
+
+
+ORACLE["post_fact_normalised"] = f"WITH {NORMALISED_CTE}\n{J1_SQL}"
+ORACLE["post_fact"] = f"WITH {NORMALISED_CTE}\n{j2_sql(X.FACT_AS_OF, True)}"
+ORACLE["post_fact_coq"] = f"WITH {NORMALISED_CTE}\n{j2_sql(X.FACT_AS_OF, False)}"
+
+ORACLE["classify_posts"] = f"""WITH {AWARD_POSTS_CTE}
+SELECT email, region, ao_id, date, q_flag,
+  CASE WHEN coalesce(regexp_matches(lower(substr(backblast, 1, 100)), '{BB_QS}')
+                     OR regexp_matches(lower(ao), '{AO_QS}'), false) THEN 'qsource'
+       WHEN coalesce(NOT regexp_matches(lower(substr(backblast, 1, 100)), '{BB_QS}')
+                     AND NOT regexp_matches(lower(ao), '{AO_NW}'), false) THEN 'workout'
+       ELSE 'other' END AS event_class
+FROM award_posts"""
+
+
+# ---------------------------------------------------------------------------
+# home region: four look-back sub-queries joined back, as in the source
+# ---------------------------------------------------------------------------
+
+HOME_ATT_CTE = """
+home_att AS (
+  SELECT CAST(s.s_nationkey AS VARCHAR) AS region, CAST(o.o_custkey AS VARCHAR) AS email,
+         'U' || CAST(o.o_custkey AS VARCHAR) || '-' || o.o_orderstatus AS user_id,
+         CAST(l.l_shipdate AS DATE) AS bd_date
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+)"""
+
+
+def home_counts_sql(att: str, as_of, by_user: bool) -> str:
+    subs = ",\n".join(
+        f"""s{n} AS (SELECT region, email, count(user_id) AS attendance FROM {att}
+          WHERE datediff('day', bd_date, {_d(as_of)}) < {n} GROUP BY region, email)"""
+        for n in (30, 60, 90, 120)
+    )
+    joins = "\n".join(f"  LEFT JOIN s{n} ON h.region = s{n}.region AND h.email = s{n}.email" for n in (30, 60, 90, 120))
+    user_col = ", h.user_id" if by_user else ""
+    return f"""{subs},
+counts AS (
+  SELECT h.region, h.email{user_col},
+    CASE WHEN s30.attendance IS NOT NULL THEN s30.attendance
+         WHEN s60.attendance IS NOT NULL THEN s60.attendance
+         WHEN s90.attendance IS NOT NULL THEN s90.attendance
+         WHEN s120.attendance IS NOT NULL THEN s120.attendance
+         ELSE count(h.user_id) END AS attendance
+  FROM {att} h
+{joins}
+  WHERE year(h.bd_date) = {as_of.year}
+  GROUP BY h.region, h.email{user_col}, s30.attendance, s60.attendance, s90.attendance, s120.attendance
+)"""
+
+
+ORACLE["home_region_counts"] = (
+    f"WITH {HOME_ATT_CTE}, {home_counts_sql('home_att', X.HOME_AS_OF, False)}\nSELECT * FROM counts"
+)
+ORACLE["home_region"] = f"""WITH {HOME_ATT_CTE}, {home_counts_sql('home_att', X.HOME_AS_OF, False)}
+SELECT email, region, attendance FROM (
+  SELECT *, row_number() OVER (PARTITION BY email ORDER BY attendance DESC, region DESC) AS rn FROM counts
+) WHERE rn = 1"""
+ORACLE["home_region_by_user"] = (
+    f"WITH {HOME_ATT_CTE}, {home_counts_sql('home_att', X.HOME_AS_OF, True)}\nSELECT * FROM counts"
+)
+ORACLE["home_region_user_pick"] = f"""WITH {HOME_ATT_CTE}, {home_counts_sql('home_att', X.HOME_AS_OF, True)}
+SELECT email, region, attendance, user_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY email ORDER BY attendance DESC, region DESC, user_id DESC) AS rn
+  FROM counts
+) WHERE rn = 1"""
+
+# whole award pipeline on the normalised tables: J1 -> home region -> J2 -> J4 -> awards
+ORACLE["awards_national"] = f"""WITH {NORMALISED_CTE},
+j1 AS ({J1_SQL}),
+{home_counts_sql('j1', X.FACT_AS_OF, False)},
+home AS (
+  SELECT email, region FROM (
+    SELECT *, row_number() OVER (PARTITION BY email ORDER BY attendance DESC, region DESC) AS rn FROM counts)
+  WHERE rn = 1
+),
+j2 AS ({j2_sql(X.FACT_AS_OF, True)}),
+award_posts AS (
+  SELECT j2.email, j2.user_name, j2.ao_id, j2.ao, j2.date, j2.q_flag, j2.backblast, home.region
+  FROM j2 JOIN home ON j2.email = home.email
+),
+{award_fact_cte()}
+{awards_union()}"""
+
+
+# ---------------------------------------------------------------------------
+# award diff, counters, messages
+# ---------------------------------------------------------------------------
+
+A_USERS_CTE = """
+a_users AS (
+  SELECT CAST(s_nationkey AS VARCHAR) AS region, 'U' || CAST(s_suppkey AS VARCHAR) AS user_id,
+         CAST(s_suppkey AS VARCHAR) AS email, s_name AS user_name
+  FROM supplier
+)"""
+
+
+def _catalogue_values() -> str:
+    from rollcall.constants import AWARD_CATALOGUE
+
+    def q(s):
+        return "'" + s.replace("'", "''") + "'"
+
+    return ",\n    ".join(
+        f"({i}, {q(code)}, {q(name)}, {q(desc)}, {q(verb)})"
+        for i, (code, name, desc, verb) in enumerate(AWARD_CATALOGUE, start=1)
+    )
+
+
+DIFF_CTES = f"""{AWARD_POSTS_CTE},
+{A_USERS_CTE},
+{award_fact_cte(X.AWARD_AS_OF, 'fact')},
+{award_fact_cte(X.AWARD_HISTORY_AS_OF, 'hfact')},
+earned AS ({awards_union(fact='fact')}),
+hearned AS ({awards_union(fact='hfact')}),
+earned_pax AS (
+  SELECT e.achievement_id, e.period_kind, e.period, e.region, u.user_id AS pax_id, e.date_awarded
+  FROM earned e JOIN a_users u ON e.region = u.region AND e.email = u.email
+),
+awarded AS (
+  SELECT h.region, h.achievement_id, u.user_id AS pax_id, h.date_awarded
+  FROM hearned h JOIN a_users u ON h.region = u.region AND h.email = u.email
+),
+catalogue(id, code, name, description, verb) AS (VALUES
+    {_catalogue_values()}
+),
+a_list AS (
+  SELECT CAST(n.n_nationkey AS VARCHAR) AS region, c.*
+  FROM nation n, catalogue c
+  WHERE NOT (n.n_regionkey = 1 AND c.id = 4)
+),
+history AS (
+  SELECT a.*, l.code FROM awarded a JOIN a_list l ON a.region = l.region AND a.achievement_id = l.id
+  WHERE year(a.date_awarded) = {X.AWARD_AS_OF.year}
+),
+cfg AS (
+  SELECT CAST(n_nationkey AS VARCHAR) AS region,
+         CASE WHEN n_regionkey = 4 THEN NULL ELSE 'CACH' || CAST(n_nationkey AS VARCHAR) END AS achievement_channel
+  FROM nation
+),
+elig AS (
+  SELECT region, achievement_channel FROM cfg
+  WHERE achievement_channel IS NOT NULL
+    AND region NOT IN ('f3devcommunity', 'f3development', 'f3csra', 'f3texarcana', 'f3yellowhammer')
+    AND region IN (SELECT region FROM a_list)
+),
+unseen AS (
+  SELECT e.* FROM earned_pax e
+  WHERE NOT EXISTS (
+    SELECT 1 FROM history h
+    WHERE h.region = e.region AND h.achievement_id = e.achievement_id
+      AND h.pax_id IS NOT DISTINCT FROM e.pax_id
+      AND (CASE WHEN h.achievement_id IN (2, 3, 4, 6) THEN month(h.date_awarded)
+                WHEN h.achievement_id IN (5, 13) THEN week(h.date_awarded)
+                ELSE year(h.date_awarded) END) IS NOT DISTINCT FROM e.period)
+),
+new AS (
+  SELECT u.region, u.achievement_id, u.pax_id, u.date_awarded, u.period_kind, u.period
+  FROM unseen u
+  WHERE u.region IN (SELECT region FROM elig)
+    AND EXISTS (SELECT 1 FROM a_list l WHERE l.region = u.region AND l.id = u.achievement_id)
+),
+counts AS (SELECT region, pax_id, achievement_id, count(*) AS n FROM history GROUP BY ALL),
+ordinals AS (
+  SELECT *, coalesce(prior_total, 0) + row_number() OVER (
+              PARTITION BY region, pax_id ORDER BY achievement_id, k) AS total_awards,
+            coalesce(prior_idx, 0) + k AS nth_time
+  FROM (
+    SELECT n.*, pt.prior_total, pi.n AS prior_idx,
+           row_number() OVER (PARTITION BY n.region, n.pax_id, n.achievement_id
+                              ORDER BY n.date_awarded, n.period) AS k
+    FROM new n
+    LEFT JOIN (SELECT region, pax_id, sum(n) AS prior_total FROM counts GROUP BY ALL) pt
+      ON n.region = pt.region AND n.pax_id = pt.pax_id
+    LEFT JOIN counts pi ON n.region = pi.region AND n.pax_id = pi.pax_id AND n.achievement_id = pi.achievement_id
+  )
+)"""
+
+ORACLE["awards_region_users"] = f"WITH {DIFF_CTES}\nSELECT * FROM earned_pax"
+ORACLE["award_history"] = f"WITH {DIFF_CTES}\nSELECT region, achievement_id, pax_id, date_awarded, code FROM history"
+ORACLE["awards_new"] = f"WITH {DIFF_CTES}\nSELECT * FROM unseen"
+ORACLE["awards_eligible"] = f"WITH {DIFF_CTES}\nSELECT region, achievement_id, pax_id, date_awarded FROM new"
+ORACLE["award_counts"] = f"WITH {DIFF_CTES}\nSELECT * FROM counts"
+ORACLE["award_ordinals"] = f"""WITH {DIFF_CTES}
+SELECT region, achievement_id, pax_id, date_awarded, period_kind, period,
+       CAST(total_awards AS BIGINT) AS total_awards, CAST(nth_time AS BIGINT) AS nth_time
+FROM ordinals"""
+
+_SUFFIX = """CASE WHEN nth_time % 100 BETWEEN 11 AND 13 THEN 'th'
+              WHEN nth_time % 10 = 1 THEN 'st' WHEN nth_time % 10 = 2 THEN 'nd'
+              WHEN nth_time % 10 = 3 THEN 'rd' ELSE 'th' END"""
+
+ORACLE["award_messages"] = f"""WITH {DIFF_CTES}
+SELECT o.region, o.achievement_id, o.pax_id, o.date_awarded,
+  CASE WHEN o.achievement_id = 13 AND o.nth_time > 1 THEN o.pax_id ELSE e.achievement_channel END AS target,
+  CASE WHEN o.achievement_id = 13 AND o.nth_time > 1
+       THEN 'Nice work brother. You just earned 6 pack for the ' || o.nth_time || {_SUFFIX} || ' time this year!'
+       ELSE 'Congrats to our man <@' || o.pax_id || '>! He just unlocked the achievement *' || l.name
+            || '* for ' || l.verb || ' which he earned on ' || strftime(o.date_awarded, '%Y-%m-%d')
+            || '. This is achievement #' || o.total_awards || ' for <@' || o.pax_id || '> and the '
+            || o.nth_time || {_SUFFIX}
+            || ' time this year he''s earned this award. Keep up the good work!' END AS text
+FROM ordinals o
+JOIN a_list l ON o.region = l.region AND o.achievement_id = l.id
+JOIN elig e ON o.region = e.region"""
+
+ORACLE["run_summary"] = f"""WITH {DIFF_CTES},
+logs AS (SELECT CAST(n_nationkey AS VARCHAR) AS region, min('CLOG' || CAST(n_nationkey AS VARCHAR)) AS log_channel
+         FROM nation GROUP BY 1)
+SELECT e.region, logs.log_channel AS target, CAST(coalesce(c.n, 0) AS BIGINT) AS n_new,
+  'Successfully ran today''s Rollcall achievements patch. Sent ' || coalesce(c.n, 0) || ' new achievements.' AS text
+FROM elig e
+LEFT JOIN (SELECT region, count(*) AS n FROM new GROUP BY region) c ON e.region = c.region
+LEFT JOIN logs ON e.region = logs.region"""

@@ -11,8 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.functions import classify as C
 from rollcall.functions import periods
 from rollcall.operators import awards as A
+from rollcall.operators import diff as D
+from rollcall.operators import facts as Fa
+from rollcall.operators import home as H
+from rollcall.operators import notify as N
 from rollcall.sources import fixtures as X
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +81,134 @@ def award_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.yearly_posts(award_fact(spark, sf_dir)).select(
         F.col("year").cast("int").alias("year"), "email", "region", "n_posts", "last_date"
     )
+
+
+# ---------------------------------------------------------------------------
+# national fact, classifier, home region
+# ---------------------------------------------------------------------------
+
+def normalised(spark: SparkSession, sf_dir: str):
+    return (
+        X.normalised_users(spark, sf_dir),
+        X.normalised_attendance(spark, sf_dir),
+        X.normalised_beatdowns(spark, sf_dir),
+        X.normalised_aos(spark, sf_dir),
+    )
+
+
+@register("post_fact_normalised")
+def post_fact_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Fa.attendance_fact(*normalised(spark, sf_dir))
+
+
+@register("post_fact")
+def post_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Fa.post_fact(*normalised(spark, sf_dir), as_of=X.FACT_AS_OF, current_year=True)
+
+
+@register("post_fact_coq")
+def post_fact_coq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Fa.post_fact(*normalised(spark, sf_dir), as_of=X.FACT_AS_OF, current_year=False)
+
+
+@register("classify_posts")
+def classify_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = X.award_posts(spark, sf_dir)
+    return posts.select("email", "region", "ao_id", "date", "q_flag", C.event_class("backblast", "ao").alias("event_class"))
+
+
+@register("home_region_counts")
+def home_region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.home_region_counts(X.home_attendance(spark, sf_dir), X.HOME_AS_OF)
+
+
+@register("home_region")
+def home_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.pick_home_region(home_region_counts(spark, sf_dir))
+
+
+@register("home_region_by_user")
+def home_region_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.home_region_counts_by_user(X.home_attendance(spark, sf_dir), X.HOME_AS_OF)
+
+
+@register("home_region_user_pick")
+def home_region_user_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.pick_home_region(home_region_by_user(spark, sf_dir))
+
+
+def national_award_fact(spark: SparkSession, sf_dir: str, as_of=X.FACT_AS_OF) -> DataFrame:
+    """U5 + U1-U4 + J4 on the normalised tables: every post credited to the poster's home region."""
+    tables = normalised(spark, sf_dir)
+    home = H.pick_home_region(H.home_region_counts(Fa.attendance_fact(*tables), as_of))
+    return Fa.attach_home_region(Fa.post_fact(*tables, as_of=as_of, current_year=True), home)
+
+
+@register("awards_national")
+def awards_national(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.earned_awards(national_award_fact(spark, sf_dir), driver_specs())
+
+
+@register("awards_region_users")
+def awards_region_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    earned = awards_all(spark, sf_dir)
+    return D.attach_pax_id(earned, X.award_users(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# award diff, counters, messages
+# ---------------------------------------------------------------------------
+
+def _award_inputs(spark: SparkSession, sf_dir: str):
+    lst = X.achievements_list(spark, sf_dir)
+    history = D.award_history(X.award_history_table(spark, sf_dir), lst, X.AWARD_AS_OF)
+    regions = D.eligible_regions(X.region_config(spark, sf_dir), lst)
+    return lst, history, regions
+
+
+@register("award_history")
+def award_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _lst, history, _regions = _award_inputs(spark, sf_dir)
+    return history.select("region", "achievement_id", "pax_id", "date_awarded", "code")
+
+
+@register("awards_new")
+def awards_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _lst, history, _regions = _award_inputs(spark, sf_dir)
+    return D.unseen_awards(awards_region_users(spark, sf_dir), history, driver_specs())
+
+
+def _new_awards(spark: SparkSession, sf_dir: str):
+    lst, history, regions = _award_inputs(spark, sf_dir)
+    new = D.new_awards(awards_region_users(spark, sf_dir), history, lst, regions, driver_specs())
+    return new, lst, history, regions
+
+
+@register("awards_eligible")
+def awards_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, *_ = _new_awards(spark, sf_dir)
+    return D.upload_rows(new)
+
+
+@register("award_counts")
+def award_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _lst, history, _regions = _award_inputs(spark, sf_dir)
+    return D.award_counts(history)
+
+
+@register("award_ordinals")
+def award_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, _lst, history, _regions = _new_awards(spark, sf_dir)
+    return D.award_ordinals(new, D.award_counts(history))
+
+
+@register("award_messages")
+def award_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, lst, history, regions = _new_awards(spark, sf_dir)
+    return N.award_messages(D.award_ordinals(new, D.award_counts(history)), lst, regions)
+
+
+@register("run_summary")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, _lst, _history, regions = _new_awards(spark, sf_dir)
+    return N.run_summary(new, regions, N.log_channels(X.award_aos(spark, sf_dir)))

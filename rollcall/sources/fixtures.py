@@ -131,6 +131,39 @@ def region_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(*cols)
 
 
+def award_history_table(spark: SparkSession, sf_dir: str, as_of=AWARD_HISTORY_AS_OF) -> DataFrame:
+    """``achievements_awarded`` as left by a first run at ``as_of``: every award earned by then."""
+    from rollcall.functions import periods
+    from rollcall.operators import awards as A
+    from rollcall.operators import diff as D
+
+    posts = award_posts(spark, sf_dir)
+    fact = posts.where(periods.in_year_of("date", as_of) & periods.not_after("date", as_of))
+    earned = A.earned_awards(fact, A.award_specs(DRIVER_THRESHOLDS))
+    pax = D.attach_pax_id(earned, award_users(spark, sf_dir))
+    ts = F.lit(_dt.datetime.combine(as_of, _dt.time(6, 0)))
+    return pax.select(
+        "region",
+        F.xxhash64("region", "achievement_id", "pax_id", "period", "date_awarded").alias("id"),
+        "achievement_id",
+        "pax_id",
+        "date_awarded",
+        ts.alias("created"),
+        ts.alias("updated"),
+    )
+
+
+def award_aos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site tables of the award regions: only the log channel matters to the award run."""
+    nk = _s("n_nationkey")
+    return table(spark, sf_dir, "nation").select(
+        nk.alias("region"),
+        F.concat(F.lit("CLOG"), nk).alias("channel_id"),
+        F.lit("paxminer_logs").alias("ao"),
+        F.lit(None).cast("string").alias("site_q_user_id"),
+    )
+
+
 # ---------------------------------------------------------------------------
 # normalised attendance tables (for the joins of the national fact)
 # ---------------------------------------------------------------------------
