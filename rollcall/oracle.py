@@ -384,3 +384,138 @@ SELECT e.region, logs.log_channel AS target, CAST(coalesce(c.n, 0) AS BIGINT) AS
 FROM elig e
 LEFT JOIN (SELECT region, count(*) AS n FROM new GROUP BY region) c ON e.region = c.region
 LEFT JOIN logs ON e.region = logs.region"""
+
+
+# ---------------------------------------------------------------------------
+# inactivity report (the source's per-region frames, all regions at once)
+# ---------------------------------------------------------------------------
+
+def sql_text(s: str) -> str:
+    """A SQL string expression for a Python string (newlines as chr(10))."""
+    parts = s.split("\n")
+    quoted = ["'" + p.replace("'", "''") + "'" for p in parts]
+    return " || chr(10) || ".join(quoted)
+
+
+_AS_OF_R = _d(X.REPORT_AS_OF)
+
+
+def _weeks_ago(col: str) -> str:
+    return f"({_AS_OF_R} - CAST(7 * {col} AS INTEGER))"
+
+
+REPORT_CTES = f"""
+rfact AS (
+  SELECT CAST(o.o_custkey AS VARCHAR) AS email, o.o_orderpriority AS ao_id, 'ao-' || lower(o.o_orderpriority) AS ao,
+         CAST(o.o_orderdate AS DATE) AS date, CAST(o.o_orderstatus = 'F' AS INTEGER) AS q_flag,
+         CAST(c.c_nationkey AS VARCHAR) AS region, 'U' || CAST(o.o_custkey AS VARCHAR) AS user_id
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+),
+cfg AS (
+  SELECT CAST(n_nationkey AS VARCHAR) AS region,
+         CASE n_regionkey WHEN 1 THEN 'UL' || CAST(n_nationkey AS VARCHAR) || '-2'
+                          WHEN 2 THEN 'C' || CAST(n_nationkey AS VARCHAR)
+                          ELSE 'UD' || CAST(n_nationkey AS VARCHAR) END AS default_siteq,
+         {X.REPORT_WEEKS['NO_POST_THRESHOLD']} AS NO_POST_THRESHOLD,
+         {X.REPORT_WEEKS['NO_Q_THRESHOLD_WEEKS']} AS NO_Q_THRESHOLD_WEEKS,
+         {X.REPORT_WEEKS['REMINDER_WEEKS']} AS REMINDER_WEEKS,
+         {X.REPORT_WEEKS['NO_Q_THRESHOLD_POSTS']} AS NO_Q_THRESHOLD_POSTS,
+         {X.REPORT_WEEKS['HOME_AO_CAPTURE']} AS HOME_AO_CAPTURE
+  FROM nation
+),
+r_aos AS (
+  SELECT region, ao_id AS channel_id, ao,
+         CASE WHEN ao_id <> '5-LOW' THEN 'UL' || region || '-' || substr(ao_id, 1, 1) END AS site_q_user_id
+  FROM (SELECT DISTINCT region, ao_id, ao FROM rfact)
+  UNION ALL
+  SELECT region, ao_id, ao, 'UL' || region || '-' || substr(ao_id, 1, 1) || 'b'
+  FROM (SELECT DISTINCT region, ao_id, ao FROM rfact) WHERE ao_id = '1-URGENT'
+),
+siteq AS (SELECT region, channel_id AS home_ao, ao, site_q_user_id FROM r_aos WHERE site_q_user_id IS NOT NULL),
+f AS (SELECT rfact.*, cfg.* EXCLUDE (region, default_siteq) FROM rfact JOIN cfg ON rfact.region = cfg.region),
+per_site AS (
+  SELECT region, email, ao_id, count(ao) AS n FROM f
+  WHERE date > {_weeks_ago('HOME_AO_CAPTURE')} GROUP BY region, email, ao_id
+),
+best AS (
+  SELECT region, email, ao_id AS home_ao FROM (
+    SELECT *, row_number() OVER (PARTITION BY region, email ORDER BY n DESC, ao_id DESC) AS rn FROM per_site)
+  WHERE rn = 1
+),
+df AS (SELECT f.*, best.home_ao FROM f JOIN best ON f.region = best.region AND f.email = best.email),
+mia AS (
+  SELECT m.region, m.home_ao, m.user_id, m.date, s.ao, s.site_q_user_id
+  FROM (SELECT region, email, user_id, home_ao, max(date) AS date FROM df GROUP BY region, email, user_id, home_ao) m
+  JOIN cfg ON m.region = cfg.region
+  LEFT JOIN siteq s ON m.region = s.region AND m.home_ao = s.home_ao
+  WHERE m.date BETWEEN {_weeks_ago('cfg.REMINDER_WEEKS')} AND {_weeks_ago('cfg.NO_POST_THRESHOLD')}
+),
+lowq AS (
+  SELECT m.region, m.home_ao, m.user_id, m.date, s.ao, s.site_q_user_id
+  FROM (SELECT region, email, user_id, home_ao, max(date) AS date FROM df WHERE q_flag = 1
+        GROUP BY region, email, user_id, home_ao) m
+  JOIN cfg ON m.region = cfg.region
+  LEFT JOIN siteq s ON m.region = s.region AND m.home_ao = s.home_ao
+  WHERE m.date BETWEEN {_weeks_ago('cfg.REMINDER_WEEKS')} AND {_weeks_ago('cfg.NO_Q_THRESHOLD_POSTS')}
+    AND m.user_id NOT IN (SELECT user_id FROM mia WHERE mia.region = m.region)
+),
+noq AS (
+  SELECT m.region, m.home_ao, m.user_id, s.ao, s.site_q_user_id
+  FROM (
+    SELECT DISTINCT df.region, df.email, df.user_id, df.home_ao
+    FROM df
+    JOIN (SELECT region, email FROM df GROUP BY region, email, user_id HAVING sum(q_flag) = 0) z
+      ON df.region = z.region AND df.email = z.email
+    JOIN cfg ON df.region = cfg.region
+    WHERE df.date BETWEEN {_weeks_ago('cfg.REMINDER_WEEKS')} AND {_weeks_ago('cfg.NO_Q_THRESHOLD_WEEKS')}
+  ) m
+  LEFT JOIN siteq s ON m.region = s.region AND m.home_ao = s.home_ao
+  WHERE m.user_id NOT IN (SELECT user_id FROM mia WHERE mia.region = m.region)
+    AND m.user_id NOT IN (SELECT user_id FROM lowq WHERE lowq.region = m.region)
+),
+lines AS (
+  SELECT region, site_q_user_id, user_id, 1 AS section, -datediff('day', DATE '1970-01-01', date) AS k1,
+         user_id AS k2,
+         {sql_text(chr(10) + '- <@')} || user_id || '> last posted ' || strftime(date, '%B %d, %Y') AS line
+  FROM mia
+  UNION ALL
+  SELECT region, site_q_user_id, user_id, 2, datediff('day', date, {_AS_OF_R}), user_id,
+         {sql_text(chr(10) + '- <@')} || user_id || '>: ' || datediff('day', date, {_AS_OF_R}) || '!'
+  FROM lowq
+  UNION ALL
+  SELECT region, site_q_user_id, user_id, 3, 0, user_id, {sql_text(chr(10) + '- <@')} || user_id || '>'
+  FROM noq
+),
+rx AS (
+  SELECT DISTINCT region, site_q_user_id AS recipient, false AS is_default FROM lines
+  WHERE site_q_user_id IS NOT NULL
+  UNION ALL
+  SELECT region, default_siteq, true FROM cfg c
+  WHERE default_siteq IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM siteq s WHERE s.region = c.region AND s.site_q_user_id = c.default_siteq)
+)"""
+
+ORACLE["home_site"] = f"WITH {REPORT_CTES}\nSELECT * FROM best"
+ORACLE["report_mia"] = f"WITH {REPORT_CTES}\nSELECT * FROM mia"
+ORACLE["report_lowq"] = f"WITH {REPORT_CTES}\nSELECT * FROM lowq"
+ORACLE["report_noq"] = f"WITH {REPORT_CTES}\nSELECT * FROM noq"
+ORACLE["report_recipients"] = f"WITH {REPORT_CTES}\nSELECT * FROM rx"
+
+
+def _section_sql(no: int, header: str) -> str:
+    return f"""coalesce({sql_text(header)} || (
+      SELECT string_agg(l.line, '' ORDER BY l.k1, l.k2, l.line) FROM lines l
+      WHERE l.section = {no} AND l.region = r.region AND (r.is_default OR l.site_q_user_id = r.recipient)), '')"""
+
+
+ORACLE["report_text"] = f"""WITH {REPORT_CTES}
+SELECT r.region, r.recipient, 0 AS part, 1 AS n_parts,
+  'Howdy, <' || CASE WHEN upper(substr(r.recipient, 1, 1)) = 'U' THEN '@' || r.recipient ELSE '!channel' END
+  || '>! This is your weekly Rollcall Site Q report. According to my records...'
+  || {_section_sql(1, chr(10) * 2 + "The following men haven't posted in a while.")}
+  || {_section_sql(2, chr(10) * 2 + "These guys haven't Q'd in a while. Here's how many days it's been:")}
+  || {_section_sql(3, chr(10) * 2 + "These guys have never been Q:")}
+  || CASE WHEN r.is_default
+          THEN {sql_text(chr(10) * 2 + 'Note: If you have listed your site Qs on your aos table, this information will have gone out to them as well.')}
+          ELSE '' END AS text
+FROM rx r"""

@@ -17,6 +17,7 @@ from rollcall.operators import awards as A
 from rollcall.operators import diff as D
 from rollcall.operators import facts as Fa
 from rollcall.operators import home as H
+from rollcall.operators import lapse as L
 from rollcall.operators import notify as N
 from rollcall.sources import fixtures as X
 
@@ -212,3 +213,57 @@ def award_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, _lst, _history, regions = _new_awards(spark, sf_dir)
     return N.run_summary(new, regions, N.log_channels(X.award_aos(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# inactivity report
+# ---------------------------------------------------------------------------
+
+def _report_inputs(spark: SparkSession, sf_dir: str):
+    fact = X.report_fact(spark, sf_dir)
+    config = X.region_config(spark, sf_dir)
+    leads = L.site_leads(X.report_aos(spark, sf_dir))
+    activity = L.person_activity(L.home_site(fact, config, X.REPORT_AS_OF), X.REPORT_AS_OF)
+    return fact, config, leads, activity
+
+
+@register("home_site")
+def home_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.home_sites(X.report_fact(spark, sf_dir), X.region_config(spark, sf_dir), X.REPORT_AS_OF)
+
+
+@register("report_mia")
+def report_mia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _f, _c, leads, activity = _report_inputs(spark, sf_dir)
+    return L.mia(activity, leads, X.REPORT_AS_OF)
+
+
+@register("report_lowq")
+def report_lowq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _f, _c, leads, activity = _report_inputs(spark, sf_dir)
+    return L.lowq(activity, leads, X.REPORT_AS_OF)
+
+
+@register("report_noq")
+def report_noq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _f, _c, leads, activity = _report_inputs(spark, sf_dir)
+    return L.noq(activity, leads, X.REPORT_AS_OF)
+
+
+def _report_lines(spark: SparkSession, sf_dir: str):
+    _f, config, leads, activity = _report_inputs(spark, sf_dir)
+    a = X.REPORT_AS_OF
+    lines = L.report_lines(L.mia(activity, leads, a), L.lowq(activity, leads, a), L.noq(activity, leads, a), a)
+    return lines, config, leads
+
+
+@register("report_recipients")
+def report_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, config, leads = _report_lines(spark, sf_dir)
+    return L.report_recipients(lines, config, leads)
+
+
+@register("report_text")
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, config, leads = _report_lines(spark, sf_dir)
+    return L.report_text(lines, L.report_recipients(lines, config, leads))
