@@ -519,3 +519,134 @@ SELECT r.region, r.recipient, 0 AS part, 1 AS n_parts,
           THEN {sql_text(chr(10) * 2 + 'Note: If you have listed your site Qs on your aos table, this information will have gone out to them as well.')}
           ELSE '' END AS text
 FROM rx r"""
+
+
+# ---------------------------------------------------------------------------
+# photo archive
+# ---------------------------------------------------------------------------
+
+def _epoch(d) -> int:
+    import datetime as dt
+
+    return int((dt.datetime(d.year, d.month, d.day) - dt.datetime(1970, 1, 1)).total_seconds())
+
+
+def _photo_month():
+    d = X.PHOTO_AS_OF
+    import datetime as dt
+
+    start = dt.date(d.year - 1, 12, 1) if d.month == 1 else dt.date(d.year, d.month - 1, 1)
+    return _epoch(start), _epoch(dt.date(d.year, d.month, 1))
+
+
+def _sites_list() -> str:
+    from rollcall.constants import SITE_GPS
+
+    return "[" + ", ".join(f"'{r[0]}'" for r in SITE_GPS) + "]"
+
+
+def _gps_values() -> str:
+    from rollcall.constants import SITE_GPS
+
+    rows = []
+    for channel, lat_ref, (ld, lm, ls), lon_ref, (od, om, os_) in SITE_GPS:
+        rows.append(f"('{channel}', '{lat_ref}', '{ld}/1,{lm}/1,{ls}/100', '{lon_ref}', '{od}/1,{om}/1,{os_}/100')")
+    return ",\n    ".join(rows)
+
+
+_LO, _HI = _photo_month()
+
+PHOTO_CTES = f"""
+pdocs AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, p.url, d.doc_id // 4 AS msg
+  FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id
+),
+msgs AS (
+  SELECT msg, arg_min(source, doc_id) AS source, arg_min(text, doc_id) AS text0,
+    CASE WHEN min(lang) = 'es' AND max(lang) = 'es' THEN NULL ELSE
+      list(struct_pack(
+        id := 'F' || CAST(doc_id AS VARCHAR),
+        filetype := CASE lang WHEN 'en' THEN 'jpg' WHEN 'fr' THEN 'png' WHEN 'de' THEN 'pdf' ELSE 'PNG' END,
+        mimetype := CASE lang WHEN 'en' THEN 'image/jpeg' WHEN 'de' THEN 'application/pdf' ELSE 'image/png' END,
+        url_private := url,
+        original_w := CASE WHEN lang = 'de' THEN NULL ELSE CAST(n_chars AS INTEGER) END) ORDER BY doc_id) END AS files
+  FROM pdocs GROUP BY msg
+),
+messages AS (
+  SELECT coalesce(list_extract({_sites_list()}, TRY_CAST(substr(source, 4, 10) AS INTEGER) + 1), 'ao-' || source) AS channel,
+         CAST({X.PHOTO_TS_BASE} + ((msg * 104729) % {X.PHOTO_TS_SPAN}) AS VARCHAR) || '.'
+           || lpad(CAST(msg % 1000000 AS VARCHAR), 6, '0') AS ts,
+         'U' || upper(source) AS "user",
+         'Photos by <@U' || upper(source) || '> with <@UX' || CAST(msg AS VARCHAR) || '> ' || text0 AS text,
+         files
+  FROM msgs
+),
+flat AS (
+  SELECT channel, ts, "user", text, NULL AS file_id, NULL AS filetype, NULL AS mimetype, NULL AS file_url,
+         false AS file_is_photo
+  FROM messages WHERE files IS NULL
+  UNION ALL
+  SELECT channel, ts, "user", text, f.id, f.filetype, f.mimetype, f.url_private, f.original_w IS NOT NULL
+  FROM (SELECT *, unnest(files) AS f FROM messages WHERE files IS NOT NULL)
+),
+names AS (
+  SELECT id, '@' || replace(CASE WHEN display_name = '' THEN real_name ELSE display_name END, ' ', '_') AS pax,
+         '<@' || id || '>' AS mention
+  FROM (
+    SELECT 'U' || upper(source) AS id,
+           CASE WHEN source LIKE '%0' OR source LIKE '%5' THEN '' ELSE 'Pax ' || source END AS display_name,
+           'Real Name ' || source AS real_name
+    FROM (SELECT DISTINCT source FROM documents)
+  )
+),
+photos AS (
+  SELECT * FROM flat
+  WHERE file_is_photo AND CAST(ts AS DOUBLE) >= {_LO} AND CAST(ts AS DOUBLE) < {_HI}
+),
+found AS (
+  SELECT p.channel, p.ts, p.file_id, n.mention, n.pax
+  FROM (SELECT channel, ts, file_id, unnest(list_distinct(regexp_extract_all(text, '<@[^<>]*>'))) AS mention
+        FROM photos) p
+  JOIN names n ON p.mention = n.mention
+  WHERE n.pax IS NOT NULL
+),
+rows AS (
+  SELECT p.channel, p.ts, p."user",
+    list_reduce(
+      list_prepend(p.text, coalesce((SELECT list(f.mention || chr(1) || f.pax) FROM found f
+                                     WHERE f.channel = p.channel AND f.ts = p.ts AND f.file_id = p.file_id), [])),
+      lambda acc, kv: replace(acc, split_part(kv, chr(1), 1), split_part(kv, chr(1), 2))) AS text,
+    p.file_id, p.filetype, p.mimetype, p.file_url,
+    CAST(make_timestamp(CAST(CAST(p.ts AS DOUBLE) * 1000000 AS BIGINT)) AS DATE) AS date,
+    n.pax
+  FROM photos p LEFT JOIN names n ON p."user" = n.id
+),
+contents AS (SELECT 'F' || CAST(doc_id AS VARCHAR) AS file_id, md5(text) AS checksum FROM documents),
+seen AS (
+  SELECT DISTINCT c.checksum FROM flat f JOIN contents c ON f.file_id = c.file_id
+  WHERE f.file_is_photo AND CAST(f.ts AS DOUBLE) < {_LO}
+),
+dedup AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT r.*, c.checksum,
+           row_number() OVER (PARTITION BY c.checksum ORDER BY CAST(r.ts AS DOUBLE), r.ts, r.file_id) AS rn
+    FROM rows r JOIN contents c ON r.file_id = c.file_id
+    WHERE c.checksum NOT IN (SELECT checksum FROM seen)
+  ) WHERE rn = 1
+),
+gps(channel, gps_lat_ref, gps_lat, gps_lon_ref, gps_lon) AS (VALUES
+    {_gps_values()}
+)"""
+
+ORACLE["message_files"] = f"WITH {PHOTO_CTES}\nSELECT * FROM flat"
+ORACLE["photo_rows"] = f"WITH {PHOTO_CTES}\nSELECT * FROM rows"
+ORACLE["photo_dedup"] = f"WITH {PHOTO_CTES}\nSELECT * FROM dedup"
+ORACLE["photo_manifest"] = f"""WITH {PHOTO_CTES}
+SELECT d.file_id, d.checksum, d.channel,
+  d.file_id || '.' || CASE WHEN lower(d.filetype) = 'png' THEN 'jpg' ELSE d.filetype END AS target_name,
+  CASE WHEN lower(d.filetype) = 'png' THEN 'jpg' ELSE d.filetype END AS target_filetype,
+  substr('Posted by: ' || coalesce(d.pax, 'nan') || chr(10) || 'Posted on: ' || strftime(d.date, '%Y-%m-%d')
+         || chr(10) || 'Posted in:' || d.channel || chr(10) || chr(10) || d.text, 1, 1000) AS description,
+  strftime(d.date, '%Y:%m:%d') || ' 06:30:00' AS exif_date, '-06:00' AS exif_offset,
+  g.gps_lat_ref, g.gps_lat, g.gps_lon_ref, g.gps_lon
+FROM dedup d LEFT JOIN gps g ON d.channel = g.channel"""

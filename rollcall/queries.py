@@ -19,6 +19,7 @@ from rollcall.operators import facts as Fa
 from rollcall.operators import home as H
 from rollcall.operators import lapse as L
 from rollcall.operators import notify as N
+from rollcall.operators import photos as P
 from rollcall.sources import fixtures as X
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,3 +268,28 @@ def report_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, config, leads = _report_lines(spark, sf_dir)
     return L.report_text(lines, L.report_recipients(lines, config, leads))
+
+
+# ---------------------------------------------------------------------------
+# photo archive
+# ---------------------------------------------------------------------------
+
+@register("message_files")
+def message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.flatten_files(X.photo_messages(spark, sf_dir))
+
+
+@register("photo_rows")
+def photo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month = P.in_previous_month(X.photo_messages(spark, sf_dir), X.PHOTO_AS_OF)
+    return P.photo_rows(P.flatten_files(month), X.photo_members(spark, sf_dir))
+
+
+@register("photo_dedup")
+def photo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.dedup_photos(photo_rows(spark, sf_dir), X.photo_contents(spark, sf_dir), X.photo_seen(spark, sf_dir))
+
+
+@register("photo_manifest")
+def photo_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.photo_manifest(photo_dedup(spark, sf_dir))

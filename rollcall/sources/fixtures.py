@@ -34,7 +34,7 @@ REPORT_WEEKS = {
     "NO_Q_THRESHOLD_POSTS": 12,
     "HOME_AO_CAPTURE": 52,
 }
-PHOTO_AS_OF = _dt.date(2001, 3, 15)
+PHOTO_AS_OF = _dt.date(2000, 3, 15)
 PHOTO_EPOCH = _dt.datetime(2000, 1, 1)
 
 
@@ -291,3 +291,84 @@ def report_aos(spark: SparkSession, sf_dir: str) -> DataFrame:
         "region", F.col("ao_id").alias("channel_id"), "ao", F.concat(lead, F.lit("b")).alias("site_q_user_id")
     )
     return one.unionByName(second)
+
+
+# ---------------------------------------------------------------------------
+# photo archive: documents as images, pages as file URLs, four files per message
+# ---------------------------------------------------------------------------
+
+PHOTO_TS_BASE = 946684800  # 2000-01-01T00:00:00Z
+PHOTO_TS_SPAN = 90 * 86400
+FILES_PER_MESSAGE = 4
+
+
+def photo_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat export rows (channel, ts, user, text, files): every document is an attached file.
+
+    Four consecutive documents form one message; a message of Spanish documents
+    only has no ``files``; German documents are PDFs (no width, not photos).
+    Channels of sources 0-6 are the sites with GPS tags.
+    """
+    from rollcall.constants import SITE_GPS
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    dj = d.join(p, d.doc_id == p.page_id, "left").withColumn("msg", F.floor(F.col("doc_id") / FILES_PER_MESSAGE))
+    lang = F.col("lang")
+    file = F.struct(
+        F.concat(F.lit("F"), _s("doc_id")).alias("id"),
+        F.when(lang == "en", "jpg").when(lang == "fr", "png").when(lang == "de", "pdf").otherwise("PNG").alias("filetype"),
+        F.when(lang == "en", "image/jpeg").when(lang == "de", "application/pdf").otherwise("image/png").alias("mimetype"),
+        F.col("url").alias("url_private"),
+        F.when(lang == "de", F.lit(None).cast("int")).otherwise(F.col("n_chars").cast("int")).alias("original_w"),
+    )
+    g = dj.groupBy("msg").agg(
+        F.min_by("source", "doc_id").alias("source"),
+        F.min_by("text", "doc_id").alias("text0"),
+        F.sort_array(F.collect_list(F.struct("doc_id", file.alias("f")))).alias("fs"),
+        F.min("lang").alias("lang_lo"),
+        F.max("lang").alias("lang_hi"),
+    )
+    sites = F.array(*[F.lit(row[0]) for row in SITE_GPS])
+    channel = F.coalesce(
+        F.try_element_at(sites, F.substring("source", 4, 10).try_cast("int") + 1),
+        F.concat(F.lit("ao-"), F.col("source")),
+    )
+    secs = F.lit(PHOTO_TS_BASE) + F.pmod(F.col("msg") * 104729, F.lit(PHOTO_TS_SPAN))
+    ts = F.concat(_s(secs), F.lit("."), F.lpad(_s(F.pmod(F.col("msg"), F.lit(1000000))), 6, "0"))
+    user = F.concat(F.lit("U"), F.upper("source"))
+    text = F.concat(F.lit("Photos by <@"), user, F.lit("> with <@UX"), _s("msg"), F.lit("> "), F.col("text0"))
+    only_es = (F.col("lang_lo") == "es") & (F.col("lang_hi") == "es")
+    files = F.when(~only_es, F.transform("fs", lambda x: x["f"]))
+    return g.select(channel.alias("channel"), ts.alias("ts"), user.alias("user"), text.alias("text"), files.alias("files"))
+
+
+def photo_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Member list: one member per document source; sources ending in 0 or 5 have no display name."""
+    src = table(spark, sf_dir, "documents").select("source").distinct()
+    blank = F.col("source").endswith("0") | F.col("source").endswith("5")
+    return src.select(
+        F.concat(F.lit("U"), F.upper("source")).alias("id"),
+        F.struct(
+            F.when(blank, F.lit("")).otherwise(F.concat(F.lit("Pax "), F.col("source"))).alias("display_name"),
+            F.concat(F.lit("Real Name "), F.col("source")).alias("real_name"),
+        ).alias("profile"),
+    )
+
+
+def photo_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File bytes by file id (the document text, UTF-8)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select(F.concat(F.lit("F"), _s("doc_id")).alias("file_id"), F.encode("text", "UTF-8").alias("content"))
+
+
+def photo_seen(spark: SparkSession, sf_dir: str, as_of=PHOTO_AS_OF) -> DataFrame:
+    """Seen-checksum state: md5 of every photo posted before the archived month."""
+    from rollcall.functions import periods
+    from rollcall.operators import photos as P
+
+    start, _end = periods.previous_month_bounds(as_of)
+    lo = (start - _dt.datetime(1970, 1, 1)).total_seconds()
+    msgs = photo_messages(spark, sf_dir).where(F.col("ts").try_cast("double") < F.lit(lo))
+    flat = P.flatten_files(msgs).where(F.col("file_is_photo"))
+    return flat.join(photo_contents(spark, sf_dir), "file_id").select(F.md5("content").alias("checksum")).distinct()
