@@ -128,7 +128,9 @@ nb AS (
 n_beatdowns AS (
   SELECT region, ao_id, date AS bd_date, min(user_id) AS q_user_id,
          CASE WHEN max(user_id) <> min(user_id) THEN max(user_id) END AS coq_user_id,
-         CASE WHEN min(l_quantity) <= 2 THEN 'Q Source 1.1 lesson' ELSE 'Regular workout at ao-' || ao_id END AS backblast
+         CASE WHEN min(l_quantity) <= 2 THEN 'Q Source 1.1 lesson' ELSE 'Regular workout at ao-' || ao_id END
+         || CASE WHEN max(l_quantity) = 50 THEN chr(10) || 'Achievement: golden_boy'
+                 WHEN max(l_quantity) = 49 THEN chr(10) || 'Achievement: run_a_5k' ELSE '' END AS backblast
   FROM nb GROUP BY region, ao_id, date
 ),
 n_attendance AS (
@@ -650,3 +652,40 @@ SELECT d.file_id, d.checksum, d.channel,
   strftime(d.date, '%Y:%m:%d') || ' 06:30:00' AS exif_date, '-06:00' AS exif_offset,
   g.gps_lat_ref, g.gps_lat, g.gps_lon_ref, g.gps_lon
 FROM dedup d LEFT JOIN gps g ON d.channel = g.channel"""
+
+
+# ---------------------------------------------------------------------------
+# catalogue view and manual tags
+# ---------------------------------------------------------------------------
+
+ORACLE["trophy_view"] = f"""WITH {DIFF_CTES}
+SELECT u.region, u.user_name AS pax, u.user_id AS pax_id, l.name, l.description, a.date_awarded
+FROM a_users u
+JOIN awarded a ON u.region = a.region AND u.user_id = a.pax_id
+JOIN a_list l ON a.region = l.region AND a.achievement_id = l.id"""
+
+ORACLE["manual_tags"] = f"""WITH {NORMALISED_CTE},
+j1 AS ({J1_SQL}),
+{home_counts_sql('j1', X.FACT_AS_OF, False)},
+home AS (
+  SELECT email, region FROM (
+    SELECT *, row_number() OVER (PARTITION BY email ORDER BY attendance DESC, region DESC) AS rn FROM counts)
+  WHERE rn = 1
+),
+j2 AS ({j2_sql(X.FACT_AS_OF, True)}),
+fact AS (SELECT j2.*, home.region FROM j2 JOIN home ON j2.email = home.email),
+catalogue(id, code, name, description, verb) AS (VALUES
+    {_catalogue_values()}
+),
+a_list AS (
+  SELECT CAST(n.n_nationkey AS VARCHAR) AS region, c.*
+  FROM nation n, catalogue c
+  WHERE NOT (n.n_regionkey = 1 AND c.id = 4)
+),
+tags AS (
+  SELECT region, email, ao_id, date,
+         unnest(list_distinct(regexp_extract_all(backblast, '(?m)^Achievement: *(\\S+)', 1))) AS code
+  FROM fact
+)
+SELECT l.id AS achievement_id, t.code, t.email, t.region, t.ao_id, t.date AS date_awarded
+FROM tags t JOIN a_list l ON t.region = l.region AND t.code = l.code"""

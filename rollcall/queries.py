@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from rollcall.functions import classify as C
 from rollcall.functions import periods
 from rollcall.operators import awards as A
+from rollcall.operators import catalog as K
 from rollcall.operators import diff as D
 from rollcall.operators import facts as Fa
 from rollcall.operators import home as H
 from rollcall.operators import lapse as L
 from rollcall.operators import notify as N
 from rollcall.operators import photos as P
+from rollcall.operators import tags as T
 from rollcall.sources import fixtures as X
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -293,3 +295,19 @@ def photo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("photo_manifest")
 def photo_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.photo_manifest(photo_dedup(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# catalogue and manual tags
+# ---------------------------------------------------------------------------
+
+@register("trophy_view")
+def trophy_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.trophy_view(
+        X.award_users(spark, sf_dir), X.award_history_table(spark, sf_dir), X.achievements_list(spark, sf_dir)
+    )
+
+
+@register("manual_tags")
+def manual_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.manual_awards(national_award_fact(spark, sf_dir), X.achievements_list(spark, sf_dir))

@@ -199,7 +199,16 @@ def normalised_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalised_beatdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _normalised_base(spark, sf_dir)
     g = base.groupBy("region", "ao_id", "date").agg(
-        F.min("user_id").alias("q"), F.max("user_id").alias("mx"), F.min("l_quantity").alias("minq")
+        F.min("user_id").alias("q"),
+        F.max("user_id").alias("mx"),
+        F.min("l_quantity").alias("minq"),
+        F.max("l_quantity").alias("maxq"),
+    )
+    # a manual award tag on its own line (one listed code, one unknown code)
+    tag = (
+        F.when(F.col("maxq") == 50, F.lit("\nAchievement: golden_boy"))
+        .when(F.col("maxq") == 49, F.lit("\nAchievement: run_a_5k"))
+        .otherwise(F.lit(""))
     )
     return g.select(
         "region",
@@ -207,9 +216,12 @@ def normalised_beatdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("date").alias("bd_date"),
         F.col("q").alias("q_user_id"),
         F.when(F.col("mx") != F.col("q"), F.col("mx")).alias("coq_user_id"),
-        F.when(F.col("minq") <= 2, F.lit("Q Source 1.1 lesson"))
-        .otherwise(F.concat(F.lit("Regular workout at ao-"), F.col("ao_id")))
-        .alias("backblast"),
+        F.concat(
+            F.when(F.col("minq") <= 2, F.lit("Q Source 1.1 lesson")).otherwise(
+                F.concat(F.lit("Regular workout at ao-"), F.col("ao_id"))
+            ),
+            tag,
+        ).alias("backblast"),
     )
 
 
