@@ -1,0 +1,101 @@
+"""Run registered Spark queries and their DuckDB oracles side by side.
+
+usage: python scripts/compare_oracle.py [sf_dir] [query ...]
+
+Compares row count, column names and an order-insensitive value digest, like
+the driver's correctness gate. Prints one line per query and exits non-zero
+on any mismatch.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import hashlib
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import duckdb  # noqa: E402
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings "
+    "pages benchmark labels conversations"
+).split()
+
+
+def _norm(v):
+    if v is None:
+        return "\x00"
+    if isinstance(v, float):
+        if v != v:
+            return "\x00"
+        return f"{round(v, 6):.6f}"
+    if isinstance(v, (dt.datetime,)):
+        return v.isoformat(sep=" ")
+    if isinstance(v, dt.date):
+        return v.isoformat()
+    if isinstance(v, (bytes, bytearray)):
+        return bytes(v).hex()
+    if isinstance(v, bool):
+        return str(int(v))
+    return str(v)
+
+
+def digest(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    lines = sorted("\x01".join(_norm(r[i]) for i in order) for r in rows)
+    h = hashlib.sha256()
+    for line in lines:
+        h.update(line.encode())
+        h.update(b"\n")
+    return [columns[i] for i in order], h.hexdigest(), lines
+
+
+def main(argv):
+    sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
+    names = [a for a in argv[1:] if not a.startswith("/")]
+    import __spark_entry__ as E  # noqa: E402
+    from rollcall.session import local_session
+
+    spark = local_session(8, shuffle_partitions=8)
+    con = duckdb.connect()
+    for t in TABLES:
+        p = f"{sf_dir}/{t}.parquet"
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    qs = E.queries()
+    oracle = E.oracle_sql()
+    bad = 0
+    for name in names or list(qs):
+        t0 = time.time()
+        sdf = qs[name](spark, sf_dir)
+        scols = sdf.columns
+        srows = [tuple(r) for r in sdf.collect()]
+        t1 = time.time()
+        if name not in oracle:
+            print(f"{name:32s} rows={len(srows):7d} (no oracle) spark={t1 - t0:.2f}s")
+            continue
+        cur = con.execute(oracle[name])
+        ocols = [d[0] for d in cur.description]
+        orows = cur.fetchall()
+        sc, sh, sl = digest(scols, srows)
+        oc, oh, ol = digest(ocols, orows)
+        ok = sc == oc and len(srows) == len(orows) and sh == oh
+        bad += not ok
+        print(
+            f"{name:32s} {'OK ' if ok else 'BAD'} rows={len(srows):7d}/{len(orows):7d} "
+            f"cols={'=' if sc == oc else f'{sc} vs {oc}'} spark={t1 - t0:.2f}s"
+        )
+        if not ok and sc == oc:
+            s_only = sorted(set(sl) - set(ol))[:5]
+            o_only = sorted(set(ol) - set(sl))[:5]
+            print("   spark-only:", [x.replace("\x01", " | ") for x in s_only])
+            print("   oracle-only:", [x.replace("\x01", " | ") for x in o_only])
+    spark.stop()
+    return 1 if bad else 0
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv))
