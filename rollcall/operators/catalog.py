@@ -134,7 +134,7 @@ def awarded_rows(new: DataFrame, created: Column | None = None) -> DataFrame:
     with_dup = new.select(*keys).withColumn("dup", F.row_number().over(dup))
     return with_dup.select(
         "region",
-        (F.xxhash64(*keys, "dup") & F.lit(0x7FFFFFFFFFFFFFFF)).alias("id"),
+        F.xxhash64(*keys, "dup").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("id"),
         F.col("achievement_id").cast("int").alias("achievement_id"),
         "pax_id",
         "date_awarded",
