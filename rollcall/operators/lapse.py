@@ -3,9 +3,9 @@
 Per-region thresholds are columns of the region config (joined by region;
 Spark broadcasts it only when its measured size allows), never Python values
 in a driver loop. Every person is reduced to one row by a single aggregate
-(last post, last lead, leads total, any post in the no-lead window); the
-three lists are filters of that row plus anti joins on user id, all on
-per-person data. Report text is assembled per (recipient, part): a recipient
+(last post, last lead, leads total, any post in the no-lead window); one
+status column then says which list the person is on, so the three lists and
+the report lines come from one pass over per-person rows. Report text is assembled per (recipient, part): a recipient
 whose list exceeds ``max_lines`` gets several messages, so no single group
 grows with the region.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.constants import (
@@ -90,92 +90,87 @@ def _lead_join(people: DataFrame, leads: DataFrame) -> DataFrame:
     return people.join(leads, ["region", "home_ao"], "left")
 
 
-def _window(as_of, far: str, near: str) -> tuple[Column, Column]:
+def _weeks(as_of, far: str, near: str) -> tuple[Column, Column]:
     return periods.weeks_before(as_of, F.col(far)), periods.weeks_before(as_of, F.col(near))
 
 
-def mia(activity: DataFrame, leads: DataFrame, as_of: _dt.date | str) -> DataFrame:
-    """Last post between REMINDER_WEEKS and NO_POST_THRESHOLD weeks ago (inclusive).
+def lapse_status(activity: DataFrame, as_of: _dt.date | str) -> DataFrame:
+    """Which list (if any) each person is on: 'mia', 'lowq' or 'noq'.
 
-    Columns: region, home_ao, user_id, date, ao, site_q_user_id.
+    * mia  (U27): last post between REMINDER_WEEKS and NO_POST_THRESHOLD weeks ago (inclusive);
+    * lowq (U28): last lead between REMINDER_WEEKS and NO_Q_THRESHOLD_POSTS weeks ago, minus MIA user ids;
+    * noq  (U29): never led and a post between REMINDER_WEEKS and NO_Q_THRESHOLD_WEEKS weeks ago,
+      minus MIA and low-lead user ids.
+    The source removes people by user id across the region (J11/SET3); the
+    same is done with a window over (region, user_id) on per-person rows (one
+    row per account), instead of repeated anti joins.
+    Columns: region, email, user_id, home_ao, last_post, last_q, status.
     """
-    lo, hi = _window(as_of, "REMINDER_WEEKS", "NO_POST_THRESHOLD")
-    people = activity.where(F.col("last_post").between(lo, hi)).select(
-        "region", "home_ao", "user_id", F.col("last_post").alias("date")
+    mia_lo, mia_hi = _weeks(as_of, "REMINDER_WEEKS", "NO_POST_THRESHOLD")
+    low_lo, low_hi = _weeks(as_of, "REMINDER_WEEKS", "NO_Q_THRESHOLD_POSTS")
+    mia_hit = F.coalesce(F.col("last_post").between(mia_lo, mia_hi), F.lit(False))
+    low_hit = F.coalesce(F.col("last_q").between(low_lo, low_hi), F.lit(False))
+    noq_hit = F.coalesce((F.col("q_total") == 0) & F.col("noq_window_post"), F.lit(False))
+    account = Window.partitionBy("region", "user_id")
+    flagged = activity.select(
+        "region", "email", "user_id", "home_ao", "last_post", "last_q",
+        mia_hit.alias("mia_hit"), low_hit.alias("low_hit"), noq_hit.alias("noq_hit"),
     )
-    return _lead_join(people, leads)
+    user_mia = F.max("mia_hit").over(account)
+    user_low = F.max("low_hit").over(account)
+    status = (
+        F.when(F.col("mia_hit"), F.lit("mia"))
+        .when(F.col("low_hit") & ~user_mia, F.lit("lowq"))
+        .when(F.col("noq_hit") & ~user_mia & ~user_low, F.lit("noq"))
+    )
+    return flagged.select("region", "email", "user_id", "home_ao", "last_post", "last_q", status.alias("status"))
 
 
-def lowq(activity: DataFrame, leads: DataFrame, as_of: _dt.date | str) -> DataFrame:
-    """Last lead between REMINDER_WEEKS and NO_Q_THRESHOLD_POSTS weeks ago, minus MIA people.
+def mia(status: DataFrame, leads: DataFrame) -> DataFrame:
+    """U27 list. Columns: region, home_ao, user_id, date, ao, site_q_user_id."""
+    people = status.where(F.col("status") == "mia").select("region", "home_ao", "user_id", F.col("last_post").alias("date"))
+    return _lead_join(people, leads)
 
-    Columns: region, home_ao, user_id, date, ao, site_q_user_id.
-    """
-    lo, hi = _window(as_of, "REMINDER_WEEKS", "NO_Q_THRESHOLD_POSTS")
-    people = activity.where(F.col("last_q").between(lo, hi)).select(
-        "region", "home_ao", "user_id", F.col("last_q").alias("date")
-    )
-    gone = mia(activity, leads, as_of).select("region", "user_id")
-    return _lead_join(people, leads).join(gone, ["region", "user_id"], "left_anti")
 
+def lowq(status: DataFrame, leads: DataFrame) -> DataFrame:
+    """U28 list. Columns: region, home_ao, user_id, date, ao, site_q_user_id."""
+    people = status.where(F.col("status") == "lowq").select("region", "home_ao", "user_id", F.col("last_q").alias("date"))
+    return _lead_join(people, leads)
 
-def noq(activity: DataFrame, leads: DataFrame, as_of: _dt.date | str) -> DataFrame:
-    """Never led (in the data) and posted in the no-lead window, minus MIA and low-lead people.
 
-    Columns: region, home_ao, user_id, ao, site_q_user_id.
-    """
-    people = activity.where((F.col("q_total") == 0) & F.col("noq_window_post")).select(
-        "region", "home_ao", "user_id"
-    )
-    gone = mia(activity, leads, as_of).select("region", "user_id")
-    low = lowq(activity, leads, as_of).select("region", "user_id")
-    return (
-        _lead_join(people, leads)
-        .join(gone, ["region", "user_id"], "left_anti")
-        .join(low, ["region", "user_id"], "left_anti")
-    )
+def noq(status: DataFrame, leads: DataFrame) -> DataFrame:
+    """U29/A7 list. Columns: region, home_ao, user_id, ao, site_q_user_id."""
+    people = status.where(F.col("status") == "noq").select("region", "home_ao", "user_id")
+    return _lead_join(people, leads)
 
 
 # ---------------------------------------------------------------------------
 # report text
 # ---------------------------------------------------------------------------
 
-def report_lines(mia_df: DataFrame, lowq_df: DataFrame, noq_df: DataFrame, as_of: _dt.date | str) -> DataFrame:
-    """One row per report line: (region, site_q_user_id, user_id, section, k1, k2, line).
+def report_lines(status: DataFrame, leads: DataFrame, as_of: _dt.date | str) -> DataFrame:
+    """One row per report line, all three lists in one pass: (region, site_q_user_id, user_id, section, k1, k2, line).
 
     Sections: 1 lapsed posters (latest first), 2 lapsed leaders (fewest days
     first), 3 never led (by user id). ``k1``/``k2`` sort lines within a section.
     """
+    people = status.where(F.col("status").isNotNull())
+    rows = _lead_join(people, leads)
+    st = F.col("status")
+    section = F.when(st == "mia", F.lit(1)).when(st == "lowq", F.lit(2)).otherwise(F.lit(3))
+    date = F.when(st == "mia", F.col("last_post")).when(st == "lowq", F.col("last_q"))
     day0 = F.lit(_dt.date(1970, 1, 1))
-    mia_lines = mia_df.select(
-        "region",
-        "site_q_user_id",
-        "user_id",
-        F.lit(1).alias("section"),
-        (-F.datediff("date", day0)).cast("long").alias("k1"),
-        F.col("user_id").alias("k2"),
-        fill(REPORT_MIA_LINE, user=F.col("user_id"), date=F.date_format("date", REPORT_DATE_FORMAT)).alias("line"),
-    )
-    days = F.datediff(periods.as_date(as_of), F.col("date"))
-    lowq_lines = lowq_df.select(
-        "region",
-        "site_q_user_id",
-        "user_id",
-        F.lit(2).alias("section"),
-        days.cast("long").alias("k1"),
-        F.col("user_id").alias("k2"),
-        fill(REPORT_LOWQ_LINE, user=F.col("user_id"), days=days).alias("line"),
+    days = F.datediff(periods.as_date(as_of), date)
+    k1 = F.when(st == "mia", -F.datediff(date, day0)).when(st == "lowq", days).otherwise(F.lit(0)).cast("long")
+    line = (
+        F.when(st == "mia", fill(REPORT_MIA_LINE, user=F.col("user_id"), date=F.date_format(date, REPORT_DATE_FORMAT)))
+        .when(st == "lowq", fill(REPORT_LOWQ_LINE, user=F.col("user_id"), days=days))
+        .otherwise(fill(REPORT_NOQ_LINE, user=F.col("user_id")))
     )
-    noq_lines = noq_df.select(
-        "region",
-        "site_q_user_id",
-        "user_id",
-        F.lit(3).alias("section"),
-        F.lit(0).cast("long").alias("k1"),
-        F.col("user_id").alias("k2"),
-        fill(REPORT_NOQ_LINE, user=F.col("user_id")).alias("line"),
+    return rows.select(
+        "region", "site_q_user_id", "user_id", section.alias("section"), k1.alias("k1"),
+        F.col("user_id").alias("k2"), line.alias("line"),
     )
-    return mia_lines.unionByName(lowq_lines).unionByName(noq_lines)
 
 
 def report_recipients(lines: DataFrame, config: DataFrame, leads: DataFrame) -> DataFrame:

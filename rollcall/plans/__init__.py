@@ -1,0 +1 @@
+"""End-to-end jobs (award run, inactivity report, photo archive, catalogue set-up)."""

@@ -120,12 +120,12 @@ def report_run(
     fact = Fa.attach_home_region(posts, home, with_user=True)
     config = region_config if regions is None else region_config.join(regions, "region", "left_semi")
     leads = L.site_leads(t.aos)
-    # one row per person; read by three lists and their anti joins
-    activity = cut_lineage(L.person_activity(L.home_site(fact, config, as_of), as_of))
-    mia = L.mia(activity, leads, as_of)
-    lowq = L.lowq(activity, leads, as_of)
-    noq = L.noq(activity, leads, as_of)
-    lines = L.report_lines(mia, lowq, noq, as_of)
+    # one row per person with its list; read by the three lists and the report
+    status = cut_lineage(L.lapse_status(L.person_activity(L.home_site(fact, config, as_of), as_of), as_of))
+    mia = L.mia(status, leads)
+    lowq = L.lowq(status, leads)
+    noq = L.noq(status, leads)
+    lines = L.report_lines(status, leads, as_of)
     recipients = L.report_recipients(lines, config, leads)
     text = L.report_text(lines, recipients, bot_name, max_lines)
     logs = N.log_channels(t.aos)

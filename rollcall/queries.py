@@ -227,7 +227,7 @@ def _report_inputs(spark: SparkSession, sf_dir: str):
     config = X.region_config(spark, sf_dir)
     leads = L.site_leads(X.report_aos(spark, sf_dir))
     activity = L.person_activity(L.home_site(fact, config, X.REPORT_AS_OF), X.REPORT_AS_OF)
-    return fact, config, leads, activity
+    return config, leads, L.lapse_status(activity, X.REPORT_AS_OF)
 
 
 @register("home_site")
@@ -237,27 +237,25 @@ def home_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("report_mia")
 def report_mia(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _f, _c, leads, activity = _report_inputs(spark, sf_dir)
-    return L.mia(activity, leads, X.REPORT_AS_OF)
+    _c, leads, status = _report_inputs(spark, sf_dir)
+    return L.mia(status, leads)
 
 
 @register("report_lowq")
 def report_lowq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _f, _c, leads, activity = _report_inputs(spark, sf_dir)
-    return L.lowq(activity, leads, X.REPORT_AS_OF)
+    _c, leads, status = _report_inputs(spark, sf_dir)
+    return L.lowq(status, leads)
 
 
 @register("report_noq")
 def report_noq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _f, _c, leads, activity = _report_inputs(spark, sf_dir)
-    return L.noq(activity, leads, X.REPORT_AS_OF)
+    _c, leads, status = _report_inputs(spark, sf_dir)
+    return L.noq(status, leads)
 
 
 def _report_lines(spark: SparkSession, sf_dir: str):
-    _f, config, leads, activity = _report_inputs(spark, sf_dir)
-    a = X.REPORT_AS_OF
-    lines = L.report_lines(L.mia(activity, leads, a), L.lowq(activity, leads, a), L.noq(activity, leads, a), a)
-    return lines, config, leads
+    config, leads, status = _report_inputs(spark, sf_dir)
+    return L.report_lines(status, leads, X.REPORT_AS_OF), config, leads
 
 
 @register("report_recipients")

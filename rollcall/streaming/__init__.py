@@ -1,0 +1,8 @@
+"""Stream processing: intentionally empty.
+
+The source application has no streams, watermarks, stream windows or
+stateful operators. Late and corrected rows are absorbed by recomputing the
+whole current year on every (daily) run plus the anti join against the award
+history, which makes each run idempotent for its run date. Those jobs live in
+``rollcall.plans.jobs`` as batch plans; nothing here re-implements a scheduler.
+"""

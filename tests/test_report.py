@@ -37,15 +37,15 @@ def inputs(spark):
         "region string, channel_id string, ao string, site_q_user_id string",
     )
     leads = L.site_leads(aos)
-    activity = L.person_activity(L.home_site(fact, config, AS_OF), AS_OF)
-    return activity, leads, config
+    status = L.lapse_status(L.person_activity(L.home_site(fact, config, AS_OF), AS_OF), AS_OF)
+    return status, leads, config
 
 
 def test_lists_and_invariants(inputs):
     activity, leads, _ = inputs
-    mia = {r.user_id for r in L.mia(activity, leads, AS_OF).collect()}
-    lowq = {r.user_id for r in L.lowq(activity, leads, AS_OF).collect()}
-    noq = {r.user_id for r in L.noq(activity, leads, AS_OF).collect()}
+    mia = {r.user_id for r in L.mia(activity, leads).collect()}
+    lowq = {r.user_id for r in L.lowq(activity, leads).collect()}
+    noq = {r.user_id for r in L.noq(activity, leads).collect()}
     assert mia == {"UA", "UE"}
     assert lowq == {"UB"}
     assert noq == {"UC"}
@@ -54,13 +54,13 @@ def test_lists_and_invariants(inputs):
 
 def test_two_leads_repeat_the_person(inputs):
     activity, leads, _ = inputs
-    rows = sorted((r.user_id, r.site_q_user_id) for r in L.mia(activity, leads, AS_OF).collect())
+    rows = sorted((r.user_id, r.site_q_user_id) for r in L.mia(activity, leads).collect())
     assert rows == [("UA", "UL1"), ("UA", "UL1b"), ("UE", None)]
 
 
 def test_report_text(inputs):
     activity, leads, config = inputs
-    lines = L.report_lines(L.mia(activity, leads, AS_OF), L.lowq(activity, leads, AS_OF), L.noq(activity, leads, AS_OF), AS_OF)
+    lines = L.report_lines(activity, leads, AS_OF)
     rx = L.report_recipients(lines, config, leads)
     texts = {r.recipient: r.text for r in L.report_text(lines, rx, bot_name="Bot").collect()}
     assert set(texts) == {"UL1", "UL1b", "UL2", "CFULL"}
@@ -83,7 +83,7 @@ def test_report_text(inputs):
 def test_default_recipient_gets_empty_report_unless_a_lead(spark, inputs):
     activity, leads, _ = inputs
     empty = activity.where("false")
-    lines = L.report_lines(L.mia(empty, leads, AS_OF), L.lowq(empty, leads, AS_OF), L.noq(empty, leads, AS_OF), AS_OF)
+    lines = L.report_lines(empty, leads, AS_OF)
     cfg = spark.createDataFrame([("r1", "UDEF", 2, 2, 4, 2, 52), ("r2", "UL9", 2, 2, 4, 2, 52)], CFG)
     leads2 = leads.unionByName(spark.createDataFrame([("r2", "S9", "ao-9", "UL9")], leads.schema))
     got = [tuple(r) for r in L.report_text(lines, L.report_recipients(lines, cfg, leads2)).collect()]
@@ -97,8 +97,8 @@ def test_long_lists_are_split_into_bounded_parts(spark):
     fact = spark.createDataFrame(rows, FACT)
     config = spark.createDataFrame([("r1", "UDEF", 2, 2, 4, 2, 52)], CFG)
     leads = L.site_leads(spark.createDataFrame([("r1", "S1", "ao-1", None)], "region string, channel_id string, ao string, site_q_user_id string"))
-    act = L.person_activity(L.home_site(fact, config, AS_OF), AS_OF)
-    lines = L.report_lines(L.mia(act, leads, AS_OF), L.lowq(act, leads, AS_OF), L.noq(act, leads, AS_OF), AS_OF)
+    act = L.lapse_status(L.person_activity(L.home_site(fact, config, AS_OF), AS_OF), AS_OF)
+    lines = L.report_lines(act, leads, AS_OF)
     parts = L.report_text(lines, L.report_recipients(lines, config, leads), max_lines=10).collect()
     assert {p.n_parts for p in parts} == {5}
     assert sum(p.text.count("last posted") for p in parts) == n
