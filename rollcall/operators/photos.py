@@ -57,8 +57,8 @@ def flatten_files(messages: DataFrame) -> DataFrame:
 
 
 def ts_to_date(ts: str = "ts"):
-    """Epoch-seconds string -> UTC date."""
-    return F.to_date(F.timestamp_seconds(F.col(ts).try_cast("double")))
+    """Epoch-seconds string -> UTC calendar date (independent of the session time zone)."""
+    return F.date_from_unix_date(F.floor(F.col(ts).try_cast("double") / F.lit(86400)).cast("int"))
 
 
 def in_previous_month(messages: DataFrame, as_of: _dt.date | str) -> DataFrame:
