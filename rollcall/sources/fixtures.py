@@ -226,15 +226,20 @@ def normalised_beatdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalised_attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attendance rows; the recorded leader is the event's Q (even order key) or its co-Q when there is one.
+
+    The event's Q / co-Q come from a window over the event key (one shuffle),
+    equal to the ``normalised_beatdowns`` aggregate.
+    """
+    from pyspark.sql import Window
+
     base = _normalised_base(spark, sf_dir)
-    b = normalised_beatdowns(spark, sf_dir).select(
-        "region", "ao_id", F.col("bd_date").alias("date"), "q_user_id", "coq_user_id"
-    )
-    j = base.join(b, ["region", "ao_id", "date"])
-    q = F.when(F.col("l_orderkey") % 2 == 0, F.col("q_user_id")).otherwise(
-        F.coalesce("coq_user_id", "q_user_id")
-    )
-    return j.select("region", "user_id", "ao_id", q.alias("q_user_id"), "date")
+    event = Window.partitionBy("region", "ao_id", "date")
+    q = F.min("user_id").over(event)
+    mx = F.max("user_id").over(event)
+    coq = F.when(mx != q, mx)
+    leader = F.when(F.col("l_orderkey") % 2 == 0, q).otherwise(F.coalesce(coq, q))
+    return base.select("region", "user_id", "ao_id", leader.alias("q_user_id"), "date")
 
 
 def normalised_aos(spark: SparkSession, sf_dir: str) -> DataFrame:
