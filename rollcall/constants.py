@@ -40,28 +40,28 @@ HOME_LOOKBACK_DAYS = (30, 60, 90, 120)
 
 # ---------------------------------------------------------------------------
 # fixed values: award catalogue, in id order (id = position, starting at 1)
-# (code, name, description, verb)
+# (name, description, verb, code)
 # ---------------------------------------------------------------------------
 AWARD_CATALOGUE = (
-    ("the_priest", "The Priest", "Post for 25 Qsource lessons", "posting for 25 Qsource lessons"),
-    ("the_monk", "The Monk", "Post at 4 QSources in a month", "posting at 4 Qsources in a month"),
-    ("leader_of_men", "Leader of Men", "Q at 4 beatdowns in a month", "Qing at 4 beatdowns in a month"),
-    ("the_boss", "The Boss", "Q at 6 beatdowns in a month", "Qing at 6 beatdowns in a month"),
+    ("The Priest", "Post for 25 Qsource lessons", "posting for 25 Qsource lessons", "the_priest"),
+    ("The Monk", "Post at 4 QSources in a month", "posting at 4 Qsources in a month", "the_monk"),
+    ("Leader of Men", "Q at 4 beatdowns in a month", "Qing at 4 beatdowns in a month", "leader_of_men"),
+    ("The Boss", "Q at 6 beatdowns in a month", "Qing at 6 beatdowns in a month", "the_boss"),
     (
-        "be_the_hammer_not_the_nail",
         "Be the Hammer, Not the Nail",
         "Q at 6 beatdowns in a week",
         "Qing at 6 beatdowns in a week",
+        "be_the_hammer_not_the_nail",
     ),
-    ("cadre", "Cadre", "Q at 7 different AOs in a month", "Qing at 7 different AOs in a month"),
-    ("el_presidente", "El Presidente", "Q at 20 beatdowns in a year", "Qing at 20 beatdowns in a year"),
-    ("el_quatro", "El Quatro", "Post at 25 beatdowns in a year", "posting at 25 beatdowns in a year"),
-    ("golden_boy", "Golden Boy", "Post at 50 beatdowns in a year", "posting at 50 beatdowns in a year"),
-    ("centurion", "Centurion", "Post at 100 beatdowns in a year", "posting at 100 beatdowns in a year"),
-    ("karate_kid", "Karate Kid", "Post at 150 beatdowns in a year", "posting at 150 beatdowns in a year"),
-    ("crazy_person", "Crazy Person", "Post at 200 beatdowns in a year", "posting at 200 beatdowns in a year"),
-    ("6_pack", "6 pack", "Post at 6 beatdowns in a week", "posting at 6 beatdowns in a week"),
-    ("holding_down_the_fort", "Holding Down the Fort", "Post 50 times at an AO", "posting 50 times at an AO"),
+    ("Cadre", "Q at 7 different AOs in a month", "Qing at 7 different AOs in a month", "cadre"),
+    ("El Presidente", "Q at 20 beatdowns in a year", "Qing at 20 beatdowns in a year", "el_presidente"),
+    ("El Quatro", "Post at 25 beatdowns in a year", "posting at 25 beatdowns in a year", "el_quatro"),
+    ("Golden Boy", "Post at 50 beatdowns in a year", "posting at 50 beatdowns in a year", "golden_boy"),
+    ("Centurion", "Post at 100 beatdowns in a year", "posting at 100 beatdowns in a year", "centurion"),
+    ("Karate Kid", "Post at 150 beatdowns in a year", "posting at 150 beatdowns in a year", "karate_kid"),
+    ("Crazy Person", "Post at 200 beatdowns in a year", "posting at 200 beatdowns in a year", "crazy_person"),
+    ("6 pack", "Post at 6 beatdowns in a week", "posting at 6 beatdowns in a week", "6_pack"),
+    ("Holding Down the Fort", "Post 50 times at an AO", "posting 50 times at an AO", "holding_down_the_fort"),
 )
 
 # fixed values: award rules, in id order
@@ -123,16 +123,16 @@ PHOTO_DESCRIPTION_MAX_CHARS = 1000
 # exif capture time ("%Y:%m:%d 06:30:00") and offset
 PHOTO_EXIF_DATE_FORMAT = "yyyy:MM:dd '06:30:00'"
 PHOTO_EXIF_OFFSET = "-06:00"
-# GPS exif per site channel:
-# (channel, lat ref, lat (deg, min, sec*100), lon ref, lon (deg, min, sec*100))
+# GPS exif per site channel: (channel, {1: lat ref, 2: lat, 3: lon ref, 4: lon}),
+# degrees / minutes / seconds as (numerator, denominator) rationals
 SITE_GPS = (
-    ("ao-the-last-stop", "N", (38, 45, 349), "W", (90, 39, 321)),
-    ("ao-eagles-nest", "N", (38, 46, 393), "W", (90, 32, 5629)),
-    ("ao-braveheart", "N", (38, 45, 1482), "W", (90, 47, 1011)),
-    ("ao-pain-station", "N", (38, 48, 5066), "W", (90, 41, 988)),
-    ("ao-the-bayou", "N", (38, 48, 4513), "W", (90, 42, 2114)),
-    ("ao-running-with-animals", "N", (38, 44, 657), "W", (90, 43, 2267)),
-    ("ao-the-darkness", "N", (38, 46, 43), "W", (90, 34, 1362)),
+    ("ao-the-last-stop", {1: "N", 2: ((38, 1), (45, 1), (349, 100)), 3: "W", 4: ((90, 1), (39, 1), (321, 100))}),
+    ("ao-eagles-nest", {1: "N", 2: ((38, 1), (46, 1), (393, 100)), 3: "W", 4: ((90, 1), (32, 1), (5629, 100))}),
+    ("ao-braveheart", {1: "N", 2: ((38, 1), (45, 1), (1482, 100)), 3: "W", 4: ((90, 1), (47, 1), (1011, 100))}),
+    ("ao-pain-station", {1: "N", 2: ((38, 1), (48, 1), (5066, 100)), 3: "W", 4: ((90, 1), (41, 1), (988, 100))}),
+    ("ao-the-bayou", {1: "N", 2: ((38, 1), (48, 1), (4513, 100)), 3: "W", 4: ((90, 1), (42, 1), (2114, 100))}),
+    ("ao-running-with-animals", {1: "N", 2: ((38, 1), (44, 1), (657, 100)), 3: "W", 4: ((90, 1), (43, 1), (2267, 100))}),
+    ("ao-the-darkness", {1: "N", 2: ((38, 1), (46, 1), (43, 100)), 3: "W", 4: ((90, 1), (34, 1), (1362, 100))}),
 )
 
 # manual award tag line in an event write-up ("Achievement: CODE")

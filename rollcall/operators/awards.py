@@ -49,7 +49,7 @@ class AwardSpec:
 
 def _build_defaults() -> tuple[AwardSpec, ...]:
     specs = []
-    for (aid, period, cls, leaders, measure, threshold), (code, *_rest) in zip(AWARD_RULES, AWARD_CATALOGUE):
+    for (aid, period, cls, leaders, measure, threshold), (*_text, code) in zip(AWARD_RULES, AWARD_CATALOGUE):
         specs.append(AwardSpec(aid, code, period, cls, leaders, measure, threshold))
     return tuple(specs)
 

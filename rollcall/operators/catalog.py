@@ -26,7 +26,7 @@ TEXT_LENGTH = 255
 
 def catalogue_seed(spark: SparkSession) -> DataFrame:
     """U32: the 14 automatic awards, ids 1..14 in catalogue order."""
-    rows = [(i, name, desc, verb, code) for i, (code, name, desc, verb) in enumerate(AWARD_CATALOGUE, start=1)]
+    rows = [(i, name, desc, verb, code) for i, (name, desc, verb, code) in enumerate(AWARD_CATALOGUE, start=1)]
     return spark.createDataFrame(rows, "id int, name string, description string, verb string, code string")
 
 
@@ -41,7 +41,7 @@ def seed_lists(regions: DataFrame) -> DataFrame:
                 F.lit(verb).alias("verb"),
                 F.lit(code).alias("code"),
             )
-            for i, (code, name, desc, verb) in enumerate(AWARD_CATALOGUE, start=1)
+            for i, (name, desc, verb, code) in enumerate(AWARD_CATALOGUE, start=1)
         ]
     )
     return regions.select("region", F.explode(seed).alias("a")).select("region", "a.*")

@@ -126,9 +126,10 @@ def dedup_photos(photos: DataFrame, contents: DataFrame, seen: DataFrame | None)
 
 def gps_table(spark: SparkSession) -> DataFrame:
     """Site channel -> EXIF GPS tags, from the fixed table (seven rows)."""
-    rows = []
-    for channel, lat_ref, (ld, lm, ls), lon_ref, (od, om, os_) in SITE_GPS:
-        rows.append((channel, lat_ref, f"{ld}/1,{lm}/1,{ls}/100", lon_ref, f"{od}/1,{om}/1,{os_}/100"))
+    def rational(dms) -> str:
+        return ",".join(f"{n}/{d}" for n, d in dms)
+
+    rows = [(channel, tags[1], rational(tags[2]), tags[3], rational(tags[4])) for channel, tags in SITE_GPS]
     return spark.createDataFrame(
         rows, "channel string, gps_lat_ref string, gps_lat string, gps_lon_ref string, gps_lon string"
     )

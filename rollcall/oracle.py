@@ -277,7 +277,7 @@ def _catalogue_values() -> str:
 
     return ",\n    ".join(
         f"({i}, {q(code)}, {q(name)}, {q(desc)}, {q(verb)})"
-        for i, (code, name, desc, verb) in enumerate(AWARD_CATALOGUE, start=1)
+        for i, (name, desc, verb, code) in enumerate(AWARD_CATALOGUE, start=1)
     )
 
 
@@ -550,9 +550,10 @@ def _sites_list() -> str:
 def _gps_values() -> str:
     from rollcall.constants import SITE_GPS
 
-    rows = []
-    for channel, lat_ref, (ld, lm, ls), lon_ref, (od, om, os_) in SITE_GPS:
-        rows.append(f"('{channel}', '{lat_ref}', '{ld}/1,{lm}/1,{ls}/100', '{lon_ref}', '{od}/1,{om}/1,{os_}/100')")
+    def rational(dms) -> str:
+        return ",".join(f"{n}/{d}" for n, d in dms)
+
+    rows = [f"('{c}', '{t[1]}', '{rational(t[2])}', '{t[3]}', '{rational(t[4])}')" for c, t in SITE_GPS]
     return ",\n    ".join(rows)
 
 

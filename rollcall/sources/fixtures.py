@@ -102,7 +102,7 @@ def achievements_list(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit(verb).alias("verb"),
                 F.lit(code).alias("code"),
             )
-            for i, (code, name, desc, verb) in enumerate(AWARD_CATALOGUE, start=1)
+            for i, (name, desc, verb, code) in enumerate(AWARD_CATALOGUE, start=1)
         ]
     )
     lst = regions(spark, sf_dir).select("region", "n_regionkey", F.explode(seed).alias("a"))

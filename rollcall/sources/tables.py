@@ -121,11 +121,25 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MEMBERS).json(path)
 
 
-def read_image_bytes(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Image files as (file_path, content) rows; the file name stem is the file id."""
-    reader = spark.read.format("binaryFile")
+def read_image_bytes(
+    spark: SparkSession,
+    path: str,
+    glob: str | None = None,
+    modified_after: str | None = None,
+    modified_before: str | None = None,
+) -> DataFrame:
+    """Image files as (file_path, file_id, content) rows; the file name stem is the file id.
+
+    ``modified_after`` / ``modified_before`` (``YYYY-MM-DDTHH:mm:ss``) prune files
+    by modification time at listing, so a monthly run reads only that month's files.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
+    if modified_before:
+        reader = reader.option("modifiedBefore", modified_before)
     df = reader.load(path)
     return df.select(
         F.col("path").alias("file_path"),
