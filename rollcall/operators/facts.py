@@ -65,6 +65,74 @@ def _region_filter(df_region: Column, exclude: Iterable[str]) -> Column | None:
     return ~df_region.isin(exclude) if exclude else None
 
 
+def event_posts(
+    users: DataFrame,
+    attendance: DataFrame,
+    beatdowns: DataFrame,
+    aos: DataFrame,
+    since: _dt.date | None = None,
+    exclude: Iterable[str] = EXCLUDED_REGIONS_FACT,
+    text_chars: int | None = None,
+) -> DataFrame:
+    """All J2 pairs (leader is the event's Q or co-Q) of dated events, with the J1 rule as a flag.
+
+    One join serves both national facts: ``q_match`` (the attendance's leader is
+    the event's Q) selects the J1 rows, ``valid_posts`` applies the J2 filters.
+    ``since`` bounds event dates from below (pushed into the event scan);
+    ``text_chars`` keeps only the start of the write-up (the classifier reads
+    the first 100 characters), which keeps a materialised copy narrow.
+    Columns: site_region, email, user_name, user_id, ao_id, ao, date, q_flag,
+    q_match, has_q, backblast.
+    """
+    ev = F.col("bd_date").isNotNull()
+    rf = _region_filter(F.col("region"), exclude)
+    if rf is not None:
+        ev = ev & rf
+    if since is not None:
+        ev = ev & (F.col("bd_date") >= F.lit(since))
+    j = _events_join(users, attendance, beatdowns, aos, "q_or_coq", ev, None)
+    q_flag = F.when(
+        (F.col("a.user_id") == F.col("b.q_user_id")) | (F.col("a.user_id") == F.col("b.coq_user_id")), F.lit(1)
+    ).otherwise(F.lit(0))
+    text = F.col("b.backblast")
+    if text_chars is not None:
+        text = F.substring(text, 1, text_chars)
+    return j.select(
+        F.col("a.region").alias("site_region"),
+        F.col("u.email").alias("email"),
+        F.col("u.user_name").alias("user_name"),
+        F.col("a.user_id").alias("user_id"),
+        F.col("a.ao_id").alias("ao_id"),
+        F.col("ao.ao").alias("ao"),
+        F.col("b.bd_date").alias("date"),
+        q_flag.alias("q_flag"),
+        F.coalesce(F.col("a.q_user_id") == F.col("b.q_user_id"), F.lit(False)).alias("q_match"),
+        F.col("b.q_user_id").isNotNull().alias("has_q"),
+        text.alias("backblast"),
+    )
+
+
+def q_attendance(events: DataFrame) -> DataFrame:
+    """J1 rows of ``event_posts``: (region, email, user_id, bd_date)."""
+    return events.where(F.col("q_match")).select(
+        F.col("site_region").alias("region"), "email", "user_id", F.col("date").alias("bd_date")
+    )
+
+
+def valid_posts(events: DataFrame, as_of: _dt.date | str, current_year: bool = True) -> DataFrame:
+    """J2 filters on ``event_posts``: event has a Q, not after ``as_of`` (and in its year), valid user.
+
+    Columns: email, user_name, ao_id, ao, date, q_flag, backblast, site_region, user_id.
+    """
+    cond = F.col("has_q") & periods.not_after("date", as_of)
+    if current_year:
+        cond = cond & periods.in_year_of("date", as_of)
+    cond = cond & (F.col("email") != NO_EMAIL) & (F.col("user_name") != SYSTEM_USER_NAME)
+    return events.where(cond).select(
+        "email", "user_name", "ao_id", "ao", "date", "q_flag", "backblast", "site_region", "user_id"
+    )
+
+
 def attendance_fact(
     users: DataFrame,
     attendance: DataFrame,

@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.constants import (
+    BACKBLAST_PREFIX_CHARS,
     EXCLUDED_REGIONS_AWARDS,
     EXCLUDED_REGIONS_FACT,
     EXCLUDED_REGIONS_REPORT,
+    HOME_LOOKBACK_DAYS,
     REPORT_LOG_MESSAGE,
 )
+from rollcall.functions import periods
 from rollcall.operators import awards as A
 from rollcall.operators import catalog as K
 from rollcall.operators import diff as D
@@ -70,16 +73,29 @@ def award_run(
     awarded_path: str | None = None,
     notifications_path: str | None = None,
     bot_name: str = N.DEFAULT_BOT_NAME,
+    share_event_join: bool = True,
 ) -> dict[str, DataFrame]:
     """Entry 1: compute, record and announce new awards for every region.
 
     ``region_names`` is the region list (``schema_name``); it is filtered with
-    ``LIKE 'f3%'``. Returns the new awards, notifications and run summary.
+    ``LIKE 'f3%'``. With ``share_event_join`` the national event join runs once
+    for both the home region and the award fact. Returns the new awards,
+    notifications and run summary.
     """
     regions = region_list(region_names) if region_names is not None else None
     t = tables.restricted(regions, EXCLUDED_REGIONS_FACT)
-    home = H.pick_home_region(H.home_region_counts(Fa.attendance_fact(*t.as_tuple()), as_of))
-    fact = Fa.attach_home_region(Fa.post_fact(*t.as_tuple(), as_of=as_of, current_year=True), home)
+    if share_event_join:
+        # one national join for both facts, materialised once: J1 rows feed the
+        # home region, J2 rows the awards (look-backs reach into the previous year)
+        d = periods.to_pydate(as_of)
+        since = min(_dt.date(d.year, 1, 1), d - _dt.timedelta(days=max(HOME_LOOKBACK_DAYS) - 1))
+        events = cut_lineage(Fa.event_posts(*t.as_tuple(), since=since, text_chars=BACKBLAST_PREFIX_CHARS))
+        home = H.pick_home_region(H.home_region_counts(Fa.q_attendance(events), as_of))
+        posts = Fa.valid_posts(events, as_of, current_year=True)
+    else:
+        home = H.pick_home_region(H.home_region_counts(Fa.attendance_fact(*t.as_tuple()), as_of))
+        posts = Fa.post_fact(*t.as_tuple(), as_of=as_of, current_year=True)
+    fact = Fa.attach_home_region(posts, home)
     earned = A.earned_awards(fact, specs)
     earned_pax = D.attach_pax_id(earned, tables.users)
 
@@ -110,13 +126,22 @@ def report_run(
     notifications_path: str | None = None,
     bot_name: str = L.DEFAULT_BOT_NAME,
     max_lines: int = L.MAX_LINES_PER_MESSAGE,
+    share_event_join: bool = True,
 ) -> dict[str, DataFrame]:
-    """Entry 2: the weekly inactivity report for every region."""
+    """Entry 2: the weekly inactivity report for every region (one national join when ``share_event_join``)."""
     regions = region_list(region_names) if region_names is not None else None
     t = tables.restricted(regions, EXCLUDED_REGIONS_REPORT)
-    counts = H.home_region_counts_by_user(Fa.attendance_fact(*t.as_tuple(), exclude=EXCLUDED_REGIONS_REPORT), as_of)
+    if share_event_join:
+        # the report reads all history anyway: one join, materialised once, feeds both facts
+        events = cut_lineage(Fa.event_posts(*t.as_tuple(), exclude=EXCLUDED_REGIONS_REPORT, text_chars=0))
+        counts = H.home_region_counts_by_user(Fa.q_attendance(events), as_of)
+        posts = Fa.valid_posts(events, as_of, current_year=False)
+    else:
+        counts = H.home_region_counts_by_user(
+            Fa.attendance_fact(*t.as_tuple(), exclude=EXCLUDED_REGIONS_REPORT), as_of
+        )
+        posts = Fa.post_fact(*t.as_tuple(), as_of=as_of, current_year=False, exclude=EXCLUDED_REGIONS_REPORT)
     home = H.pick_home_region(counts)
-    posts = Fa.post_fact(*t.as_tuple(), as_of=as_of, current_year=False, exclude=EXCLUDED_REGIONS_REPORT)
     fact = Fa.attach_home_region(posts, home, with_user=True)
     config = region_config if regions is None else region_config.join(regions, "region", "left_semi")
     leads = L.site_leads(t.aos)

@@ -87,3 +87,18 @@ def test_not_null_is_enforced_on_write(spark, tmpdir_path):
     bad = spark.createDataFrame([("r1", 1, None, None)], "region string, achievement_id int, pax_id string, date_awarded date")
     with pytest.raises(Exception):
         K.append_awards(bad, path=os.path.join(tmpdir_path, "bad"))
+
+
+def test_shared_event_join_gives_the_same_results(spark):
+    empty = spark.createDataFrame([], schemas.ACHIEVEMENTS_AWARDED)
+    args = (_tables(spark), X.region_config(spark, SF), X.achievements_list(spark, SF), empty, X.FACT_AS_OF)
+    shared = J.award_run(*args, specs=driver_specs(), share_event_join=True)
+    split = J.award_run(*args, specs=driver_specs(), share_event_join=False)
+    for key in ("new_awards", "messages", "summary"):
+        a = sorted(tuple(r) for r in shared[key].collect())
+        b = sorted(tuple(r) for r in split[key].collect())
+        assert a == b and len(a) > 0
+    rshared = J.report_run(_tables(spark), X.region_config(spark, SF), X.FACT_AS_OF, share_event_join=True)
+    rsplit = J.report_run(_tables(spark), X.region_config(spark, SF), X.FACT_AS_OF, share_event_join=False)
+    for key in ("mia", "lowq", "noq", "report"):
+        assert sorted(tuple(r) for r in rshared[key].collect()) == sorted(tuple(r) for r in rsplit[key].collect())
