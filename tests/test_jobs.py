@@ -102,3 +102,23 @@ def test_shared_event_join_gives_the_same_results(spark):
     rsplit = J.report_run(_tables(spark), X.region_config(spark, SF), X.FACT_AS_OF, share_event_join=False)
     for key in ("mia", "lowq", "noq", "report"):
         assert sorted(tuple(r) for r in rshared[key].collect()) == sorted(tuple(r) for r in rsplit[key].collect())
+
+
+def test_award_run_on_catalog_tables_and_trophy_view(spark):
+    from rollcall.operators import catalog as K
+
+    db = "rc_awards"
+    regions = X.regions(spark, SF).select("region")
+    J.catalogue_setup(spark, regions, database=db)
+    lst_t, aw_t = f"{db}.{K.LIST_TABLE}", f"{db}.{K.AWARDED_TABLE}"
+    before = spark.table(aw_t).count()
+    out = J.award_run(_tables(spark), X.region_config(spark, SF), spark.table(lst_t), spark.table(aw_t),
+                      X.FACT_AS_OF, specs=driver_specs(), awarded_table=aw_t)
+    n = out["new_awards"].count()
+    assert n > 0 and spark.table(aw_t).count() == before + n
+    again = J.award_run(_tables(spark), X.region_config(spark, SF), spark.table(lst_t), spark.table(aw_t),
+                        X.FACT_AS_OF, specs=driver_specs(), awarded_table=aw_t)
+    assert again["new_awards"].count() == 0
+    X.normalised_users(spark, SF).createOrReplaceTempView("rc_users")
+    K.create_trophy_view(spark, "rc_users", aw_t, lst_t)
+    assert spark.table(K.VIEW_NAME).count() == before + n
