@@ -211,15 +211,26 @@ def report_text(
     part sorted like the source; so the ``collect_list`` per part is bounded.
     Columns: region, recipient, part, n_parts, text.
     """
-    lead_lines = lines.where(F.col("site_q_user_id").isNotNull()).select(
-        "region", F.col("site_q_user_id").alias("recipient"), F.lit(False).alias("is_default"),
-        "user_id", "section", "k1", "k2", "line",
+    # each line goes to its site lead and, if the region has one, to the default recipient:
+    # one pass over the lines (the per-region default table is one row per region)
+    defaults = recipients.where(F.col("is_default")).select("region", F.col("recipient").alias("default_rx"))
+    targets = F.array_compact(
+        F.array(
+            F.when(
+                F.col("site_q_user_id").isNotNull(),
+                F.struct(F.col("site_q_user_id").alias("recipient"), F.lit(False).alias("is_default")),
+            ),
+            F.when(
+                F.col("default_rx").isNotNull(),
+                F.struct(F.col("default_rx").alias("recipient"), F.lit(True).alias("is_default")),
+            ),
+        )
     )
-    defaults = recipients.where(F.col("is_default")).select("region", "recipient")
-    default_lines = lines.join(defaults, "region").select(
-        "region", "recipient", F.lit(True).alias("is_default"), "user_id", "section", "k1", "k2", "line"
+    all_lines = (
+        lines.join(defaults, "region", "left")
+        .select("user_id", "section", "k1", "k2", "line", "region", F.explode(targets).alias("t"))
+        .select("region", "t.recipient", "t.is_default", "user_id", "section", "k1", "k2", "line")
     )
-    all_lines = lead_lines.unionByName(default_lines)
     sizes = all_lines.groupBy("region", "recipient", "is_default").agg(F.count(F.lit(1)).alias("n_lines"))
     n_parts = F.greatest(F.lit(1), F.ceil(F.col("n_lines") / F.lit(max_lines))).cast("int")
     parted = all_lines.join(sizes, ["region", "recipient", "is_default"]).withColumn("n_parts", n_parts)

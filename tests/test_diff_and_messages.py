@@ -83,3 +83,13 @@ def test_run_summary_keeps_zero_regions(spark):
     logs = spark.createDataFrame([("r1", "L1")], "region string, log_channel string")
     got = {r.region: (r.target, r.n_new) for r in N.run_summary(new, regions, logs).collect()}
     assert got == {"r1": ("L1", 1), "r2": (None, 0)}
+
+
+def test_anti_join_matches_null_keys(spark):
+    earned = spark.createDataFrame([(1, "year", 2025, "r1", None, dt.date(2025, 3, 1)),
+                                    (1, "year", 2025, "r1", "U2", dt.date(2025, 3, 1))], EARNED)
+    hist = spark.createDataFrame([("r1", 1, 1, None, dt.date(2025, 2, 1), "code1")], HIST)
+    got = [r.pax_id for r in D.unseen_awards(earned, hist).collect()]
+    assert got == ["U2"]
+    plan = D.unseen_awards(earned, hist)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan

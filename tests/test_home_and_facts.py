@@ -81,3 +81,20 @@ def test_future_and_other_year_events_are_filtered(spark):
 def test_event_join_is_an_equi_join(spark):
     plan = Fa.post_fact(*_tables(spark), as_of=AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_double_matched_attendance_is_kept_twice(spark):
+    # two event rows at one site and date: (Q u1, coQ u2) and (Q u2); an attendance row whose recorded
+    # leader is u2 matches both, so the post is counted twice (kept, like the source)
+    users = spark.createDataFrame([("r1", "u3", "c@x", "C")], "region string, user_id string, email string, user_name string")
+    bd = dt.date(2025, 3, 3)
+    beatdowns = spark.createDataFrame(
+        [("r1", "S1", bd, "u1", "u2", "Regular"), ("r1", "S1", bd, "u2", None, "Regular")],
+        "region string, ao_id string, bd_date date, q_user_id string, coq_user_id string, backblast string",
+    )
+    attendance = spark.createDataFrame([("r1", "u3", "S1", "u2", bd)], "region string, user_id string, ao_id string, q_user_id string, date date")
+    aos = spark.createDataFrame([("r1", "S1", "ao-one", None)], "region string, channel_id string, ao string, site_q_user_id string")
+    assert Fa.post_fact(users, attendance, beatdowns, aos, as_of=AS_OF).count() == 2
+    assert Fa.attendance_fact(users, attendance, beatdowns, aos).count() == 1
+    events = Fa.event_posts(users, attendance, beatdowns, aos)
+    assert Fa.valid_posts(events, AS_OF).count() == 2 and Fa.q_attendance(events).count() == 1
