@@ -5,9 +5,9 @@ fact (ten passes). Here every award is a row of the ``AwardSpec`` table and
 all of them come out of a single ``GROUPING SETS`` aggregate: one scan of the
 fact, one partially-aggregated shuffle keyed by (region, email, period[, site]).
 Map-side partial aggregation makes a hot person or region cheap: each map task
-ships at most one row per group. Distinct sites (cadre) are counted exactly
-by a second, small aggregate over the (person, month, site) groups of the
-same shuffle, so no ``count(DISTINCT)`` double shuffle is needed.
+ships at most one row per group. Yearly and monthly totals and the distinct
+site count (cadre) come from a second, small aggregate over the per-site
+groups of the first, so no ``count(DISTINCT)`` double shuffle is needed.
 """
 
 from __future__ import annotations
@@ -118,18 +118,35 @@ def _counter_aggs() -> list[Column]:
     ]
 
 
-def _level1_sets(specs: Sequence[AwardSpec]) -> tuple[list[str], set[str]]:
-    """Grouping sets of the first aggregate, and the periods whose sites are collapsed later."""
-    collapse = {s.period for s in specs if s.measure == "sites"}
-    per_site = {s.period for s in specs if s.period.endswith("_ao")}
-    if any(f"{p}_ao" in per_site for p in collapse):
-        raise NotImplementedError("site-count and per-site awards on the same period")
+_BASE_PERIODS = ("year", "month", "week")
+
+
+def _plan_sets(specs: Sequence[AwardSpec]) -> tuple[list[str], dict[str, list[tuple[str, bool]]]]:
+    """Level-1 grouping sets and, per level-1 kind, the level-2 outputs it feeds.
+
+    A base period that is also needed per site, or whose award counts distinct
+    sites, is grouped per site in level 1 only; its totals (and its distinct
+    site count) come from the level-2 aggregate over those much smaller rows.
+    Returns (level-1 kinds, {level-1 kind: [(output kind, keeps site), ...]}).
+    """
+    needed = {s.period for s in specs}
+    sites = {s.period for s in specs if s.measure == "sites"}
     kinds: list[str] = []
-    for s in specs:
-        k = f"{s.period}_ao" if s.period in collapse else s.period
-        if k not in kinds:
-            kinds.append(k)
-    return kinds, collapse
+    feeds: dict[str, list[tuple[str, bool]]] = {}
+    for p in _BASE_PERIODS:
+        per_site = f"{p}_ao" in needed
+        if per_site or p in sites:
+            kinds.append(f"{p}_ao")
+            outs = []
+            if p in needed:
+                outs.append((p, False))
+            if per_site:
+                outs.append((f"{p}_ao", True))
+            feeds[f"{p}_ao"] = outs
+        elif p in needed:
+            kinds.append(p)
+            feeds[p] = [(p, False)]
+    return kinds, feeds
 
 
 _SET_COLUMNS = {
@@ -147,14 +164,16 @@ STAT_COLUMNS = ("n_qs", "d_qs", "n_wq", "d_wq", "n_w", "n_w_ao", "d_w")
 def period_stats(fact: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS) -> DataFrame:
     """Per (region, email, kind, period, ao_id) counters for every grouping the specs need.
 
-    Level 1 is one GROUPING SETS aggregate over the fact. Periods with a
-    distinct-site measure are grouped per site in level 1 and collapsed by a
-    level-2 aggregate over the (much smaller) level-1 output, which also
-    counts the distinct sites exactly (``n_sites_wq``). One scan of the fact.
+    Level 1 is one GROUPING SETS aggregate over the fact: (year, site),
+    (month, site) and (week) for the default awards. Level 2 aggregates the
+    level-1 rows (one per person, period and site) into the yearly and monthly
+    totals, keeps the per-site yearly rows, and counts distinct sites exactly
+    (``n_sites_wq``). One scan of the fact; the second shuffle carries only
+    level-1 groups.
 
     Columns: region, email, kind, period, ao_id, n_qs, d_qs, n_wq, d_wq, n_w, n_w_ao, d_w, n_sites_wq.
     """
-    kinds, collapse = _level1_sets(specs)
+    kinds, feeds = _plan_sets(specs)
     posts = classified_posts(fact)
     grouping_cols = ["region", "email", "year", "month", "week", "ao_id"]
     sets = [["region", "email", *_SET_COLUMNS[k]] for k in kinds]
@@ -178,18 +197,22 @@ def period_stats(fact: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS) -
         "ao_id",
         *STAT_COLUMNS,
     )
-    if not collapse:
+    if all(outs == [(k, k.endswith("_ao"))] for k, outs in feeds.items()):
+        # every level-1 group is already a final group
         return level1.withColumn("n_sites_wq", F.lit(None).cast("long"))
 
-    collapsed = [f"{p}_ao" for p in collapse]
-    is_collapsed = F.col("kind").isin(collapsed)
-    level2_in = level1.select(
-        "region",
-        "email",
-        F.when(is_collapsed, F.regexp_replace("kind", "_ao$", "")).otherwise(F.col("kind")).alias("kind"),
-        "period",
-        F.when(is_collapsed, F.lit(None).cast("string")).otherwise(F.col("ao_id")).alias("ao_id"),
-        *STAT_COLUMNS,
+    # level 2: each level-1 row feeds one or two output groups (total and/or per site)
+    route = None
+    for k, outs in feeds.items():
+        targets = F.array(
+            *[
+                F.struct(F.lit(out).alias("kind"), (F.col("ao_id") if keep else F.lit(None).cast("string")).alias("ao"))
+                for out, keep in outs
+            ]
+        )
+        route = F.when(F.col("kind") == k, targets) if route is None else route.when(F.col("kind") == k, targets)
+    level2_in = level1.select("region", "email", "period", *STAT_COLUMNS, F.explode(route).alias("t")).select(
+        "region", "email", F.col("t.kind").alias("kind"), "period", F.col("t.ao").alias("ao_id"), *STAT_COLUMNS
     )
     return level2_in.groupBy("region", "email", "kind", "period", "ao_id").agg(
         *[(F.max(c) if c.startswith("d_") else F.sum(c)).alias(c) for c in STAT_COLUMNS],
