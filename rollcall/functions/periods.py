@@ -12,8 +12,6 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PERIOD_KINDS = ("year", "month", "week")
-
 
 def as_date(value: str | _dt.date | Column) -> Column:
     if isinstance(value, Column):
@@ -27,18 +25,6 @@ def to_pydate(value: str | _dt.date) -> _dt.date:
     return _dt.date.fromisoformat(value) if isinstance(value, str) else value
 
 
-def period_value(kind: str, date: str | Column = "date") -> Column:
-    """Period number of a date: calendar year, month (1-12) or ISO week (1-53). No year in month/week."""
-    d = F.col(date) if isinstance(date, str) else date
-    if kind in ("year", "year_ao"):
-        return F.year(d)
-    if kind in ("month", "month_ao"):
-        return F.month(d)
-    if kind == "week":
-        return F.weekofyear(d)
-    raise ValueError(f"unknown period kind {kind!r}")
-
-
 def period_of_kind(kind: Column, date: str | Column = "date") -> Column:
     """Period number where the kind is itself a column."""
     d = F.col(date) if isinstance(date, str) else date

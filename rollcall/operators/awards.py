@@ -70,12 +70,6 @@ def award_specs(thresholds: dict[int | str, int] | None = None, ids: Iterable[in
     return tuple(out)
 
 
-def spec_frame(spark, specs: Sequence[AwardSpec] = DEFAULT_AWARDS) -> DataFrame:
-    """The spec list as a small constant DataFrame (achievement_id, code, period_kind, threshold)."""
-    rows = [(s.id, s.code, s.period_kind, s.threshold) for s in specs]
-    return spark.createDataFrame(rows, "achievement_id int, code string, period_kind string, threshold int")
-
-
 # ---------------------------------------------------------------------------
 # shared aggregate
 # ---------------------------------------------------------------------------

@@ -102,6 +102,19 @@ def ensure_site_lead_column(spark: SparkSession, table: str) -> None:
         spark.sql(f"ALTER TABLE {table} ADD COLUMNS (site_q_user_id string)")
 
 
+def award_tables(spark: SparkSession, database: str | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """SRC4/SRC6: (award list, award history, name of the history table).
+
+    Some regions have the history table under its older singular name; it is
+    used when the plural one does not exist.
+    """
+    prefix = f"{database}." if database else ""
+    name = prefix + AWARDED_TABLE
+    if not spark.catalog.tableExists(name):
+        name = prefix + AWARDED_TABLE_FALLBACK
+    return spark.table(prefix + LIST_TABLE), spark.table(name), name
+
+
 def trophy_view(users: DataFrame, awarded: DataFrame, award_list: DataFrame) -> DataFrame:
     """Users x awarded x list, per region.
 

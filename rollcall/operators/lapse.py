@@ -30,8 +30,8 @@ from rollcall.constants import (
 )
 from rollcall.functions import periods
 from rollcall.functions.text import fill, mention_target
+from rollcall.operators.notify import DEFAULT_BOT_NAME
 
-DEFAULT_BOT_NAME = "Rollcall"
 MAX_LINES_PER_MESSAGE = 500
 
 THRESHOLD_COLUMNS = (

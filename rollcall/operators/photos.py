@@ -32,7 +32,6 @@ from rollcall.functions import periods
 from rollcall.functions.text import fill
 
 MENTION_PATTERN = r"<@[^<>]*>"
-FLAT_COLUMNS = ("channel", "ts", "user", "text", "file_id", "filetype", "mimetype", "file_url", "file_is_photo")
 
 
 def flatten_files(messages: DataFrame) -> DataFrame:

@@ -35,7 +35,6 @@ REPORT_WEEKS = {
     "HOME_AO_CAPTURE": 52,
 }
 PHOTO_AS_OF = _dt.date(2000, 3, 15)
-PHOTO_EPOCH = _dt.datetime(2000, 1, 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,3 +33,12 @@ def test_trophy_view(spark):
     lst = K.seed_lists(spark.createDataFrame([("r1",), ("r2",)], "region string"))
     rows = [tuple(r) for r in K.trophy_view(users, awarded, lst).collect()]
     assert rows == [("r1", "Alpha", "U1", "The Monk", "Post at 4 QSources in a month", dt.date(2025, 3, 1))]
+
+
+def test_award_tables_fall_back_to_the_singular_name(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS rc_old")
+    spark.sql("CREATE TABLE IF NOT EXISTS rc_old.achievements_list (id int, name string, description string, verb string, code string, region string) USING parquet")
+    spark.sql("CREATE TABLE IF NOT EXISTS rc_old.achievement_awarded (id long, achievement_id int, pax_id string, date_awarded date, region string) USING parquet")
+    lst, awarded, name = K.award_tables(spark, "rc_old")
+    assert name == "rc_old.achievement_awarded"
+    assert "pax_id" in awarded.columns and "code" in lst.columns
