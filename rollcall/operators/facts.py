@@ -12,7 +12,7 @@ when their measured size is under ``spark.sql.autoBroadcastJoinThreshold``.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +29,17 @@ def _events_join(
     leader_rule: str,
     event_filter: Column | None,
     user_filter: Column | None,
+    date_filter: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
+    """``date_filter`` builds the date predicate for a date column; it is applied to the
+    event date *and* to the attendance date (equal under the join), because Catalyst
+    does not carry it across the join and the attendance scan is the largest one."""
     u = users.alias("u")
     a = attendance.alias("a")
     b = beatdowns.alias("b")
+    if date_filter is not None:
+        a = a.where(date_filter(F.col("date"))).alias("a")
+        b = b.where(date_filter(F.col("bd_date"))).alias("b")
     if event_filter is not None:
         b = b.where(event_filter).alias("b")
     if user_filter is not None:
@@ -84,13 +91,12 @@ def event_posts(
     Columns: site_region, email, user_name, user_id, ao_id, ao, date, q_flag,
     q_match, has_q, backblast.
     """
-    ev = F.col("bd_date").isNotNull()
-    rf = _region_filter(F.col("region"), exclude)
-    if rf is not None:
-        ev = ev & rf
-    if since is not None:
-        ev = ev & (F.col("bd_date") >= F.lit(since))
-    j = _events_join(users, attendance, beatdowns, aos, "q_or_coq", ev, None)
+    ev = _region_filter(F.col("region"), exclude)
+
+    def dates(c: Column) -> Column:
+        return c.isNotNull() if since is None else c >= F.lit(since)
+
+    j = _events_join(users, attendance, beatdowns, aos, "q_or_coq", ev, None, dates)
     q_flag = F.when(
         (F.col("a.user_id") == F.col("b.q_user_id")) | (F.col("a.user_id") == F.col("b.coq_user_id")), F.lit(1)
     ).otherwise(F.lit(0))
@@ -147,10 +153,8 @@ def attendance_fact(
     (a range predicate pushed into the event scan).
     """
     ev = _region_filter(F.col("region"), exclude)
-    if since is not None:
-        cond = F.col("bd_date") >= F.lit(since)
-        ev = cond if ev is None else ev & cond
-    j = _events_join(users, attendance, beatdowns, aos, "q", ev, None)
+    dates = None if since is None else (lambda c: c >= F.lit(since))
+    j = _events_join(users, attendance, beatdowns, aos, "q", ev, None, dates)
     return j.select(
         F.col("a.region").alias("region"),
         F.col("u.email").alias("email"),
@@ -175,16 +179,17 @@ def post_fact(
     Columns: email, user_name, ao_id, ao, date, q_flag, backblast, site_region, user_id.
     ``site_region`` is where the post happened; the home region is attached later.
     """
-    ev = F.col("q_user_id").isNotNull() & periods.not_after("bd_date", as_of)
-    if current_year:
-        ev = ev & periods.in_year_of("bd_date", as_of)
-    else:
-        ev = ev & F.col("bd_date").isNotNull()
+    ev = F.col("q_user_id").isNotNull()
     rf = _region_filter(F.col("region"), exclude)
     if rf is not None:
         ev = ev & rf
+
+    def dates(c: Column) -> Column:
+        cond = periods.not_after(c, as_of)
+        return cond & periods.in_year_of(c, as_of) if current_year else cond & c.isNotNull()
+
     valid_user = (F.col("email") != NO_EMAIL) & (F.col("user_name") != SYSTEM_USER_NAME)
-    j = _events_join(users, attendance, beatdowns, aos, "q_or_coq", ev, valid_user)
+    j = _events_join(users, attendance, beatdowns, aos, "q_or_coq", ev, valid_user, dates)
     q_flag = F.when(
         (F.col("a.user_id") == F.col("b.q_user_id")) | (F.col("a.user_id") == F.col("b.coq_user_id")), F.lit(1)
     ).otherwise(F.lit(0))

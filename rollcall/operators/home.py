@@ -19,6 +19,12 @@ from rollcall.constants import HOME_LOOKBACK_DAYS
 from rollcall.functions import periods
 
 
+def lookback_start(as_of: _dt.date | str, lookbacks: Sequence[int] = HOME_LOOKBACK_DAYS) -> _dt.date:
+    """Earliest event date that can count for ``as_of``: 1 January, or the start of the longest look-back."""
+    d = periods.to_pydate(as_of)
+    return min(_dt.date(d.year, 1, 1), d - _dt.timedelta(days=max(lookbacks) - 1))
+
+
 def _lookback_counts(att: DataFrame, as_of, lookbacks: Sequence[int], keys: list[str]) -> DataFrame:
     as_of = periods.to_pydate(as_of)
     in_year = periods.in_year_of("bd_date", as_of)

@@ -23,10 +23,8 @@ from rollcall.constants import (
     EXCLUDED_REGIONS_AWARDS,
     EXCLUDED_REGIONS_FACT,
     EXCLUDED_REGIONS_REPORT,
-    HOME_LOOKBACK_DAYS,
     REPORT_LOG_MESSAGE,
 )
-from rollcall.functions import periods
 from rollcall.operators import awards as A
 from rollcall.operators import catalog as K
 from rollcall.operators import diff as D
@@ -84,16 +82,16 @@ def award_run(
     """
     regions = region_list(region_names) if region_names is not None else None
     t = tables.restricted(regions, EXCLUDED_REGIONS_FACT)
+    # look-backs reach into the previous year; nothing older can count
+    since = H.lookback_start(as_of)
     if share_event_join:
         # one national join for both facts, materialised once: J1 rows feed the
-        # home region, J2 rows the awards (look-backs reach into the previous year)
-        d = periods.to_pydate(as_of)
-        since = min(_dt.date(d.year, 1, 1), d - _dt.timedelta(days=max(HOME_LOOKBACK_DAYS) - 1))
+        # home region, J2 rows the awards
         events = cut_lineage(Fa.event_posts(*t.as_tuple(), since=since, text_chars=BACKBLAST_PREFIX_CHARS))
         home = H.pick_home_region(H.home_region_counts(Fa.q_attendance(events), as_of))
         posts = Fa.valid_posts(events, as_of, current_year=True)
     else:
-        home = H.pick_home_region(H.home_region_counts(Fa.attendance_fact(*t.as_tuple()), as_of))
+        home = H.pick_home_region(H.home_region_counts(Fa.attendance_fact(*t.as_tuple(), since=since), as_of))
         posts = Fa.post_fact(*t.as_tuple(), as_of=as_of, current_year=True)
     fact = Fa.attach_home_region(posts, home)
     earned = A.earned_awards(fact, specs)
@@ -138,7 +136,7 @@ def report_run(
         posts = Fa.valid_posts(events, as_of, current_year=False)
     else:
         counts = H.home_region_counts_by_user(
-            Fa.attendance_fact(*t.as_tuple(), exclude=EXCLUDED_REGIONS_REPORT), as_of
+            Fa.attendance_fact(*t.as_tuple(), exclude=EXCLUDED_REGIONS_REPORT, since=H.lookback_start(as_of)), as_of
         )
         posts = Fa.post_fact(*t.as_tuple(), as_of=as_of, current_year=False, exclude=EXCLUDED_REGIONS_REPORT)
     home = H.pick_home_region(counts)

@@ -144,7 +144,8 @@ def home_region_user_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 def national_award_fact(spark: SparkSession, sf_dir: str, as_of=X.FACT_AS_OF) -> DataFrame:
     """U5 + U1-U4 + J4 on the normalised tables: every post credited to the poster's home region."""
     tables = normalised(spark, sf_dir)
-    home = H.pick_home_region(H.home_region_counts(Fa.attendance_fact(*tables), as_of))
+    j1 = Fa.attendance_fact(*tables, since=H.lookback_start(as_of))
+    home = H.pick_home_region(H.home_region_counts(j1, as_of))
     return Fa.attach_home_region(Fa.post_fact(*tables, as_of=as_of, current_year=True), home)
 
 

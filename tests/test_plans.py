@@ -45,3 +45,22 @@ def test_column_pruning_on_the_widest_table(spark):
     text = _formatted(df)
     schema = [s for s in re.findall(r"ReadSchema: struct<([^>]*)>", text) if "l_shipdate" in s][0]
     assert "l_extendedprice" not in schema and "l_tax" not in schema
+
+
+def test_date_range_reaches_both_event_and_attendance_scans(spark, tmpdir_path):
+    import datetime as dt
+
+    from rollcall.operators import facts as Fa
+    from rollcall.sources import fixtures as X
+
+    names = ("users", "att", "bd", "aos")
+    frames = (X.normalised_users(spark, SMOKE), X.normalised_attendance(spark, SMOKE),
+              X.normalised_beatdowns(spark, SMOKE), X.normalised_aos(spark, SMOKE))
+    for n, df in zip(names, frames):
+        df.write.parquet(f"{tmpdir_path}/{n}")
+    t = [spark.read.parquet(f"{tmpdir_path}/{n}") for n in names]
+    for df in (Fa.post_fact(*t, as_of=dt.date(1998, 10, 31)), Fa.event_posts(*t, since=dt.date(1998, 1, 1))):
+        text = _formatted(df)
+        scans = dict(re.findall(r"Location: InMemoryFileIndex \[file:[^\]]*/(\w+)\][^\n]*\n(?:[^\n]*\n)*?PushedFilters: \[([^\]]*)\]", text))
+        assert "GreaterThanOrEqual(date,1998-01-01)" in scans["att"]
+        assert "GreaterThanOrEqual(bd_date,1998-01-01)" in scans["bd"]
