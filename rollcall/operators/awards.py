@@ -74,7 +74,7 @@ def award_specs(thresholds: dict[int | str, int] | None = None, ids: Iterable[in
 # shared aggregate
 # ---------------------------------------------------------------------------
 
-def classified_posts(fact: DataFrame) -> DataFrame:
+def classified_posts(fact: DataFrame, keys: Sequence[str] = ("region", "email")) -> DataFrame:
     """Narrow projection of the post fact with the two class flags.
 
     Rows of neither class are kept: every counter is conditional, so they add
@@ -82,8 +82,7 @@ def classified_posts(fact: DataFrame) -> DataFrame:
     regexes into the join below and evaluating them twice per row.
     """
     return fact.select(
-        "region",
-        "email",
+        *keys,
         "ao_id",
         "ao",
         "date",
@@ -155,7 +154,9 @@ _SET_COLUMNS = {
 STAT_COLUMNS = ("n_qs", "d_qs", "n_wq", "d_wq", "n_w", "n_w_ao", "d_w")
 
 
-def period_stats(fact: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS) -> DataFrame:
+def period_stats(
+    fact: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS, keys: Sequence[str] = ("region", "email")
+) -> DataFrame:
     """Per (region, email, kind, period, ao_id) counters for every grouping the specs need.
 
     Level 1 is one GROUPING SETS aggregate over the fact: (year, site),
@@ -165,12 +166,15 @@ def period_stats(fact: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS) -
     (``n_sites_wq``). One scan of the fact; the second shuffle carries only
     level-1 groups.
 
-    Columns: region, email, kind, period, ao_id, n_qs, d_qs, n_wq, d_wq, n_w, n_w_ao, d_w, n_sites_wq.
+    ``keys`` are the person keys (region and email by default; email alone when
+    the region is attached after aggregating, see ``earned_awards_by_home``).
+    Columns: keys, kind, period, ao_id, n_qs, d_qs, n_wq, d_wq, n_w, n_w_ao, d_w, n_sites_wq.
     """
+    keys = list(keys)
     kinds, feeds = _plan_sets(specs)
-    posts = classified_posts(fact)
-    grouping_cols = ["region", "email", "year", "month", "week", "ao_id"]
-    sets = [["region", "email", *_SET_COLUMNS[k]] for k in kinds]
+    posts = classified_posts(fact, keys)
+    grouping_cols = [*keys, "year", "month", "week", "ao_id"]
+    sets = [[*keys, *_SET_COLUMNS[k]] for k in kinds]
     agg = posts.groupingSets(sets, *grouping_cols).agg(
         *_counter_aggs(),
         F.grouping("year").alias("g_year"),
@@ -184,8 +188,7 @@ def period_stats(fact: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS) -
         .otherwise(F.lit("week"))
     )
     level1 = agg.select(
-        "region",
-        "email",
+        *keys,
         F.concat(base, site).alias("kind"),
         F.coalesce("year", "month", "week").alias("period"),
         "ao_id",
@@ -205,10 +208,10 @@ def period_stats(fact: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS) -
             ]
         )
         route = F.when(F.col("kind") == k, targets) if route is None else route.when(F.col("kind") == k, targets)
-    level2_in = level1.select("region", "email", "period", *STAT_COLUMNS, F.explode(route).alias("t")).select(
-        "region", "email", F.col("t.kind").alias("kind"), "period", F.col("t.ao").alias("ao_id"), *STAT_COLUMNS
+    level2_in = level1.select(*keys, "period", *STAT_COLUMNS, F.explode(route).alias("t")).select(
+        *keys, F.col("t.kind").alias("kind"), "period", F.col("t.ao").alias("ao_id"), *STAT_COLUMNS
     )
-    return level2_in.groupBy("region", "email", "kind", "period", "ao_id").agg(
+    return level2_in.groupBy(*keys, "kind", "period", "ao_id").agg(
         *[(F.max(c) if c.startswith("d_") else F.sum(c)).alias(c) for c in STAT_COLUMNS],
         F.count(F.when(F.col("n_wq") > 0, F.lit(1))).alias("n_sites_wq"),
     )
@@ -259,6 +262,20 @@ def earned_awards(fact: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS)
     return awards_from_stats(period_stats(fact, specs), specs)
 
 
+def earned_awards_by_home(posts: DataFrame, home: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS) -> DataFrame:
+    """Awards of every person's national posts, credited to the person's home region.
+
+    Equal to ``earned_awards(attach_home_region(posts, home))`` because the home
+    region is a function of the email: the counters are aggregated per email
+    first and the region joins onto the aggregated rows, so the post-level
+    home-region join (a full shuffle of the fact) is not needed. People
+    without a home region drop out, as with the inner join.
+    """
+    stats = period_stats(posts, specs, keys=("email",))
+    stats = stats.join(home.select("email", "region"), "email")
+    return awards_from_stats(stats, specs)
+
+
 def yearly_posts(fact: DataFrame) -> DataFrame:
     """Workout posts per person and year with the last post date (the base of the post-count tiers)."""
     posts = classified_posts(fact).where(F.col("is_w"))

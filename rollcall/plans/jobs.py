@@ -93,8 +93,8 @@ def award_run(
     else:
         home = H.pick_home_region(H.home_region_counts(Fa.attendance_fact(*t.as_tuple(), since=since), as_of))
         posts = Fa.post_fact(*t.as_tuple(), as_of=as_of, current_year=True)
-    fact = Fa.attach_home_region(posts, home)
-    earned = A.earned_awards(fact, specs)
+    # J4 after aggregation: counters per email, home region joined onto them
+    earned = A.earned_awards_by_home(posts, home, specs)
     earned_pax = D.attach_pax_id(earned, tables.users)
 
     history = D.award_history(awarded, award_list, as_of)

@@ -141,17 +141,24 @@ def home_region_user_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.pick_home_region(home_region_by_user(spark, sf_dir))
 
 
-def national_award_fact(spark: SparkSession, sf_dir: str, as_of=X.FACT_AS_OF) -> DataFrame:
-    """U5 + U1-U4 + J4 on the normalised tables: every post credited to the poster's home region."""
+def national_posts_and_home(spark: SparkSession, sf_dir: str, as_of=X.FACT_AS_OF):
+    """U5 + U1-U4 on the normalised tables: the year's posts and every person's home region."""
     tables = normalised(spark, sf_dir)
     j1 = Fa.attendance_fact(*tables, since=H.lookback_start(as_of))
     home = H.pick_home_region(H.home_region_counts(j1, as_of))
-    return Fa.attach_home_region(Fa.post_fact(*tables, as_of=as_of, current_year=True), home)
+    return Fa.post_fact(*tables, as_of=as_of, current_year=True), home
+
+
+def national_award_fact(spark: SparkSession, sf_dir: str, as_of=X.FACT_AS_OF) -> DataFrame:
+    """Every post credited to the poster's home region."""
+    posts, home = national_posts_and_home(spark, sf_dir, as_of)
+    return Fa.attach_home_region(posts, home)
 
 
 @register("awards_national")
 def awards_national(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.earned_awards(national_award_fact(spark, sf_dir), driver_specs())
+    posts, home = national_posts_and_home(spark, sf_dir)
+    return A.earned_awards_by_home(posts, home, driver_specs())
 
 
 @register("awards_region_users")

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from rollcall.operators import awards as A
 
 SCHEMA = "email string, user_name string, ao_id string, ao string, date date, q_flag int, backblast string, region string"
@@ -71,3 +73,18 @@ def test_single_scan_and_no_cartesian(spark):
     plan = A.earned_awards(fact)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_home_region_after_aggregation_equals_join_first(spark):
+    from rollcall.operators import facts as Fa
+
+    days = [dt.date(2025, 4, 1) + dt.timedelta(days=i) for i in range(40)]
+    rows = [post("a", d, ao_id=f"S{i % 3}", q=i % 2, region=f"site{i % 2}") for i, d in enumerate(days)]
+    rows += [post("b", d) for d in days[:30]] + [post("nohome", d) for d in days]
+    posts = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("region", "site_region").withColumn("user_id", F.lit("u"))
+    home = spark.createDataFrame([("a", "rA", 9), ("b", "rB", 3)], "email string, region string, attendance long")
+    specs = A.award_specs({1: 1, 3: 2, 6: 2, 8: 10, 13: 2, 14: 5})
+    joined = sorted(tuple(r) for r in A.earned_awards(Fa.attach_home_region(posts, home), specs).collect())
+    later = sorted(tuple(r) for r in A.earned_awards_by_home(posts, home, specs).collect())
+    assert joined == later and len(joined) > 0
+    assert all(r[3] != "nohome" for r in later)
