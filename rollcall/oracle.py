@@ -399,20 +399,32 @@ def sql_text(s: str) -> str:
     return " || chr(10) || ".join(quoted)
 
 
-_AS_OF_R = _d(X.REPORT_AS_OF)
+def _weeks_ago(as_of_sql: str, col: str) -> str:
+    return f"({as_of_sql} - CAST(7 * {col} AS INTEGER))"
 
 
-def _weeks_ago(col: str) -> str:
-    return f"({_AS_OF_R} - CAST(7 * {col} AS INTEGER))"
-
-
-REPORT_CTES = f"""
+REPORT_INPUT_CTES = """
 rfact AS (
   SELECT CAST(o.o_custkey AS VARCHAR) AS email, o.o_orderpriority AS ao_id, 'ao-' || lower(o.o_orderpriority) AS ao,
          CAST(o.o_orderdate AS DATE) AS date, CAST(o.o_orderstatus = 'F' AS INTEGER) AS q_flag,
          CAST(c.c_nationkey AS VARCHAR) AS region, 'U' || CAST(o.o_custkey AS VARCHAR) AS user_id
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 ),
+r_aos AS (
+  SELECT region, ao_id AS channel_id, ao,
+         CASE WHEN ao_id <> '5-LOW' THEN 'UL' || region || '-' || substr(ao_id, 1, 1) END AS site_q_user_id
+  FROM (SELECT DISTINCT region, ao_id, ao FROM rfact)
+  UNION ALL
+  SELECT region, ao_id, ao, 'UL' || region || '-' || substr(ao_id, 1, 1) || 'b'
+  FROM (SELECT DISTINCT region, ao_id, ao FROM rfact) WHERE ao_id = '1-URGENT'
+)"""
+
+
+def report_logic_ctes(fact: str, aos: str, as_of) -> str:
+    """The source's per-region report frames for all regions at once, over a fact CTE
+    (email, ao_id, ao, date, q_flag, region, user_id) and a site CTE (region, channel_id, ao, site_q_user_id)."""
+    a = _d(as_of)
+    return f"""
 cfg AS (
   SELECT CAST(n_nationkey AS VARCHAR) AS region,
          CASE n_regionkey WHEN 1 THEN 'UL' || CAST(n_nationkey AS VARCHAR) || '-2'
@@ -425,19 +437,11 @@ cfg AS (
          {X.REPORT_WEEKS['HOME_AO_CAPTURE']} AS HOME_AO_CAPTURE
   FROM nation
 ),
-r_aos AS (
-  SELECT region, ao_id AS channel_id, ao,
-         CASE WHEN ao_id <> '5-LOW' THEN 'UL' || region || '-' || substr(ao_id, 1, 1) END AS site_q_user_id
-  FROM (SELECT DISTINCT region, ao_id, ao FROM rfact)
-  UNION ALL
-  SELECT region, ao_id, ao, 'UL' || region || '-' || substr(ao_id, 1, 1) || 'b'
-  FROM (SELECT DISTINCT region, ao_id, ao FROM rfact) WHERE ao_id = '1-URGENT'
-),
-siteq AS (SELECT region, channel_id AS home_ao, ao, site_q_user_id FROM r_aos WHERE site_q_user_id IS NOT NULL),
-f AS (SELECT rfact.*, cfg.* EXCLUDE (region, default_siteq) FROM rfact JOIN cfg ON rfact.region = cfg.region),
+siteq AS (SELECT region, channel_id AS home_ao, ao, site_q_user_id FROM {aos} WHERE site_q_user_id IS NOT NULL),
+f AS (SELECT {fact}.*, cfg.* EXCLUDE (region, default_siteq) FROM {fact} JOIN cfg ON {fact}.region = cfg.region),
 per_site AS (
   SELECT region, email, ao_id, count(ao) AS n FROM f
-  WHERE date > {_weeks_ago('HOME_AO_CAPTURE')} GROUP BY region, email, ao_id
+  WHERE date > {_weeks_ago(a, 'HOME_AO_CAPTURE')} GROUP BY region, email, ao_id
 ),
 best AS (
   SELECT region, email, ao_id AS home_ao FROM (
@@ -450,7 +454,7 @@ mia AS (
   FROM (SELECT region, email, user_id, home_ao, max(date) AS date FROM df GROUP BY region, email, user_id, home_ao) m
   JOIN cfg ON m.region = cfg.region
   LEFT JOIN siteq s ON m.region = s.region AND m.home_ao = s.home_ao
-  WHERE m.date BETWEEN {_weeks_ago('cfg.REMINDER_WEEKS')} AND {_weeks_ago('cfg.NO_POST_THRESHOLD')}
+  WHERE m.date BETWEEN {_weeks_ago(a, 'cfg.REMINDER_WEEKS')} AND {_weeks_ago(a, 'cfg.NO_POST_THRESHOLD')}
 ),
 lowq AS (
   SELECT m.region, m.home_ao, m.user_id, m.date, s.ao, s.site_q_user_id
@@ -458,7 +462,7 @@ lowq AS (
         GROUP BY region, email, user_id, home_ao) m
   JOIN cfg ON m.region = cfg.region
   LEFT JOIN siteq s ON m.region = s.region AND m.home_ao = s.home_ao
-  WHERE m.date BETWEEN {_weeks_ago('cfg.REMINDER_WEEKS')} AND {_weeks_ago('cfg.NO_Q_THRESHOLD_POSTS')}
+  WHERE m.date BETWEEN {_weeks_ago(a, 'cfg.REMINDER_WEEKS')} AND {_weeks_ago(a, 'cfg.NO_Q_THRESHOLD_POSTS')}
     AND m.user_id NOT IN (SELECT user_id FROM mia WHERE mia.region = m.region)
 ),
 noq AS (
@@ -469,7 +473,7 @@ noq AS (
     JOIN (SELECT region, email FROM df GROUP BY region, email, user_id HAVING sum(q_flag) = 0) z
       ON df.region = z.region AND df.email = z.email
     JOIN cfg ON df.region = cfg.region
-    WHERE df.date BETWEEN {_weeks_ago('cfg.REMINDER_WEEKS')} AND {_weeks_ago('cfg.NO_Q_THRESHOLD_WEEKS')}
+    WHERE df.date BETWEEN {_weeks_ago(a, 'cfg.REMINDER_WEEKS')} AND {_weeks_ago(a, 'cfg.NO_Q_THRESHOLD_WEEKS')}
   ) m
   LEFT JOIN siteq s ON m.region = s.region AND m.home_ao = s.home_ao
   WHERE m.user_id NOT IN (SELECT user_id FROM mia WHERE mia.region = m.region)
@@ -481,8 +485,8 @@ lines AS (
          {sql_text(chr(10) + '- <@')} || user_id || '> last posted ' || strftime(date, '%B %d, %Y') AS line
   FROM mia
   UNION ALL
-  SELECT region, site_q_user_id, user_id, 2, datediff('day', date, {_AS_OF_R}), user_id,
-         {sql_text(chr(10) + '- <@')} || user_id || '>: ' || datediff('day', date, {_AS_OF_R}) || '!'
+  SELECT region, site_q_user_id, user_id, 2, datediff('day', date, {a}), user_id,
+         {sql_text(chr(10) + '- <@')} || user_id || '>: ' || datediff('day', date, {a}) || '!'
   FROM lowq
   UNION ALL
   SELECT region, site_q_user_id, user_id, 3, 0, user_id, {sql_text(chr(10) + '- <@')} || user_id || '>'
@@ -497,6 +501,9 @@ rx AS (
     AND NOT EXISTS (SELECT 1 FROM siteq s WHERE s.region = c.region AND s.site_q_user_id = c.default_siteq)
 )"""
 
+
+REPORT_CTES = REPORT_INPUT_CTES + "," + report_logic_ctes("rfact", "r_aos", X.REPORT_AS_OF)
+
 ORACLE["home_site"] = f"WITH {REPORT_CTES}\nSELECT * FROM best"
 ORACLE["report_mia"] = f"WITH {REPORT_CTES}\nSELECT * FROM mia"
 ORACLE["report_lowq"] = f"WITH {REPORT_CTES}\nSELECT * FROM lowq"
@@ -510,7 +517,7 @@ def _section_sql(no: int, header: str) -> str:
       WHERE l.section = {no} AND l.region = r.region AND (r.is_default OR l.site_q_user_id = r.recipient)), '')"""
 
 
-ORACLE["report_text"] = f"""WITH {REPORT_CTES}
+REPORT_TEXT_SELECT = f"""
 SELECT r.region, r.recipient, 0 AS part, 1 AS n_parts,
   'Howdy, <' || CASE WHEN upper(substr(r.recipient, 1, 1)) = 'U' THEN '@' || r.recipient ELSE '!channel' END
   || '>! This is your weekly Rollcall Site Q report. According to my records...'
@@ -522,6 +529,27 @@ SELECT r.region, r.recipient, 0 AS part, 1 AS n_parts,
           ELSE '' END AS text
 FROM rx r"""
 
+ORACLE["report_text"] = f"WITH {REPORT_CTES}\n{REPORT_TEXT_SELECT}"
+
+# whole report on the normalised tables: J1 by user -> home -> J2 (all history) -> J4 with user id -> report
+ORACLE["report_national"] = f"""WITH {NORMALISED_CTE},
+j1 AS ({J1_SQL}),
+{home_counts_sql('j1', X.FACT_AS_OF, True)},
+home AS (
+  SELECT email, region, user_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY email ORDER BY attendance DESC, region DESC, user_id DESC) AS rn
+    FROM counts)
+  WHERE rn = 1
+),
+j2 AS ({j2_sql(X.FACT_AS_OF, False)}),
+nfact AS (
+  SELECT j2.email, j2.ao_id, j2.ao, j2.date, j2.q_flag, home.region, home.user_id
+  FROM j2 JOIN home ON j2.email = home.email
+),
+n_sites AS (SELECT region, channel_id, ao, CAST(NULL AS VARCHAR) AS site_q_user_id FROM n_aos),
+{report_logic_ctes('nfact', 'n_sites', X.FACT_AS_OF)}
+{REPORT_TEXT_SELECT}"""
+
 
 # ---------------------------------------------------------------------------
 # photo archive

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.constants import EXCLUDED_REGIONS_REPORT
 from rollcall.functions import classify as C
 from rollcall.functions import periods
 from rollcall.operators import awards as A
@@ -317,3 +318,19 @@ def trophy_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("manual_tags")
 def manual_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.manual_awards(national_award_fact(spark, sf_dir), X.achievements_list(spark, sf_dir))
+
+
+@register("report_national")
+def report_national(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report on the normalised tables: J1 by user id -> home -> J2 (all history) -> J4 -> report text."""
+    tables = normalised(spark, sf_dir)
+    as_of = X.FACT_AS_OF
+    j1 = Fa.attendance_fact(*tables, exclude=EXCLUDED_REGIONS_REPORT, since=H.lookback_start(as_of))
+    home = H.pick_home_region(H.home_region_counts_by_user(j1, as_of))
+    posts = Fa.post_fact(*tables, as_of=as_of, current_year=False, exclude=EXCLUDED_REGIONS_REPORT)
+    fact = Fa.attach_home_region(posts, home, with_user=True)
+    config = X.region_config(spark, sf_dir)
+    leads = L.site_leads(tables[3])
+    status = L.lapse_status(L.person_activity(L.home_site(fact, config, as_of), as_of), as_of)
+    lines = L.report_lines(status, leads, as_of)
+    return L.report_text(lines, L.report_recipients(lines, config, leads))
