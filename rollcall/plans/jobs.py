@@ -2,10 +2,12 @@
 
 Each job is one Spark plan over all regions, parameterised by an explicit
 run date. Writes come before notifications: the new awards are materialised
-in the reliable checkpoint directory (shared folder named by
-``spark.checkpoint.dir``), appended to the award table, and the messages are
-derived from the materialised rows, so a rerun on the same date adds nothing
-and a lost executor never re-reads a table the job has already appended to.
+as a Parquet table under the reliable checkpoint directory (the shared folder
+named by ``spark.checkpoint.dir``), appended to the award table, and the
+messages are derived from the materialised rows, so a rerun on the same date
+adds nothing and a lost executor never re-reads a table the job has already
+appended to. Large intermediates read by several branches (the shared
+national join, the per-person report status) are staged the same way.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from rollcall.operators import home as H
 from rollcall.operators import lapse as L
 from rollcall.operators import notify as N
 from rollcall.operators import photos as P
-from rollcall.session import cut_lineage
+from rollcall.session import stage_table
 from rollcall.sources.tables import region_list, restrict_regions
 
 
@@ -87,7 +89,9 @@ def award_run(
     if share_event_join:
         # one national join for both facts, materialised once: J1 rows feed the
         # home region, J2 rows the awards
-        events = cut_lineage(Fa.event_posts(*t.as_tuple(), since=since, text_chars=BACKBLAST_PREFIX_CHARS))
+        events = stage_table(
+            Fa.event_posts(*t.as_tuple(), since=since, text_chars=BACKBLAST_PREFIX_CHARS), "award_events"
+        )
         home = H.pick_home_region(H.home_region_counts(Fa.q_attendance(events), as_of))
         posts = Fa.valid_posts(events, as_of, current_year=True)
     else:
@@ -102,7 +106,7 @@ def award_run(
     if regions is not None:
         eligible = eligible.join(regions, "region", "left_semi")
     # materialise before appending: the append must not re-read the table it extends
-    new = cut_lineage(D.new_awards(earned_pax, history, award_list, eligible, specs))
+    new = stage_table(D.new_awards(earned_pax, history, award_list, eligible, specs), "new_awards")
 
     if awarded_table is not None or awarded_path is not None:
         K.append_awards(new, table=awarded_table, path=awarded_path)
@@ -131,7 +135,9 @@ def report_run(
     t = tables.restricted(regions, EXCLUDED_REGIONS_REPORT)
     if share_event_join:
         # the report reads all history anyway: one join, materialised once, feeds both facts
-        events = cut_lineage(Fa.event_posts(*t.as_tuple(), exclude=EXCLUDED_REGIONS_REPORT, text_chars=0))
+        events = stage_table(
+            Fa.event_posts(*t.as_tuple(), exclude=EXCLUDED_REGIONS_REPORT, text_chars=0), "report_events"
+        )
         counts = H.home_region_counts_by_user(Fa.q_attendance(events), as_of)
         posts = Fa.valid_posts(events, as_of, current_year=False)
     else:
@@ -144,7 +150,9 @@ def report_run(
     config = region_config if regions is None else region_config.join(regions, "region", "left_semi")
     leads = L.site_leads(t.aos)
     # one row per person with its list; read by the three lists and the report
-    status = cut_lineage(L.lapse_status(L.person_activity(L.home_site(fact, config, as_of), as_of), as_of))
+    status = stage_table(
+        L.lapse_status(L.person_activity(L.home_site(fact, config, as_of), as_of), as_of), "report_status"
+    )
     mia = L.mia(status, leads)
     lowq = L.lowq(status, leads)
     noq = L.noq(status, leads)
@@ -181,7 +189,9 @@ def photo_run(
         except AnalysisException:  # first run: no state yet
             seen = None
     flat = P.flatten_files(P.in_previous_month(messages, as_of))
-    manifest = cut_lineage(P.photo_manifest(P.dedup_photos(P.photo_rows(flat, members), contents, seen)))
+    manifest = stage_table(
+        P.photo_manifest(P.dedup_photos(P.photo_rows(flat, members), contents, seen)), "photo_manifest"
+    )
     if manifest_path is not None:
         manifest.write.mode("append").parquet(manifest_path)
     if seen_path is not None:
