@@ -68,7 +68,9 @@ def home_region_counts_by_user(
     Columns: region, email, user_id, attendance (bigint).
     """
     c = _lookback_counts(att, as_of, lookbacks, ["region", "email", "user_id"])
-    per_email = Window.partitionBy("region", "email")
+    # NULL emails use the year count only; keep each such account in its own partition
+    # instead of gathering all of a region's NULL-email accounts into one window group
+    per_email = Window.partitionBy("region", "email", F.when(F.col("email").isNull(), F.col("user_id")))
     for n in lookbacks:
         c = c.withColumn(f"c{n}", F.sum(f"c{n}").over(per_email))
     attendance = F.when(F.col("email").isNull(), F.col("ytd")).otherwise(_ladder(lookbacks))
