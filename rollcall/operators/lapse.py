@@ -68,21 +68,32 @@ def home_sites(fact: DataFrame, config: DataFrame, as_of: _dt.date | str) -> Dat
 
 
 def home_site(fact: DataFrame, config: DataFrame, as_of: _dt.date | str) -> DataFrame:
-    """The fact with thresholds and ``home_ao``; people without a recent post drop out (inner join)."""
+    """J9 as a post-level join: the fact with thresholds and ``home_ao``; people without a recent post drop out.
+
+    The report itself joins the home site onto per-person rows (``person_activity``).
+    """
     return with_thresholds(fact, config).join(home_sites(fact, config, as_of), ["region", "email"])
 
 
-def person_activity(fact_home: DataFrame, as_of: _dt.date | str) -> DataFrame:
-    """One row per (region, email, user_id, home_ao): last post, last lead, lead total, post in no-lead window."""
+def person_activity(fact: DataFrame, config: DataFrame, as_of: _dt.date | str) -> DataFrame:
+    """One row per (region, email, user_id, home_ao): last post, last lead, lead total, post in no-lead window.
+
+    The per-person counters are aggregated straight from the posts (partial
+    aggregation: a very active person costs one row per map task) and the
+    home site is joined onto them afterwards, person to person (J9), instead
+    of joining every post to its person's home site first. People without a
+    recent post have no home site and drop out, as with the source's inner join.
+    """
+    f = with_thresholds(fact, config)
     noq_lo = periods.weeks_before(as_of, F.col("REMINDER_WEEKS"))
     noq_hi = periods.weeks_before(as_of, F.col("NO_Q_THRESHOLD_WEEKS"))
-    keys = ["region", "email", "user_id", "home_ao"]
-    return fact_home.groupBy(*keys, *THRESHOLD_COLUMNS).agg(
+    act = f.groupBy("region", "email", "user_id", *THRESHOLD_COLUMNS).agg(
         F.max("date").alias("last_post"),
         F.max(F.when(F.col("q_flag") == 1, F.col("date"))).alias("last_q"),
         F.sum("q_flag").alias("q_total"),
         F.max(F.col("date").between(noq_lo, noq_hi)).alias("noq_window_post"),
     )
+    return act.join(home_sites(fact, config, as_of), ["region", "email"])
 
 
 def _lead_join(people: DataFrame, leads: DataFrame) -> DataFrame:

@@ -145,14 +145,14 @@ def report_run(
             Fa.attendance_fact(*t.as_tuple(), exclude=EXCLUDED_REGIONS_REPORT, since=H.lookback_start(as_of)), as_of
         )
         posts = Fa.post_fact(*t.as_tuple(), as_of=as_of, current_year=False, exclude=EXCLUDED_REGIONS_REPORT)
-    home = H.pick_home_region(counts)
+    # one row per person, staged: the post-level join below then has plain shuffles on
+    # both sides, so AQE can split a very active person's posts over several tasks
+    home = stage_table(H.pick_home_region(counts), "report_home")
     fact = Fa.attach_home_region(posts, home, with_user=True)
     config = region_config if regions is None else region_config.join(regions, "region", "left_semi")
     leads = L.site_leads(t.aos)
     # one row per person with its list; read by the three lists and the report
-    status = stage_table(
-        L.lapse_status(L.person_activity(L.home_site(fact, config, as_of), as_of), as_of), "report_status"
-    )
+    status = stage_table(L.lapse_status(L.person_activity(fact, config, as_of), as_of), "report_status")
     mia = L.mia(status, leads)
     lowq = L.lowq(status, leads)
     noq = L.noq(status, leads)

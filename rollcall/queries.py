@@ -235,7 +235,7 @@ def _report_inputs(spark: SparkSession, sf_dir: str):
     fact = X.report_fact(spark, sf_dir)
     config = X.region_config(spark, sf_dir)
     leads = L.site_leads(X.report_aos(spark, sf_dir))
-    activity = L.person_activity(L.home_site(fact, config, X.REPORT_AS_OF), X.REPORT_AS_OF)
+    activity = L.person_activity(fact, config, X.REPORT_AS_OF)
     return config, leads, L.lapse_status(activity, X.REPORT_AS_OF)
 
 
@@ -331,6 +331,6 @@ def report_national(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = Fa.attach_home_region(posts, home, with_user=True)
     config = X.region_config(spark, sf_dir)
     leads = L.site_leads(tables[3])
-    status = L.lapse_status(L.person_activity(L.home_site(fact, config, as_of), as_of), as_of)
+    status = L.lapse_status(L.person_activity(fact, config, as_of), as_of)
     lines = L.report_lines(status, leads, as_of)
     return L.report_text(lines, L.report_recipients(lines, config, leads))

@@ -37,7 +37,7 @@ def inputs(spark):
         "region string, channel_id string, ao string, site_q_user_id string",
     )
     leads = L.site_leads(aos)
-    status = L.lapse_status(L.person_activity(L.home_site(fact, config, AS_OF), AS_OF), AS_OF)
+    status = L.lapse_status(L.person_activity(fact, config, AS_OF), AS_OF)
     return status, leads, config
 
 
@@ -97,7 +97,7 @@ def test_long_lists_are_split_into_bounded_parts(spark):
     fact = spark.createDataFrame(rows, FACT)
     config = spark.createDataFrame([("r1", "UDEF", 2, 2, 4, 2, 52)], CFG)
     leads = L.site_leads(spark.createDataFrame([("r1", "S1", "ao-1", None)], "region string, channel_id string, ao string, site_q_user_id string"))
-    act = L.lapse_status(L.person_activity(L.home_site(fact, config, AS_OF), AS_OF), AS_OF)
+    act = L.lapse_status(L.person_activity(fact, config, AS_OF), AS_OF)
     lines = L.report_lines(act, leads, AS_OF)
     parts = L.report_text(lines, L.report_recipients(lines, config, leads), max_lines=10).collect()
     assert {p.n_parts for p in parts} == {5}
