@@ -269,16 +269,18 @@ a_users AS (
 )"""
 
 
-def _catalogue_values() -> str:
+def _catalogue_list() -> str:
+    """The seed catalogue as a DuckDB list of structs (one row per award after ``unnest``)."""
     from rollcall.constants import AWARD_CATALOGUE
 
     def q(s):
         return "'" + s.replace("'", "''") + "'"
 
-    return ",\n    ".join(
-        f"({i}, {q(code)}, {q(name)}, {q(desc)}, {q(verb)})"
+    items = ",\n      ".join(
+        f"struct_pack(id := {i}, code := {q(code)}, name := {q(name)}, description := {q(desc)}, verb := {q(verb)})"
         for i, (name, desc, verb, code) in enumerate(AWARD_CATALOGUE, start=1)
     )
+    return f"[\n      {items}]"
 
 
 DIFF_CTES = f"""{AWARD_POSTS_CTE},
@@ -295,13 +297,10 @@ awarded AS (
   SELECT h.region, h.achievement_id, u.user_id AS pax_id, h.date_awarded
   FROM hearned h JOIN a_users u ON h.region = u.region AND h.email = u.email
 ),
-catalogue(id, code, name, description, verb) AS (VALUES
-    {_catalogue_values()}
-),
 a_list AS (
-  SELECT CAST(n.n_nationkey AS VARCHAR) AS region, c.*
-  FROM nation n, catalogue c
-  WHERE NOT (n.n_regionkey = 1 AND c.id = 4)
+  SELECT region, c.id, c.code, c.name, c.description, c.verb
+  FROM (SELECT CAST(n_nationkey AS VARCHAR) AS region, n_regionkey, unnest({_catalogue_list()}) AS c FROM nation)
+  WHERE NOT (n_regionkey = 1 AND c.id = 4)
 ),
 history AS (
   SELECT a.*, l.code FROM awarded a JOIN a_list l ON a.region = l.region AND a.achievement_id = l.id
@@ -703,13 +702,10 @@ home AS (
 ),
 j2 AS ({j2_sql(X.FACT_AS_OF, True)}),
 fact AS (SELECT j2.*, home.region FROM j2 JOIN home ON j2.email = home.email),
-catalogue(id, code, name, description, verb) AS (VALUES
-    {_catalogue_values()}
-),
 a_list AS (
-  SELECT CAST(n.n_nationkey AS VARCHAR) AS region, c.*
-  FROM nation n, catalogue c
-  WHERE NOT (n.n_regionkey = 1 AND c.id = 4)
+  SELECT region, c.id, c.code, c.name, c.description, c.verb
+  FROM (SELECT CAST(n_nationkey AS VARCHAR) AS region, n_regionkey, unnest({_catalogue_list()}) AS c FROM nation)
+  WHERE NOT (n_regionkey = 1 AND c.id = 4)
 ),
 tags AS (
   SELECT region, email, ao_id, date,
