@@ -142,14 +142,25 @@ def _plan_sets(specs: Sequence[AwardSpec]) -> tuple[list[str], dict[str, list[tu
     return kinds, feeds
 
 
-_SET_COLUMNS = {
-    "year": ["year"],
-    "month": ["month"],
-    "week": ["week"],
-    "year_ao": ["year", "ao_id"],
-    "month_ao": ["month", "ao_id"],
-    "week_ao": ["week", "ao_id"],
-}
+def _counter_condition(counter: str) -> Column:
+    if counter == "qs":
+        return F.col("is_qs")
+    if counter == "wq":
+        return F.col("is_w") & (F.col("q_flag") == 1)
+    return F.col("is_w")
+
+
+def _site_mask(specs: Sequence[AwardSpec], period: str) -> Column:
+    """Rows that need their own site in the (period, site) grouping: those some per-site or
+    distinct-site award of that period counts. Every other row of a person and period
+    falls into one group (site NULL), which keeps the per-site groups few."""
+    cond = None
+    for s in specs:
+        if s.period == f"{period}_ao" or (s.period == period and s.measure == "sites"):
+            c = _counter_condition(s.counter)
+            cond = c if cond is None else cond | c
+    return cond
+
 
 STAT_COLUMNS = ("n_qs", "d_qs", "n_wq", "d_wq", "n_w", "n_w_ao", "d_w")
 
@@ -160,11 +171,17 @@ def period_stats(
     """Per (region, email, kind, period, ao_id) counters for every grouping the specs need.
 
     Level 1 is one GROUPING SETS aggregate over the fact: (year, site),
-    (month, site) and (week) for the default awards. Level 2 aggregates the
-    level-1 rows (one per person, period and site) into the yearly and monthly
-    totals, keeps the per-site yearly rows, and counts distinct sites exactly
-    (``n_sites_wq``). One scan of the fact; the second shuffle carries only
-    level-1 groups.
+    (month, site) and (week) for the default awards, where the site is kept
+    only on the rows a per-site or distinct-site award counts (workouts for
+    the yearly per-site award, led workouts for distinct sites per month);
+    every other row of a person and period shares one NULL-site group.
+    Level 2 aggregates the level-1 rows into the yearly and monthly totals,
+    keeps the per-site yearly rows, and counts distinct sites exactly
+    (``n_sites_wq``; a NULL site counts once, like a distinct count that treats
+    NULL as a value). One scan of the fact; the second shuffle carries only
+    level-1 groups. (Routing only the distinct-site groups through level 2
+    would need two branches over the level-1 aggregate, which Spark plans as
+    two scans of the fact.)
 
     ``keys`` are the person keys (region and email by default; email alone when
     the region is attached after aggregating, see ``earned_awards_by_home``).
@@ -173,25 +190,33 @@ def period_stats(
     keys = list(keys)
     kinds, feeds = _plan_sets(specs)
     posts = classified_posts(fact, keys)
-    grouping_cols = [*keys, "year", "month", "week", "ao_id"]
-    sets = [[*keys, *_SET_COLUMNS[k]] for k in kinds]
+    # one masked site column per period grouped by site: the site for counted rows, else NULL
+    site_periods = [k[: -len("_ao")] for k in kinds if k.endswith("_ao")]
+    for p in site_periods:
+        posts = posts.withColumn(f"site_{p}", F.when(_site_mask(specs, p), F.col("ao_id")))
+    grouping_cols = [*keys, "year", "month", "week", *[f"site_{p}" for p in site_periods]]
+    sets = [[*keys, k[: -len("_ao")], f"site_{k[: -len('_ao')]}"] if k.endswith("_ao") else [*keys, k] for k in kinds]
     agg = posts.groupingSets(sets, *grouping_cols).agg(
         *_counter_aggs(),
         F.grouping("year").alias("g_year"),
         F.grouping("month").alias("g_month"),
-        F.grouping("ao_id").alias("g_ao"),
     )
-    site = F.when(F.col("g_ao") == 1, F.lit("")).otherwise(F.lit("_ao"))
     base = (
         F.when(F.col("g_year") == 0, F.lit("year"))
         .when(F.col("g_month") == 0, F.lit("month"))
         .otherwise(F.lit("week"))
     )
+    # each set has at most one site column; the others are aggregated away (NULL)
+    kind, site = base, F.lit(None).cast("string")
+    for p in site_periods:
+        mine = base == F.lit(p)
+        kind = F.when(mine, F.lit(f"{p}_ao")).otherwise(kind)
+        site = F.when(mine, F.col(f"site_{p}")).otherwise(site)
     level1 = agg.select(
         *keys,
-        F.concat(base, site).alias("kind"),
+        kind.alias("kind"),
         F.coalesce("year", "month", "week").alias("period"),
-        "ao_id",
+        site.alias("ao_id"),
         *STAT_COLUMNS,
     )
     if all(outs == [(k, k.endswith("_ao"))] for k, outs in feeds.items()):

@@ -26,10 +26,15 @@ SESSION_DEFAULTS = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int | None = None, app: str = "rollcall") -> SparkSession:
+def local_session(
+    cores: int | str = "*",
+    shuffle_partitions: int | None = None,
+    app: str = "rollcall",
+    extra: dict[str, str] | None = None,
+) -> SparkSession:
     """A local session for tests and benchmarks (the driver JVM is the executor)."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for key, value in SESSION_DEFAULTS.items():
+    for key, value in {**SESSION_DEFAULTS, **(extra or {})}.items():
         builder = builder.config(key, value)
     builder = builder.config("spark.driver.memory", os.environ.get("ROLLCALL_DRIVER_MEMORY", "16g"))
     if shuffle_partitions is not None:
