@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from conftest import SMOKE
-from scripts_compare import digest
+from compare_oracle import digest
 
 import __spark_entry__ as E
 
