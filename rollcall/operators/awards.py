@@ -74,21 +74,30 @@ def award_specs(thresholds: dict[int | str, int] | None = None, ids: Iterable[in
 # shared aggregate
 # ---------------------------------------------------------------------------
 
-def classified_posts(fact: DataFrame, keys: Sequence[str] = ("region", "email")) -> DataFrame:
+def classified_posts(
+    fact: DataFrame,
+    keys: Sequence[str] = ("region", "email"),
+    qsource: Column | None = None,
+    workout: Column | None = None,
+) -> DataFrame:
     """Narrow projection of the post fact with the two class flags.
 
+    ``qsource`` / ``workout`` replace the built-in classifiers (the source lets
+    callers inject these predicates); a NULL result counts as not passing.
     Rows of neither class are kept: every counter is conditional, so they add
     nothing, and not filtering on the flags keeps Catalyst from pushing the
     regexes into the join below and evaluating them twice per row.
     """
+    qs = is_qsource("backblast", "ao") if qsource is None else F.coalesce(qsource, F.lit(False))
+    w = is_workout("backblast", "ao") if workout is None else F.coalesce(workout, F.lit(False))
     return fact.select(
         *keys,
         "ao_id",
         "ao",
         "date",
         F.col("q_flag").cast("int").alias("q_flag"),
-        is_qsource("backblast", "ao").alias("is_qs"),
-        is_workout("backblast", "ao").alias("is_w"),
+        qs.alias("is_qs"),
+        w.alias("is_w"),
         F.year("date").alias("year"),
         F.month("date").alias("month"),
         F.weekofyear("date").alias("week"),
@@ -166,7 +175,11 @@ STAT_COLUMNS = ("n_qs", "d_qs", "n_wq", "d_wq", "n_w", "n_w_ao", "d_w")
 
 
 def period_stats(
-    fact: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS, keys: Sequence[str] = ("region", "email")
+    fact: DataFrame,
+    specs: Sequence[AwardSpec] = DEFAULT_AWARDS,
+    keys: Sequence[str] = ("region", "email"),
+    qsource: Column | None = None,
+    workout: Column | None = None,
 ) -> DataFrame:
     """Per (region, email, kind, period, ao_id) counters for every grouping the specs need.
 
@@ -189,7 +202,7 @@ def period_stats(
     """
     keys = list(keys)
     kinds, feeds = _plan_sets(specs)
-    posts = classified_posts(fact, keys)
+    posts = classified_posts(fact, keys, qsource, workout)
     # one masked site column per period grouped by site: the site for counted rows, else NULL
     site_periods = [k[: -len("_ao")] for k in kinds if k.endswith("_ao")]
     for p in site_periods:
@@ -278,16 +291,28 @@ def awards_from_stats(stats: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWA
     )
 
 
-def earned_awards(fact: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS) -> DataFrame:
+def earned_awards(
+    fact: DataFrame,
+    specs: Sequence[AwardSpec] = DEFAULT_AWARDS,
+    qsource: Column | None = None,
+    workout: Column | None = None,
+) -> DataFrame:
     """All awards earned in ``fact`` (one calendar year of posts, with home ``region``).
 
+    ``qsource`` / ``workout`` optionally replace the event-class predicates.
     Output columns: achievement_id, period_kind, period, email, region, date_awarded.
     ``date_awarded`` is the last qualifying post of the period so far.
     """
-    return awards_from_stats(period_stats(fact, specs), specs)
+    return awards_from_stats(period_stats(fact, specs, qsource=qsource, workout=workout), specs)
 
 
-def earned_awards_by_home(posts: DataFrame, home: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS) -> DataFrame:
+def earned_awards_by_home(
+    posts: DataFrame,
+    home: DataFrame,
+    specs: Sequence[AwardSpec] = DEFAULT_AWARDS,
+    qsource: Column | None = None,
+    workout: Column | None = None,
+) -> DataFrame:
     """Awards of every person's national posts, credited to the person's home region.
 
     Equal to ``earned_awards(attach_home_region(posts, home))`` because the home
@@ -296,14 +321,14 @@ def earned_awards_by_home(posts: DataFrame, home: DataFrame, specs: Sequence[Awa
     home-region join (a full shuffle of the fact) is not needed. People
     without a home region drop out, as with the inner join.
     """
-    stats = period_stats(posts, specs, keys=("email",))
+    stats = period_stats(posts, specs, keys=("email",), qsource=qsource, workout=workout)
     stats = stats.join(home.select("email", "region"), "email")
     return awards_from_stats(stats, specs)
 
 
-def yearly_posts(fact: DataFrame) -> DataFrame:
+def yearly_posts(fact: DataFrame, workout: Column | None = None) -> DataFrame:
     """Workout posts per person and year with the last post date (the base of the post-count tiers)."""
-    posts = classified_posts(fact).where(F.col("is_w"))
+    posts = classified_posts(fact, workout=workout).where(F.col("is_w"))
     return posts.groupBy("year", "email", "region").agg(
         F.count("ao_id").alias("n_posts"), F.max("date").alias("last_date")
     )
