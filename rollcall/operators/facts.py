@@ -171,11 +171,13 @@ def post_fact(
     as_of: _dt.date | str,
     current_year: bool = True,
     exclude: Iterable[str] = EXCLUDED_REGIONS_FACT,
+    since: _dt.date | None = None,
 ) -> DataFrame:
     """J2 national post fact (leader is the event's Q or co-Q) with the validity filters.
 
     ``current_year=True`` is the award variant (calendar year of ``as_of``, up to
-    ``as_of``); ``False`` is the report variant (all dated events up to ``as_of``).
+    ``as_of``); ``False`` is the report variant (all dated events up to ``as_of``,
+    or from ``since`` on).
     Columns: email, user_name, ao_id, ao, date, q_flag, backblast, site_region, user_id.
     ``site_region`` is where the post happened; the home region is attached later.
     """
@@ -186,7 +188,8 @@ def post_fact(
 
     def dates(c: Column) -> Column:
         cond = periods.not_after(c, as_of)
-        return cond & periods.in_year_of(c, as_of) if current_year else cond & c.isNotNull()
+        cond = cond & periods.in_year_of(c, as_of) if current_year else cond & c.isNotNull()
+        return cond if since is None else cond & (c >= F.lit(since))
 
     valid_user = (F.col("email") != NO_EMAIL) & (F.col("user_name") != SYSTEM_USER_NAME)
     j = _events_join(users, attendance, beatdowns, aos, "q_or_coq", ev, valid_user, dates)
@@ -219,3 +222,49 @@ def attach_home_region(fact: DataFrame, home: DataFrame, with_user: bool = False
     if with_user:
         f = f.drop("user_id")
     return f.join(h, "email")
+
+
+def ever_led(
+    users: DataFrame,
+    attendance: DataFrame,
+    beatdowns: DataFrame,
+    aos: DataFrame,
+    as_of: _dt.date | str,
+    exclude: Iterable[str] = EXCLUDED_REGIONS_FACT,
+) -> DataFrame:
+    """Emails with at least one J2 post as the event's Q or co-Q (``q_flag = 1``) up to ``as_of``.
+
+    A leaders-only join: every event is exploded to its (at most two) leaders
+    and joined with the attendance on (region, site, date, attendee = leader),
+    the J2 leader rule kept as the residual. Its output is one row per led
+    post instead of the whole national fact; only the emails are returned.
+    Columns: email.
+    """
+    ev = F.col("q_user_id").isNotNull() & F.col("bd_date").isNotNull() & periods.not_after("bd_date", as_of)
+    rf = _region_filter(F.col("region"), exclude)
+    if rf is not None:
+        ev = ev & rf
+    leaders = beatdowns.where(ev).select(
+        "region",
+        "ao_id",
+        "bd_date",
+        "q_user_id",
+        "coq_user_id",
+        F.explode(F.array_distinct(F.array_compact(F.array("q_user_id", "coq_user_id")))).alias("leader"),
+    ).alias("b")
+    a = attendance.where(F.col("date").isNotNull() & periods.not_after("date", as_of)).alias("a")
+    site = aos.select("region", "channel_id").alias("ao")
+    u = users.where((F.col("email") != NO_EMAIL) & (F.col("user_name") != SYSTEM_USER_NAME)).alias("u")
+    led = (
+        a.join(
+            leaders,
+            (F.col("a.region") == F.col("b.region"))
+            & (F.col("a.ao_id") == F.col("b.ao_id"))
+            & (F.col("a.date") == F.col("b.bd_date"))
+            & (F.col("a.user_id") == F.col("b.leader"))
+            & ((F.col("a.q_user_id") == F.col("b.q_user_id")) | (F.col("a.q_user_id") == F.col("b.coq_user_id"))),
+        )
+        .join(site, (F.col("b.region") == F.col("ao.region")) & (F.col("b.ao_id") == F.col("ao.channel_id")), "left_semi")
+        .join(u, (F.col("a.region") == F.col("u.region")) & (F.col("a.user_id") == F.col("u.user_id")))
+    )
+    return led.select(F.col("u.email").alias("email")).distinct()

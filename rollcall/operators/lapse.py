@@ -75,7 +75,18 @@ def home_site(fact: DataFrame, config: DataFrame, as_of: _dt.date | str) -> Data
     return with_thresholds(fact, config).join(home_sites(fact, config, as_of), ["region", "email"])
 
 
-def person_activity(fact: DataFrame, config: DataFrame, as_of: _dt.date | str) -> DataFrame:
+def history_start(config: DataFrame, as_of: _dt.date | str) -> _dt.date:
+    """Earliest date any region's report thresholds look at (the longest threshold, in weeks).
+
+    One scalar read from the (small) region config.
+    """
+    longest = config.select(F.greatest(*[F.max(c) for c in THRESHOLD_COLUMNS]).alias("w")).first()["w"] or 0
+    return periods.to_pydate(as_of) - _dt.timedelta(weeks=int(longest))
+
+
+def person_activity(
+    fact: DataFrame, config: DataFrame, as_of: _dt.date | str, ever_led: DataFrame | None = None
+) -> DataFrame:
     """One row per (region, email, user_id, home_ao): last post, last lead, lead total, post in no-lead window.
 
     The per-person counters are aggregated straight from the posts (partial
@@ -83,6 +94,11 @@ def person_activity(fact: DataFrame, config: DataFrame, as_of: _dt.date | str) -
     home site is joined onto them afterwards, person to person (J9), instead
     of joining every post to its person's home site first. People without a
     recent post have no home site and drop out, as with the source's inner join.
+
+    ``fact`` may be limited to the recent weeks (``history_start``) when
+    ``ever_led`` (emails that ever led, from ``facts.ever_led``) is given: the
+    last post, last lead, no-lead window and home site only look that far
+    back, and "never led" is then taken from ``ever_led``.
     """
     f = with_thresholds(fact, config)
     noq_lo = periods.weeks_before(as_of, F.col("REMINDER_WEEKS"))
@@ -93,6 +109,11 @@ def person_activity(fact: DataFrame, config: DataFrame, as_of: _dt.date | str) -
         F.sum("q_flag").alias("q_total"),
         F.max(F.col("date").between(noq_lo, noq_hi)).alias("noq_window_post"),
     )
+    if ever_led is not None:
+        led = ever_led.select("email", F.lit(1).cast("long").alias("led"))
+        act = act.join(led, "email", "left").withColumn(
+            "q_total", F.col("q_total") + F.coalesce(F.col("led"), F.lit(0))
+        ).drop("led")
     return act.join(home_sites(fact, config, as_of), ["region", "email"])
 
 

@@ -129,6 +129,7 @@ def report_run(
     bot_name: str = N.DEFAULT_BOT_NAME,
     max_lines: int = L.MAX_LINES_PER_MESSAGE,
     share_event_join: bool = False,
+    bounded_history: bool = True,
 ) -> dict[str, DataFrame]:
     """Entry 2: the weekly inactivity report for every region.
 
@@ -137,6 +138,12 @@ def report_run(
     separately (the home-region one reads ~16 months, pruned in both scans)
     instead of staging the all-history join; ``share_event_join=True`` stages
     one all-history join for both (equal results, tested).
+
+    With ``bounded_history`` (default) the post fact is read only back to the
+    longest threshold of any region (``lapse.history_start``) and "never led"
+    comes from a leaders-only join over all history (``facts.ever_led``),
+    instead of carrying every post of all time through the national join, the
+    home-region join and the per-person aggregates (equal results, tested).
     """
     regions = region_list(region_names) if region_names is not None else None
     t = tables.restricted(regions, EXCLUDED_REGIONS_REPORT)
@@ -151,7 +158,10 @@ def report_run(
         counts = H.home_region_counts_by_user(
             Fa.attendance_fact(*t.as_tuple(), exclude=EXCLUDED_REGIONS_REPORT, since=H.lookback_start(as_of)), as_of
         )
-        posts = Fa.post_fact(*t.as_tuple(), as_of=as_of, current_year=False, exclude=EXCLUDED_REGIONS_REPORT)
+        since = L.history_start(region_config, as_of) if bounded_history else None
+        posts = Fa.post_fact(
+            *t.as_tuple(), as_of=as_of, current_year=False, exclude=EXCLUDED_REGIONS_REPORT, since=since
+        )
     # one row per person, staged: the post-level join below then has plain shuffles on
     # both sides, so AQE can split a very active person's posts over several tasks
     home = stage_table(H.pick_home_region(counts), "report_home")
@@ -159,7 +169,10 @@ def report_run(
     config = region_config if regions is None else region_config.join(regions, "region", "left_semi")
     leads = L.site_leads(t.aos)
     # one row per person with its list; read by the three lists and the report
-    status = stage_table(L.lapse_status(L.person_activity(fact, config, as_of), as_of), "report_status")
+    led = None
+    if bounded_history and not share_event_join:
+        led = Fa.ever_led(*t.as_tuple(), as_of=as_of, exclude=EXCLUDED_REGIONS_REPORT)
+    status = stage_table(L.lapse_status(L.person_activity(fact, config, as_of, led), as_of), "report_status")
     mia = L.mia(status, leads)
     lowq = L.lowq(status, leads)
     noq = L.noq(status, leads)

@@ -6,6 +6,7 @@ names match the DuckDB oracle in ``rollcall.oracle``.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -327,10 +328,13 @@ def report_national(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = X.FACT_AS_OF
     j1 = Fa.attendance_fact(*tables, exclude=EXCLUDED_REGIONS_REPORT, since=H.lookback_start(as_of))
     home = H.pick_home_region(H.home_region_counts_by_user(j1, as_of))
-    posts = Fa.post_fact(*tables, as_of=as_of, current_year=False, exclude=EXCLUDED_REGIONS_REPORT)
+    # bounded history: posts back to the longest threshold, "never led" from the leaders-only join
+    since = as_of - dt.timedelta(weeks=max(X.REPORT_WEEKS.values()))
+    posts = Fa.post_fact(*tables, as_of=as_of, current_year=False, exclude=EXCLUDED_REGIONS_REPORT, since=since)
     fact = Fa.attach_home_region(posts, home, with_user=True)
     config = X.region_config(spark, sf_dir)
     leads = L.site_leads(tables[3])
-    status = L.lapse_status(L.person_activity(fact, config, as_of), as_of)
+    led = Fa.ever_led(*tables, as_of=as_of, exclude=EXCLUDED_REGIONS_REPORT)
+    status = L.lapse_status(L.person_activity(fact, config, as_of, led), as_of)
     lines = L.report_lines(status, leads, as_of)
     return L.report_text(lines, L.report_recipients(lines, config, leads))

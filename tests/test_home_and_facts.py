@@ -98,3 +98,17 @@ def test_double_matched_attendance_is_kept_twice(spark):
     assert Fa.attendance_fact(users, attendance, beatdowns, aos).count() == 1
     events = Fa.event_posts(users, attendance, beatdowns, aos)
     assert Fa.valid_posts(events, AS_OF).count() == 2 and Fa.q_attendance(events).count() == 1
+
+
+def test_ever_led_equals_led_posts_of_the_full_fact(spark):
+    from rollcall.sources import fixtures as X
+
+    sf = "/root/testdata/sf0.01"
+    t = (X.normalised_users(spark, sf), X.normalised_attendance(spark, sf),
+         X.normalised_beatdowns(spark, sf), X.normalised_aos(spark, sf))
+    as_of = dt.date(1998, 10, 31)
+    led = {r.email for r in Fa.ever_led(*t, as_of=as_of).collect()}
+    full = {r.email for r in Fa.post_fact(*t, as_of=as_of, current_year=False).where("q_flag = 1").select("email").distinct().collect()}
+    assert led == full and len(led) > 100
+    plan = Fa.ever_led(*t, as_of=as_of)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan

@@ -122,3 +122,14 @@ def test_award_run_on_catalog_tables_and_trophy_view(spark):
     X.normalised_users(spark, SF).createOrReplaceTempView("rc_users")
     K.create_trophy_view(spark, "rc_users", aw_t, lst_t)
     assert spark.table(K.VIEW_NAME).count() == before + n
+
+
+def test_bounded_history_report_equals_full_history(spark):
+    args = (_tables(spark), X.region_config(spark, SF), X.FACT_AS_OF)
+    bounded = J.report_run(*args, bounded_history=True)
+    full = J.report_run(*args, bounded_history=False)
+    for key in ("mia", "lowq", "noq", "report"):
+        a = sorted(tuple(r) for r in bounded[key].collect())
+        b = sorted(tuple(r) for r in full[key].collect())
+        assert a == b
+    assert bounded["report"].count() > 0

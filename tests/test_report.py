@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.operators import lapse as L
 
@@ -102,3 +103,24 @@ def test_long_lists_are_split_into_bounded_parts(spark):
     parts = L.report_text(lines, L.report_recipients(lines, config, leads), max_lines=10).collect()
     assert {p.n_parts for p in parts} == {5}
     assert sum(p.text.count("last posted") for p in parts) == n
+
+
+def test_bounded_history_keeps_never_led_exact(spark):
+    config = spark.createDataFrame([("r1", "UDEF", 2, 2, 4, 2, 8)], CFG)
+    old = AS_OF - dt.timedelta(weeks=100)
+    rows = [
+        ("a", "S1", "ao-1", old, 1, "r1", "UA"),  # led long ago
+        ("a", "S1", "ao-1", wk(3), 0, "r1", "UA"), ("a", "S1", "ao-1", wk(0, 1), 0, "r1", "UA"),
+        ("b", "S1", "ao-1", old, 0, "r1", "UB"),  # never led
+        ("b", "S1", "ao-1", wk(3), 0, "r1", "UB"), ("b", "S1", "ao-1", wk(0, 1), 0, "r1", "UB"),
+    ]
+    fact = spark.createDataFrame(rows, FACT)
+    full = L.lapse_status(L.person_activity(fact, config, AS_OF), AS_OF)
+    since = L.history_start(config, AS_OF)
+    assert since == AS_OF - dt.timedelta(weeks=8)
+    led = fact.where("q_flag = 1").select("email").distinct()
+    recent = fact.where(F.col("date") >= F.lit(since))
+    bounded = L.lapse_status(L.person_activity(recent, config, AS_OF, led), AS_OF)
+    got_full = sorted((r.user_id, r.status) for r in full.collect())
+    got_bounded = sorted((r.user_id, r.status) for r in bounded.collect())
+    assert got_full == got_bounded == [("UA", None), ("UB", "noq")]
