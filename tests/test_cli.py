@@ -50,3 +50,14 @@ def test_photos_command(spark, tmpdir_path):
     assert out["photos"] > 0
     assert spark.read.parquet(seen).where(F.length("checksum") == 32).count() == out["photos"]
     assert cli.main(args)["photos"] == 0  # everything is in the seen state now
+
+
+def test_setup_command(spark, tmpdir_path):
+    regions = os.path.join(tmpdir_path, "regions")
+    spark.createDataFrame([("f3one",), ("f3two",), ("other",)], "schema_name string").write.parquet(regions)
+    out = cli.main(["setup", "--regions", regions, "--database", "rc_cli"])
+    assert out["regions"] == 2
+    lst = spark.table("rc_cli.achievements_list")
+    assert lst.count() == 28 and {r.region for r in lst.select("region").distinct().collect()} == {"f3one", "f3two"}
+    cli.main(["setup", "--regions", regions, "--database", "rc_cli"])
+    assert spark.table("rc_cli.achievements_list").count() == 28
