@@ -3,11 +3,12 @@
 Per-region thresholds are columns of the region config (joined by region;
 Spark broadcasts it only when its measured size allows), never Python values
 in a driver loop. Every person is reduced to one row by a single aggregate
-(last post, last lead, leads total, any post in the no-lead window); one
-status column then says which list the person is on, so the three lists and
-the report lines come from one pass over per-person rows. Report text is assembled per (recipient, part): a recipient
-whose list exceeds ``max_lines`` gets several messages, so no single group
-grows with the region.
+(last post, last lead, leads total, any post in the no-lead window) and the
+home site is joined onto that row; one status column then says which list
+the person is on, so the three lists and the report lines come from one pass
+over per-person rows. Report text is assembled per (recipient, part): a
+recipient whose list exceeds ``max_lines`` gets several messages, so no
+single group grows with the region.
 """
 
 from __future__ import annotations
