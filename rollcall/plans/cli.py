@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollcall import schemas
 from rollcall.plans import jobs as J
-from rollcall.session import SESSION_DEFAULTS, ensure_checkpoint_dir
+from rollcall.session import SESSION_DEFAULTS, ensure_checkpoint_dir, size_for_input
 from rollcall.sources import tables as S
 
 
@@ -123,6 +123,11 @@ def run_setup(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="rollcall")
+    p.add_argument(
+        "--input-gb",
+        type=float,
+        help="size of the largest input table; sizes scan splits and shuffle partitions (see README)",
+    )
     sub = p.add_subparsers(dest="command", required=True)
     aw = sub.add_parser("award", help="compute, record and announce new awards")
     aw.add_argument("--tables", required=True)
@@ -155,6 +160,8 @@ COMMANDS = {"award": run_award, "report": run_report, "photos": run_photos, "set
 def main(argv: Sequence[str] | None = None) -> dict:
     args = parser().parse_args(argv)
     spark = _session()
+    if args.input_gb:
+        size_for_input(spark, int(args.input_gb * (1 << 30)))
     result = COMMANDS[args.command](spark, args)
     print(json.dumps({"command": args.command, **result}))
     return result

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -87,3 +88,23 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{root}/staged/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for an input of ``input_bytes`` (the largest table a job reads).
+
+    Scan splits of ``partition_bytes``; the initial shuffle partition count is
+    sized so the largest shuffle (about the size of the scanned, pruned input)
+    lands near ``partition_bytes`` per partition, and AQE coalesces smaller
+    stages down from there. Returns the settings it applied.
+    """
+    n = max(200, math.ceil(input_bytes / partition_bytes))
+    settings = {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return settings
