@@ -2,12 +2,13 @@
 
 The source computes each award with its own filter + group-by over the post
 fact (ten passes). Here every award is a row of the ``AwardSpec`` table and
-all of them come out of a single ``GROUPING SETS`` aggregate: one scan of the
-fact, one partially-aggregated shuffle keyed by (region, email, period[, site]).
-Map-side partial aggregation makes a hot person or region cheap: each map task
-ships at most one row per group. Yearly and monthly totals and the distinct
-site count (cadre) come from a second, small aggregate over the per-site
-groups of the first, so no ``count(DISTINCT)`` double shuffle is needed.
+all the period counters come out of a single ``GROUPING SETS`` aggregate: one
+scan of the fact, one partially-aggregated shuffle keyed by (region, email,
+period[, site]), every group final. Map-side partial aggregation makes a hot
+person or region cheap: each map task ships at most one row per group. The
+one distinct count (sites led per month, cadre) reads only the led workouts
+and counts their (person, month, site) groups, so the main aggregate needs no
+second pass and no ``count(DISTINCT)``.
 """
 
 from __future__ import annotations
@@ -123,34 +124,6 @@ def _counter_aggs() -> list[Column]:
 _BASE_PERIODS = ("year", "month", "week")
 
 
-def _plan_sets(specs: Sequence[AwardSpec]) -> tuple[list[str], dict[str, list[tuple[str, bool]]]]:
-    """Level-1 grouping sets and, per level-1 kind, the level-2 outputs it feeds.
-
-    A base period that is also needed per site, or whose award counts distinct
-    sites, is grouped per site in level 1 only; its totals (and its distinct
-    site count) come from the level-2 aggregate over those much smaller rows.
-    Returns (level-1 kinds, {level-1 kind: [(output kind, keeps site), ...]}).
-    """
-    needed = {s.period for s in specs}
-    sites = {s.period for s in specs if s.measure == "sites"}
-    kinds: list[str] = []
-    feeds: dict[str, list[tuple[str, bool]]] = {}
-    for p in _BASE_PERIODS:
-        per_site = f"{p}_ao" in needed
-        if per_site or p in sites:
-            kinds.append(f"{p}_ao")
-            outs = []
-            if p in needed:
-                outs.append((p, False))
-            if per_site:
-                outs.append((f"{p}_ao", True))
-            feeds[f"{p}_ao"] = outs
-        elif p in needed:
-            kinds.append(p)
-            feeds[p] = [(p, False)]
-    return kinds, feeds
-
-
 def _counter_condition(counter: str) -> Column:
     if counter == "qs":
         return F.col("is_qs")
@@ -159,19 +132,58 @@ def _counter_condition(counter: str) -> Column:
     return F.col("is_w")
 
 
-def _site_mask(specs: Sequence[AwardSpec], period: str) -> Column:
-    """Rows that need their own site in the (period, site) grouping: those some per-site or
-    distinct-site award of that period counts. Every other row of a person and period
-    falls into one group (site NULL), which keeps the per-site groups few."""
-    cond = None
-    for s in specs:
-        if s.period == f"{period}_ao" or (s.period == period and s.measure == "sites"):
-            c = _counter_condition(s.counter)
-            cond = c if cond is None else cond | c
-    return cond
+STAT_COLUMNS = ("n_qs", "d_qs", "n_wq", "d_wq", "n_w", "n_w_ao", "d_w")
 
 
-STAT_COLUMNS = ("n_qs", "d_qs", "n_wq", "d_wq", "n_w", "n_w_ao", "d_w")
+def _main_sets(specs: Sequence[AwardSpec]) -> list[tuple[str, str, Column | None]]:
+    """(kind, period, site mask) of every grouping set of the main aggregate.
+
+    (period) for period totals; (period, site) for per-site awards, the site
+    kept only on the rows those awards count (every other row of a person and
+    period shares one NULL-site group, which keeps the per-site groups few).
+    """
+    out = []
+    for p in _BASE_PERIODS:
+        if any(s.period == p and s.measure == "posts" for s in specs):
+            out.append((p, p, None))
+        per_site = [s for s in specs if s.period == f"{p}_ao"]
+        if per_site:
+            mask = None
+            for s in per_site:
+                c = _counter_condition(s.counter)
+                mask = c if mask is None else mask | c
+            out.append((f"{p}_ao", p, mask))
+    return out
+
+
+def _sites_kind(period: str, counter: str) -> str:
+    return f"{period}_sites_{counter}"
+
+
+def _distinct_site_stats(posts: DataFrame, keys: list[str], period: str, counter: str) -> DataFrame:
+    """Exact distinct sites per (person, period) among the rows of one counter.
+
+    Only the counted rows are shuffled: first per (person, period, site), with
+    map-side partial aggregation, then the much smaller per-site groups per
+    (person, period). A NULL site counts once, like a distinct count that
+    treats NULL as a value. Columns as ``period_stats``; the count is ``n_sites``
+    and the last counted post ``d_<counter>``.
+    """
+    counted = posts.where(_counter_condition(counter))
+    per_site = counted.groupBy(*keys, period, "ao_id").agg(F.max("date").alias("d"))
+    sites = per_site.groupBy(*keys, period).agg(F.count(F.lit(1)).alias("n_sites"), F.max("d").alias("d"))
+    stat_cols = [
+        F.col("d").alias(c) if c == f"d_{counter}" else F.lit(None).cast("long" if c.startswith("n_") else "date").alias(c)
+        for c in STAT_COLUMNS
+    ]
+    return sites.select(
+        *keys,
+        F.lit(_sites_kind(period, counter)).alias("kind"),
+        F.col(period).alias("period"),
+        F.lit(None).cast("string").alias("ao_id"),
+        *stat_cols,
+        "n_sites",
+    )
 
 
 def period_stats(
@@ -181,86 +193,75 @@ def period_stats(
     qsource: Column | None = None,
     workout: Column | None = None,
 ) -> DataFrame:
-    """Per (region, email, kind, period, ao_id) counters for every grouping the specs need.
-
-    Level 1 is one GROUPING SETS aggregate over the fact: (year, site),
-    (month, site) and (week) for the default awards, where the site is kept
-    only on the rows a per-site or distinct-site award counts (workouts for
-    the yearly per-site award, led workouts for distinct sites per month);
-    every other row of a person and period shares one NULL-site group.
-    Level 2 aggregates the level-1 rows into the yearly and monthly totals,
-    keeps the per-site yearly rows, and counts distinct sites exactly
-    (``n_sites_wq``; a NULL site counts once, like a distinct count that treats
-    NULL as a value). One scan of the fact; the second shuffle carries only
-    level-1 groups. (Routing only the distinct-site groups through level 2
-    would need two branches over the level-1 aggregate, which Spark plans as
-    two scans of the fact.)
+    """Per (keys, kind, period, ao_id) counters for every grouping the specs need.
+
+    * Main aggregate: one GROUPING SETS aggregate over the classified posts,
+      (year), (year, site of workouts), (month) and (week) for the default
+      awards; every group is final, so one partially-aggregated shuffle.
+    * Distinct sites (cadre): the counted rows only (led workouts), per
+      (person, month, site) and then per (person, month), exactly.
 
     ``keys`` are the person keys (region and email by default; email alone when
     the region is attached after aggregating, see ``earned_awards_by_home``).
-    Columns: keys, kind, period, ao_id, n_qs, d_qs, n_wq, d_wq, n_w, n_w_ao, d_w, n_sites_wq.
+    Columns: keys, kind, period, ao_id, n_qs, d_qs, n_wq, d_wq, n_w, n_w_ao, d_w, n_sites.
     """
     keys = list(keys)
-    kinds, feeds = _plan_sets(specs)
     posts = classified_posts(fact, keys, qsource, workout)
-    # one masked site column per period grouped by site: the site for counted rows, else NULL
-    site_periods = [k[: -len("_ao")] for k in kinds if k.endswith("_ao")]
-    for p in site_periods:
-        posts = posts.withColumn(f"site_{p}", F.when(_site_mask(specs, p), F.col("ao_id")))
-    grouping_cols = [*keys, "year", "month", "week", *[f"site_{p}" for p in site_periods]]
-    sets = [[*keys, k[: -len("_ao")], f"site_{k[: -len('_ao')]}"] if k.endswith("_ao") else [*keys, k] for k in kinds]
-    agg = posts.groupingSets(sets, *grouping_cols).agg(
-        *_counter_aggs(),
-        F.grouping("year").alias("g_year"),
-        F.grouping("month").alias("g_month"),
-    )
-    base = (
-        F.when(F.col("g_year") == 0, F.lit("year"))
-        .when(F.col("g_month") == 0, F.lit("month"))
-        .otherwise(F.lit("week"))
-    )
-    # each set has at most one site column; the others are aggregated away (NULL)
-    kind, site = base, F.lit(None).cast("string")
-    for p in site_periods:
-        mine = base == F.lit(p)
-        kind = F.when(mine, F.lit(f"{p}_ao")).otherwise(kind)
-        site = F.when(mine, F.col(f"site_{p}")).otherwise(site)
-    level1 = agg.select(
-        *keys,
-        kind.alias("kind"),
-        F.coalesce("year", "month", "week").alias("period"),
-        site.alias("ao_id"),
-        *STAT_COLUMNS,
-    )
-    if all(outs == [(k, k.endswith("_ao"))] for k, outs in feeds.items()):
-        # every level-1 group is already a final group
-        return level1.withColumn("n_sites_wq", F.lit(None).cast("long"))
-
-    # level 2: each level-1 row feeds one or two output groups (total and/or per site)
-    route = None
-    for k, outs in feeds.items():
-        targets = F.array(
-            *[
-                F.struct(F.lit(out).alias("kind"), (F.col("ao_id") if keep else F.lit(None).cast("string")).alias("ao"))
-                for out, keep in outs
-            ]
+    parts: list[DataFrame] = []
+
+    sets = _main_sets(specs)
+    if sets:
+        main = posts
+        site_cols = []
+        for kind, p, mask in sets:
+            if mask is not None:
+                main = main.withColumn(f"site_{p}", F.when(mask, F.col("ao_id")))
+                site_cols.append(f"site_{p}")
+        grouping_cols = [*keys, "year", "month", "week", *site_cols]
+        members = [[*keys, p] + ([f"site_{p}"] if mask is not None else []) for kind, p, mask in sets]
+        agg = main.groupingSets(members, *grouping_cols).agg(
+            *_counter_aggs(),
+            F.grouping("year").alias("g_year"),
+            F.grouping("month").alias("g_month"),
+            *[F.grouping(c).alias(f"g_{c}") for c in site_cols],
         )
-        route = F.when(F.col("kind") == k, targets) if route is None else route.when(F.col("kind") == k, targets)
-    level2_in = level1.select(*keys, "period", *STAT_COLUMNS, F.explode(route).alias("t")).select(
-        *keys, F.col("t.kind").alias("kind"), "period", F.col("t.ao").alias("ao_id"), *STAT_COLUMNS
-    )
-    return level2_in.groupBy(*keys, "kind", "period", "ao_id").agg(
-        *[(F.max(c) if c.startswith("d_") else F.sum(c)).alias(c) for c in STAT_COLUMNS],
-        F.count(F.when(F.col("n_wq") > 0, F.lit(1))).alias("n_sites_wq"),
-    )
+        kind = (
+            F.when(F.col("g_year") == 0, F.lit("year"))
+            .when(F.col("g_month") == 0, F.lit("month"))
+            .otherwise(F.lit("week"))
+        )
+        site = F.lit(None).cast("string")
+        for c in site_cols:
+            mine = F.col(f"g_{c}") == 0
+            kind = F.when(mine, F.lit(f"{c[len('site_'):]}_ao")).otherwise(kind)
+            site = F.when(mine, F.col(c)).otherwise(site)
+        parts.append(
+            agg.select(
+                *keys,
+                kind.alias("kind"),
+                F.coalesce("year", "month", "week").alias("period"),
+                site.alias("ao_id"),
+                *STAT_COLUMNS,
+                F.lit(None).cast("long").alias("n_sites"),
+            )
+        )
+
+    for period, counter in sorted({(s.period, s.counter) for s in specs if s.measure == "sites"}):
+        parts.append(_distinct_site_stats(posts, keys, period, counter))
+
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def _measure(spec: AwardSpec) -> tuple[Column, Column]:
+def _measure(spec: AwardSpec) -> tuple[str, Column, Column]:
+    """(stats kind, measure, date) of an award."""
     if spec.measure == "sites":
-        return F.col(f"n_sites_{spec.counter}"), F.col(f"d_{spec.counter}")
-    if spec.period == "year_ao":
-        return F.col("n_w_ao"), F.col("d_w")
-    return F.col(f"n_{spec.counter}"), F.col(f"d_{spec.counter}")
+        return _sites_kind(spec.period, spec.counter), F.col("n_sites"), F.col(f"d_{spec.counter}")
+    if spec.period.endswith("_ao"):
+        return spec.period, F.col("n_w_ao"), F.col("d_w")
+    return spec.period, F.col(f"n_{spec.counter}"), F.col(f"d_{spec.counter}")
 
 
 def awards_from_stats(stats: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS) -> DataFrame:
@@ -270,13 +271,15 @@ def awards_from_stats(stats: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWA
     itself is not reported), like the source.
     """
     candidates = []
+    kinds = set()
     for s in specs:
-        n, d = _measure(s)
-        hit = (F.col("kind") == s.period) & (n >= F.lit(s.threshold))
+        kind, n, d = _measure(s)
+        kinds.add(kind)
+        hit = (F.col("kind") == kind) & (n >= F.lit(s.threshold))
         candidates.append(
             F.when(hit, F.struct(F.lit(s.id).alias("id"), F.lit(s.period_kind).alias("pk"), d.alias("d")))
         )
-    kinds = sorted({s.period for s in specs})
+    kinds = sorted(kinds)
     return (
         stats.where(F.col("kind").isin(kinds))
         .select("region", "email", "period", F.explode(F.array_compact(F.array(*candidates))).alias("a"))

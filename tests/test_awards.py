@@ -67,12 +67,18 @@ def test_thresholds_monotone(spark):
     assert low >= high
 
 
-def test_single_scan_and_no_cartesian(spark):
+def test_scans_and_no_cartesian(spark):
     days = [dt.date(2025, 2, 1) + dt.timedelta(days=i) for i in range(10)]
     fact = spark.createDataFrame([post("a", d) for d in days], SCHEMA)
-    plan = A.earned_awards(fact)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") == 1
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+    def scans(specs):
+        plan = A.earned_awards(fact, specs)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        return plan.count("Scan ExistingRDD") + plan.count("LocalTableScan")
+
+    # one scan for all period awards; the distinct-site award reads the led workouts once more
+    assert scans(A.award_specs(ids=[i for i in range(1, 15) if i != 6])) == 1
+    assert scans(A.DEFAULT_AWARDS) == 2
 
 
 def test_home_region_after_aggregation_equals_join_first(spark):
