@@ -213,12 +213,12 @@ def period_stats(
     if sets:
         main = posts
         site_cols = []
-        for kind, p, mask in sets:
+        for _kind, p, mask in sets:
             if mask is not None:
                 main = main.withColumn(f"site_{p}", F.when(mask, F.col("ao_id")))
                 site_cols.append(f"site_{p}")
         grouping_cols = [*keys, "year", "month", "week", *site_cols]
-        members = [[*keys, p] + ([f"site_{p}"] if mask is not None else []) for kind, p, mask in sets]
+        members = [[*keys, p] + ([f"site_{p}"] if mask is not None else []) for _kind, p, mask in sets]
         agg = main.groupingSets(members, *grouping_cols).agg(
             *_counter_aggs(),
             F.grouping("year").alias("g_year"),
