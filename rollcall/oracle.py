@@ -714,3 +714,8 @@ tags AS (
 )
 SELECT l.id AS achievement_id, t.code, t.email, t.region, t.ao_id, t.date AS date_awarded
 FROM tags t JOIN a_list l ON t.region = l.region AND t.code = l.code"""
+
+# people who ever led: the led posts of the full-history national fact
+ORACLE["ever_led"] = f"""WITH {NORMALISED_CTE},
+j2 AS ({j2_sql(X.FACT_AS_OF, False)})
+SELECT DISTINCT email FROM j2 WHERE q_flag = 1"""

@@ -338,3 +338,9 @@ def report_national(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = L.lapse_status(L.person_activity(fact, config, as_of, led), as_of)
     lines = L.report_lines(status, leads, as_of)
     return L.report_text(lines, L.report_recipients(lines, config, leads))
+
+
+@register("ever_led")
+def ever_led(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emails that led (Q or co-Q) at least once up to the run date: the leaders-only join."""
+    return Fa.ever_led(*normalised(spark, sf_dir), as_of=X.FACT_AS_OF)
