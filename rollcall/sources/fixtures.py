@@ -242,9 +242,10 @@ def normalised_attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalised_aos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _normalised_base(spark, sf_dir)
+    """One site per (region, line number) that has events (same set as the distinct pairs of the base)."""
     return (
-        base.select("region", "ao_id")
+        normalised_beatdowns(spark, sf_dir)
+        .select("region", "ao_id")
         .distinct()
         .select(
             "region",
