@@ -388,4 +388,6 @@ def photo_seen(spark: SparkSession, sf_dir: str, as_of=PHOTO_AS_OF) -> DataFrame
     lo = (start - _dt.datetime(1970, 1, 1)).total_seconds()
     msgs = photo_messages(spark, sf_dir).where(F.col("ts").try_cast("double") < F.lit(lo))
     flat = P.flatten_files(msgs).where(F.col("file_is_photo"))
-    return flat.join(photo_contents(spark, sf_dir), "file_id").select(F.md5("content").alias("checksum")).distinct()
+    # hash before joining: only file ids and checksums are shuffled, not the bytes
+    sums = photo_contents(spark, sf_dir).select("file_id", F.md5("content").alias("checksum"))
+    return flat.select("file_id").join(sums, "file_id").select("checksum").distinct()
