@@ -232,12 +232,14 @@ def normalised_attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    base = _normalised_base(spark, sf_dir)
+    base = _normalised_base(spark, sf_dir).select(
+        "region", "user_id", "ao_id", "date", (F.col("l_orderkey") % 2 == 0).alias("even")
+    )
     event = Window.partitionBy("region", "ao_id", "date")
     q = F.min("user_id").over(event)
     mx = F.max("user_id").over(event)
     coq = F.when(mx != q, mx)
-    leader = F.when(F.col("l_orderkey") % 2 == 0, q).otherwise(F.coalesce(coq, q))
+    leader = F.when(F.col("even"), q).otherwise(F.coalesce(coq, q))
     return base.select("region", "user_id", "ao_id", leader.alias("q_user_id"), "date")
 
 
