@@ -157,8 +157,14 @@ def awarded_rows(new: DataFrame, created: Column | None = None) -> DataFrame:
 
 
 def append_awards(new: DataFrame, table: str | None = None, path: str | None = None) -> None:
-    """SNK1: append new awards (empty input writes nothing). Table or Parquet path, partitioned by region."""
+    """SNK1: append new awards (empty input writes nothing). Table or Parquet path, partitioned by region.
+
+    One run's new awards of a region are few (bounded by the region's people
+    and the award list), so the rows are clustered by region before the write:
+    one file per region and run instead of one per task and region.
+    """
     rows = not_null(awarded_rows(new), ["id", "achievement_id", "pax_id", "date_awarded"], AWARDED_TABLE)
+    rows = rows.repartition("region")
     if table is not None:
         spark = new.sparkSession
         rows.select(*spark.table(table).columns).write.insertInto(table)
