@@ -27,6 +27,7 @@ from rollcall.constants import (
     EXCLUDED_REGIONS_REPORT,
     REPORT_LOG_MESSAGE,
 )
+from rollcall.functions import periods
 from rollcall.operators import awards as A
 from rollcall.operators import catalog as K
 from rollcall.operators import diff as D
@@ -200,25 +201,39 @@ def photo_run(
     seen_path: str | None = None,
     manifest_path: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Entry 4: the previous month's photo manifest; new checksums are appended to the seen table."""
+    """Entry 4: the previous month's photo manifest and its checksums, idempotent per month.
+
+    Both outputs are partitioned by the archived month and written with
+    dynamic partition overwrite; duplicates are judged against the checksums
+    of *other* months. A rerun for the same month (after a failure between
+    the two writes, or on purpose) replaces that month instead of appending
+    twice or finding everything already seen.
+    """
     spark = messages.sparkSession
+    start, _end = periods.previous_month_bounds(as_of)
+    month = f"{start.year:04d}-{start.month:02d}"
     seen = None
     if seen_path is not None:
         try:
-            seen = spark.read.parquet(seen_path)
+            seen = spark.read.parquet(seen_path).where(F.col("month") != month)
         except AnalysisException:  # first run: no state yet
             seen = None
     flat = P.flatten_files(P.in_previous_month(messages, as_of))
     manifest = stage_table(
-        P.photo_manifest(P.dedup_photos(P.photo_rows(flat, members), contents, seen)), "photo_manifest"
+        P.photo_manifest(P.dedup_photos(P.photo_rows(flat, members), contents, seen)).withColumn("month", F.lit(month)),
+        "photo_manifest",
     )
     if manifest_path is not None:
-        manifest.write.mode("append").parquet(manifest_path)
+        _overwrite_month(manifest, manifest_path)
     if seen_path is not None:
-        P.new_checksums(manifest).write.mode("append").parquet(seen_path)
+        _overwrite_month(P.new_checksums(manifest).withColumn("month", F.lit(month)), seen_path)
     return {"manifest": manifest}
 
 
+def _overwrite_month(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
 def catalogue_setup(spark, regions: DataFrame, database: str | None = None, location: str | None = None) -> None:
     """Entry 3: award tables, seed lists for new regions (idempotent)."""
     K.create_tables(spark, database, location)

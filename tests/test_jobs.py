@@ -64,12 +64,24 @@ def test_report_run(spark, tmpdir_path):
     assert not (mia & lowq)
 
 
-def test_photo_run_updates_seen_state(spark, tmpdir_path):
-    seen = os.path.join(tmpdir_path, "seen")
-    args = (X.photo_messages(spark, SF), X.photo_members(spark, SF), X.photo_contents(spark, SF), X.PHOTO_AS_OF)
-    first = J.photo_run(*args, seen_path=seen)["manifest"].count()
+def test_photo_run_is_idempotent_per_month_and_skips_earlier_months(spark, tmpdir_path):
+    import datetime as dt
+
+    seen, manifest = os.path.join(tmpdir_path, "seen"), os.path.join(tmpdir_path, "manifest")
+    inputs = (X.photo_messages(spark, SF), X.photo_members(spark, SF), X.photo_contents(spark, SF))
+    first = J.photo_run(*inputs, X.PHOTO_AS_OF, seen_path=seen, manifest_path=manifest)["manifest"].count()
     assert first > 0
-    assert J.photo_run(*args, seen_path=seen)["manifest"].count() == 0
+    # a rerun for the same month replaces that month: same rows, nothing appended twice
+    again = J.photo_run(*inputs, X.PHOTO_AS_OF, seen_path=seen, manifest_path=manifest)["manifest"].count()
+    assert again == first
+    assert spark.read.parquet(manifest).count() == first
+    assert spark.read.parquet(seen).count() == first
+    # the next month never re-archives an image archived in this month
+    nxt = J.photo_run(*inputs, X.PHOTO_AS_OF + dt.timedelta(days=31), seen_path=seen, manifest_path=manifest)
+    earlier = spark.read.parquet(seen).where(F.col("month") == "2000-02").select("checksum")
+    assert nxt["manifest"].count() > 0
+    assert nxt["manifest"].join(earlier, "checksum").count() == 0
+    assert spark.read.parquet(manifest).select("month").distinct().count() == 2
 
 
 def test_catalogue_setup_is_idempotent(spark):
