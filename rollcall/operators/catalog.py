@@ -174,6 +174,16 @@ def append_awards(new: DataFrame, table: str | None = None, path: str | None = N
         raise ValueError("table or path")
 
 
-def append_notifications(notes: DataFrame, path: str) -> None:
-    """SNK6: outgoing messages as rows (kind, region, target, text); delivery is a separate consumer."""
-    notes.write.mode("append").partitionBy("kind").parquet(path)
+def append_notifications(notes: DataFrame, path: str, replace_run: bool = False) -> None:
+    """SNK6: outgoing messages as rows (kind, region, target, text, run_date); delivery is a separate consumer.
+
+    Partitioned by (kind, run_date). ``replace_run`` overwrites only this run's
+    partitions (dynamic overwrite), so rerunning a report for the same date
+    replaces its messages; award messages are appended (a rerun after success
+    has no new awards and must not drop messages still to be delivered).
+    """
+    writer = notes.write.partitionBy("kind", "run_date")
+    if replace_run:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode("append").parquet(path)

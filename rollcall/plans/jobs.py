@@ -116,6 +116,7 @@ def award_run(
     messages = N.award_messages(ordinals, award_list, eligible)
     summary = N.run_summary(new, eligible, N.log_channels(tables.aos), bot_name)
     notes = _notes(messages, "award").unionByName(_notes(summary, "award_summary"))
+    notes = notes.withColumn("run_date", periods.as_date(periods.to_pydate(as_of)))
     if notifications_path is not None:
         K.append_notifications(notes, notifications_path)
     return {"new_awards": new, "messages": messages, "summary": summary, "notifications": notes}
@@ -187,9 +188,10 @@ def report_run(
     notes = (
         text.select(F.lit("report").alias("kind"), "region", F.col("recipient").alias("target"), "text")
         .unionByName(_notes(log_rows, "report_log"))
+        .withColumn("run_date", periods.as_date(periods.to_pydate(as_of)))
     )
     if notifications_path is not None:
-        K.append_notifications(notes, notifications_path)
+        K.append_notifications(notes, notifications_path, replace_run=True)
     return {"mia": mia, "lowq": lowq, "noq": noq, "report": text, "notifications": notes}
 
 

@@ -53,8 +53,13 @@ def test_award_run_respects_region_list(spark):
 
 
 def test_report_run(spark, tmpdir_path):
-    out = J.report_run(_tables(spark), X.region_config(spark, SF), X.FACT_AS_OF,
-                       notifications_path=os.path.join(tmpdir_path, "notes"))
+    notes_path = os.path.join(tmpdir_path, "notes")
+    out = J.report_run(_tables(spark), X.region_config(spark, SF), X.FACT_AS_OF, notifications_path=notes_path)
+    written = spark.read.parquet(notes_path).count()
+    assert written == out["notifications"].count() > 0
+    # a rerun for the same date replaces that run's messages
+    J.report_run(_tables(spark), X.region_config(spark, SF), X.FACT_AS_OF, notifications_path=notes_path)
+    assert spark.read.parquet(notes_path).count() == written
     n_regions = X.region_config(spark, SF).count()
     kinds = out["notifications"].groupBy("kind").count().collect()
     counts = {r["kind"]: r["count"] for r in kinds}
