@@ -167,5 +167,5 @@ def photo_manifest(photos: DataFrame) -> DataFrame:
 
 
 def new_checksums(manifest: DataFrame) -> DataFrame:
-    """SRC14: checksums to append to the seen table after a run (fixes the never-updated set)."""
+    """SRC14: checksums to record in the seen state after a run (fixes the never-updated set)."""
     return manifest.select("checksum").distinct()
