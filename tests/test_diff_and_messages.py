@@ -93,3 +93,29 @@ def test_anti_join_matches_null_keys(spark):
     assert got == ["U2"]
     plan = D.unseen_awards(earned, hist)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan
+
+
+def test_new_awards_equal_later_minus_earlier_by_brute_force(spark):
+    """awards(t2) - awards(t1) == unseen awards, checked in plain Python on the smallest driver tables."""
+    from rollcall import queries as Q
+    from rollcall.sources import fixtures as X
+
+    sf = "/root/testdata/sf0.001"
+    specs = Q.driver_specs()
+    later = [tuple(r) for r in Q.awards_region_users(spark, sf).collect()]
+    earlier = X.award_history_table(spark, sf).collect()
+    kind = {s.id: s.period_kind for s in specs}
+
+    def period(aid, d):
+        k = kind.get(aid, "year")
+        return d.month if k == "month" else d.isocalendar()[1] if k == "week" else d.year
+
+    given = {(h.region, h.achievement_id, period(h.achievement_id, h.date_awarded), h.pax_id)
+             for h in earlier if h.date_awarded.year == X.AWARD_AS_OF.year}
+    history = D.award_history(X.award_history_table(spark, sf), X.achievements_list(spark, sf), X.AWARD_AS_OF)
+    # the history of the query path keeps only awards still in the region's list
+    listed = {(r.region, r.id) for r in X.achievements_list(spark, sf).collect()}
+    expected = sorted(r for r in later
+                      if (r[3], r[0], r[2], r[4]) not in {g for g in given if (g[0], g[1]) in listed})
+    got = sorted(tuple(r) for r in D.unseen_awards(Q.awards_region_users(spark, sf), history, specs).collect())
+    assert got == expected and len(got) > 0
