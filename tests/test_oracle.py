@@ -10,8 +10,9 @@ from compare_oracle import digest
 
 import __spark_entry__ as E
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+from rollcall.oracle import ORACLE
+from rollcall.queries import REGISTRY as QUERIES
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
