@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two hashed n-gram generative models are counted: one of the target texts
-(labelled good) and one of all raw texts. A document's importance is the sum
-of log ratios of its n-grams under the two; adding Gumbel noise and taking
+(labelled good) and one of all raw texts. A document's log importance is the
+mean log ratio of its n-grams under the two, at a common length of ``scale``
+n-grams (a plain sum would let length decide); adding Gumbel noise and taking
 the k largest samples documents without replacement in proportion to it.
 
 The n-grams run over word shapes (runs of letters, of capitals, of digits, and
@@ -11,9 +12,9 @@ meaning in every language and stay dense in small corpora. Counts are shrunk
 towards the raw model, so a rare bucket says little.
 
 Defined results: a null or wordless text has no n-grams and log ratio 0; rows
-without an id are scored alike and ties at the threshold are all taken;
-repeated rows get equal results; without a target label, or on an empty
-table, all ratios are 0; columns that clash are replaced.
+without an id share one noise value; ties at the threshold are all taken;
+repeated rows get equal results; without a target label all ratios are 0; an
+empty table gives an empty table; columns that clash are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ BUCKETS = 4096
 #: Pseudo-counts each bucket gets in both models.
 PRIOR = 20.0
 SEED = 17
+#: Length, in n-grams, at which documents are compared, and n-grams of ratio 1 added to each.
+SCALE = 32.0
+PADDING = 8
+#: Log importance below which a document counts as outside the target model: beyond four, Gumbel noise seldom makes up for it.
+FLOOR = -4.0
 
 
 def shapes(text: Column) -> Column:
@@ -98,25 +104,24 @@ def threshold(scores: DataFrame, key: str, k: int, width: int = 1024) -> float:
         lo, hi = r["lo"], r["hi"]
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, prior: float = PRIOR, seed: int = SEED) -> DataFrame:
-    """``docs`` with n_grams, log_ratio, gumbel_key and kept (the ``k`` largest keys).
+def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, prior: float = PRIOR, seed: int = SEED, floor: float = FLOOR) -> DataFrame:
+    """``docs`` without text, with n_grams, log_ratio, log_importance, gumbel_key and kept (the ``k`` largest keys).
 
     ``k`` is the sample's size; by default the number of documents whose log
-    ratio is not negative, the part of the corpus that the target model
-    explains at least as well as the raw one. ``labels`` (doc_id, quality,
-    toxic) names the target: quality 1 and not toxic.
+    importance is at least ``floor``, the part of the corpus that the target
+    model covers. ``labels`` (doc_id, quality, toxic) names the target: quality 1 and not toxic.
     """
     good = labels.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).where("good").select("doc_id")
-    weights = fit(docs, good, buckets, prior)
-    table = F.lit(weights)
-    base = clean_columns(docs, "n_grams", "log_ratio", "gumbel_key", "kept")
+    table = F.lit(fit(docs.select("doc_id", "text"), good, buckets, prior))
+    base = clean_columns(docs, "n_grams", "log_ratio", "log_importance", "gumbel_key", "kept")
     scored = base.withColumn("__g", ngram_buckets(F.col("text"), buckets)).withColumns(
         {"n_grams": F.size("__g").cast("long"), "log_ratio": F.aggregate("__g", F.lit(0.0), lambda a, b: a + F.get(table, b))}
     )
-    scored = scored.withColumn("gumbel_key", F.col("log_ratio") + gumbel(F.col("doc_id"), seed)).drop("__g")
+    scored = scored.withColumn("log_importance", F.col("log_ratio") * SCALE / (F.col("n_grams") + PADDING))
+    scored = scored.withColumn("gumbel_key", F.col("log_importance") + gumbel(F.col("doc_id"), seed)).drop("__g")
     staged = stage_table(scored.drop("text"), "importance")
     if k is None:
-        k = staged.where(F.col("log_ratio") >= 0).count()
+        k = staged.where(F.col("log_importance") >= floor).count()
     cut = threshold(staged, "gumbel_key", k) if k and not staged.isEmpty() else None
     return staged.withColumn("kept", F.col("gumbel_key") >= cut if cut is not None else F.lit(False))
 

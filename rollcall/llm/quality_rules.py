@@ -35,7 +35,7 @@ BOILERPLATE = (
 class LineRules:
     """Thresholds; shares are of the words of a line, ``max_lost`` is of the characters of a document's words."""
 
-    symbol_share: float = 0.5
+    symbol_share: float = 1.0
     shout_share: float = 0.5
     nav_share: float = 0.25
     min_marks: int = 3
@@ -57,7 +57,7 @@ def _solid_chars(line: Column) -> Column:
 def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
     """True where one of the line rules rejects the line.
 
-    Punctuation: no letter or digit at all, symbols on half of the words, or
+    Punctuation: no letter or digit at all, a symbol for each word, or
     doubled exclamation marks on half of the words. Navigation: menu
     separators between the words. Boilerplate: a short line with a notice's phrase.
     """

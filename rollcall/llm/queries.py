@@ -85,9 +85,9 @@ WITH d AS (
          regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w
   FROM d
 ), f AS (
-  SELECT rid, doc_id, t, lines, w, list_filter(lines, x ->
+  SELECT rid, doc_id, t, lines, w, list_filter(lines, lambda x:
       NOT regexp_matches(x, '[\pL\pN]')
-      OR (len(regexp_extract_all(x, '[#*$%&|<>]')) >= 3 AND len(regexp_extract_all(x, '[#*$%&|<>]')) >= 0.5 * len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
+      OR (len(regexp_extract_all(x, '[#*$%&|<>]')) >= 3 AND len(regexp_extract_all(x, '[#*$%&|<>]')) >= 1.0 * len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
       OR ((length(x) - length(replace(x, '!!', ''))) / 2 >= 3 AND (length(x) - length(replace(x, '!!', ''))) / 2 >= 0.5 * len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
       OR (len(regexp_extract_all(x, '[|»›•·→]')) >= 3 AND len(regexp_extract_all(x, '[|»›•·→]')) >= 0.25 * len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
       OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) <= 30 AND regexp_matches(x, 'BOILERPLATE', 'i'))) AS bad
