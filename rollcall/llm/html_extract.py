@@ -236,7 +236,8 @@ def template_of_pages(pages: DataFrame, block: int = 512) -> DataFrame:
     """(page_id, shared): the hashes of the lines that each page shares with its nearest page of the host."""
     bounded_batches(pages.sparkSession)
     src = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    lines = src.mapInPandas(_line_hashes, "page_id long, host string, path string, hashes array<long>, states array<byte>, sizes array<int>")
+    # written once: a range partitioning reads its input twice, and the pages would be parsed twice
+    lines = stage_table(src.mapInPandas(_line_hashes, "page_id long, host string, path string, hashes array<long>, states array<byte>, sizes array<int>"), "page-lines")
     ranked = _ranked(lines)
     at = F.floor(F.col("rank") / block)
     # the rows at a block's edges also go to the block beside it, so that every page meets both neighbours
