@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import bounded_batches
+from rollcall.llm.common import bounded_batches, stage_table
 from rollcall.llm.url_filters import url_host
 from rollcall.session import ensure_checkpoint_dir
 
@@ -228,4 +228,5 @@ def archive_and_index(pages: DataFrame, path: str | None = None, min_bytes: int
     spark = pages.sparkSession
     bounded_batches(spark)
     path = write_archives(pages, path or archive_path(spark), min_bytes)
-    return merged_index(read_archives(spark, path))
+    # written once: the range partitioning would read the archives twice
+    return merged_index(stage_table(read_archives(spark, path), "captures"))
