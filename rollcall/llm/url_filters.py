@@ -109,7 +109,7 @@ def url_verdicts(pages: DataFrame, labels: DataFrame, rules=EXPLICIT_RULES, min_
     mined = mine_rules(parsed.join(marks, "page_id"), min_support, min_confidence)
     # pages with the same tokens meet the same rules: match each token set once
     sets = parsed.select(F.xxhash64(F.sort_array("tokens")).alias("token_set"), "tokens").groupBy("token_set").agg(F.first("tokens").alias("tokens"))
-    met = match_rules(sets, mined, "token_set")
+    met = stage_table(match_rules(sets, mined, "token_set"), "url-matches")  # a table, so that the join with many pages of one set can be split
     judged = parsed.withColumn("token_set", F.xxhash64(F.sort_array("tokens"))).join(met, "token_set", "left")
     fixed = explicit_rule(F.col("host"), F.col("path"), rules)
     blocked = F.coalesce(F.col("bad_confidence") > F.coalesce(F.col("good_confidence"), F.lit(0.0)), F.lit(False))
