@@ -64,9 +64,10 @@ def fit(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, prior: float
     What reaches the driver is one pair of counts for each of ``buckets`` buckets.
     """
     marked = docs.select("doc_id", ngram_buckets(F.col("text"), buckets).alias("grams")).join(target.select("doc_id", F.lit(1).alias("good")), "doc_id", "left")
-    counts = marked.select(F.explode("grams").alias("b"), F.coalesce("good", F.lit(0)).alias("good")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()
+    # the outer form: for the plain one Spark adds a filter that would compute the n-grams a second time
+    counts = marked.select(F.explode_outer("grams").alias("b"), F.coalesce("good", F.lit(0)).alias("good")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()
     raw, good = [0] * buckets, [0] * buckets
-    for r in counts:
+    for r in (r for r in counts if r["b"] is not None):
         raw[r["b"]], good[r["b"]] = r["raw"], r["target"]
     if not sum(good):
         return [0.0] * buckets
