@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rollcall import schemas
 from rollcall.constants import AWARD_CATALOGUE
+from rollcall.functions import periods
 
 LIST_TABLE = "achievements_list"
 AWARDED_TABLE = "achievements_awarded"
@@ -156,15 +157,19 @@ def awarded_rows(new: DataFrame, created: Column | None = None) -> DataFrame:
     )
 
 
-def append_awards(new: DataFrame, table: str | None = None, path: str | None = None) -> None:
+def run_mark(as_of) -> Column:
+    """The creation time of awards recorded by a run: its date at midnight, which manual entries hardly have."""
+    return F.lit(periods.to_pydate(as_of)).cast("date").cast("timestamp")
+
+
+def append_awards(new: DataFrame, table: str | None = None, path: str | None = None, created: Column | None = None) -> None:
     """SNK1: append new awards (empty input writes nothing). Table or Parquet path, partitioned by region.
 
-    One run's new awards of a region are few (bounded by the region's people
-    and the award list), so the rows are clustered by region before the write:
-    one file per region and run instead of one per task and region.
+    The rows are clustered by region before the write, few files per region
+    and run; the rebalance hint lets Spark split a region with very many.
     """
-    rows = not_null(awarded_rows(new), ["id", "achievement_id", "pax_id", "date_awarded"], AWARDED_TABLE)
-    rows = rows.repartition("region")
+    rows = not_null(awarded_rows(new, created), ["id", "achievement_id", "pax_id", "date_awarded"], AWARDED_TABLE)
+    rows = rows.hint("rebalance", "region")
     if table is not None:
         spark = new.sparkSession
         rows.select(*spark.table(table).columns).write.insertInto(table)
@@ -178,9 +183,8 @@ def append_notifications(notes: DataFrame, path: str, replace_run: bool = False)
     """SNK6: outgoing messages as rows (kind, region, target, text, run_date); delivery is a separate consumer.
 
     Partitioned by (kind, run_date). ``replace_run`` overwrites only this run's
-    partitions (dynamic overwrite), so rerunning a report for the same date
-    replaces its messages; award messages are appended (a rerun after success
-    has no new awards and must not drop messages still to be delivered).
+    partitions (dynamic overwrite), so rerunning a job for the same date
+    replaces its messages.
     """
     writer = notes.write.partitionBy("kind", "run_date")
     if replace_run:

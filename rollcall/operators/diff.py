@@ -105,6 +105,12 @@ def new_awards(
     return fresh.join(listed, ["region", "achievement_id"], "left_semi").select(*NEW_AWARD_COLUMNS)
 
 
+def recorded_awards(history: DataFrame, specs: Sequence[AwardSpec] = DEFAULT_AWARDS) -> DataFrame:
+    """Recorded awards with the period recomputed from their date. Columns: NEW_AWARD_COLUMNS."""
+    kind = period_kind_of(F.col("achievement_id"), specs)
+    return history.withColumns({"period_kind": kind, "period": periods.period_of_kind(kind, "date_awarded")}).select(*NEW_AWARD_COLUMNS)
+
+
 def award_counts(history: DataFrame) -> DataFrame:
     """Awards per (region, pax, award) already given this year (manual awards included).
 

@@ -33,8 +33,6 @@ from rollcall.functions import periods
 from rollcall.functions.text import fill, mention_target
 from rollcall.operators.notify import DEFAULT_BOT_NAME
 
-MAX_LINES_PER_MESSAGE = 500
-
 THRESHOLD_COLUMNS = (
     "NO_POST_THRESHOLD",
     "NO_Q_THRESHOLD_WEEKS",
@@ -230,76 +228,41 @@ def report_recipients(lines: DataFrame, config: DataFrame, leads: DataFrame) ->
     return lead_rx.unionByName(default_rx)
 
 
-def report_text(
-    lines: DataFrame,
-    recipients: DataFrame,
-    bot_name: str = DEFAULT_BOT_NAME,
-    max_lines: int = MAX_LINES_PER_MESSAGE,
-) -> DataFrame:
-    """Message text per recipient and part.
+#: Order of the rows of one recipient's report; their texts joined in this order are the message.
+REPORT_ORDER = ("section", "is_line", "k1", "k2", "text")
+
+
+def report_text(lines: DataFrame, recipients: DataFrame, bot_name: str = DEFAULT_BOT_NAME) -> DataFrame:
+    """The report of each recipient as ordered rows, the same at every size.
 
     A lead's report holds the lines of their sites; a default report holds
-    every line of the region. Recipients with more than ``max_lines`` lines
-    get ``ceil(n / max_lines)`` parts, lines spread by hash of the person, each
-    part sorted like the source; so the ``collect_list`` per part is bounded.
-    Columns: region, recipient, part, n_parts, text.
+    every line of the region. Header (section 0), section titles, lines and
+    the default note (section 4) are rows; sorted by ``REPORT_ORDER`` and
+    joined they are the source's text. No recipient's lines meet in one row or task.
+    Columns: region, recipient, section, is_line, k1, k2, text.
     """
     # each line goes to its site lead and, if the region has one, to the default recipient:
     # one pass over the lines (the per-region default table is one row per region)
     defaults = recipients.where(F.col("is_default")).select("region", F.col("recipient").alias("default_rx"))
-    targets = F.array_compact(
-        F.array(
-            F.when(
-                F.col("site_q_user_id").isNotNull(),
-                F.struct(F.col("site_q_user_id").alias("recipient"), F.lit(False).alias("is_default")),
-            ),
-            F.when(
-                F.col("default_rx").isNotNull(),
-                F.struct(F.col("default_rx").alias("recipient"), F.lit(True).alias("is_default")),
-            ),
-        )
-    )
-    all_lines = (
-        lines.join(defaults, "region", "left")
-        .select("user_id", "section", "k1", "k2", "line", "region", F.explode(targets).alias("t"))
-        .select("region", "t.recipient", "t.is_default", "user_id", "section", "k1", "k2", "line")
-    )
-    sizes = all_lines.groupBy("region", "recipient", "is_default").agg(F.count(F.lit(1)).alias("n_lines"))
-    n_parts = F.greatest(F.lit(1), F.ceil(F.col("n_lines") / F.lit(max_lines))).cast("int")
-    parted = all_lines.join(sizes, ["region", "recipient", "is_default"]).withColumn("n_parts", n_parts)
-    parted = parted.withColumn("part", F.pmod(F.xxhash64("user_id", "section"), F.col("n_parts")).cast("int"))
-    grouped = parted.groupBy("region", "recipient", "is_default", "part", "n_parts").agg(
-        F.sort_array(F.collect_list(F.struct("section", "k1", "k2", "line"))).alias("lines")
-    )
-    empty_defaults = (
-        recipients.where(F.col("is_default"))
-        .join(sizes, ["region", "recipient", "is_default"], "left_anti")
-        .select(
-            "region",
-            "recipient",
-            "is_default",
-            F.lit(0).alias("part"),
-            F.lit(1).alias("n_parts"),
-            F.array().cast(grouped.schema["lines"].dataType).alias("lines"),
-        )
-    )
-    msgs = grouped.unionByName(empty_defaults)
+    lead = F.when(F.col("site_q_user_id").isNotNull(), F.col("site_q_user_id"))
+    sent = lines.join(defaults, "region", "left").withColumn("recipient", F.explode(F.array_compact(F.array(lead, "default_rx"))))
 
-    def section(no: int, header: str) -> Column:
-        sel = F.filter("lines", lambda x: x["section"] == no)
-        body = F.array_join(F.transform(sel, lambda x: x["line"]), "")
-        return F.when(F.size(sel) > 0, F.concat(F.lit(header), body)).otherwise(F.lit(""))
+    def fixed(rows: DataFrame, section: Column, text: Column) -> DataFrame:
+        return rows.select(
+            "region", "recipient", section.cast("int").alias("section"), F.lit(0).alias("is_line"),
+            F.lit(0).cast("long").alias("k1"), F.lit("").alias("k2"), text.alias("text"),
+        )
 
     header = fill(REPORT_HEADER, target=mention_target(F.col("recipient")), bot=bot_name)
-    part_tag = F.when(
-        F.col("n_parts") > 1, F.format_string(" (part %d of %d)", F.col("part") + 1, F.col("n_parts"))
-    ).otherwise(F.lit(""))
-    text = F.concat(
-        header,
-        part_tag,
-        section(1, REPORT_MIA_HEADER),
-        section(2, REPORT_LOWQ_HEADER),
-        section(3, REPORT_NOQ_HEADER),
-        F.when(F.col("is_default"), F.lit(REPORT_DEFAULT_NOTE)).otherwise(F.lit("")),
+    titles = {1: REPORT_MIA_HEADER, 2: REPORT_LOWQ_HEADER, 3: REPORT_NOQ_HEADER}
+    title = F.coalesce(*[F.when(F.col("section") == no, F.lit(text)) for no, text in titles.items()])
+    body = sent.select(
+        "region", "recipient", F.col("section").cast("int").alias("section"), F.lit(1).alias("is_line"),
+        F.col("k1").cast("long").alias("k1"), "k2", F.col("line").alias("text"),
+    )
+    return (
+        fixed(recipients, F.lit(0), header)
+        .unionByName(fixed(sent.select("region", "recipient", "section").distinct(), F.col("section"), title))
+        .unionByName(body)
+        .unionByName(fixed(recipients.where("is_default"), F.lit(4), F.lit(REPORT_DEFAULT_NOTE)))
     )
-    return msgs.select("region", "recipient", "part", "n_parts", text.alias("text"))

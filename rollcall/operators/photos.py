@@ -73,25 +73,28 @@ def member_names(members: DataFrame) -> DataFrame:
     """SRC12/PRJ9/PRJ10: (id, pax, mention): display name, or real name when it is empty; spaces -> '_'."""
     flat = members.select("id", "profile.display_name", "profile.real_name")
     name = F.when(F.col("display_name") == "", F.col("real_name")).otherwise(F.col("display_name"))
-    return flat.select(
-        "id",
-        F.concat(F.lit("@"), F.regexp_replace(name, " ", "_")).alias("pax"),
-        F.concat(F.lit("<@"), F.col("id"), F.lit(">")).alias("mention"),
-    )
+    pax = F.concat(F.lit("@"), F.regexp_replace(name, " ", "_"))
+    # a member listed twice counts once, with the least name
+    return flat.groupBy("id").agg(F.min(pax).alias("pax")).withColumn("mention", F.concat(F.lit("<@"), F.col("id"), F.lit(">")))
 
 
-def rewrite_mentions(df: DataFrame, names: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Replace every ``<@ID>`` of a known member in ``text`` with the member's ``@name``."""
-    found = df.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(MENTION_PATTERN), 0))).alias("mention"))
+def rewrite_mentions(df: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
+    """Replace every ``<@ID>`` of a known member in ``text`` with the member's ``@name``.
+
+    The names are gathered per distinct text (by its digest), so repeated
+    messages, and several or no file ids on one message, make no difference.
+    """
+    own = df.withColumn("text_key", F.md5(text))
+    mentions = F.array_distinct(F.regexp_extract_all(text, F.lit(MENTION_PATTERN), 0))
+    found = own.select("text_key", F.explode(mentions).alias("mention")).distinct()
     known = found.join(names.select("mention", "pax").where(F.col("pax").isNotNull()), "mention")
-    maps = known.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("mention", "pax"))).alias("m"))
-    out = df.join(maps, key, "left")
+    maps = known.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("mention", "pax"))).alias("m"))
     replaced = F.aggregate(
         F.map_entries(F.coalesce(F.col("m"), F.create_map().cast("map<string,string>"))),
         F.col(text),
         lambda acc, e: F.replace(acc, e["key"], e["value"]),
     )
-    return out.withColumn(text, replaced).drop("m")
+    return own.join(maps, "text_key", "left").withColumn(text, replaced).drop("m", "text_key")
 
 
 def photo_rows(flat: DataFrame, members: DataFrame) -> DataFrame:
@@ -101,7 +104,7 @@ def photo_rows(flat: DataFrame, members: DataFrame) -> DataFrame:
     """
     names = member_names(members)
     photos = flat.where(F.col("file_is_photo")).drop("file_is_photo")
-    photos = rewrite_mentions(photos, names, ["channel", "ts", "file_id"])
+    photos = rewrite_mentions(photos, names)
     photos = photos.withColumn("date", ts_to_date("ts"))
     poster = names.select(F.col("id").alias("user"), "pax")
     return photos.join(poster, "user", "left").select(

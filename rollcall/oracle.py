@@ -510,23 +510,24 @@ ORACLE["report_noq"] = f"WITH {REPORT_CTES}\nSELECT * FROM noq"
 ORACLE["report_recipients"] = f"WITH {REPORT_CTES}\nSELECT * FROM rx"
 
 
-def _section_sql(no: int, header: str) -> str:
-    return f"""coalesce({sql_text(header)} || (
-      SELECT string_agg(l.line, '' ORDER BY l.k1, l.k2, l.line) FROM lines l
-      WHERE l.section = {no} AND l.region = r.region AND (r.is_default OR l.site_q_user_id = r.recipient)), '')"""
-
-
 REPORT_TEXT_SELECT = f"""
-SELECT r.region, r.recipient, 0 AS part, 1 AS n_parts,
-  'Howdy, <' || CASE WHEN upper(substr(r.recipient, 1, 1)) = 'U' THEN '@' || r.recipient ELSE '!channel' END
-  || '>! This is your weekly Rollcall Site Q report. According to my records...'
-  || {_section_sql(1, chr(10) * 2 + "The following men haven't posted in a while.")}
-  || {_section_sql(2, chr(10) * 2 + "These guys haven't Q'd in a while. Here's how many days it's been:")}
-  || {_section_sql(3, chr(10) * 2 + "These guys have never been Q:")}
-  || CASE WHEN r.is_default
-          THEN {sql_text(chr(10) * 2 + 'Note: If you have listed your site Qs on your aos table, this information will have gone out to them as well.')}
-          ELSE '' END AS text
-FROM rx r"""
+SELECT region, recipient, 0 AS section, 0 AS is_line, CAST(0 AS BIGINT) AS k1, '' AS k2,
+  'Howdy, <' || CASE WHEN upper(substr(recipient, 1, 1)) = 'U' THEN '@' || recipient ELSE '!channel' END
+  || '>! This is your weekly Rollcall Site Q report. According to my records...' AS text
+FROM rx
+UNION ALL
+SELECT DISTINCT r.region, r.recipient, l.section, 0, CAST(0 AS BIGINT), '', CASE l.section
+  WHEN 1 THEN {sql_text(chr(10) * 2 + "The following men haven't posted in a while.")}
+  WHEN 2 THEN {sql_text(chr(10) * 2 + "These guys haven't Q'd in a while. Here's how many days it's been:")}
+  ELSE {sql_text(chr(10) * 2 + "These guys have never been Q:")} END
+FROM rx r JOIN lines l ON l.region = r.region AND (r.is_default OR l.site_q_user_id = r.recipient)
+UNION ALL
+SELECT r.region, r.recipient, l.section, 1, CAST(l.k1 AS BIGINT), l.k2, l.line
+FROM rx r JOIN lines l ON l.region = r.region AND (r.is_default OR l.site_q_user_id = r.recipient)
+UNION ALL
+SELECT region, recipient, 4, 0, CAST(0 AS BIGINT), '',
+  {sql_text(chr(10) * 2 + 'Note: If you have listed your site Qs on your aos table, this information will have gone out to them as well.')}
+FROM rx WHERE is_default"""
 
 ORACLE["report_text"] = f"WITH {REPORT_CTES}\n{REPORT_TEXT_SELECT}"
 

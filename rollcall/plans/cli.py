@@ -38,12 +38,9 @@ def _session() -> SparkSession:
 
 def _read(spark: SparkSession, root: str, name: str, schema=None, required: bool = True) -> DataFrame | None:
     path = os.path.join(root, name)
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException:
-        if required:
-            raise
+    if not required and not S.path_exists(spark, path):
         return None
+    df = spark.read.parquet(path)
     return S.conform(df, schema) if schema is not None else df
 
 
@@ -67,15 +64,24 @@ def _date(value: str) -> dt.date:
     return dt.date.fromisoformat(value)
 
 
+def _history(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded awards at an existing path; a folder in which no run has recorded any is an empty history, damaged files raise."""
+    try:
+        return S.conform(spark.read.parquet(path), schemas.ACHIEVEMENTS_AWARDED)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.createDataFrame([], schemas.ACHIEVEMENTS_AWARDED)
+
+
 def run_award(spark: SparkSession, a: argparse.Namespace) -> dict:
-    awarded = _read(spark, a.tables, "achievements_awarded", required=False)
-    if a.awarded_path:
-        try:
-            awarded = spark.read.parquet(a.awarded_path)
-        except AnalysisException:  # first run
-            pass
-    if awarded is None:
-        awarded = spark.createDataFrame([], schemas.ACHIEVEMENTS_AWARDED)
+    # one history: what the lake holds and what earlier runs recorded
+    own = os.path.join(a.tables, "achievements_awarded")
+    paths = dict.fromkeys(p.rstrip("/") for p in (own, a.awarded_path) if p)
+    awarded = spark.createDataFrame([], schemas.ACHIEVEMENTS_AWARDED)
+    for path in paths:
+        if S.path_exists(spark, path):
+            awarded = awarded.unionByName(_history(spark, path))
     out = J.award_run(
         load_attendance(spark, a.tables),
         load_config(spark, a.tables),
@@ -99,7 +105,7 @@ def run_report(spark: SparkSession, a: argparse.Namespace) -> dict:
         notifications_path=a.notifications,
         bot_name=a.bot_name,
     )
-    return {"reports": out["report"].count()}
+    return {"reports": out["report"].where("section = 0").count()}
 
 
 def run_photos(spark: SparkSession, a: argparse.Namespace) -> dict:

@@ -16,7 +16,6 @@ import datetime as _dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ from rollcall.operators import lapse as L
 from rollcall.operators import notify as N
 from rollcall.operators import photos as P
 from rollcall.session import stage_table
-from rollcall.sources.tables import region_list, restrict_regions
+from rollcall.sources.tables import path_exists, region_list, restrict_regions
 
 
 @dataclass
@@ -106,19 +105,25 @@ def award_run(
     eligible = D.eligible_regions(region_config, award_list, EXCLUDED_REGIONS_AWARDS)
     if regions is not None:
         eligible = eligible.join(regions, "region", "left_semi")
-    # materialise before appending: the append must not re-read the table it extends
+    # materialise before appending: neither the append nor the messages may re-read the table it extends
     new = stage_table(D.new_awards(earned_pax, history, award_list, eligible, specs), "new_awards")
+    # awards recorded by an earlier attempt at this run date are announced again with the new ones,
+    # so that an attempt that failed between the two writes loses no message
+    mark = K.run_mark(as_of)
+    prior = stage_table(D.award_counts(history.where(~F.col("created").eqNullSafe(mark))), "prior_awards")
+    again = history.where(F.col("created") == mark).join(eligible.select("region"), "region", "left_semi")
+    run = stage_table(new.unionByName(D.recorded_awards(again, specs)), "run_awards")
 
     if awarded_table is not None or awarded_path is not None:
-        K.append_awards(new, table=awarded_table, path=awarded_path)
+        K.append_awards(new, table=awarded_table, path=awarded_path, created=mark)
 
-    ordinals = D.award_ordinals(new, D.award_counts(history))
+    ordinals = D.award_ordinals(run, prior)
     messages = N.award_messages(ordinals, award_list, eligible)
-    summary = N.run_summary(new, eligible, N.log_channels(tables.aos), bot_name)
+    summary = N.run_summary(run, eligible, N.log_channels(tables.aos), bot_name)
     notes = _notes(messages, "award").unionByName(_notes(summary, "award_summary"))
     notes = notes.withColumn("run_date", periods.as_date(periods.to_pydate(as_of)))
     if notifications_path is not None:
-        K.append_notifications(notes, notifications_path)
+        K.append_notifications(notes, notifications_path, replace_run=True)
     return {"new_awards": new, "messages": messages, "summary": summary, "notifications": notes}
 
 
@@ -129,7 +134,6 @@ def report_run(
     region_names: DataFrame | None = None,
     notifications_path: str | None = None,
     bot_name: str = N.DEFAULT_BOT_NAME,
-    max_lines: int = L.MAX_LINES_PER_MESSAGE,
     share_event_join: bool = False,
     bounded_history: bool = True,
 ) -> dict[str, DataFrame]:
@@ -180,14 +184,14 @@ def report_run(
     noq = L.noq(status, leads)
     lines = L.report_lines(status, leads, as_of)
     recipients = L.report_recipients(lines, config, leads)
-    text = L.report_text(lines, recipients, bot_name, max_lines)
+    text = L.report_text(lines, recipients, bot_name)
     logs = N.log_channels(t.aos)
     log_rows = config.select("region").join(logs, "region", "left").select(
         "region", F.col("log_channel").alias("target"), F.lit(REPORT_LOG_MESSAGE).alias("text")
     )
     notes = (
-        text.select(F.lit("report").alias("kind"), "region", F.col("recipient").alias("target"), "text")
-        .unionByName(_notes(log_rows, "report_log"))
+        text.withColumn("kind", F.lit("report")).withColumnRenamed("recipient", "target")
+        .unionByName(_notes(log_rows, "report_log"), allowMissingColumns=True)
         .withColumn("run_date", periods.as_date(periods.to_pydate(as_of)))
     )
     if notifications_path is not None:
@@ -216,10 +220,8 @@ def photo_run(
     month = f"{start.year:04d}-{start.month:02d}"
     seen = None
     if seen_path is not None:
-        try:
+        if path_exists(spark, seen_path):  # else the first run: no state yet
             seen = spark.read.parquet(seen_path).where(F.col("month") != month)
-        except AnalysisException:  # first run: no state yet
-            seen = None
     flat = P.flatten_files(P.in_previous_month(messages, as_of))
     manifest = stage_table(
         P.photo_manifest(P.dedup_photos(P.photo_rows(flat, members), contents, seen)).withColumn("month", F.lit(month)),

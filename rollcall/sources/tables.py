@@ -28,6 +28,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     return reader.load(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on its file system; a path that cannot be examined raises."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def conform(df: DataFrame, schema) -> DataFrame:
     """Project ``df`` onto ``schema``: missing nullable columns become NULL, types are cast with try_cast.
 

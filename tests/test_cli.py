@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from rollcall.plans import cli
@@ -30,6 +31,16 @@ def test_award_and_report_commands(spark, tmpdir_path):
     assert first["new_awards"] > 0
     assert spark.read.parquet(awarded).count() == first["new_awards"]
     assert cli.main(args)["new_awards"] == 0
+    # awards that the lake itself holds are not awarded again, before or after the path has its own
+    spark.read.parquet(awarded).write.parquet(os.path.join(lake, "achievements_awarded"))
+    other = [*args[:-4], "--awarded-path", os.path.join(tmpdir_path, "other")]
+    assert cli.main(other)["new_awards"] == 0 and cli.main(other)["new_awards"] == 0
+    bad = os.path.join(tmpdir_path, "bad")
+    os.makedirs(bad)
+    with open(os.path.join(bad, "part-0.parquet"), "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        cli.main([*args[:-4], "--awarded-path", bad])
     rep = cli.main(["report", "--tables", lake, "--as-of", "1998-10-31"])
     assert rep["reports"] == X.region_config(spark, SF).count()
 

@@ -136,6 +136,13 @@ def test_award_run_on_catalog_tables_and_trophy_view(spark):
     again = J.award_run(_tables(spark), X.region_config(spark, SF), spark.table(lst_t), spark.table(aw_t),
                         X.FACT_AS_OF, specs=driver_specs(), awarded_table=aw_t)
     assert again["new_awards"].count() == 0
+    # the history grows under the job; texts must be those of a run whose history is a fixed path
+    fixed = J.award_run(_tables(spark), X.region_config(spark, SF), spark.table(lst_t), spark.createDataFrame([], schemas.ACHIEVEMENTS_AWARDED),
+                        X.FACT_AS_OF, specs=driver_specs())
+    texts = lambda run: sorted((r.target, r.text) for r in run["messages"].collect())
+    assert texts(out) == texts(fixed)
+    # an attempt that finds its awards already recorded announces the same awards again
+    assert len(texts(again)) == n and {t for _, t in texts(again)} == {t for _, t in texts(out)}
     X.normalised_users(spark, SF).createOrReplaceTempView("rc_users")
     K.create_trophy_view(spark, "rc_users", aw_t, lst_t)
     assert spark.table(K.VIEW_NAME).count() == before + n

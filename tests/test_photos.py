@@ -71,3 +71,13 @@ def test_description_is_cut_at_1000_characters(spark):
     contents = spark.createDataFrame([("F1", b"q")], "file_id string, content binary")
     man = P.photo_manifest(P.dedup_photos(rows, contents, None)).first()
     assert len(man.description) == 1000
+
+
+def test_repeated_messages_and_members_and_missing_file_ids(spark):
+    f = lambda i: (i, "jpg", "image/x", "u", 1)
+    when = ts(dt.datetime(2025, 1, 5))
+    rows = [("c", when, "U1", "hi <@U2>", [f("F1"), f(None)]), ("c", when, "U1", "hi <@U2>", [f("F1"), f(None)]), ("c", when, "U1", None, [f("F2")])]
+    members = _members(spark).unionByName(_members(spark))
+    got = P.photo_rows(P.flatten_files(spark.createDataFrame(rows, schemas.MESSAGES)), members).collect()
+    assert sorted(str(r.file_id) for r in got) == ["F1", "F1", "F2", "None", "None"]
+    assert {r.text for r in got} == {"hi @Two_Dee", None} and {r.pax for r in got} == {"@Real_One"}

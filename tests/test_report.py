@@ -63,7 +63,9 @@ def test_report_text(inputs):
     activity, leads, config = inputs
     lines = L.report_lines(activity, leads, AS_OF)
     rx = L.report_recipients(lines, config, leads)
-    texts = {r.recipient: r.text for r in L.report_text(lines, rx, bot_name="Bot").collect()}
+    texts = {}
+    for r in L.report_text(lines, rx, bot_name="Bot").orderBy(*L.REPORT_ORDER).collect():
+        texts[r.recipient] = texts.get(r.recipient, "") + r.text
     assert set(texts) == {"UL1", "UL1b", "UL2", "CFULL"}
     assert texts["UL2"] == (
         "Howdy, <@UL2>! This is your weekly Bot Site Q report. According to my records..."
@@ -87,22 +89,26 @@ def test_default_recipient_gets_empty_report_unless_a_lead(spark, inputs):
     lines = L.report_lines(empty, leads, AS_OF)
     cfg = spark.createDataFrame([("r1", "UDEF", 2, 2, 4, 2, 52), ("r2", "UL9", 2, 2, 4, 2, 52)], CFG)
     leads2 = leads.unionByName(spark.createDataFrame([("r2", "S9", "ao-9", "UL9")], leads.schema))
-    got = [tuple(r) for r in L.report_text(lines, L.report_recipients(lines, cfg, leads2)).collect()]
-    assert len(got) == 1 and got[0][1] == "UDEF"
-    assert "haven't" not in got[0][4] and got[0][4].endswith("as well.")
+    got = L.report_text(lines, L.report_recipients(lines, cfg, leads2)).orderBy(*L.REPORT_ORDER).collect()
+    assert [(r.recipient, r.section) for r in got] == [("UDEF", 0), ("UDEF", 4)]
+    assert got[1].text.endswith("as well.")
 
 
-def test_long_lists_are_split_into_bounded_parts(spark):
-    n = 50
-    rows = [(f"p{i}", "S1", "ao-1", wk(3), 1, "r1", f"U{i:03d}") for i in range(n)]
-    fact = spark.createDataFrame(rows, FACT)
+@pytest.mark.parametrize("n", [501, 50_000])
+def test_long_lists_have_the_same_shape_and_order(spark, n):
+    day = F.date_sub(F.lit(wk(3)), (F.col("id") % 7).cast("int"))
+    fact = spark.range(n).select(
+        F.format_string("p%d", "id").alias("email"), F.lit("S1").alias("ao_id"), F.lit("ao-1").alias("ao"), day.alias("date"),
+        F.lit(1).alias("q_flag"), F.lit("r1").alias("region"), F.format_string("U%06d", "id").alias("user_id"),
+    )
     config = spark.createDataFrame([("r1", "UDEF", 2, 2, 4, 2, 52)], CFG)
     leads = L.site_leads(spark.createDataFrame([("r1", "S1", "ao-1", None)], "region string, channel_id string, ao string, site_q_user_id string"))
     act = L.lapse_status(L.person_activity(fact, config, AS_OF), AS_OF)
     lines = L.report_lines(act, leads, AS_OF)
-    parts = L.report_text(lines, L.report_recipients(lines, config, leads), max_lines=10).collect()
-    assert {p.n_parts for p in parts} == {5}
-    assert sum(p.text.count("last posted") for p in parts) == n
+    rows = L.report_text(lines, L.report_recipients(lines, config, leads)).orderBy(*L.REPORT_ORDER).collect()
+    assert [(r.section, r.is_line) for r in rows] == [(0, 0), (1, 0)] + [(1, 1)] * n + [(4, 0)]
+    want = sorted((i % 7, f"U{i:06d}") for i in range(n))  # latest first, then by person
+    assert [r.k2 for r in rows[2:-1]] == [u for _, u in want]
 
 
 def test_bounded_history_keeps_never_led_exact(spark):
