@@ -372,6 +372,28 @@ def test_one_large_group_of_near_copies(spark):
     assert got == {i: 0 if i < 600 else i for i, _ in rows}
 
 
+def test_buckets_of_unlike_texts_lose_no_link(spark, monkeypatch):
+    """Texts about a similarity of 0.8 apart in one family, and a passage in many texts, some of them alike besides it."""
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    rng = random.Random(12)
+    family, passage = [f"w{i}" for i in range(90)], [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(70):
+        w = list(family)
+        for at in rng.sample(range(90), rng.choice([1, 2, 3])):
+            w[at] = f"x{i}_{at}"
+        texts.append(" ".join(w))
+    for i in range(60):
+        own = [f"y{i}_{j}" for j in range(30)]
+        texts.append(" ".join(own[:15] + passage + own[15:]))
+        if i % 4 == 0:
+            texts.append(" ".join(own[:15] + passage + own[15:29] + ["end"]))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_duplicates_on_awkward_rows(spark, awkward, no_docs):
     out = near_dedup.near_duplicates(awkward)
     got = Counter((r["doc_id"], r["class_id"], r["copy_of"]) for r in out.collect())
