@@ -1,5 +1,4 @@
-"""The source's own unit tests, re-expressed: injected predicates on a two-row frame,
-look-back windows 30/60/90/120, award table structure."""
+"""Injected predicates, look-back windows 30/60/90/120, award table structure."""
 
 import datetime as dt
 
@@ -11,33 +10,37 @@ from rollcall.operators import awards as A
 from rollcall.operators import catalog as K
 from rollcall.operators import home as H
 
-SAMPLE = [
-    ("user1@f3.com", "User1", "AO1", "WorkoutAO", dt.date(2025, 1, 1), 1, "Regular workout", "f3region1"),
-    ("user2@f3.com", "User2", "AO2", "QSource", dt.date(2025, 1, 2), 0, "Q Source 1.1", "f3region2"),
-]
-SCHEMA = "email string, user_name string, ao_id string, ao string, date date, q_flag int, backblast string, region string"
+FACT = "email string, user_name string, ao_id string, ao string, date date, q_flag int, backblast string, region string"
 
-def qsource():
-    return F.col("backblast").contains("Q Source") | F.col("ao").contains("QSource")
 
+def year_of_posts():
+    """One person's 2024: a led post at a track every day of a week, and three talks at a hall in May."""
+    track = [("kim@mail.org", "Kim", "S7", "river track", dt.date(2024, 3, 4 + d), 1, "laps and sprints", "north") for d in range(7)]
+    hall = [("kim@mail.org", "Kim", "S9", "town hall", dt.date(2024, 5, 7 * w + 1), 0, "talk on habits", "north") for w in range(3)]
+    return track + hall
 
-def workout():
-    return ~F.col("backblast").contains("Q Source") & ~F.col("ao").rlike("QSource|ruck")
 
+def talk():
+    return F.col("backblast").startswith("talk")
 
-@pytest.mark.parametrize("award_id,period", [(1, "year"), (2, "month"), (3, "month"), (13, "week"), (14, "year")])
-def test_awards_with_injected_predicates(spark, award_id, period):
-    fact = spark.createDataFrame(SAMPLE, SCHEMA)
-    out = A.earned_awards(fact, A.award_specs(ids=[award_id]), qsource=qsource(), workout=workout())
-    assert {"email", "region", "date_awarded", "period", "period_kind"} <= set(out.columns)
-    assert out.count() == 0  # two rows reach no threshold
 
+def sport():
+    return F.col("ao").endswith("track")
 
-def test_injected_predicates_are_used(spark):
-    fact = spark.createDataFrame([SAMPLE[1]] * 4, SCHEMA)
-    monk = A.award_specs(ids=[2])
-    assert A.earned_awards(fact, monk, qsource=qsource(), workout=workout()).count() == 1
-    assert A.earned_awards(fact, monk, qsource=F.lit(False), workout=workout()).count() == 0
+
+#: award id -> (threshold, awards): talks a year and a month, led posts a month, posts a week and at a site
+EXPECTED = {1: (3, 1), 2: (3, 1), 3: (7, 1), 13: (7, 1), 14: (7, 1)}
+
+
+@pytest.mark.parametrize("award_id", sorted(EXPECTED))
+def test_predicates_decide_what_counts(spark, award_id):
+    threshold, awards = EXPECTED[award_id]
+    fact = spark.createDataFrame(year_of_posts(), FACT)
+    reached = A.award_specs({award_id: threshold}, ids=[award_id])
+    missed = A.award_specs({award_id: threshold + 1}, ids=[award_id])
+    assert A.earned_awards(fact, reached, qsource=talk(), workout=sport()).count() == awards
+    assert A.earned_awards(fact, missed, qsource=talk(), workout=sport()).count() == 0
+    assert A.earned_awards(fact, reached, qsource=F.lit(False), workout=F.lit(False)).count() == 0
 
 
 @pytest.mark.parametrize("days", [30, 60, 90, 120])
