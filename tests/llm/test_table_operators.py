@@ -372,9 +372,11 @@ def test_one_large_group_of_near_copies(spark):
     assert got == {i: 0 if i < 600 else i for i, _ in rows}
 
 
-def test_buckets_of_unlike_texts_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [near_dedup.WIDE, 8])
+def test_buckets_of_unlike_texts_lose_no_link(spark, monkeypatch, wide):
     """Texts about a similarity of 0.8 apart in one family, and a passage in many texts, some of them alike besides it."""
     monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "WIDE", wide)
     rng = random.Random(12)
     family, passage = [f"w{i}" for i in range(90)], [f"p{i}" for i in range(60)]
     texts = []
