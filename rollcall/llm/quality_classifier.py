@@ -11,6 +11,16 @@ the marks between them; a sign for a word repeated at once), which have the same
 meaning in every language and stay dense in small corpora. Counts are shrunk
 towards the raw model, so a rare bucket says little.
 
+Shapes cannot tell an insult from any other word, so the real words are counted
+beside them: the lower-cased unigrams and bigrams of the labelled texts, once a
+text, in the target and in each class it excludes (toxic; of quality 0). Most
+are rare and differ by chance: an n-gram is evidence only if its share of an
+excluded class is beyond chance after a correction for the number of n-grams
+tested. Its log ratio counts in full, however long the document is. With s the
+sum of the log ratios against a class, the words give the log importance under a
+mixture of all classes, -log(sum of share * exp(-s)). Where it is below 0 it is
+added, and shapes like the target's count for nothing: an excluded class may have them too.
+
 Defined results: a null or wordless text has no n-grams and log ratio 0; rows
 without an id share one noise value; ties at the threshold are all taken;
 repeated rows get equal results; without a target label all ratios are 0; an
@@ -19,7 +29,9 @@ empty table gives an empty table; columns that clash are replaced.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +47,9 @@ SCALE = 32.0
 PADDING = 8
 #: Log importance below which a document counts as outside the target model: beyond four, Gumbel noise seldom makes up for it.
 FLOOR = -4.0
+#: N-grams of words expected to pass as evidence by chance, over all that are tested.
+FALSE_WORDS = 0.1
+TARGET, TOXIC, POOR = 0, 1, 2
 
 
 def shapes(text: Column) -> Column:
@@ -75,6 +90,74 @@ def fit(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, prior: float
     return [math.log((g + prior) / (r * share + prior)) for g, r in zip(good, raw, strict=True)]
 
 
+def words(text: Column) -> Column:
+    """The lower-cased runs of letters and digits of a text."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), "")
+
+
+def word_ngrams(w: Column, bigrams: bool = True) -> Column:
+    """The distinct unigrams, and bigrams joined by a space, of an array of words."""
+    return bind(w, lambda b: F.array_distinct(F.concat(b, F.transform(b, lambda x, i: F.concat_ws(" ", F.get(b, i - 1), x))))) if bigrams else F.array_distinct(w)
+
+
+def classes(labels: DataFrame) -> DataFrame:
+    """(doc_id, class): TARGET for ids whose labels are all of quality 1 and not toxic, else TOXIC or POOR; ids without a verdict are left out."""
+    toxic = F.coalesce("toxic", F.lit(0)) != 0
+    by_id = labels.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & ~toxic).alias("good"), F.max(toxic).alias("toxic"))
+    return by_id.select("doc_id", F.when(F.col("good"), TARGET).when(F.col("toxic"), TOXIC).when(~F.col("good"), POOR).alias("class")).where("class IS NOT NULL")
+
+
+def word_evidence(docs: DataFrame, labelled: DataFrame) -> tuple[dict[int, float], dict[int, dict[str, float]]]:
+    """The share of each class among the distinct labelled texts, and for each excluded class the log ratios (target to class) of the n-grams that tell them apart.
+
+    What reaches the driver is the n-grams that pass the test and no counts of others.
+    """
+    # copies of one text are one observation
+    texts = stage_table(docs.where(F.length("text") > 0).join(labelled, "doc_id").select("class", "text").dropDuplicates(), "labelled-texts")
+    n = {r["class"]: r["n"] for r in texts.groupBy("class").agg(F.count("*").alias("n")).collect()}
+    good, found = n.get(TARGET, 0), {}
+    if not good:
+        return {}, {}
+    grams = texts.select("class", F.explode(word_ngrams(words(F.col("text")))).alias("gram"))
+    counted = stage_table(grams.where(F.col("class") != TARGET).groupBy("class", "gram").agg(F.count("*").alias("b")), "class-ngrams")
+    tested = {r["class"]: r["n"] for r in counted.groupBy("class").agg(F.count("*").alias("n")).collect()}
+    share = {c: n[c] / (n[c] + good) for c in tested}
+    least = {c: math.log(tested[c] / FALSE_WORDS) for c in tested}
+    # the bound on chance is share ** b where no target text has the n-gram, and weaker elsewhere: fewer can't pass
+    enough = [(F.col("class") == c) & (F.col("b") * -math.log(share[c]) >= least[c]) for c in sorted(tested)]
+    # written, so that its size is known before the target's n-grams meet it: a small one spares them the shuffle
+    able = stage_table(counted.where(functools.reduce(operator.or_, enough, F.lit(False))), "able-ngrams")
+    in_target = grams.where(F.col("class") == TARGET).join(able.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("g"))
+    able = stage_table(able.join(in_target, "gram", "left").select("class", "gram", "b", F.coalesce("g", F.lit(0)).alias("g")), "compared-ngrams")
+    for c in sorted(tested):
+        q = F.col("b") / (F.col("b") + F.col("g"))
+        # Chernoff bound on the chance of so many of its texts in the class
+        nats = F.col("b") * F.log(q / share[c]) + F.when(F.col("g") > 0, F.col("g") * F.log((1 - q) / (1 - share[c]))).otherwise(0.0)
+        rows = able.where((F.col("class") == c) & (q > share[c]) & (nats >= least[c])).collect()
+        found[c] = {r["gram"]: math.log((r["g"] + 1) / (good + 2)) - math.log((r["b"] + 1) / (n[c] + 2)) for r in rows}
+    total = sum(n.values())
+    return {c: m / total for c, m in n.items()}, {c: f for c, f in found.items() if f}
+
+
+def word_importance(text: Column, shares: dict[int, float], evidence: dict[int, dict[str, float]]) -> Column:
+    """Log importance of a text by its words, under the mixture of the classes; 0 without evidence."""
+    if not evidence:
+        return F.lit(0.0)
+
+    def log_ratio(g: Column, ratios: dict[str, float]) -> Column:
+        keys = sorted(ratios)
+        names, values = F.lit(keys), F.lit([ratios[k] for k in keys])
+        return F.aggregate(F.array_intersect(g, names), F.lit(0.0), lambda a, x: a + F.element_at(values, F.array_position(names, x).cast("int")))
+
+    def of_grams(g: Column) -> Column:
+        mixture = F.lit(1.0 - sum(shares[c] for c in evidence))
+        for c, ratios in sorted(evidence.items()):
+            mixture = mixture + F.lit(shares[c]) * F.exp(-log_ratio(g, ratios))
+        return -F.log(mixture)
+
+    return bind(word_ngrams(words(text), any(" " in k for f in evidence.values() for k in f)), of_grams)
+
+
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:
     """Standard Gumbel noise fixed by the document's id."""
     u = (F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -112,13 +195,16 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
     importance is at least ``floor``, the part of the corpus that the target
     model covers. ``labels`` (doc_id, quality, toxic) names the target: quality 1 and not toxic.
     """
-    good = labels.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).where("good").select("doc_id")
-    table = F.lit(fit(docs.select("doc_id", "text"), good, buckets, prior))
+    labelled, texts = classes(labels), docs.select("doc_id", "text")
+    table = F.lit(fit(texts, labelled.where(F.col("class") == TARGET).select("doc_id"), buckets, prior))
+    by_words = word_importance(F.col("text"), *word_evidence(texts, labelled))
     base = clean_columns(docs, "n_grams", "log_ratio", "log_importance", "gumbel_key", "kept")
     scored = base.withColumn("__g", ngram_buckets(F.col("text"), buckets)).withColumns(
         {"n_grams": F.size("__g").cast("long"), "log_ratio": F.aggregate("__g", F.lit(0.0), lambda a, b: a + F.get(table, b))}
     )
-    scored = scored.withColumn("log_importance", F.col("log_ratio") * SCALE / (F.col("n_grams") + PADDING))
+    by_shapes = F.col("log_ratio") * SCALE / (F.col("n_grams") + PADDING)
+    # bound once: named twice it would be computed twice
+    scored = scored.withColumn("log_importance", bind(by_words, lambda w: F.when(w < 0, F.least(by_shapes, F.lit(0.0)) + w).otherwise(by_shapes)))
     scored = scored.withColumn("gumbel_key", F.col("log_importance") + gumbel(F.col("doc_id"), seed)).drop("__g")
     staged = stage_table(scored.drop("text"), "importance")
     if k is None:

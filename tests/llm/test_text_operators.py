@@ -210,6 +210,28 @@ def test_sample_of_clean_documents_keeps_them(spark):
     assert qc.resample_documents(clean, labels).count() > 0.98 * clean.count()
 
 
+def test_sample_leaves_toxic_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    half = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)  # the other half is held out
+    out = qc.importance_resample(docs, half).join(labels.join(half, "doc_id", "left_anti").where("quality = 1"), "doc_id")
+    share = {r["toxic"]: r["kept"] for r in out.groupBy("toxic").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    assert share[0] > 0.98 and share[1] < 0.3
+
+
+def test_words_tell_toxic_texts_of_the_same_shapes(spark):
+    rows = [(i, f"Word{i % 7} and some plain prose follow here, number {i}.", 1, 0) for i in range(60)]
+    rows += [(100 + i, f"Word{i % 7} and some blunt prose follow here, number {i}.", 1, 1) for i in range(20)]
+    rows += [(200 + i, "A single copied text with rare remarks.", 1, 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    _, evidence = qc.word_evidence(df, qc.classes(df))
+    # the copies are one observation; "number 0." to "number 19." are in both classes
+    assert set(evidence) == {qc.TOXIC} and set(evidence[qc.TOXIC]) == {"blunt", "some blunt", "blunt prose"}
+    fresh = spark.createDataFrame([(1, "Quite plain, all of it."), (2, "Quite BLUNT, all of it.")], "doc_id long, text string")
+    plain, blunt = (r["w"] for r in fresh.select(qc.word_importance(F.col("text"), *qc.word_evidence(df, qc.classes(df))).alias("w")).collect())
+    assert blunt < -1 < 0 == round(plain, 9)
+
+
 def test_sample_size_and_awkward_rows(spark, awkward, no_docs, table):
     labels = table("labels")
     docs = table("documents")
