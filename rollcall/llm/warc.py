@@ -10,8 +10,9 @@ range of keys, which gives the captures in one global order.
 
 Defined results: null HTML is the empty payload; a null URL is the empty URI;
 records with equal payloads (of at least ``min_bytes``) refer to the one with
-the largest page_id; rows that repeat an id are records of their own, of
-which the least row writes the response; an empty table gives no record.
+the largest page_id, rows without an id too; rows that repeat an id are
+records of their own, each judged by its own payload, and all rows of the
+largest id with that payload write responses; an empty table gives no record.
 """
 
 from __future__ import annotations
@@ -59,8 +60,11 @@ def archive_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     src = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("bytes"))
     big = F.col("bytes") >= min_bytes
     leader = src.where(big).groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    marks = src.where(big).select("page_id", "sha1").join(leader, "sha1").where(~F.col("page_id").eqNullSafe(F.col("response"))).select("page_id", "response").distinct()
-    joined = src.join(marks, "page_id", "left")
+    # a mark belongs to a payload of an id: another payload of the same id is a record of its own
+    same = F.col("sha1").eqNullSafe(F.col("__sha1")) & F.col("page_id").eqNullSafe(F.col("__id"))
+    marks = src.where(big).select("page_id", "sha1").join(leader, "sha1").where(~F.col("page_id").eqNullSafe(F.col("response")))
+    marks = marks.select(F.col("page_id").alias("__id"), F.col("sha1").alias("__sha1"), "response").distinct()
+    joined = src.join(marks, same, "left")
     revisit = F.col("response").isNotNull()
     date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 31))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     uri = F.regexp_replace(F.col("url"), r"[\r\n]", " ")

@@ -209,6 +209,16 @@ def test_archives_round_trip(spark, tmpdir_path):
     assert warc.archive_and_index(df.limit(0)).count() == 0
 
 
+def test_payloads_of_a_repeated_id_are_judged_apart(spark):
+    rows = [(5, "x"), (9, "x"), (5, "only here"), (7, "p"), (7, "q"), (8, "p"), (12, "q"), (12, "q"), (None, "x"), (None, "no other")]
+    df = spark.createDataFrame([(i, f"http://a.org/{n}", html) for n, (i, html) in enumerate(rows)], "page_id long, url string, html string")
+    out = warc.archive_and_index(df).collect()
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in out)
+    responses = [(9, 1), (5, 9), (8, 1), (12, 1), (12, 1), (None, 8)]
+    revisits = [(5, 1, 9), (7, 1, 8), (7, 1, 12), (None, 1, 9)]
+    assert got == Counter([(i, n, "response", None) for i, n in responses] + [(i, n, "revisit", to) for i, n, to in revisits])
+
+
 def test_a_damaged_archive_is_refused():
     import gzip
 
