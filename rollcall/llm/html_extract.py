@@ -8,8 +8,14 @@ deleted. Markup that names its purpose settles the rest: lines inside menus,
 headers, footers, asides, forms, adverts, notices and comments go even where
 the pair differs there, and lines inside ``article`` or ``main`` stay even
 where the neighbour shares them, since copies of an article are not template.
-A pair in which most of a page's open text is shared is two copies of one
-page: it says nothing about the template and deletes nothing.
+Names in class or id and forms only mark a part: one that holds the page's
+article or main (of several, those under the fewest marks), or most of the text
+of a page without either, is a wrapper and keeps its text.
+
+A pair in which most of a page's open text is shared may be two copies of one
+page or a short article in a long template. Without a differing line they are
+copies, and nothing is deleted. Else the neighbour on the other side tells: what
+it shares too is template. Without one, the pair must have lines of its own too.
 
 Only line hashes travel for the pairing (a few per cent of the pages); the
 texts are shuffled once, to meet the decisions. Neighbours are found in a
@@ -40,7 +46,7 @@ from rollcall.llm.url_filters import url_host, url_path
 #: Elements (of the HTML standard) whose content is no text.
 RAW = frozenset("script style template noscript iframe svg math object canvas audio video select option datalist textarea button head title".split())
 #: Elements that are no part of an article.
-ASIDE = frozenset("nav header footer aside form dialog menu".split())
+ASIDE = frozenset("nav header footer aside dialog menu".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that flow inside a line; every other one begins and ends a block.
@@ -51,7 +57,7 @@ ASIDE_WORDS = frozenset(
     "footer header masthead cookie cookies consent notice notices popup modal overlay newsletter subscribe signup login form comment comments reply replies disqus respond "
     "related recommended share sharing social widget toolbar pagination pager".split()
 )
-#: Shared share of the open text above which a pair is two copies.
+#: Shared share of the open text above which a pair may be two copies.
 COPY_SHARE = 0.8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<![^>]*>|<\?[^>]*>", re.S)
@@ -67,6 +73,12 @@ def _is_aside(name: str, attributes: str) -> bool:
         return True
     if "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attributes, re.I):
         return True
+    return False
+
+
+def _is_marked(name: str, attributes: str) -> bool:
+    if name == "form":
+        return True
     for found in _MARKS.findall(attributes):
         if not ASIDE_WORDS.isdisjoint(_WORDS.findall("".join(found).lower())):
             return True
@@ -75,17 +87,39 @@ def _is_aside(name: str, attributes: str) -> bool:
 
 def blocks(html: str) -> list[tuple[str, int]]:
     """The text blocks of a page in order, each MAIN (inside article or main), OPEN or GONE (inside a part that is no article)."""
+    out, wrappers = _parse(html, frozenset())
+    return _parse(html, wrappers)[0] if wrappers else out
+
+
+def _parse(html: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int]], frozenset[int]]:
+    """The blocks, where marked parts that begin at ``wrappers`` keep their text, and the places of all marked parts that are wrappers."""
     out: list[tuple[str, int]] = []
+    held: dict[int, int] = {}
+    marked: list[tuple[int, int]] = []
+    within: list[list[int]] = []
+    hidden, total = -1, 0
     line: list[str] = []
     stack: list[tuple[str, int]] = []
     state, line_state, pos, size = OPEN, OPEN, 0, len(html)
 
     def end_line() -> None:
+        nonlocal total
         text = _SPACE.sub(" ", "".join(line)).strip()
         if text:
             out.append((text, line_state))
+            if hidden < 0:
+                total += len(text)
+                for at, _ in marked:
+                    held[at] += len(text)
         line.clear()
 
+    def left() -> None:
+        nonlocal hidden
+        if hidden > len(stack):
+            hidden = -1
+        while marked and marked[-1][1] > len(stack):
+            marked.pop()
+
     while pos < size:
         m = _TOKEN.search(html, pos)
         upto = m.start() if m else size
@@ -103,10 +137,11 @@ def blocks(html: str) -> list[tuple[str, int]]:
         if m[1]:
             at = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][0] == name), None)
             if at is not None and (name in CLOSES_P or name not in INLINE or not any(n not in INLINE for n, _ in stack[at + 1 :])):
-                if line and state != stack[at][1]:
+                if line and (state != stack[at][1] or marked and marked[-1][1] > at):
                     end_line()
                 state = stack[at][1]
                 del stack[at:]
+                left()
             continue
         if name in RAW:
             if m[3].endswith("/"):
@@ -126,15 +161,30 @@ def blocks(html: str) -> list[tuple[str, int]]:
             if at is not None and stack[at][0] == "p":
                 state = stack[at][1]
                 del stack[at:]
+                left()
         stack.append((name, state))
-        if state != GONE and _is_aside(name, m[3]) and name not in ("html", "body"):
-            if line:
-                end_line()
-            state = GONE
-        elif state == OPEN and name in ("article", "main"):
+        if hidden < 0 and name not in ("html", "body"):
+            if _is_aside(name, m[3]):
+                if line:
+                    end_line()
+                hidden, state = len(stack), GONE
+            else:
+                if _is_marked(name, m[3]):
+                    if line:
+                        end_line()
+                    marked.append((m.start(), len(stack)))
+                    held[m.start()] = 0
+                    if m.start() not in wrappers:
+                        state = GONE
+                if name in ("article", "main"):
+                    within.append([at for at, _ in marked])
+        if state == OPEN and name in ("article", "main"):
             state = MAIN
     end_line()
-    return out
+    if within:
+        least = min(map(len, within))
+        return out, frozenset(at for path in within if len(path) == least for at in path)
+    return out, frozenset(at for at, n in held.items() if 2 * n > total)
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
@@ -171,13 +221,19 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *sorted(found), *range(len(a) - tail, len(a))]
 
 
-def template_lines(hashes: list[int], states: list[int], sizes: list[int], other: list[int]) -> list[int]:
-    """Lines of a page to delete as shared with its pair: of its open lines, unless most of their text is shared."""
+def template_lines(hashes: list[int], states: list[int], sizes: list[int], other: list[int], beyond: list[int] | None = None) -> list[int]:
+    """Lines of a page to delete as shared with its pair: of its open lines; where most of their text is shared, see the module's text. ``beyond`` is the neighbour on the other side."""
     common = shared_lines(hashes, other)
     opened = [i for i, s in enumerate(states) if s == OPEN]
     shared = [i for i in common if states[i] == OPEN]
-    total = sum(sizes[i] for i in opened)
-    return [] if total and sum(sizes[i] for i in shared) > COPY_SHARE * total else shared
+    if sum(sizes[i] for i in shared) <= COPY_SHARE * sum(sizes[i] for i in opened):
+        return shared
+    if len(shared) == len(opened):
+        return []
+    if beyond is not None:
+        also = set(shared_lines(hashes, beyond))
+        return [i for i in shared if i in also]
+    return shared if len(other) > len(common) else []
 
 
 def _line_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,7 +282,8 @@ def _decide(run: pd.DataFrame, begins: int, ends: int) -> list[tuple[int, list[i
         beside = [rows[j] for j in (i - 1, i + 1) if 0 <= j < len(rows) and rows[j][2] == host and rows[j][1] != page]
         if beside:
             pair = max(beside, key=lambda r: _common_prefix(path, r[3]))  # the one before on a tie
-            gone = template_lines(list(hashes), list(states), list(sizes), list(pair[4]))
+            beyond = next((list(r[4]) for r in beside if r is not pair), None)
+            gone = template_lines(list(hashes), list(states), list(sizes), list(pair[4]), beyond)
             if gone:
                 out.append((int(page), [int(hashes[j]) for j in gone]))
     return out

@@ -113,6 +113,36 @@ def test_differencing_deletes_the_template_and_keeps_copies(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "kept"),
+    [
+        ('<div class="layout with-sidebar"><h1>Title</h1><article><p>Story.</p></article><div class="sidebar">Side</div></div>', "Title Story."),
+        ('<article class="post no-comments"><p>Story.</p><div class="share">Share</div></article>', "Story."),
+        ('<form id="page"><div class="ad-free"><main><p>Story.</p></main></div></form>', "Story."),
+        ('<main><p>Story.</p></main><div class="related"><article>Other</article></div><section id="comments"><article class="comment">Reader, at some length</article></section>', "Story."),
+        ('<div class="layout with-sidebar"><p>A story without an article element.</p><div class="sidebar">Side</div></div>', "A story without an article element."),
+        ('<p>Here is the story itself, in full.</p><div class="sidebar">Side</div><nav><article>Menu</article></nav>', "Here is the story itself, in full."),
+    ],
+)
+def test_wrappers_with_listed_words_keep_their_article(html, kept):
+    assert " ".join(t for t, s in html_extract.blocks(html) if s != html_extract.GONE) == kept
+
+
+def test_template_of_short_articles_goes_and_copies_stay(spark):
+    heavy = "".join(f"<div>A long line {i} of the template that is on each page of this site.</div>" for i in range(20))
+    story = "".join(f"<p>Line {i} of a long story that two pages of the host hold.</p>" for i in range(20))
+    pages = {"http://a.org/1": heavy + "<p>Short one.</p>", "http://a.org/2": heavy + "<p>Short two.</p>", "http://a.org/3": heavy + "<p>Short three.</p>",
+             "http://b.org/1": heavy + "<p>Only one.</p>", "http://b.org/2": heavy + "<p>Only two.</p>",
+             "http://c.org/a": "<p>Site</p><p>Unlike.</p>", "http://c.org/s1": f"<p>Site</p>{story}<p>First copy.</p>", "http://c.org/s2": f"<p>Site</p>{story}<p>Second copy.</p>", "http://c.org/t": "<p>Site</p><p>Another.</p>"}
+    df = spark.createDataFrame([(n, u, h) for n, (u, h) in enumerate(pages.items())], "page_id long, url string, html string")
+    got = {r["url"]: r["text"] for r in html_extract.extract_main_text(df).collect()}
+    assert [got[f"http://a.org/{i}"] for i in (1, 2, 3)] == ["Short one.", "Short two.", "Short three."]
+    assert [got[f"http://b.org/{i}"] for i in (1, 2)] == ["Only one.", "Only two."]
+    for url in ("http://c.org/s1", "http://c.org/s2"):
+        lines = got[url].split("\n")
+        assert len(lines) == 21 and "Site" not in lines
+
+
 def test_articles_of_the_driver_pages(spark, table):
     import re
     from html import unescape
