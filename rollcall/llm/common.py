@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.session import stage_table
+from rollcall.session import ensure_checkpoint_dir, stage_table
 
-__all__ = ["WS", "ascii_words", "bind", "bounded_batches", "char_count", "clean_columns", "read", "stage_table"]
+__all__ = ["WS", "ascii_words", "bind", "bounded_batches", "char_count", "clean_columns", "read", "remove_folder", "stage_table", "workspace", "write_table"]
 
 #: ASCII white space: space and \x09-\x0D. Everything else is part of a word.
 WS = " \t\n\x0b\x0c\r"
@@ -50,3 +51,20 @@ def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if now <= 0 or now > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder, not made yet, under the session's shared checkpoint folder, for the tables of one run."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet to ``path`` and read back."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a run that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

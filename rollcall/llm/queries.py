@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollcall.llm import best_fit, bpe, fingerprints, html_extract, near_dedup, quality_classifier, quality_rules, sharding, url_filters, warc
+from rollcall.llm import alignment, best_fit, bpe, fingerprints, html_extract, line_dedup, near_dedup, quality_classifier, quality_rules, sharding, url_filters, warc, whitening
 from rollcall.llm.common import read
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 #: The rank file that op3 reads by default; a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The two vocabularies that op12 aligns by default; parameters of the operator.
+JSON_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -74,6 +77,24 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@register
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(JSON_A), public_tokenizers.path(MODEL_B))
+
+
+@register
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 _BOILERPLATE = quality_rules.BOILERPLATE
 
 #: Words by Spark's and DuckDB's common regular expressions; verdicts from literal thresholds, not from the operator's parameters.
@@ -124,3 +145,22 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS warc_date
 FROM p JOIN m USING (h)
 """
+
+ORACLE["op11_line_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT rid, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM d
+), k AS (
+  SELECT *, regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS key
+  FROM l
+), o AS (
+  SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), j AS (
+  SELECT k.rid, k.doc_id, k.line, k.pos, o.key IS NOT NULL AND k.doc_id <> o.owner AS gone FROM k LEFT JOIN o ON k.key = o.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY rid, doc_id
+"""

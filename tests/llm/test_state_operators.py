@@ -1,0 +1,290 @@
+"""Line runs, token alignment and whitening against brute force, on the driver's tables and on awkward rows."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+from functools import reduce
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from compare_oracle import digest
+from pyspark.sql import functions as F
+
+from rollcall.llm import alignment, line_dedup, queries, whitening
+
+SMOKE = "/root/testdata/sf0.001"
+WS = " \t\n\x0b\x0c\r"
+
+
+# -- line runs ------------------------------------------------------------------
+
+def line_key(line):
+    return line.strip(WS).translate(str.maketrans(line_dedup.UPPER, line_dedup.LOWER))
+
+
+def brute_lines(rows):
+    """(id, text) rows without the lines that a smaller id holds; rows without an id count as the largest."""
+    number = lambda i: line_dedup.NO_ID if i is None else i
+    owner = {}
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            owner[line_key(line)] = min(owner.get(line_key(line), line_dedup.NO_ID), number(i))
+    out = Counter()
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(line_key(x)) < 10 or owner[line_key(x)] == number(i)]
+        out[i, "\n".join(kept), len(lines), len(lines) - len(kept)] += 1
+    return out
+
+
+def found_lines(df):
+    return Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in df.select("doc_id", "text", "n_lines", "n_dropped").collect())
+
+
+ODD_LINES = [
+    (3, "A line that is shared\nits own line here\n\n  A LINE THAT IS SHARED\t"),
+    (1, "another first line\na line that is SHARED"),
+    (1, "a second row of document one\nanother first line"),
+    (2, "another first line\na line that is shared"),
+    (None, "a row without an id\nanother first line"),
+    (None, "a row without an id"),
+    (4, "ÄNDERUNG am Text\nshort\nshort"),
+    (5, "änderung am Text\nshort\nÄnderung am TEXT\n" + "x" * 50_000 + "\n"),
+    (6, "x" * 50_000),
+    (-7, "its own line here\n\n\n"),
+]
+
+
+@pytest.mark.parametrize("batches, fanout", [(1, 2), (4, 3), (7, 2)])
+def test_lines_equal_brute_force(spark, awkward, batches, fanout):
+    odd = spark.createDataFrame(ODD_LINES, "doc_id long, text string")
+    rows = odd.unionByName(awkward.select("doc_id", "text"))
+    got = line_dedup.dedup_lines(rows, batches=batches, fanout=fanout)
+    assert found_lines(got) == brute_lines([tuple(r) for r in rows.collect()])
+
+
+def test_lines_of_the_driver_table_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMOKE}/documents.parquet'")
+    want = con.execute(queries.ORACLE["op11_line_dedup"]).fetchdf()
+    got = queries.op11_line_dedup(spark, SMOKE)
+    assert got.where("n_dropped > 0").count() > 10
+    assert digest(got.toPandas()) == digest(want)
+
+
+def test_clashing_columns_and_an_empty_table(awkward, no_docs):
+    got = line_dedup.dedup_lines(awkward.withColumn("n_LINES", F.lit("x")))
+    assert got.count() == awkward.count() and dict(got.dtypes)["n_lines"] == "bigint" and dict(got.dtypes)["n_chars"] == "bigint"
+    assert line_dedup.dedup_lines(no_docs).count() == 0
+
+
+def test_runs_stay_few_and_batches_meet_them_without_a_shuffle(spark):
+    rng = random.Random(4)
+    rows = [(i, "\n".join(f"a line of text number {rng.randint(0, 300)}" for _ in range(6))) for i in range(180)]
+    runs, got = line_dedup.LineRuns(spark, fanout=2), Counter()
+    for start in range(0, 180, 20):
+        batch = spark.createDataFrame(rows[start : start + 20], "doc_id long, text string")
+        got += found_lines(line_dedup.dedup_batch(batch, runs))
+        # at most fanout - 1 runs a level once the next batch comes
+        assert all(len(names) <= 2 for names in runs.levels.values())
+    assert max(level for level, names in runs.levels.items() if names) >= 2
+    assert got == brute_lines(rows)
+    keys = [tuple(r) for r in runs.owned().select("h1", "h2").collect()]
+    assert len(keys) == len(set(keys))
+    held = runs.runs()[0]
+    plan = held.join(runs.runs()[-1].select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.drop()
+
+
+def test_native_plan_of_line_dedup(awkward):
+    plan = line_dedup.dedup_lines(awkward)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Pandas", "Python", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+# -- alignment ------------------------------------------------------------------
+
+JSON_A, MODEL_B = public_tokenizers.path(queries.JSON_A), public_tokenizers.path(queries.MODEL_B)
+
+
+@pytest.fixture(scope="module")
+def pair():
+    with open(JSON_A, encoding="utf-8") as a, open(MODEL_B, "rb") as b:
+        return alignment.TokenizerPair(a.read(), b.read())
+
+
+def brute_groups(pair, text):
+    """Groups of a text, token by token."""
+    if not text:
+        return []
+    a, b = pair.a.encode(" " + text, add_special_tokens=False).ids, pair.b.encode(text)
+    want = (" " + text).encode()
+    if b"".join(pair.bytes_a[i] for i in a) != want or b"".join(pair.bytes_b[i] for i in b) != want:
+        return []
+    groups, ga, gb, ea, eb, b = [], [], [], 0, 0, list(b)
+    for i in a:
+        ga.append(i)
+        ea += len(pair.bytes_a[i])
+        while b and eb + len(pair.bytes_b[b[0]]) <= ea:
+            eb += len(pair.bytes_b[b[0]])
+            gb.append(b.pop(0))
+            if eb == ea:
+                groups.append((ga, gb))
+                ga, gb = [], []
+        if b and eb < ea:
+            continue
+    return groups
+
+
+def brute_alignment(pair, rows):
+    groups = [(i, brute_groups(pair, t)) for i, t in rows]
+    links = [Counter() for _ in groups]
+    for (_, found), c in zip(groups, links, strict=True):
+        for xs, ys in found:
+            for x, n in Counter(xs).items():
+                for y, m in Counter(ys).items():
+                    c[x, y] += n * m
+    count = Counter(p for c in links for p in c)
+    best = defaultdict(int)
+    for (x, _), n in count.items():
+        best[x] = max(best[x], n)
+    out = Counter()
+    for (i, found), c in zip(groups, links, strict=True):
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in found)
+        scores = sum(n for p, n in c.items() if count[p] == best[p[0]]), sum(n * count[p] for p, n in c.items())
+        out[i, sum(len(x) for x, _ in found), sum(len(y) for _, y in found), len(found), sum(c.values()), *scores, hashlib.sha256(text.encode()).hexdigest() if found else ""] += 1
+    return out
+
+
+ODD_TEXTS = [
+    (None, "a text without an id"), (20, "▁odd"), (21, "<|endoftext|> <s> <0x41> </s>"), (22, "  lead  \n\n tabs\t😀😀 日本語テキスト"),
+    (23, " ".join(f"word{i} tail" for i in range(3_000))), (24, "tie"), (24, "tie"), (25, "\n"), (26, " "), (27, "naïve café — “quoted” text with spaces"),
+    (28, "xy" * 3_000), (29, "a  b   c    d"),
+]
+
+
+@pytest.mark.parametrize("chunk, hot", [(alignment.CHUNK, alignment.HOT), (500, 100)])
+def test_alignment_equals_brute_force(spark, awkward, pair, chunk, hot):
+    rows = spark.createDataFrame(ODD_TEXTS, "doc_id long, text string").unionByName(awkward.select("doc_id", "text")).withColumn("row", F.lit("clash"))
+    rows = rows.unionByName(spark.read.parquet(f"{SMOKE}/documents.parquet").where("doc_id < 40").select("doc_id", "text", F.lit("x").alias("row")))
+    got = Counter(map(tuple, alignment.align_documents(rows, JSON_A, MODEL_B, chunk, hot).collect()))
+    assert got == brute_alignment(pair, [(r["doc_id"], r["text"]) for r in rows.collect()])
+
+
+def test_alignment_of_no_documents(no_docs):
+    assert alignment.align_documents(no_docs, JSON_A, MODEL_B).count() == 0
+
+
+def as_tuple(f):
+    return (f.cut, *(np.asarray(getattr(f, c)).tolist() for c in alignment._ARRAYS))
+
+
+def test_fragments_compose_associatively_at_any_byte_ranges(pair):
+    rng = random.Random(2)
+    texts = ["Plain words, then 12,345 numbers; naïve 😀😀 日本語 and more.", "x" * 200, "tiny", " ".join(f"w{i}" for i in range(200))]
+    for text in texts * 8:
+        a, b = pair.a.encode(" " + text, add_special_tokens=False).ids, pair.b.encode(text)
+        ends = np.cumsum(pair.lengths_a[a]), np.cumsum(pair.lengths_b[b])
+        edges = sorted({0, int(ends[0][-1]), *(rng.randrange(len(text.encode()) + 1) for _ in range(rng.randint(0, 9)))})
+        parts = []
+        for low, high in zip(edges, edges[1:]):
+            inside = [(e > low) & (e <= high) for e in ends]
+            parts.append(alignment.fragment(np.array(a)[inside[0]], ends[0][inside[0]], np.array(b)[inside[1]], ends[1][inside[1]]))
+        want = as_tuple(alignment.fragment(a, ends[0], b, ends[1]))
+        assert as_tuple(reduce(alignment.compose, parts)) == want
+        assert as_tuple(reduce(lambda x, y: alignment.compose(y, x), parts[::-1])) == want
+        while len(parts) > 1:
+            i = rng.randrange(len(parts) - 1)
+            parts[i : i + 2] = [alignment.compose(*parts[i : i + 2])]
+        assert as_tuple(alignment.compose(alignment.Fragment(), parts[0])) == as_tuple(alignment.compose(parts[0], alignment.Fragment())) == want
+
+
+def test_ranges_are_encoded_as_the_whole(pair):
+    text = "Words and, 12 more words.  Two spaces\nnew line naïve café 😀 end " * 40
+    parts = alignment.ranges(text, 100)
+    assert len(parts) > 10 and " ".join(parts) == text
+    assert [i for p in parts for i in pair.a.encode(" " + p, add_special_tokens=False).ids] == pair.a.encode(" " + text, add_special_tokens=False).ids
+    assert [i for p in parts for i in pair.b.encode(p)] == pair.b.encode(text)
+
+
+# -- whitening ------------------------------------------------------------------
+
+def brute_whitening(rows, components):
+    x = np.array([[int(np.floor(256 * float(c))) for c in v] for _, v in rows])
+    fit = np.unique(x, axis=0)
+    n, s = len(fit), fit.sum(axis=0)
+    centred = fit - s / n
+    v = centred.T @ centred / n
+    e, q = np.linalg.eigh(v)
+    e, q = e[::-1][:components], q[:, ::-1][:, :components]
+    return n, ((n * x - s) ** 2).sum(axis=1), (x - s / n) @ q / np.sqrt(e), e / np.trace(v)
+
+
+def check_whitening(got, rows, components):
+    n, deviation, white, explained = brute_whitening(rows, components)
+    by_id = defaultdict(dict)
+    for r in got:
+        assert r["n"] == n and r["identity_error"] < 1e-9
+        by_id[r["vec_id"]][r["component"]] = r
+    assert len(got) == len(rows) * white.shape[1]
+    first = {i: k for k, (i, _) in reversed(list(enumerate(rows)))}
+    signs = None
+    for i, k in first.items():
+        mine = np.array([by_id[i][c + 1]["whitened"] for c in range(white.shape[1])])
+        if signs is None:
+            signs = np.sign(mine * white[k])
+        np.testing.assert_allclose(mine, signs * white[k], atol=1e-9)
+        assert by_id[i][1]["deviation"] == deviation[k]
+        np.testing.assert_allclose([by_id[i][c + 1]["explained"] for c in range(white.shape[1])], explained, rtol=1e-9)
+
+
+def test_whitening_of_the_driver_table(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SMOKE}/embeddings.parquet").collect()]
+    check_whitening(queries.op13_whitening(spark, SMOKE).collect(), rows, 4)
+
+
+def test_whitening_of_awkward_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rng = np.random.default_rng(3)
+    good = [(i, rng.standard_normal(3).tolist()) for i in range(40)]
+    good += [(50 + i, good[0][1]) for i in range(30)] + [(None, good[1][1]), (5, good[5][1]), (90, [-0.0, 1e-9, -1e-9])]
+    bad = [(100, None), (101, [1.0, None, 2.0]), (102, [nan, 1.0, 2.0]), (103, [inf, 0.0, 0.0]), (104, []), (105, [1.0, 2.0])]
+    df = spark.createDataFrame([(i, v, 7) for i, v in good + bad], "vec_id long, embedding array<double>, component int")
+    check_whitening(whitening.whiten(df).collect(), good, 4)
+
+
+def test_whitening_of_few_or_equal_vectors(spark):
+    schema = "vec_id long, embedding array<float>"
+    assert whitening.whiten(spark.createDataFrame([], schema)).count() == 0
+    assert whitening.whiten(spark.createDataFrame([(1, None)], schema)).count() == 0
+    rows = whitening.whiten(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], schema)).collect()
+    assert [(r["vec_id"], r["n"], r["deviation"], r["whitened"], r["explained"]) for r in rows] == [(i, 1, 0, 0.0, 0.0) for i in (1, 1, 2, 2)]
+    huge = whitening.whiten(spark.createDataFrame([(1, [3e18, 2.0]), (2, [-3e18, 4.0]), (3, [1.0, 8.0])], "vec_id long, embedding array<double>")).collect()
+    assert {r["deviation"] for r in huge} == {None} and all(np.isfinite(r["whitened"]) for r in huge)
+
+
+@pytest.mark.parametrize("kind", ["spread", "integers", "half zero", "graded", "equal", "pairs"])
+def test_components_equal_a_library_eigensolver(kind):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 17, 40):
+        q, _ = np.linalg.qr(rng.standard_normal((n, n)))
+        e = rng.random(n) * 10
+        e = {"spread": e, "integers": np.round(e), "half zero": e * (np.arange(n) % 2), "graded": 10.0 ** (-np.arange(n) / 2), "equal": 0 * e + 3, "pairs": np.repeat(e, 2)[:n]}[kind]
+        v = (q * e) @ q.T
+        for k in {1, min(4, n), n}:
+            values, vectors = whitening.spectral_components(v, k)
+            np.testing.assert_allclose(values, np.sort(e)[::-1][:k], atol=1e-11)
+            np.testing.assert_allclose(v @ vectors, vectors * values, atol=1e-11)
+            np.testing.assert_allclose(vectors.T @ vectors, np.eye(k), atol=1e-12)
+
+
+def test_polar_factor_is_orthogonal_and_commutes():
+    rng = np.random.default_rng(1)
+    a = rng.standard_normal((30, 30))
+    a = a + a.T
+    u = whitening.qdwh(a)
+    np.testing.assert_allclose(u @ u, np.eye(30), atol=1e-12)
+    np.testing.assert_allclose(u @ a, a @ u, atol=1e-11)
+    assert np.linalg.eigvalsh(u @ a).min() > 0
