@@ -68,10 +68,10 @@ def test_lines_equal_brute_force(spark, awkward, batches, fanout):
 def test_lines_of_the_driver_table_equal_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMOKE}/documents.parquet'")
-    want = con.execute(queries.ORACLE["op11_line_dedup"]).fetchdf()
+    want = con.execute(queries.ORACLE["op11_line_dedup"])
     got = queries.op11_line_dedup(spark, SMOKE)
     assert got.where("n_dropped > 0").count() > 10
-    assert digest(got.toPandas()) == digest(want)
+    assert digest(got.columns, [tuple(r) for r in got.collect()]) == digest([c[0] for c in want.description], want.fetchall())
 
 
 def test_clashing_columns_and_an_empty_table(awkward, no_docs):
@@ -133,8 +133,6 @@ def brute_groups(pair, text):
             if eb == ea:
                 groups.append((ga, gb))
                 ga, gb = [], []
-        if b and eb < ea:
-            continue
     return groups
 
 
