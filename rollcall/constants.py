@@ -135,5 +135,3 @@ SITE_GPS = (
     ("ao-the-darkness", {1: "N", 2: ((38, 1), (46, 1), (43, 100)), 3: "W", 4: ((90, 1), (34, 1), (1362, 100))}),
 )
 
-# manual award tag line in an event write-up ("Achievement: CODE")
-MANUAL_TAG_PATTERN = r"(?m)^Achievement: *(\S+)"

@@ -1,19 +1,18 @@
-"""Threshold awards per person and period (awards 1-14), from one shared aggregate.
+"""Threshold awards per person and period (awards 1-14), from one roll-up of the posts.
 
 The source computes each award with its own filter + group-by over the post
 fact (ten passes). Here every award is a row of the ``AwardSpec`` table and
-all the period counters come out of a single ``GROUPING SETS`` aggregate: one
-scan of the fact, one partially-aggregated shuffle keyed by (region, email,
-period[, site]), every group final. Map-side partial aggregation makes a hot
-person or region cheap: each map task ships at most one row per group. The
-one distinct count (sites led per month, cadre) reads only the led workouts
-and counts their (person, month, site) groups, so the main aggregate needs no
-second pass and no ``count(DISTINCT)``.
+all the counters come from one scan and one aggregate of the fact: the posts are
+counted per (person, site, day, class flags), with map-side partial
+aggregation, and only these narrow rows are clustered by person. Year, month,
+week, per-site and distinct-site counters are then rolled up from them where they
+lie. A hot person is split over all tasks by the first aggregate, and
+after it has at most one row a site, day and class.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -83,107 +82,78 @@ def classified_posts(
 ) -> DataFrame:
     """Narrow projection of the post fact with the two class flags.
 
+    A fact whose events were classified before the join (``facts.class_posts``)
+    brings ``is_qs`` and ``is_w``; a fact with write-ups is classified here.
     ``qsource`` / ``workout`` replace the built-in classifiers (the source lets
     callers inject these predicates); a NULL result counts as not passing.
-    Rows of neither class are kept: every counter is conditional, so they add
-    nothing, and not filtering on the flags keeps Catalyst from pushing the
-    regexes into the join below and evaluating them twice per row.
     """
-    qs = is_qsource("backblast", "ao") if qsource is None else F.coalesce(qsource, F.lit(False))
-    w = is_workout("backblast", "ao") if workout is None else F.coalesce(workout, F.lit(False))
+    known = {"is_qs", "is_w"} <= set(fact.columns)
+
+    def flag(given: Column | None, name: str, built_in: Callable[[str, str], Column]) -> Column:
+        if given is not None:
+            return F.coalesce(given, F.lit(False))
+        return F.col(name) if known else built_in("backblast", "ao")
+
     return fact.select(
         *keys,
         "ao_id",
         "ao",
         "date",
         F.col("q_flag").cast("int").alias("q_flag"),
-        qs.alias("is_qs"),
-        w.alias("is_w"),
-        F.year("date").alias("year"),
-        F.month("date").alias("month"),
-        F.weekofyear("date").alias("week"),
+        flag(qsource, "is_qs", is_qsource).alias("is_qs"),
+        flag(workout, "is_w", is_workout).alias("is_w"),
     )
 
 
-def _counter_aggs() -> list[Column]:
-    qs = F.col("is_qs")
-    w = F.col("is_w")
-    wq = F.col("is_w") & (F.col("q_flag") == 1)
-    return [
-        F.count(F.when(qs, F.col("ao_id"))).alias("n_qs"),
-        F.max(F.when(qs, F.col("date"))).alias("d_qs"),
-        F.count(F.when(wq, F.col("ao_id"))).alias("n_wq"),
-        F.max(F.when(wq, F.col("date"))).alias("d_wq"),
-        # posts per year/week count ao_id; posts per site count the site name
-        F.count(F.when(w, F.col("ao_id"))).alias("n_w"),
-        F.count(F.when(w, F.col("ao"))).alias("n_w_ao"),
-        F.max(F.when(w, F.col("date"))).alias("d_w"),
-    ]
-
-
-_BASE_PERIODS = ("year", "month", "week")
-
-
-def _counter_condition(counter: str) -> Column:
-    if counter == "qs":
-        return F.col("is_qs")
-    if counter == "wq":
-        return F.col("is_w") & (F.col("q_flag") == 1)
-    return F.col("is_w")
-
-
 STAT_COLUMNS = ("n_qs", "d_qs", "n_wq", "d_wq", "n_w", "n_w_ao", "d_w")
+_PERIOD_OF = {"year": F.year, "month": F.month, "week": F.weekofyear}
 
 
-def _main_sets(specs: Sequence[AwardSpec]) -> list[tuple[str, str, Column | None]]:
-    """(kind, period, site mask) of every grouping set of the main aggregate.
+def day_counts(posts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Posts per (person, site, day, class flags): the only aggregate over the posts themselves.
 
-    (period) for period totals; (period, site) for per-site awards, the site
-    kept only on the rows those awards count (every other row of a person and
-    period shares one NULL-site group, which keeps the per-site groups few).
+    ``posts`` comes from ``classified_posts``. Its partial aggregates leave a
+    task as one row a group; the groups of one person are spread over all
+    tasks. Columns: keys, ao_id, date, is_qs, is_w, led, named, n.
     """
-    out = []
-    for p in _BASE_PERIODS:
-        if any(s.period == p and s.measure == "posts" for s in specs):
-            out.append((p, p, None))
-        per_site = [s for s in specs if s.period == f"{p}_ao"]
-        if per_site:
-            mask = None
-            for s in per_site:
-                c = _counter_condition(s.counter)
-                mask = c if mask is None else mask | c
-            out.append((f"{p}_ao", p, mask))
-    return out
+    return (
+        posts.select(*keys, "ao_id", "date", "is_qs", "is_w", F.coalesce(F.col("q_flag") == 1, F.lit(False)).alias("led"), F.col("ao").isNotNull().alias("named"))
+        .groupBy(*keys, "ao_id", "date", "is_qs", "is_w", "led", "named")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
 
 
 def _sites_kind(period: str, counter: str) -> str:
     return f"{period}_sites_{counter}"
 
 
-def _distinct_site_stats(posts: DataFrame, keys: list[str], period: str, counter: str) -> DataFrame:
-    """Exact distinct sites per (person, period) among the rows of one counter.
+def _counts_towards(counter: str) -> Column:
+    if counter == "qs":
+        return F.col("is_qs")
+    return F.col("is_w") & F.col("led") if counter == "wq" else F.col("is_w")
+
 
-    Only the counted rows are shuffled: first per (person, period, site), with
-    map-side partial aggregation, then the much smaller per-site groups per
-    (person, period). A NULL site counts once, like a distinct count that
-    treats NULL as a value. Columns as ``period_stats``; the count is ``n_sites``
-    and the last counted post ``d_<counter>``.
+def _memberships(specs: Sequence[AwardSpec]) -> Column:
+    """The (kind, period, site) groups a day row belongs to, for the groupings the specs need.
+
+    Period totals hold every row; per-site groups only the rows their awards count.
     """
-    counted = posts.where(_counter_condition(counter))
-    per_site = counted.groupBy(*keys, period, "ao_id").agg(F.max("date").alias("d"))
-    sites = per_site.groupBy(*keys, period).agg(F.count(F.lit(1)).alias("n_sites"), F.max("d").alias("d"))
-    stat_cols = [
-        F.col("d").alias(c) if c == f"d_{counter}" else F.lit(None).cast("long" if c.startswith("n_") else "date").alias(c)
-        for c in STAT_COLUMNS
-    ]
-    return sites.select(
-        *keys,
-        F.lit(_sites_kind(period, counter)).alias("kind"),
-        F.col(period).alias("period"),
-        F.lit(None).cast("string").alias("ao_id"),
-        *stat_cols,
-        "n_sites",
-    )
+    wanted: dict[str, tuple[str, Column | None]] = {}
+    for s in specs:
+        base = s.period.removesuffix("_ao")
+        if s.measure == "sites":
+            wanted[_sites_kind(base, s.counter)] = base, _counts_towards(s.counter)
+        elif s.period != base:
+            before = wanted[s.period][1] if s.period in wanted else F.lit(False)
+            wanted[s.period] = base, before | _counts_towards(s.counter)
+        else:
+            wanted[s.period] = base, None
+    groups = []
+    for kind, (base, rows) in sorted(wanted.items()):
+        site = F.lit(None).cast("string") if rows is None else F.col("ao_id")
+        group = F.struct(F.lit(kind).alias("kind"), _PERIOD_OF[base]("date").alias("period"), site.alias("site"))
+        groups.append(group if rows is None else F.when(rows, group))
+    return F.array_compact(F.array(*groups))
 
 
 def period_stats(
@@ -195,64 +165,45 @@ def period_stats(
 ) -> DataFrame:
     """Per (keys, kind, period, ao_id) counters for every grouping the specs need.
 
-    * Main aggregate: one GROUPING SETS aggregate over the classified posts,
-      (year), (year, site of workouts), (month) and (week) for the default
-      awards; every group is final, so one partially-aggregated shuffle.
-    * Distinct sites (cadre): the counted rows only (led workouts), per
-      (person, month, site) and then per (person, month), exactly.
+    ``day_counts``, clustered by person, is exploded into the groups of each
+    row and counted twice without a further exchange: per (kind, period,
+    site), then with the sites of the distinct-site kinds counted into one row. A
+    NULL site counts once, like a distinct count that treats NULL as a value.
 
     ``keys`` are the person keys (region and email by default; email alone when
     the region is attached after aggregating, see ``earned_awards_by_home``).
     Columns: keys, kind, period, ao_id, n_qs, d_qs, n_wq, d_wq, n_w, n_w_ao, d_w, n_sites.
     """
     keys = list(keys)
-    posts = classified_posts(fact, keys, qsource, workout)
-    parts: list[DataFrame] = []
-
-    sets = _main_sets(specs)
-    if sets:
-        main = posts
-        site_cols = []
-        for _kind, p, mask in sets:
-            if mask is not None:
-                main = main.withColumn(f"site_{p}", F.when(mask, F.col("ao_id")))
-                site_cols.append(f"site_{p}")
-        grouping_cols = [*keys, "year", "month", "week", *site_cols]
-        members = [[*keys, p] + ([f"site_{p}"] if mask is not None else []) for _kind, p, mask in sets]
-        agg = main.groupingSets(members, *grouping_cols).agg(
-            *_counter_aggs(),
-            F.grouping("year").alias("g_year"),
-            F.grouping("month").alias("g_month"),
-            *[F.grouping(c).alias(f"g_{c}") for c in site_cols],
-        )
-        kind = (
-            F.when(F.col("g_year") == 0, F.lit("year"))
-            .when(F.col("g_month") == 0, F.lit("month"))
-            .otherwise(F.lit("week"))
-        )
-        site = F.lit(None).cast("string")
-        for c in site_cols:
-            mine = F.col(f"g_{c}") == 0
-            kind = F.when(mine, F.lit(f"{c[len('site_'):]}_ao")).otherwise(kind)
-            site = F.when(mine, F.col(c)).otherwise(site)
-        parts.append(
-            agg.select(
-                *keys,
-                kind.alias("kind"),
-                F.coalesce("year", "month", "week").alias("period"),
-                site.alias("ao_id"),
-                *STAT_COLUMNS,
-                F.lit(None).cast("long").alias("n_sites"),
-            )
-        )
-
-    for period, counter in sorted({(s.period, s.counter) for s in specs if s.measure == "sites"}):
-        parts.append(_distinct_site_stats(posts, keys, period, counter))
-
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    days = day_counts(classified_posts(fact, keys, qsource, workout), keys).repartition(*keys)
+    at = days.withColumn("g", F.explode(_memberships(specs))).withColumns({"kind": F.col("g.kind"), "period": F.col("g.period"), "site": F.col("g.site")})
+
+    def posts(rows: Column, of: str = "ao_id") -> Column:
+        present = F.col("ao_id").isNotNull() if of == "ao_id" else F.col("named")
+        return F.sum(F.when(rows & present, F.col("n")).otherwise(0))
+
+    def last(rows: Column) -> Column:
+        return F.max(F.when(rows, F.col("date")))
+
+    qs, w, wq = F.col("is_qs"), F.col("is_w"), F.col("is_w") & F.col("led")
+    per_site = at.groupBy(*keys, "kind", "period", "site").agg(
+        posts(qs).alias("n_qs"),
+        last(qs).alias("d_qs"),
+        posts(wq).alias("n_wq"),
+        last(wq).alias("d_wq"),
+        # posts per year/week count ao_id; posts per site count the site name
+        posts(w).alias("n_w"),
+        posts(w, "ao").alias("n_w_ao"),
+        last(w).alias("d_w"),
+    )
+    of_sites = F.col("kind").contains("_sites_")
+    merged = [(F.sum if c.startswith("n_") else F.max)(c).alias(c) for c in STAT_COLUMNS]
+    return (
+        per_site.withColumns({"ao_id": F.when(~of_sites, F.col("site")), "one": F.when(of_sites, F.lit(1))})
+        .groupBy(*keys, "kind", "period", "ao_id")
+        .agg(*merged, F.count("one").alias("n_sites"))
+        .select(*keys, "kind", "period", "ao_id", *STAT_COLUMNS, F.when(of_sites, F.col("n_sites")).alias("n_sites"))
+    )
 
 
 def _measure(spec: AwardSpec) -> tuple[str, Column, Column]:
@@ -332,6 +283,6 @@ def earned_awards_by_home(
 def yearly_posts(fact: DataFrame, workout: Column | None = None) -> DataFrame:
     """Workout posts per person and year with the last post date (the base of the post-count tiers)."""
     posts = classified_posts(fact, workout=workout).where(F.col("is_w"))
-    return posts.groupBy("year", "email", "region").agg(
+    return posts.groupBy(F.year("date").alias("year"), "email", "region").agg(
         F.count("ao_id").alias("n_posts"), F.max("date").alias("last_date")
     )

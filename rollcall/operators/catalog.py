@@ -9,8 +9,10 @@ which is not reproduced. NOT NULL columns are enforced while writing
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,26 +66,32 @@ def not_null(df: DataFrame, columns: Iterable[str], table: str) -> DataFrame:
     return df.select(*cols)
 
 
-def _ddl(table: str, schema, location: str | None) -> str:
+def _ddl(table: str, schema, partition: str, location: str | None) -> str:
     cols = []
     for f in schema.fields:
-        if f.name == "region":
+        if f.name == partition:
             continue
         null = "" if f.nullable else " NOT NULL"
         cols.append(f"{f.name} {f.dataType.simpleString()}{null}")
-    cols.append("region string")
+    cols.append(f"{partition} {schema[partition].dataType.simpleString()}")
     loc = f" LOCATION '{location}'" if location else ""
-    return f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(cols)}) USING parquet PARTITIONED BY (region){loc}"
+    return f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(cols)}) USING parquet PARTITIONED BY ({partition}){loc}"
 
 
 def create_tables(spark: SparkSession, database: str | None = None, location: str | None = None) -> None:
-    """SNK2: the two award tables, if they do not exist yet."""
+    """SNK2: the two award tables, if they do not exist yet: lists by region, awards by the run that recorded them.
+
+    A history kept under its older singular name is used as it is.
+    """
     prefix = f"{database}." if database else ""
     if database:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    for name, schema in ((LIST_TABLE, schemas.ACHIEVEMENTS_LIST), (AWARDED_TABLE, schemas.ACHIEVEMENTS_AWARDED)):
+    wanted = [(LIST_TABLE, schemas.ACHIEVEMENTS_LIST, "region")]
+    if not spark.catalog.tableExists(prefix + AWARDED_TABLE_FALLBACK):
+        wanted.append((AWARDED_TABLE, schemas.AWARDED_BY_RUN, "run_date"))
+    for name, schema, partition in wanted:
         path = f"{location}/{name}" if location else None
-        spark.sql(_ddl(prefix + name, schema, path))
+        spark.sql(_ddl(prefix + name, schema, partition, path))
 
 
 def seed_missing_lists(spark: SparkSession, regions: DataFrame, table: str = LIST_TABLE) -> None:
@@ -97,10 +105,31 @@ def seed_missing_lists(spark: SparkSession, regions: DataFrame, table: str = LIS
     out.select(*spark.table(table).columns).write.insertInto(table)
 
 
+def ensure_column(spark: SparkSession, table: str, column: str, type_: str) -> bool:
+    """Add a nullable column to a table; no-op when present, also when another session adds it meanwhile. True if it was added."""
+    if column in spark.table(table).columns:
+        return False
+    try:
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({column} {type_})")
+    except AnalysisException:
+        spark.catalog.refreshTable(table)
+        if column not in spark.table(table).columns:
+            raise
+        return False
+    return True
+
+
 def ensure_site_lead_column(spark: SparkSession, table: str) -> None:
-    """SNK4: add the nullable ``site_q_user_id`` column to a site table; no-op when present."""
-    if "site_q_user_id" not in spark.table(table).columns:
-        spark.sql(f"ALTER TABLE {table} ADD COLUMNS (site_q_user_id string)")
+    """SNK4: add the nullable ``site_q_user_id`` column to a site table."""
+    ensure_column(spark, table, "site_q_user_id", "string")
+
+
+def resolve_table(spark: SparkSession, *names: str) -> str:
+    """The first of the names that is a table or view of the catalog."""
+    for name in names:
+        if spark.catalog.tableExists(name):
+            return name
+    raise ValueError(f"no table {' or '.join(names)}")
 
 
 def award_tables(spark: SparkSession, database: str | None = None) -> tuple[DataFrame, DataFrame, str]:
@@ -110,10 +139,8 @@ def award_tables(spark: SparkSession, database: str | None = None) -> tuple[Data
     used when the plural one does not exist.
     """
     prefix = f"{database}." if database else ""
-    name = prefix + AWARDED_TABLE
-    if not spark.catalog.tableExists(name):
-        name = prefix + AWARDED_TABLE_FALLBACK
-    return spark.table(prefix + LIST_TABLE), spark.table(name), name
+    name = resolve_table(spark, prefix + AWARDED_TABLE, prefix + AWARDED_TABLE_FALLBACK)
+    return spark.table(resolve_table(spark, prefix + LIST_TABLE)), spark.table(name), name
 
 
 def trophy_view(users: DataFrame, awarded: DataFrame, award_list: DataFrame) -> DataFrame:
@@ -132,8 +159,13 @@ def trophy_view(users: DataFrame, awarded: DataFrame, award_list: DataFrame) ->
 
 
 def create_trophy_view(spark: SparkSession, users: str, awarded: str, award_list: str, name: str = VIEW_NAME) -> None:
-    """SNK5: CREATE OR REPLACE (temporary) VIEW over the three tables."""
-    trophy_view(spark.table(users), spark.table(awarded), spark.table(award_list)).createOrReplaceTempView(name)
+    """SNK5: CREATE OR REPLACE VIEW over three catalog tables: stored in the catalog, so every session sees it."""
+    spark.sql(f"""
+        CREATE OR REPLACE VIEW {name} AS
+        SELECT u.region, u.user_name AS pax, u.user_id AS pax_id, l.name, l.description, a.date_awarded
+        FROM {users} u
+        JOIN {awarded} a ON u.region = a.region AND u.user_id = a.pax_id
+        JOIN {award_list} l ON a.region = l.region AND a.achievement_id = l.id""")
 
 
 def awarded_rows(new: DataFrame, created: Column | None = None) -> DataFrame:
@@ -157,24 +189,30 @@ def awarded_rows(new: DataFrame, created: Column | None = None) -> DataFrame:
     )
 
 
-def run_mark(as_of) -> Column:
-    """The creation time of awards recorded by a run: its date at midnight, which manual entries hardly have."""
-    return F.lit(periods.to_pydate(as_of)).cast("date").cast("timestamp")
-
-
-def append_awards(new: DataFrame, table: str | None = None, path: str | None = None, created: Column | None = None) -> None:
-    """SNK1: append new awards (empty input writes nothing). Table or Parquet path, partitioned by region.
+def record_run(rows: DataFrame, as_of, table: str | None = None, path: str | None = None) -> None:
+    """SNK1: make ``rows`` the awards recorded by the run of ``as_of``, replacing that run's partition only.
 
-    The rows are clustered by region before the write, few files per region
-    and run; the rebalance hint lets Spark split a region with very many.
+    ``rows`` are all awards of the run, those an earlier attempt recorded
+    included, and may not be read from the target itself (stage them). The rebalance
+    hint keeps the files few and lets Spark split a region with very many awards.
     """
-    rows = not_null(awarded_rows(new, created), ["id", "achievement_id", "pax_id", "date_awarded"], AWARDED_TABLE)
+    run = periods.to_pydate(as_of)
+    rows = not_null(rows, ["id", "achievement_id", "pax_id", "date_awarded", "created", "updated"], AWARDED_TABLE)
     rows = rows.hint("rebalance", "region")
+    spark = rows.sparkSession
     if table is not None:
-        spark = new.sparkSession
-        rows.select(*spark.table(table).columns).write.insertInto(table)
+        columns = [c for c in spark.table(table).columns if c != "run_date"]
+        if "run_date" not in spark.table(table).columns:
+            raise ValueError(f"{table} has no run_date partition: recreate it with create_tables")
+        view = f"run_{uuid.uuid4().hex}"
+        rows.select(*columns).createOrReplaceTempView(view)
+        try:
+            spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (run_date = DATE'{run.isoformat()}') SELECT * FROM {view}")
+        finally:
+            spark.catalog.dropTempView(view)
     elif path is not None:
-        rows.write.mode("append").partitionBy("region").parquet(path)
+        dated = rows.drop("run_date").withColumn("run_date", F.lit(run))
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
     else:
         raise ValueError("table or path")
 

@@ -119,30 +119,66 @@ def award_counts(history: DataFrame) -> DataFrame:
     return history.groupBy("region", "pax_id", "achievement_id").agg(F.count("id").alias("n"))
 
 
+#: Rows of one person are numbered in id order, then by date and period within one id: the source's processing order, made deterministic.
+_PERSON = ("region", "pax_id")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``total_awards`` and ``nth_time`` of the rows with ``fresh`` = 1, counted on from those with 0; ``n`` is what a row counts for.
+
+    Both running sums are per person, so the rows are clustered by person
+    once. Their number is what one person holds and earns in a year.
+    """
+    per_award = Window.partitionBy(*_PERSON, "achievement_id").orderBy("fresh", "date_awarded", "period").rowsBetween(Window.unboundedPreceding, 0)
+    # the number within the award breaks ties of the person's order, so identical rows
+    # (several sites of one per-site award) pair their numbers consistently
+    per_pax = Window.partitionBy(*_PERSON).orderBy("fresh", "achievement_id", "nth_time").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("nth_time", F.sum("n").over(per_award).cast("long")).withColumn("total_awards", F.sum("n").over(per_pax).cast("long"))
+    return counted.where(F.col("fresh") == 1).select(*NEW_AWARD_COLUMNS, "total_awards", "nth_time")
+
+
 def award_ordinals(new: DataFrame, counts: DataFrame) -> DataFrame:
     """Running "achievement #k" and "n-th time this year" for each new award.
 
-    Awards are numbered in id order, then by date and period within one id
-    (the source's processing order, made deterministic). The windows are per
-    person; their size is the number of awards one person earns in one run.
+    The prior counts and the new awards are one table, numbered by running
+    sums over each person's rows; no count is joined.
     Columns: NEW_AWARD_COLUMNS + total_awards, nth_time.
     """
-    prior_total = counts.groupBy("region", "pax_id").agg(F.sum("n").alias("prior_total"))
-    prior_idx = counts.select("region", "pax_id", "achievement_id", F.col("n").alias("prior_idx"))
-    # the per-award number is assigned first and breaks ties of the per-person order,
-    # so identical rows (several sites of one per-site award) pair their numbers consistently
-    per_award = Window.partitionBy("region", "pax_id", "achievement_id").orderBy("date_awarded", "period")
-    per_pax = Window.partitionBy("region", "pax_id").orderBy("achievement_id", "k")
-    return (
-        new.join(prior_total, ["region", "pax_id"], "left")
-        .join(prior_idx, ["region", "pax_id", "achievement_id"], "left")
-        .withColumn("k", F.row_number().over(per_award))
-        .select(
-            *NEW_AWARD_COLUMNS,
-            (F.coalesce("prior_total", F.lit(0)) + F.row_number().over(per_pax)).cast("long").alias("total_awards"),
-            (F.coalesce("prior_idx", F.lit(0)) + F.col("k")).cast("long").alias("nth_time"),
-        )
+    prior = counts.select(*_PERSON, "achievement_id", "n", F.lit(0).alias("fresh"))
+    fresh = new.select(*NEW_AWARD_COLUMNS, F.lit(1).cast("long").alias("n"), F.lit(1).alias("fresh"))
+    return _numbered(fresh.unionByName(prior, allowMissingColumns=True).repartition(*_PERSON))
+
+
+def new_award_ordinals(
+    earned_pax: DataFrame,
+    history: DataFrame,
+    award_list: DataFrame,
+    regions: DataFrame,
+    specs: Sequence[AwardSpec] = DEFAULT_AWARDS,
+) -> DataFrame:
+    """U19 + U20 + U21 in one pass: ``award_ordinals(new_awards(...), award_counts(history))``.
+
+    History and earned awards meet in one exchange by person. There an earned
+    award is new if no history row has its award and period, and the rest is
+    numbered on from the history: the history is read once, for both.
+    """
+    kind = period_kind_of(F.col("achievement_id"), specs)
+    held = history.select(
+        *_PERSON,
+        "achievement_id",
+        "date_awarded",
+        periods.period_of_kind(kind, "date_awarded").cast("int").alias("period"),
+        F.col("id").isNotNull().cast("long").alias("n"),
+        F.lit(0).alias("fresh"),
     )
+    listed = award_list.select("region", F.col("id").alias("achievement_id"))
+    earned = earned_pax.join(regions.select("region"), "region", "left_semi").join(listed, ["region", "achievement_id"], "left_semi")
+    fresh = earned.select(*NEW_AWARD_COLUMNS, F.lit(1).cast("long").alias("n"), F.lit(1).alias("fresh"))
+    rows = fresh.unionByName(held, allowMissingColumns=True).repartition(*_PERSON)
+    # a window counts NULL keys as equal, as the null-safe anti join does
+    same = Window.partitionBy(*_PERSON, "achievement_id", "period")
+    seen = rows.withColumn("known", F.min("fresh").over(same) == 0)
+    return _numbered(seen.where((F.col("fresh") == 0) | ~F.col("known")).drop("known"))
 
 
 def upload_rows(new: DataFrame) -> DataFrame:

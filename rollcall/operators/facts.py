@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.constants import EXCLUDED_REGIONS_FACT, NO_EMAIL, SYSTEM_USER_NAME
-from rollcall.functions import periods
+from rollcall.functions import classify, periods
 
 
 def _events_join(
@@ -72,6 +72,35 @@ def _region_filter(df_region: Column, exclude: Iterable[str]) -> Column | None:
     return ~df_region.isin(exclude) if exclude else None
 
 
+def classified_events(
+    beatdowns: DataFrame,
+    aos: DataFrame,
+    qsource: Column | None = None,
+    workout: Column | None = None,
+) -> DataFrame:
+    """One row per event and site row, with the class flags; the write-up stays behind.
+
+    The write-up's half of the classifiers is evaluated on the events and the
+    site name's half on the sites, each once per row of its own table; only
+    flags meet in the join. Injected predicates read both columns at once, so with
+    them the write-up goes into this join of events and sites, no further.
+    Columns: region, ao_id, bd_date, q_user_id, coq_user_id, ao, is_qs, is_w.
+    """
+    text = [F.col("backblast")] if qsource is not None or workout is not None else []
+    b = beatdowns.select("region", "ao_id", "bd_date", "q_user_id", "coq_user_id", classify.backblast_is_qsource("backblast").alias("bb_qs"), *text)
+    site = aos.select(
+        "region",
+        F.col("channel_id").alias("ao_id"),
+        "ao",
+        classify.ao_is_qsource("ao").alias("ao_qs"),
+        classify.ao_is_not_workout("ao").alias("ao_nw"),
+    )
+    bb, no = F.col("bb_qs"), F.lit(False)
+    is_qs = F.coalesce(bb | F.col("ao_qs") if qsource is None else qsource, no)
+    is_w = F.coalesce(~bb & ~F.col("ao_nw") if workout is None else workout, no)
+    return b.join(site, ["region", "ao_id"]).select("region", "ao_id", "bd_date", "q_user_id", "coq_user_id", "ao", is_qs.alias("is_qs"), is_w.alias("is_w"))
+
+
 def event_posts(
     users: DataFrame,
     attendance: DataFrame,
@@ -79,42 +108,49 @@ def event_posts(
     aos: DataFrame,
     since: _dt.date | None = None,
     exclude: Iterable[str] = EXCLUDED_REGIONS_FACT,
-    text_chars: int | None = None,
+    qsource: Column | None = None,
+    workout: Column | None = None,
 ) -> DataFrame:
     """All J2 pairs (leader is the event's Q or co-Q) of dated events, with the J1 rule as a flag.
 
     One join serves both national facts: ``q_match`` (the attendance's leader is
     the event's Q) selects the J1 rows, ``valid_posts`` applies the J2 filters.
-    ``since`` bounds event dates from below (pushed into the event scan);
-    ``text_chars`` keeps only the start of the write-up (the classifier reads
-    the first 100 characters), which keeps a materialised copy narrow.
+    ``since`` bounds event dates from below (pushed into the event scan). The events
+    are classified before the join (``classified_events``), so no write-up meets the
+    attendance, and the attendance meets the events first: tables stored
+    by (region, site, date) join without an exchange.
     Columns: site_region, email, user_name, user_id, ao_id, ao, date, q_flag,
-    q_match, has_q, backblast.
+    q_match, has_q, is_qs, is_w.
     """
-    ev = _region_filter(F.col("region"), exclude)
-
     def dates(c: Column) -> Column:
         return c.isNotNull() if since is None else c >= F.lit(since)
 
-    j = _events_join(users, attendance, beatdowns, aos, "q_or_coq", ev, None, dates)
+    b = beatdowns.where(dates(F.col("bd_date")))
+    ev = _region_filter(F.col("region"), exclude)
+    if ev is not None:
+        b = b.where(ev)
+    events = classified_events(b, aos, qsource, workout).alias("b")
+    a = attendance.where(dates(F.col("date"))).alias("a")
+    u = users.alias("u")
+    leads = (F.col("a.q_user_id") == F.col("b.q_user_id")) | (F.col("a.q_user_id") == F.col("b.coq_user_id"))
+    same_event = (F.col("a.region") == F.col("b.region")) & (F.col("a.ao_id") == F.col("b.ao_id")) & (F.col("a.date") == F.col("b.bd_date"))
+    j = a.join(events, same_event & leads).join(u, (F.col("a.region") == F.col("u.region")) & (F.col("a.user_id") == F.col("u.user_id")))
     q_flag = F.when(
         (F.col("a.user_id") == F.col("b.q_user_id")) | (F.col("a.user_id") == F.col("b.coq_user_id")), F.lit(1)
     ).otherwise(F.lit(0))
-    text = F.col("b.backblast")
-    if text_chars is not None:
-        text = F.substring(text, 1, text_chars)
     return j.select(
         F.col("a.region").alias("site_region"),
         F.col("u.email").alias("email"),
         F.col("u.user_name").alias("user_name"),
         F.col("a.user_id").alias("user_id"),
         F.col("a.ao_id").alias("ao_id"),
-        F.col("ao.ao").alias("ao"),
+        F.col("b.ao").alias("ao"),
         F.col("b.bd_date").alias("date"),
         q_flag.alias("q_flag"),
         F.coalesce(F.col("a.q_user_id") == F.col("b.q_user_id"), F.lit(False)).alias("q_match"),
         F.col("b.q_user_id").isNotNull().alias("has_q"),
-        text.alias("backblast"),
+        F.col("b.is_qs").alias("is_qs"),
+        F.col("b.is_w").alias("is_w"),
     )
 
 
@@ -128,14 +164,14 @@ def q_attendance(events: DataFrame) -> DataFrame:
 def valid_posts(events: DataFrame, as_of: _dt.date | str, current_year: bool = True) -> DataFrame:
     """J2 filters on ``event_posts``: event has a Q, not after ``as_of`` (and in its year), valid user.
 
-    Columns: email, user_name, ao_id, ao, date, q_flag, backblast, site_region, user_id.
+    Columns: email, user_name, ao_id, ao, date, q_flag, is_qs, is_w, site_region, user_id.
     """
     cond = F.col("has_q") & periods.not_after("date", as_of)
     if current_year:
         cond = cond & periods.in_year_of("date", as_of)
     cond = cond & (F.col("email") != NO_EMAIL) & (F.col("user_name") != SYSTEM_USER_NAME)
     return events.where(cond).select(
-        "email", "user_name", "ao_id", "ao", "date", "q_flag", "backblast", "site_region", "user_id"
+        "email", "user_name", "ao_id", "ao", "date", "q_flag", "is_qs", "is_w", "site_region", "user_id"
     )
 
 
@@ -224,23 +260,17 @@ def attach_home_region(fact: DataFrame, home: DataFrame, with_user: bool = False
     return f.join(h, "email")
 
 
-def ever_led(
-    users: DataFrame,
-    attendance: DataFrame,
-    beatdowns: DataFrame,
-    aos: DataFrame,
-    as_of: _dt.date | str,
-    exclude: Iterable[str] = EXCLUDED_REGIONS_FACT,
+def led_posts(
+    attendance: DataFrame, beatdowns: DataFrame, aos: DataFrame, exclude: Iterable[str] = EXCLUDED_REGIONS_FACT
 ) -> DataFrame:
-    """Emails with at least one J2 post as the event's Q or co-Q (``q_flag = 1``) up to ``as_of``.
+    """J2 posts of the events' own leaders (``q_flag = 1``), accounts not yet named: (region, user_id, date).
 
     A leaders-only join: every event is exploded to its (at most two) leaders
     and joined with the attendance on (region, site, date, attendee = leader),
     the J2 leader rule kept as the residual. Its output is one row per led
-    post instead of the whole national fact; only the emails are returned.
-    Columns: email.
+    post instead of the whole national fact.
     """
-    ev = F.col("q_user_id").isNotNull() & F.col("bd_date").isNotNull() & periods.not_after("bd_date", as_of)
+    ev = F.col("q_user_id").isNotNull() & F.col("bd_date").isNotNull()
     rf = _region_filter(F.col("region"), exclude)
     if rf is not None:
         ev = ev & rf
@@ -252,19 +282,33 @@ def ever_led(
         "coq_user_id",
         F.explode(F.array_distinct(F.array_compact(F.array("q_user_id", "coq_user_id")))).alias("leader"),
     ).alias("b")
-    a = attendance.where(F.col("date").isNotNull() & periods.not_after("date", as_of)).alias("a")
+    a = attendance.where(F.col("date").isNotNull()).alias("a")
     site = aos.select("region", "channel_id").alias("ao")
-    u = users.where((F.col("email") != NO_EMAIL) & (F.col("user_name") != SYSTEM_USER_NAME)).alias("u")
-    led = (
-        a.join(
-            leaders,
-            (F.col("a.region") == F.col("b.region"))
-            & (F.col("a.ao_id") == F.col("b.ao_id"))
-            & (F.col("a.date") == F.col("b.bd_date"))
-            & (F.col("a.user_id") == F.col("b.leader"))
-            & ((F.col("a.q_user_id") == F.col("b.q_user_id")) | (F.col("a.q_user_id") == F.col("b.coq_user_id"))),
-        )
-        .join(site, (F.col("b.region") == F.col("ao.region")) & (F.col("b.ao_id") == F.col("ao.channel_id")), "left_semi")
-        .join(u, (F.col("a.region") == F.col("u.region")) & (F.col("a.user_id") == F.col("u.user_id")))
-    )
-    return led.select(F.col("u.email").alias("email")).distinct()
+    led = a.join(
+        leaders,
+        (F.col("a.region") == F.col("b.region"))
+        & (F.col("a.ao_id") == F.col("b.ao_id"))
+        & (F.col("a.date") == F.col("b.bd_date"))
+        & (F.col("a.user_id") == F.col("b.leader"))
+        & ((F.col("a.q_user_id") == F.col("b.q_user_id")) | (F.col("a.q_user_id") == F.col("b.coq_user_id"))),
+    ).join(site, (F.col("b.region") == F.col("ao.region")) & (F.col("b.ao_id") == F.col("ao.channel_id")), "left_semi")
+    return led.select(F.col("a.region").alias("region"), F.col("a.user_id").alias("user_id"), F.col("a.date").alias("date"))
+
+
+def ever_led(
+    users: DataFrame,
+    attendance: DataFrame,
+    beatdowns: DataFrame,
+    aos: DataFrame,
+    as_of: _dt.date | str,
+    exclude: Iterable[str] = EXCLUDED_REGIONS_FACT,
+) -> DataFrame:
+    """Emails with at least one J2 post as the event's Q or co-Q (``q_flag = 1``) up to ``as_of``.
+
+    From ``led_posts`` over all history; ``led_state`` keeps the same by month
+    for the weekly run. Columns: email.
+    """
+    upto = attendance.where(periods.not_after("date", as_of))
+    led = led_posts(upto, beatdowns.where(periods.not_after("bd_date", as_of)), aos, exclude)
+    u = users.where((F.col("email") != NO_EMAIL) & (F.col("user_name") != SYSTEM_USER_NAME))
+    return led.join(u.select("region", "user_id", "email"), ["region", "user_id"]).select("email").distinct()

@@ -3,8 +3,10 @@
 The source joins four correlated look-back sub-queries (30/60/90/120 days) back
 onto the year's attendance. Here all five counts come out of one conditional
 aggregate per (region, email): one pass, one partially-aggregated shuffle.
-The arg-max over regions uses ``max_by`` with a total order (attendance, then
-region, then user id), so ties resolve the same way every run.
+The arg-max over regions packs the attendance and the region's number in name
+order into one long, whose maximum is a hash aggregate (a buffer of strings
+would be sorted instead); ties resolve the same way every run: larger region
+name, then user id.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.constants import HOME_LOOKBACK_DAYS
@@ -77,16 +79,54 @@ def home_region_counts_by_user(
     return c.where(F.col("ytd") > 0).select("region", "email", "user_id", attendance.alias("attendance"))
 
 
-def pick_home_region(counts: DataFrame) -> DataFrame:
+#: Numbers of names in a packed maximum: 2 ** 20 regions, or sites of a region; the measure has the 43 bits above.
+NUMBER_BITS = 20
+
+
+def numbered(names: DataFrame, name: str, within: str | None = None) -> DataFrame:
+    """(within, name, no): the distinct ``name`` values (of each ``within``), numbered from 0 in ascending order.
+
+    For dimensions such as regions and sites, whose distinct values are few;
+    more than 2 ** NUMBER_BITS of them fail the run instead of being mixed up.
+    """
+    keys = [within] if within else []
+    order = Window.partitionBy(*keys).orderBy(name)
+    no = (F.row_number().over(order) - 1).cast("long")
+    checked = F.when(no < (1 << NUMBER_BITS), no).otherwise(F.raise_error(F.lit(f"too many values of {name}")).cast("long"))
+    return names.select(*keys, name).distinct().withColumn("no", checked)
+
+
+def packed(measure: str, no: str = "no") -> Column:
+    """A measure and a number as one long that orders by the measure, then by the number."""
+    return F.shiftleft(F.col(measure).cast("long"), NUMBER_BITS).bitwiseOR(F.col(no))
+
+
+def measure_of(value: str) -> Column:
+    return F.shiftright(value, NUMBER_BITS)
+
+
+def number_of(value: str) -> Column:
+    return F.col(value).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
+
+
+def pick_home_region(counts: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """U4: the region (and user id, when present) with the greatest attendance per email.
 
-    ``max_by`` is a partial aggregate: a person seen in many regions costs one
-    row per map task, not a sort. Ties: larger region name, then user id.
+    The maximum of (attendance, region) is a packed long: one hash aggregate
+    with map-side partial maxima and one exchange by email. ``regions`` (region) lists the
+    regions, if the caller has such a table; else they are taken from
+    ``counts``. With a user id the accounts that reach the maximum are
+    compared by id, mostly one a person. Ties: larger region name, then user id.
     Columns: email, region[, user_id], attendance.
     """
-    has_user = "user_id" in counts.columns
-    payload = ["region", "attendance"] + (["user_id"] if has_user else [])
-    order = ["attendance", "region"] + (["user_id"] if has_user else [])
-    best = F.max_by(F.struct(*payload), F.struct(*order)).alias("best")
-    out = counts.groupBy("email").agg(best)
-    return out.select("email", *[F.col(f"best.{c}").alias(c) for c in payload])
+    no = numbered(counts if regions is None else regions, "region")
+    known = counts.join(no, "region").withColumn("v", packed("attendance"))
+    if "user_id" not in counts.columns:
+        best = known.groupBy("email").agg(F.max("v").alias("v"))
+    else:
+        accounts = known.groupBy("email", "v").agg(F.max("user_id").alias("user_id"))
+        top = known.groupBy("email").agg(F.max("v").alias("top")).withColumnRenamed("email", "e")
+        best = accounts.join(top, accounts["email"].eqNullSafe(top["e"]) & (accounts["v"] == top["top"]))
+    users = ["user_id"] if "user_id" in counts.columns else []
+    named = best.withColumn("no", number_of("v")).join(no, "no")
+    return named.select("email", "region", measure_of("v").alias("attendance"), *users)

@@ -6,9 +6,8 @@ in a driver loop. Every person is reduced to one row by a single aggregate
 (last post, last lead, leads total, any post in the no-lead window) and the
 home site is joined onto that row; one status column then says which list
 the person is on, so the three lists and the report lines come from one pass
-over per-person rows. Report text is assembled per (recipient, part): a
-recipient whose list exceeds ``max_lines`` gets several messages, so no
-single group grows with the region.
+over per-person rows. A report is a set of ordered rows (``REPORT_ORDER``),
+the same at every size, so no recipient's lines meet in one row or task.
 """
 
 from __future__ import annotations
@@ -31,6 +30,7 @@ from rollcall.constants import (
 )
 from rollcall.functions import periods
 from rollcall.functions.text import fill, mention_target
+from rollcall.operators.home import number_of, numbered, packed
 from rollcall.operators.notify import DEFAULT_BOT_NAME
 
 THRESHOLD_COLUMNS = (
@@ -54,16 +54,20 @@ def with_thresholds(fact: DataFrame, config: DataFrame) -> DataFrame:
     return fact.join(config.select("region", *THRESHOLD_COLUMNS), "region")
 
 
-def home_sites(fact: DataFrame, config: DataFrame, as_of: _dt.date | str) -> DataFrame:
+def home_sites(fact: DataFrame, config: DataFrame, as_of: _dt.date | str, sites: DataFrame | None = None) -> DataFrame:
     """Each person's most-posted site in the last HOME_AO_CAPTURE weeks (strictly after).
 
-    Two partial aggregates: posts per person and site, then ``max_by`` per
-    person (ties go to the larger site id). Columns: region, email, home_ao.
+    Posts per person and site, then the maximum of (posts, site) per person as a
+    packed long (``home.packed``), a hash aggregate; ties go to the larger site id.
+    ``sites`` (region, ao_id) lists the sites, if the caller has such a table;
+    else they are taken from the fact. Columns: region, email, home_ao.
     """
     f = with_thresholds(fact, config)
     recent = f.where(F.col("date") > periods.weeks_before(as_of, F.col("HOME_AO_CAPTURE")))
     per_site = recent.groupBy("region", "email", "ao_id").agg(F.count("ao").alias("n"))
-    return per_site.groupBy("region", "email").agg(F.max_by("ao_id", F.struct("n", "ao_id")).alias("home_ao"))
+    no = numbered(fact if sites is None else sites, "ao_id", within="region")
+    best = per_site.join(no, ["region", "ao_id"]).groupBy("region", "email").agg(F.max(packed("n")).alias("v"))
+    return best.withColumn("no", number_of("v")).join(no, ["region", "no"]).select("region", "email", F.col("ao_id").alias("home_ao"))
 
 
 def home_site(fact: DataFrame, config: DataFrame, as_of: _dt.date | str) -> DataFrame:
@@ -84,7 +88,7 @@ def history_start(config: DataFrame, as_of: _dt.date | str) -> _dt.date:
 
 
 def person_activity(
-    fact: DataFrame, config: DataFrame, as_of: _dt.date | str, ever_led: DataFrame | None = None
+    fact: DataFrame, config: DataFrame, as_of: _dt.date | str, ever_led: DataFrame | None = None, sites: DataFrame | None = None
 ) -> DataFrame:
     """One row per (region, email, user_id, home_ao): last post, last lead, lead total, post in no-lead window.
 
@@ -113,7 +117,7 @@ def person_activity(
         act = act.join(led, "email", "left").withColumn(
             "q_total", F.col("q_total") + F.coalesce(F.col("led"), F.lit(0))
         ).drop("led")
-    return act.join(home_sites(fact, config, as_of), ["region", "email"])
+    return act.join(home_sites(fact, config, as_of, sites), ["region", "email"])
 
 
 def _lead_join(people: DataFrame, leads: DataFrame) -> DataFrame:

@@ -81,20 +81,24 @@ def member_names(members: DataFrame) -> DataFrame:
 def rewrite_mentions(df: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """Replace every ``<@ID>`` of a known member in ``text`` with the member's ``@name``.
 
-    The names are gathered per distinct text (by its digest), so repeated
-    messages, and several or no file ids on one message, make no difference.
+    Each distinct text is rewritten once, so repeated messages, and several
+    or no file ids on one message, make no difference; rows meet their
+    message's text by its digest.
     """
     own = df.withColumn("text_key", F.md5(text))
-    mentions = F.array_distinct(F.regexp_extract_all(text, F.lit(MENTION_PATTERN), 0))
-    found = own.select("text_key", F.explode(mentions).alias("mention")).distinct()
+    texts = own.select("text_key", F.col(text).alias("message")).distinct()
+    mentions = F.array_distinct(F.regexp_extract_all("message", F.lit(MENTION_PATTERN), 0))
+    found = texts.select("text_key", F.explode(mentions).alias("mention"))
     known = found.join(names.select("mention", "pax").where(F.col("pax").isNotNull()), "mention")
     maps = known.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("mention", "pax"))).alias("m"))
     replaced = F.aggregate(
         F.map_entries(F.coalesce(F.col("m"), F.create_map().cast("map<string,string>"))),
-        F.col(text),
+        F.col("message"),
         lambda acc, e: F.replace(acc, e["key"], e["value"]),
     )
-    return own.join(maps, "text_key", "left").withColumn(text, replaced).drop("m", "text_key")
+    rewritten = texts.join(maps, "text_key", "left").select(F.col("text_key").alias("key"), replaced.alias("new_text"))
+    met = own.drop(text).join(rewritten, F.col("text_key").eqNullSafe(F.col("key")), "left")
+    return met.select(*[F.col("new_text").alias(c) if c == text else F.col(c) for c in df.columns])
 
 
 def photo_rows(flat: DataFrame, members: DataFrame) -> DataFrame:
@@ -116,14 +120,19 @@ def dedup_photos(photos: DataFrame, contents: DataFrame, seen: DataFrame | None)
     """md5 of the bytes; drop checksums seen before and repeats within the batch (earliest kept).
 
     ``contents`` has (file_id, content). Photos without bytes are dropped (the
-    download failed). Output: photo columns + checksum.
+    download failed). The winner of each checksum is chosen on narrow
+    rows, which carry the digest of their message; the texts, each distinct one once, are
+    joined onto the winners. Output: photo columns + checksum.
     """
-    with_sum = photos.join(contents.select("file_id", F.md5("content").alias("checksum")), "file_id")
+    keyed = photos.withColumn("text_key", F.md5("text"))
+    narrow = [c for c in photos.columns if c != "text"]
+    with_sum = keyed.select(*narrow, "text_key").join(contents.select("file_id", F.md5("content").alias("checksum")), "file_id")
     if seen is not None:
         with_sum = with_sum.join(seen.select("checksum"), "checksum", "left_anti")
-    order = F.struct(F.col("ts").try_cast("double"), F.col("ts"), F.col("file_id"))
-    best = with_sum.groupBy("checksum").agg(F.min_by(F.struct(*with_sum.columns), order).alias("p"))
-    return best.select("p.*")
+    order = F.struct(F.col("ts").try_cast("double"), F.col("ts"), F.col("file_id"), F.col("channel"), F.col("user"), F.col("text_key"))
+    best = with_sum.groupBy("checksum").agg(F.min_by(F.struct(*narrow, "text_key"), order).alias("p")).select("checksum", "p.*")
+    texts = keyed.select("text_key", "text").distinct()
+    return best.join(texts, best["text_key"].eqNullSafe(texts["text_key"]), "left").select(*photos.columns, "checksum")
 
 
 def gps_table(spark: SparkSession) -> DataFrame:

@@ -720,3 +720,5 @@ FROM tags t JOIN a_list l ON t.region = l.region AND t.code = l.code"""
 ORACLE["ever_led"] = f"""WITH {NORMALISED_CTE},
 j2 AS ({j2_sql(X.FACT_AS_OF, False)})
 SELECT DISTINCT email FROM j2 WHERE q_flag = 1"""
+
+ORACLE["ever_led_state"] = ORACLE["ever_led"]

@@ -6,13 +6,12 @@ names match the DuckDB oracle in ``rollcall.oracle``.
 
 from __future__ import annotations
 
-import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.constants import EXCLUDED_REGIONS_REPORT
 from rollcall.functions import classify as C
 from rollcall.functions import periods
 from rollcall.operators import awards as A
@@ -21,9 +20,12 @@ from rollcall.operators import diff as D
 from rollcall.operators import facts as Fa
 from rollcall.operators import home as H
 from rollcall.operators import lapse as L
+from rollcall.operators import led_state as S
 from rollcall.operators import notify as N
 from rollcall.operators import photos as P
 from rollcall.operators import tags as T
+from rollcall.plans import jobs as J
+from rollcall.session import ensure_checkpoint_dir, stage_table
 from rollcall.sources import fixtures as X
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,7 +132,7 @@ def home_region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("home_region")
 def home_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.pick_home_region(home_region_counts(spark, sf_dir))
+    return H.pick_home_region(home_region_counts(spark, sf_dir), X.regions(spark, sf_dir))
 
 
 @register("home_region_by_user")
@@ -140,21 +142,14 @@ def home_region_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("home_region_user_pick")
 def home_region_user_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.pick_home_region(home_region_by_user(spark, sf_dir))
+    return H.pick_home_region(home_region_by_user(spark, sf_dir), X.regions(spark, sf_dir))
 
 
 def national_posts_and_home(spark: SparkSession, sf_dir: str, as_of=X.FACT_AS_OF):
-    """U5 + U1-U4 on the normalised tables: the year's posts and every person's home region."""
-    tables = normalised(spark, sf_dir)
-    j1 = Fa.attendance_fact(*tables, since=H.lookback_start(as_of))
-    home = H.pick_home_region(H.home_region_counts(j1, as_of))
-    return Fa.post_fact(*tables, as_of=as_of, current_year=True), home
-
-
-def national_award_fact(spark: SparkSession, sf_dir: str, as_of=X.FACT_AS_OF) -> DataFrame:
-    """Every post credited to the poster's home region."""
-    posts, home = national_posts_and_home(spark, sf_dir, as_of)
-    return Fa.attach_home_region(posts, home)
+    """U5 + U1-U4 on the normalised tables: the year's posts and every person's home region, from one national join."""
+    events = stage_table(Fa.event_posts(*normalised(spark, sf_dir), since=H.lookback_start(as_of)), "national_events")
+    home = H.pick_home_region(H.home_region_counts(Fa.q_attendance(events), as_of), X.regions(spark, sf_dir))
+    return Fa.valid_posts(events, as_of, current_year=True), home
 
 
 @register("awards_national")
@@ -212,14 +207,15 @@ def award_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("award_ordinals")
 def award_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new, _lst, history, _regions = _new_awards(spark, sf_dir)
-    return D.award_ordinals(new, D.award_counts(history))
+    lst, history, regions = _award_inputs(spark, sf_dir)
+    return D.new_award_ordinals(awards_region_users(spark, sf_dir), history, lst, regions, driver_specs())
 
 
 @register("award_messages")
 def award_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new, lst, history, regions = _new_awards(spark, sf_dir)
-    return N.award_messages(D.award_ordinals(new, D.award_counts(history)), lst, regions)
+    lst, history, regions = _award_inputs(spark, sf_dir)
+    ordinals = D.new_award_ordinals(awards_region_users(spark, sf_dir), history, lst, regions, driver_specs())
+    return N.award_messages(ordinals, lst, regions)
 
 
 @register("run_summary")
@@ -265,6 +261,8 @@ def report_noq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report_lines(spark: SparkSession, sf_dir: str):
     config, leads, status = _report_inputs(spark, sf_dir)
+    # one row per person, read by the lines of every section and recipient
+    status = stage_table(status, "report_status")
     return L.report_lines(status, leads, X.REPORT_AS_OF), config, leads
 
 
@@ -286,18 +284,24 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("message_files")
 def message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.flatten_files(X.photo_messages(spark, sf_dir))
+    return P.flatten_files(X.photo_messages(X.photo_base(spark, sf_dir)))
+
+
+def _photo_rows(base: DataFrame) -> DataFrame:
+    month = P.in_previous_month(X.photo_messages(base), X.PHOTO_AS_OF)
+    return P.photo_rows(P.flatten_files(month), X.photo_members(base))
 
 
 @register("photo_rows")
 def photo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    month = P.in_previous_month(X.photo_messages(spark, sf_dir), X.PHOTO_AS_OF)
-    return P.photo_rows(P.flatten_files(month), X.photo_members(spark, sf_dir))
+    return _photo_rows(stage_table(X.photo_base(spark, sf_dir), "photo_base"))
 
 
 @register("photo_dedup")
 def photo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.dedup_photos(photo_rows(spark, sf_dir), X.photo_contents(spark, sf_dir), X.photo_seen(spark, sf_dir))
+    # the export is read once; messages, members, file bytes and the seen checksums come from that copy
+    base = stage_table(X.photo_base(spark, sf_dir), "photo_base")
+    return P.dedup_photos(_photo_rows(base), X.photo_contents(base), X.photo_seen(base))
 
 
 @register("photo_manifest")
@@ -318,29 +322,32 @@ def trophy_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("manual_tags")
 def manual_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.manual_awards(national_award_fact(spark, sf_dir), X.achievements_list(spark, sf_dir))
+    users, attendance, beatdowns, aos = normalised(spark, sf_dir)
+    _posts, home = national_posts_and_home(spark, sf_dir)
+    tagged = Fa.post_fact(users, attendance, T.tagged_events(beatdowns), aos, as_of=X.FACT_AS_OF)
+    return T.manual_awards(Fa.attach_home_region(tagged, home), X.achievements_list(spark, sf_dir))
 
 
 @register("report_national")
 def report_national(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole report on the normalised tables: J1 by user id -> home -> J2 (all history) -> J4 -> report text."""
-    tables = normalised(spark, sf_dir)
-    as_of = X.FACT_AS_OF
-    j1 = Fa.attendance_fact(*tables, exclude=EXCLUDED_REGIONS_REPORT, since=H.lookback_start(as_of))
-    home = H.pick_home_region(H.home_region_counts_by_user(j1, as_of))
-    # bounded history: posts back to the longest threshold, "never led" from the leaders-only join
-    since = as_of - dt.timedelta(weeks=max(X.REPORT_WEEKS.values()))
-    posts = Fa.post_fact(*tables, as_of=as_of, current_year=False, exclude=EXCLUDED_REGIONS_REPORT, since=since)
-    fact = Fa.attach_home_region(posts, home, with_user=True)
-    config = X.region_config(spark, sf_dir)
-    leads = L.site_leads(tables[3])
-    led = Fa.ever_led(*tables, as_of=as_of, exclude=EXCLUDED_REGIONS_REPORT)
-    status = L.lapse_status(L.person_activity(fact, config, as_of, led), as_of)
-    lines = L.report_lines(status, leads, as_of)
-    return L.report_text(lines, L.report_recipients(lines, config, leads))
+    """The whole report on the normalised tables: J1 by user id -> home -> J2 -> J4 -> report text, as the weekly job runs it."""
+    stored = [stage_table(t, "normalised") for t in normalised(spark, sf_dir)]
+    return J.report_run(J.AttendanceTables(*stored), X.region_config(spark, sf_dir), X.FACT_AS_OF)["report"]
 
 
 @register("ever_led")
 def ever_led(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emails that led (Q or co-Q) at least once up to the run date: the leaders-only join."""
     return Fa.ever_led(*normalised(spark, sf_dir), as_of=X.FACT_AS_OF)
+
+
+@register("ever_led_state")
+def ever_led_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same emails from the state table: half of the history stored first, the rest of its months merged in."""
+    users, attendance, beatdowns, aos = (stage_table(t, "normalised") for t in normalised(spark, sf_dir))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged/led-state-{uuid.uuid4().hex}"
+    before = X.FACT_AS_OF.replace(year=X.FACT_AS_OF.year - 2)
+    S.rebuild(attendance.where(F.col("date") <= F.lit(before)), beatdowns, aos, path)
+    late = attendance.where((F.col("date") > F.lit(before)) & (F.col("date") <= F.lit(X.FACT_AS_OF)))
+    S.refresh(attendance, beatdowns, aos, path, S.months_of(late))
+    return S.ever_led(spark, path, users, X.FACT_AS_OF)

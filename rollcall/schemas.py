@@ -83,6 +83,10 @@ ACHIEVEMENTS_AWARDED = T.StructType(
     ]
 )
 
+# the run that recorded an award, the partition a rerun replaces; NULL for manual entries and imports
+RUN_DATE = T.StructField("run_date", T.DateType())
+AWARDED_BY_RUN = T.StructType([*ACHIEVEMENTS_AWARDED.fields, RUN_DATE])
+
 # flat post fact consumed by the award operators (after the home-region join)
 POST_FACT = T.StructType(
     [

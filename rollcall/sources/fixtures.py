@@ -149,6 +149,7 @@ def award_history_table(spark: SparkSession, sf_dir: str, as_of=AWARD_HISTORY_AS
         "date_awarded",
         ts.alias("created"),
         ts.alias("updated"),
+        F.lit(as_of).alias("run_date"),
     )
 
 
@@ -321,7 +322,14 @@ PHOTO_TS_SPAN = 90 * 86400
 FILES_PER_MESSAGE = 4
 
 
-def photo_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def photo_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all photo tables are made of: every document with the URL of the page of its id."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    return d.join(p, d.doc_id == p.page_id, "left").drop("page_id")
+
+
+def photo_messages(base: DataFrame) -> DataFrame:
     """Chat export rows (channel, ts, user, text, files): every document is an attached file.
 
     Four consecutive documents form one message; a message of Spanish documents
@@ -330,9 +338,7 @@ def photo_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from rollcall.constants import SITE_GPS
 
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    dj = d.join(p, d.doc_id == p.page_id, "left").withColumn("msg", F.floor(F.col("doc_id") / FILES_PER_MESSAGE))
+    dj = base.withColumn("msg", F.floor(F.col("doc_id") / FILES_PER_MESSAGE))
     lang = F.col("lang")
     file = F.struct(
         F.concat(F.lit("F"), _s("doc_id")).alias("id"),
@@ -362,9 +368,9 @@ def photo_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(channel.alias("channel"), ts.alias("ts"), user.alias("user"), text.alias("text"), files.alias("files"))
 
 
-def photo_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+def photo_members(base: DataFrame) -> DataFrame:
     """Member list: one member per document source; sources ending in 0 or 5 have no display name."""
-    src = table(spark, sf_dir, "documents").select("source").distinct()
+    src = base.select("source").distinct()
     blank = F.col("source").endswith("0") | F.col("source").endswith("5")
     return src.select(
         F.concat(F.lit("U"), F.upper("source")).alias("id"),
@@ -375,21 +381,20 @@ def photo_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def photo_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def photo_contents(base: DataFrame) -> DataFrame:
     """File bytes by file id (the document text, UTF-8)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select(F.concat(F.lit("F"), _s("doc_id")).alias("file_id"), F.encode("text", "UTF-8").alias("content"))
+    return base.select(F.concat(F.lit("F"), _s("doc_id")).alias("file_id"), F.encode("text", "UTF-8").alias("content"))
 
 
-def photo_seen(spark: SparkSession, sf_dir: str, as_of=PHOTO_AS_OF) -> DataFrame:
+def photo_seen(base: DataFrame, as_of=PHOTO_AS_OF) -> DataFrame:
     """Seen-checksum state: md5 of every photo posted before the archived month."""
     from rollcall.functions import periods
     from rollcall.operators import photos as P
 
     start, _end = periods.previous_month_bounds(as_of)
     lo = (start - _dt.datetime(1970, 1, 1)).total_seconds()
-    msgs = photo_messages(spark, sf_dir).where(F.col("ts").try_cast("double") < F.lit(lo))
+    msgs = photo_messages(base).where(F.col("ts").try_cast("double") < F.lit(lo))
     flat = P.flatten_files(msgs).where(F.col("file_is_photo"))
     # hash before joining: only file ids and checksums are shuffled, not the bytes
-    sums = photo_contents(spark, sf_dir).select("file_id", F.md5("content").alias("checksum"))
+    sums = photo_contents(base).select("file_id", F.md5("content").alias("checksum"))
     return flat.select("file_id").join(sums, "file_id").select("checksum").distinct()

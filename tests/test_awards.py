@@ -76,9 +76,60 @@ def test_scans_and_no_cartesian(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
         return plan.count("Scan ExistingRDD") + plan.count("LocalTableScan")
 
-    # one scan for all period awards; the distinct-site award reads the led workouts once more
     assert scans(A.award_specs(ids=[i for i in range(1, 15) if i != 6])) == 1
-    assert scans(A.DEFAULT_AWARDS) == 2
+    assert scans(A.DEFAULT_AWARDS) == 1
+
+
+def test_one_aggregate_of_the_posts_and_no_expand(spark):
+    posts_ = spark.createDataFrame([post("a", dt.date(2025, 2, 1))], SCHEMA)
+    plan = A.earned_awards(posts_)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "SortAggregate" not in plan
+    # the posts are counted per person, site and day; those rows are clustered by person once
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def naive_awards(rows, specs):
+    """Each award by its own grouping, post by post."""
+    out = []
+    for s in specs:
+        groups = {}
+        for email, _u, ao_id, ao, day, q, bb, region in rows:
+            if (s.event_class == "qsource") != bb.startswith("Q Source") or (s.leaders_only and q != 1):
+                continue
+            base = s.period.removesuffix("_ao")
+            p = {"year": day.year, "month": day.month, "week": day.isocalendar()[1]}[base]
+            groups.setdefault((email, region, p, ao_id if s.period.endswith("_ao") else None), []).append((ao_id, day))
+        for (email, region, p, _site), hits in groups.items():
+            n = len({a for a, _ in hits}) if s.measure == "sites" else len(hits)
+            if n >= s.threshold:
+                out.append((s.id, s.period_kind, p, email, region, max(d for _, d in hits)))
+    return sorted(out)
+
+
+def test_a_hot_person_and_repeated_days_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(3000):
+        email = "hot" if i % 3 == 0 else f"p{rng.randrange(40)}"
+        day = dt.date(2025, 1, 1) + dt.timedelta(days=rng.randrange(300))
+        bb = rng.choice(["Q Source 1.1 lesson", "Regular workout", "Regular workout"])
+        rows.append(post(email, day, ao_id=f"S{rng.randrange(12)}", q=rng.choice([0, 0, 1, 2]), bb=bb, region=f"f3r{len(email) % 2}"))
+    rows += rows[:200]  # several posts of one person, site and day
+    specs = A.award_specs({1: 5, 2: 2, 3: 2, 4: 3, 5: 2, 6: 3, 7: 6, 8: 10, 9: 20, 10: 30, 11: 300, 12: 500, 13: 2, 14: 5})
+    got = awards_of(spark, rows, specs)
+    assert got == naive_awards(rows, specs)
+    assert {g[0] for g in got} == set(range(1, 15))
+
+
+def test_a_hot_person_leaves_a_task_as_one_row_a_site_and_day(spark):
+    posts_ = spark.range(40000).select(
+        F.lit("hot").alias("email"), F.lit("H").alias("user_name"), (F.col("id") % 5).cast("string").alias("ao_id"), F.lit("ao").alias("ao"),
+        F.date_add(F.lit(dt.date(2025, 1, 1)), (F.col("id") % 50).cast("int")).alias("date"), F.lit(0).alias("q_flag"), F.lit("Regular").alias("backblast"), F.lit("r").alias("region"),
+    )
+    days = A.day_counts(A.classified_posts(posts_), ["region", "email"])
+    assert days.count() == 50 and days.agg(F.sum("n")).first()[0] == 40000
 
 
 def test_home_region_after_aggregation_equals_join_first(spark):

@@ -73,7 +73,8 @@ def test_photo_run_is_idempotent_per_month_and_skips_earlier_months(spark, tmpdi
     import datetime as dt
 
     seen, manifest = os.path.join(tmpdir_path, "seen"), os.path.join(tmpdir_path, "manifest")
-    inputs = (X.photo_messages(spark, SF), X.photo_members(spark, SF), X.photo_contents(spark, SF))
+    base = X.photo_base(spark, SF)
+    inputs = (X.photo_messages(base), X.photo_members(base), X.photo_contents(base))
     first = J.photo_run(*inputs, X.PHOTO_AS_OF, seen_path=seen, manifest_path=manifest)["manifest"].count()
     assert first > 0
     # a rerun for the same month replaces that month: same rows, nothing appended twice
@@ -103,7 +104,7 @@ def test_not_null_is_enforced_on_write(spark, tmpdir_path):
 
     bad = spark.createDataFrame([("r1", 1, None, None)], "region string, achievement_id int, pax_id string, date_awarded date")
     with pytest.raises(Exception):
-        K.append_awards(bad, path=os.path.join(tmpdir_path, "bad"))
+        K.record_run(K.awarded_rows(bad), X.FACT_AS_OF, path=os.path.join(tmpdir_path, "bad"))
 
 
 def test_shared_event_join_gives_the_same_results(spark):
@@ -143,9 +144,42 @@ def test_award_run_on_catalog_tables_and_trophy_view(spark):
     assert texts(out) == texts(fixed)
     # an attempt that finds its awards already recorded announces the same awards again
     assert len(texts(again)) == n and {t for _, t in texts(again)} == {t for _, t in texts(out)}
-    X.normalised_users(spark, SF).createOrReplaceTempView("rc_users")
-    K.create_trophy_view(spark, "rc_users", aw_t, lst_t)
-    assert spark.table(K.VIEW_NAME).count() == before + n
+    # a failed attempt leaves a part of the run's awards: the next one records the rest and keeps the ids of those
+    some = spark.table(aw_t).where("id % 2 = 0")
+    kept = sorted(map(tuple, some.select("id", "created").collect()))
+    stage = J.stage_table(some, "half")
+    K.record_run(stage, X.FACT_AS_OF, table=aw_t)
+    assert 0 < spark.table(aw_t).count() == len(kept) < n
+    third = J.award_run(_tables(spark), X.region_config(spark, SF), spark.table(lst_t), spark.table(aw_t),
+                        X.FACT_AS_OF, specs=driver_specs(), awarded_table=aw_t)
+    assert third["new_awards"].count() == n - len(kept) and texts(third) == texts(out)
+    assert spark.table(aw_t).count() == n
+    assert sorted(map(tuple, spark.table(aw_t).where("id % 2 = 0").select("id", "created").collect())) == kept
+    # an import stamped with the run's midnight is no award of the run
+    spark.sql(f"INSERT INTO {aw_t} PARTITION (run_date = NULL) SELECT region, 77L, 8, 'U-import', DATE'1998-02-01', TIMESTAMP'1998-10-31 00:00:00', TIMESTAMP'1998-10-31 00:00:00' FROM {lst_t} LIMIT 1")
+    fourth = J.award_run(_tables(spark), X.region_config(spark, SF), spark.table(lst_t), spark.table(aw_t),
+                         X.FACT_AS_OF, specs=driver_specs(), awarded_table=aw_t)
+    assert not any("U-import" in t for _, t in texts(fourth)) and spark.table(aw_t).count() == n + 1
+    X.normalised_users(spark, SF).write.mode("overwrite").saveAsTable(f"{db}.users")
+    X.normalised_aos(spark, SF).drop("site_q_user_id").write.mode("overwrite").saveAsTable(f"{db}.aos")
+    for _ in range(2):
+        J.catalogue_setup(spark, regions, database=db)
+    other = spark.newSession()
+    assert other.table(f"{db}.{K.VIEW_NAME}").count() == n
+    assert sorted(other.table(f"{db}.{K.VIEW_NAME}").columns) == ["date_awarded", "description", "name", "pax", "pax_id", "region"]
+    assert other.table(f"{db}.aos").columns[-1] == "site_q_user_id"
+
+
+def test_injected_predicates_reach_the_award_run(spark):
+    empty = spark.createDataFrame([], schemas.ACHIEVEMENTS_AWARDED)
+    args = (_tables(spark), X.region_config(spark, SF), X.achievements_list(spark, SF), empty, X.FACT_AS_OF)
+    none = F.lit(None).cast("boolean")
+    for shared in (True, False):
+        out = J.award_run(*args, specs=driver_specs(), share_event_join=shared, workout=none, qsource=none)
+        assert out["new_awards"].count() == 0
+        # every event a lesson: only the awards of lessons remain
+        lessons = J.award_run(*args, specs=driver_specs(), share_event_join=shared, workout=none, qsource=F.col("backblast").isNotNull())
+        assert {r.achievement_id for r in lessons["new_awards"].collect()} <= {1, 2} and lessons["new_awards"].count() > 0
 
 
 def test_bounded_history_report_equals_full_history(spark):

@@ -64,8 +64,93 @@ def test_region_list_prefix_and_deny_list(spark):
 
 def test_table_fallback_and_site_lead_column(spark):
     spark.sql("CREATE TABLE IF NOT EXISTS achievement_awarded (id long, pax_id string) USING parquet")
-    assert S.table_or_fallback(spark, "achievements_awarded_missing", "achievement_awarded").columns == ["id", "pax_id"]
+    assert spark.table(K.resolve_table(spark, "achievements_awarded_missing", "achievement_awarded")).columns == ["id", "pax_id"]
     spark.sql("CREATE TABLE IF NOT EXISTS aos_t (region string, channel_id string, ao string) USING parquet")
     K.ensure_site_lead_column(spark, "aos_t")
     K.ensure_site_lead_column(spark, "aos_t")
     assert spark.table("aos_t").columns == ["region", "channel_id", "ao", "site_q_user_id"]
+
+
+def _region(spark, root, name, **replaced):
+    """One region's four tables as folders; ``replaced`` gives other DataFrames, or None for no table."""
+    tables = {
+        "users": spark.createDataFrame([("u1", "a@x", "A"), ("u2", "b@x", "B")], "user_id string, email string, user_name string"),
+        "bd_attendance": spark.createDataFrame([("u1", "S1", "u2", "2025-03-01")], "user_id string, ao_id string, q_user_id string, date string"),
+        "beatdowns": spark.createDataFrame([("S1", "2025-03-01", "u2", "Regular")], "ao_id string, bd_date string, q_user_id string, backblast string"),
+        "aos": spark.createDataFrame([("S1", "ao-one")], "channel_id string, ao string"),
+    } | replaced
+    for table, df in tables.items():
+        if df is not None:
+            df.write.parquet(os.path.join(root, name, table))
+
+
+def test_a_bad_region_is_reported_and_left_out(spark, tmpdir_path):
+    _region(spark, tmpdir_path, "f3good")
+    _region(spark, tmpdir_path, "f3also", aos=spark.createDataFrame([("S1", "ao-one", "u1")], "channel_id string, ao string, site_q_user_id string"))
+    _region(spark, tmpdir_path, "f3nocolumn", users=spark.createDataFrame([("u1", "A")], "user_id string, user_name string"))
+    _region(spark, tmpdir_path, "f3type", bd_attendance=spark.createDataFrame([("u1", "S1", "u2", 7.5)], "user_id string, ao_id string, q_user_id string, date double"))
+    _region(spark, tmpdir_path, "f3nested", aos=spark.createDataFrame([(["S1"], "ao")], "channel_id array<string>, ao string"))
+    _region(spark, tmpdir_path, "f3notable", beatdowns=None)
+    _region(spark, tmpdir_path, "f3broken", aos=None)
+    os.makedirs(os.path.join(tmpdir_path, "f3broken", "aos"))
+    with open(os.path.join(tmpdir_path, "f3broken", "aos", "part-0.parquet"), "w") as f:
+        f.write("not parquet")
+    regions = ["f3good", "f3also", "f3nocolumn", "f3type", "f3nested", "f3notable", "f3broken", "f3absent"]
+    found, failures = S.read_regions(spark, regions, S.parquet_regions(spark, tmpdir_path))
+    bad = {(r.region, r.table) for r in failures.collect()}
+    assert bad == {("f3nocolumn", "users"), ("f3type", "bd_attendance"), ("f3nested", "aos"), ("f3notable", "beatdowns"), ("f3broken", "aos")} | {("f3absent", t) for t in S.ATTENDANCE_TABLES}
+    assert all(r.reason for r in failures.collect())
+    reasons = {r.region: r.reason for r in failures.collect()}
+    assert reasons["f3nocolumn"] == "no column email" and reasons["f3type"] == "column date is double, not date"
+    for table in S.ATTENDANCE_TABLES:
+        assert {r.region for r in found[table].collect()} == {"f3good", "f3also"}
+        assert found[table].columns == getattr(schemas, table.upper()).fieldNames()
+    assert {r.region: r.site_q_user_id for r in found["aos"].collect()} == {"f3good": None, "f3also": "u1"}
+
+
+def test_no_good_region_gives_empty_tables(spark, tmpdir_path):
+    found, failures = S.read_regions(spark, ["f3absent"], S.parquet_regions(spark, tmpdir_path))
+    assert failures.count() == 4 and all(df.count() == 0 for df in found.values())
+
+
+def test_tables_stored_by_event_join_without_an_exchange(spark):
+    import datetime as dt
+
+    from rollcall.operators import facts as Fa
+    from rollcall.sources import fixtures as X
+
+    sf = "/root/testdata/sf0.01"
+    plain = {"users": X.normalised_users(spark, sf), "bd_attendance": X.normalised_attendance(spark, sf),
+             "beatdowns": X.normalised_beatdowns(spark, sf), "aos": X.normalised_aos(spark, sf)}
+    S.store_by_event(spark, plain, "rc_stored", buckets=4)
+    stored = [spark.table(f"rc_stored.{t}") for t in S.ATTENDANCE_TABLES]
+    want = sorted(map(tuple, Fa.event_posts(*plain.values()).collect()))
+    posts = Fa.event_posts(*stored)
+    assert sorted(map(tuple, posts.collect())) == want and len(want) > 1000
+    keep = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "1MB"}
+    old = {k: spark.conf.get(k) for k in keep}
+    try:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        # the two large tables stay out of reach of a broadcast: sites and users are dimensions
+        large = [spark.table(f"rc_stored.{t}").hint("merge") if t in ("bd_attendance", "beatdowns") else spark.table(f"rc_stored.{t}") for t in S.ATTENDANCE_TABLES]
+        plan = Fa.event_posts(*large, since=dt.date(1998, 1, 1))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    join = plan[plan.index("SortMergeJoin"):]
+    assert "RLike" not in join.split("\n")[0] and "RLIKE" not in join.split("\n")[0]
+
+
+def test_the_write_up_meets_no_attendance(spark):
+    from rollcall.operators import facts as Fa
+    from rollcall.sources import fixtures as X
+
+    sf = "/root/testdata/sf0.001"
+    tables = [spark.createDataFrame(df.collect(), df.schema) for df in (X.normalised_users(spark, sf), X.normalised_attendance(spark, sf), X.normalised_beatdowns(spark, sf), X.normalised_aos(spark, sf))]
+    plan = Fa.event_posts(*tables)._jdf.queryExecution().optimizedPlan().toString()
+    first = min(i for i, line in enumerate(plan.split("\n")) if "Join Inner" in line)
+    for line in plan.split("\n")[: first + 1]:
+        assert "backblast" not in line and "RLIKE" not in line.upper()
+    assert all("RLIKE" not in line.upper() for line in plan.split("\n") if "Join " in line)
