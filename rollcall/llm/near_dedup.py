@@ -3,31 +3,37 @@
 Words are hashed; a text's k-mers are its runs of five words, labelled by
 occurrence so that repeats are distinct. Each of ``sketches`` hash orders
 selects the ``ell`` least labelled k-mers; put back into text order and hashed
-they are one band of the signature. Texts that share a band are candidates. Candidates are first compared by 512 one-bit MinHash values, which
-differ in about a tenth of the bits at a similarity of 0.8; only pairs that differ in
-more bits than five standard deviations above that (at 0.8 a probability below 1e-5) are
-settled without their texts. The others are verified by aligning their k-mer sequences: labels are unique within a text, so
-the longest common subsequence is the longest increasing one among the shared
+they are one band of the signature (texts of few k-mers, whose bands agree less often,
+get twice as many). Texts that share a band are candidates. They are verified by
+aligning their k-mer sequences: labels are unique within a text, so the
+longest common subsequence is the longest increasing one among the shared
 labels, searched within the band of diagonals that a similarity of
 ``threshold`` allows. With L aligned k-mers, similarity = L / (n1 + n2 - L).
-
-Scale: equal texts are first reduced to one representative. In the first
-round a bucket of any size pairs each member with its least member, which
-joins large groups of copies. After it only buckets that still hold several
-classes are searched, and only between classes: small ones pair by pair, large
-ones (a passage that many texts share) in turns of more and more leaders until one
-class or no member is left. No candidate is given up, but for pairs that share
-one band only and that in a bucket of more than ``WIDE`` members, which a second
-band cuts: with a similarity of 0.8 a pair shares about half of its bands,
-and one or none with a probability below 1e-4. Classes are the connected
-components of the links, found by spreading the least id with pointer jumping;
-nothing but counts reaches the driver. Only texts that share a bucket are
-shuffled.
-
-Defined results: null and wordless texts are equal texts (one class); rows
-that repeat an id are one document, whose text is the one with the least
-digest; rows without an id are compared with nothing and get class null; a
-text of one to four words has one k-mer; an empty table gives an empty table.
+Before their texts are fetched candidates are compared by 512 one-bit MinHash values: a
+pair at the threshold differs in more bits than are allowed with a probability of 1e-12.
+
+Scale: equal texts, whatever their ids, are first reduced to one. In every bucket
+each member meets the one of the least number and the shortest one, which joins large groups of
+copies, however large. After that only buckets that still hold several
+classes are searched, and only between classes: those of at most ``SMALL`` members pair by pair.
+Larger ones come from passages that many texts share; no pair within them is formed.
+Their members go a second way, which is exact: a pair at the threshold must share a k-mer
+among the rarest fifth of each text (the prefix filter of set similarity joins), and
+how far down that fifth it comes bounds the other text's length. Where texts have enough k-mers of their
+own, as texts with a common passage do, nothing is shared there, and they are
+done. What is left are texts made of little else than common passages: if two of them are
+similar, each is similar to a shorter one too, so members meet the shortest ones of
+a rare k-mer's bucket, in turns, and leave as soon as no text is short enough for them.
+
+Classes are the connected components of the links, found by spreading the
+least number with pointer jumping; nothing but counts reaches the driver. Only
+texts that share a bucket are shuffled.
+
+Defined results: a null text is the empty text, texts without words are one
+class, and a text of one to four words has one k-mer; equal texts are one class whatever
+their ids; rows with a repeated id each have the class of their own text (such an id names
+a class only if no other id can); a row without an id has its text's class, which
+is named null if no row of it has an id; ties of similarity at the threshold count; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import ascii_words, bounded_batches, stage_table
@@ -46,19 +52,19 @@ K = 5
 SKETCHES = 20
 ELL = 3
 THRESHOLD = 0.8
-#: Members of a bucket that is searched pair by pair, and leaders of a larger one in a turn; larger ones are searched to the end too.
-SMALL = 64
+#: Texts of at most so many k-mers get twice as many bands.
+SHORT = 8
+#: Members of a bucket that is searched pair by pair; those of larger ones go the exact second way.
+SMALL = 32
+#: Shortest members of a rare k-mer's bucket that the others meet in a turn.
+TURN = 16
 #: Bits of the sketch that candidates are compared by before their texts are fetched; a multiple of 64.
 BITS = 512
 #: Standard deviations by which the sketches of a pair at the threshold may differ more than expected.
-SIGMAS = 5.0
-#: Leaders of a bucket in a turn at most; their number grows fourfold from turn to turn.
-MOST = 1024
-#: Buckets that still hold more members after the first turn are cut by a second band before they are searched on.
-WIDE = 4096
+SIGMAS = 7.0
 SEED = 0x5DEECE66D
-#: What a leader carries: its length, its class and its sketch.
-HEAD = ("id", "n", "c", "sketch")
+#: What a member is compared by: its length, its class, its sketch, and the number of its k-mers before the bucket's one.
+HEAD = ("id", "n", "c", "sketch", "pos")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -161,7 +167,7 @@ def _bands(k: int, sketches: int, ell: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kmers = [labelled_kmers(np.asarray(w, np.int64), k) for w in batch["words"]]
-            signs = [signature(x, sketches, ell) for x in kmers]
+            signs = [signature(x, sketches * 2 if len(x) <= SHORT else sketches, ell) for x in kmers]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "n_kmers": [len(x) for x in kmers], "signature": signs})
 
     return of
@@ -175,6 +181,17 @@ def _sketches(k: int):
     return of
 
 
+def _kmers(k: int):
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, w in zip(batch["id"], batch["words"], strict=True):
+                kmers = labelled_kmers(np.asarray(w, np.int64), k).view(np.int64)
+                for at in range(0, len(kmers), 100_000):
+                    yield pd.DataFrame({"id": i, "n": len(kmers), "kmer": kmers[at : at + 100_000]})
+
+    return of
+
+
 def connected(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, class_id): the least id of each node's component. ``links`` (a, b) joins ids of ``nodes`` (id).
 
@@ -200,102 +217,76 @@ def connected(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _met(members: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a < b) of each bucket's members (band, id, n, c, sketch) with its leaders (band, heads) of other classes ``c``, of lengths and sketches that allow the threshold."""
-    met = members.join(heads, "band").select("id", "n", "c", "sketch", F.explode("heads").alias("h"))
-    fits = (F.col("c") != F.col("h.c")) & (F.least("n", F.col("h.n")) >= threshold * F.greatest("n", F.col("h.n")))
-    differing = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("h.sketch", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    near = met.where(fits).where(differing <= most_differing_bits(threshold))
-    return near.select(F.least("id", F.col("h.id")).alias("a"), F.greatest("id", F.col("h.id")).alias("b")).distinct()
+    """Pairs (a < b) of each bucket's members (band, HEAD) with its ``heads`` (band, heads: a bounded list) of other classes that lengths, places and sketches allow.
+
+    A shared k-mer with i of a text's k-mers before it leaves n - i for what the two can share. The
+    list is filtered before it is exploded: only what may be similar becomes a row.
+    """
+
+    def fits(h: Column) -> Column:
+        shared = F.least(F.col("n") - F.col("pos"), h["n"] - h["pos"])
+        need = (F.col("n") + h["n"]) * (threshold / (1 + threshold)) - 1e-6
+        differing = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get(h["sketch"], F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+        near = (F.col("c") != h["c"]) & (F.least("n", h["n"]) >= threshold * F.greatest("n", h["n"])) & (shared >= need)
+        return near & (differing <= most_differing_bits(threshold))
+
+    met = members.join(heads, "band").select("id", F.explode(F.transform(F.filter("heads", fits), lambda h: h["id"])).alias("h"))
+    return met.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
 
 
 def _split(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """The members of the buckets that hold several classes, with their classes ``c`` and the bucket's size."""
+    """The members of the buckets that hold several classes, with their classes ``c``, the bucket's size and the length of its shortest member."""
     known = members.drop("c").join(classes.select("id", F.col("class_id").alias("c")), "id")
-    open_ = known.groupBy("band").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    return known.join(open_.where(F.col("c0") != F.col("c1")).select("band", "size"), "band")
+    open_ = known.groupBy("band").agg(F.count("*").alias("size"), F.min("n").alias("shortest"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    return known.join(open_.where(F.col("c0") != F.col("c1")).select("band", "size", "shortest"), "band")
 
 
-def _slot_leaders(members: DataFrame, turn: int, slots: int) -> DataFrame:
-    """(band, id, n, c, sketch) of up to ``slots`` leaders a bucket: ids are dealt to slots by hash, the least hash of each leads."""
-    order = F.xxhash64(F.lit(turn), "id")
-    dealt = members.withColumn("slot", F.pmod(order, F.lit(slots)))
-    return dealt.groupBy("band", "slot").agg(F.min_by(F.struct(*HEAD), order).alias("l")).select("band", "l.*")
+def _lists(members: DataFrame) -> DataFrame:
+    """(band, heads): the members of each bucket as a list; for buckets of a bounded size only."""
+    return members.groupBy("band").agg(F.collect_list(F.struct(*HEAD)).alias("heads"))
 
 
-def _finer(members: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Members of buckets by two bands at once: those who share a second band besides the bucket's own."""
-    both = members.select("band", "id", "n", "c", "sketch").join(signatures, "id")
-    finer = both.where(F.col("other") != F.col("band")).select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "id", "n", "c", "sketch").dropDuplicates(["band", "id"])
-    shared = finer.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1).select("band")
-    return finer.join(shared, "band")
+def _shortest(members: DataFrame, k: int) -> DataFrame:
+    """The ``k`` shortest members of each bucket; tasks keep no more than these before they send them on."""
+    order = Window.partitionBy("band").orderBy("n", "id")
+    return members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
-def _close(members: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Classes (id, class_id) after every bucket that holds several classes has been searched to its end.
+def _prefixes(wide: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(band, id, n, pos) for each k-mer among the rarest of a text of ``wide`` (id) that another text there has too.
 
-    Buckets of at most ``SMALL`` members: all pairs between classes. Larger
-    ones meet leaders in turns (``SMALL``, then four times as many, up to
-    ``MOST``), which then retire, until one class or no member is left. Buckets
-    that the first turn leaves open with more than ``WIDE`` members are cut
-    into buckets by two bands first.
+    Rarest: in ascending order of the number of texts, ties by the k-mer; with n k-mers the
+    first n - ceil(threshold * n) + 1. ``pos`` k-mers of the text come before it.
     """
-    classes = connected(links, nodes)
-    buckets, turn = members, 0
+    kmers = stage_table(texts.join(wide, "id", "left_semi").mapInPandas(_kmers(k), "id long, n long, kmer long"), "wide-kmers")
+    shared = kmers.groupBy("kmer").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    common = kmers.join(shared, "kmer")
+    own = F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    pos = own + F.row_number().over(Window.partitionBy("id").orderBy("df", "kmer")) - 1
+    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    return common.withColumn("pos", pos).where(F.col("pos") < length).select(F.col("kmer").alias("band"), "id", "n", "pos")
+
+
+def _second_way(wide: DataFrame, sketches: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Classes (id, class_id) after all texts of ``wide`` (id) have been compared by their rarest k-mers."""
+    rare = _prefixes(wide, texts, k, threshold).join(sketches, "id")
+    buckets, classes = stage_table(rare, "rare"), connected(links, nodes)
     while True:
-        split = stage_table(_split(buckets, classes), "split")
+        split = stage_table(_split(buckets, classes), "rare-split")
         if split.isEmpty():
             return classes
-        small = split.where(F.col("size") <= SMALL)
-        # lists are bounded by SMALL here, by MOST below
-        lists = small.groupBy("band").agg(F.collect_list(F.struct(*HEAD)).alias("heads"))
-        large = split.where(F.col("size") > SMALL).drop("size")
-        leaders = stage_table(_slot_leaders(large, turn, min(MOST, SMALL << 2 * turn)), "leaders")
-        heads = lists.union(leaders.groupBy("band").agg(F.collect_list(F.struct(*HEAD)).alias("heads")))
+        small, large = split.where(F.col("size") <= SMALL), split.where(F.col("size") > SMALL)
+        leaders = stage_table(_shortest(large, TURN), "leaders")
+        heads = _lists(small).union(_lists(leaders))
         more = stage_table(_verified(_met(split, heads, threshold), texts, k, threshold), "links")
         if not more.isEmpty():
             links = stage_table(links.unionByName(more), "all-links")
             classes = connected(links, nodes)
-        rest = _split(large, classes)
-        if turn > 0:
-            later = rest.join(leaders.select("band", "id"), ["band", "id"], "left_anti").drop("size")
-        else:
-            rest = stage_table(rest, "open")
-            later = rest.where(F.col("size") <= WIDE).join(leaders.select("band", "id"), ["band", "id"], "left_anti").drop("size")
-            # all members of the widest buckets, leaders too: a finer bucket holds other pairs
-            wide = rest.where(F.col("size") > WIDE).drop("size")
-            if not wide.isEmpty():
-                bands = members.select("id", F.col("band").alias("other")).join(wide.select("id").distinct(), "id")
-                later = later.unionByName(_finer(wide, bands))
-        buckets = stage_table(later, "later")
-        turn += 1
-
-
-def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, sketches: int = SKETCHES, ell: int = ELL) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, class_id (the least id of its class), copy_of (the least id with an equal text)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    words = ascii_words(F.coalesce("text", F.lit("")))
-    hashed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.transform(words, lambda w: F.hash(w)).alias("words"), F.md5(F.array_join(words, " ")).alias("digest"))
-    signed = stage_table(hashed.mapInPandas(_bands(k, sketches, ell), "doc_id long, digest string, n_kmers long, signature array<long>"), "signatures")
-    owned = stage_table(signed.groupBy("doc_id").agg(F.min("digest").alias("digest")), "owned")
-    first = stage_table(owned.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "first")  # a table, so that the join below can be split
-    copies = stage_table(owned.join(first, "digest").select("doc_id", "copy_of", "digest"), "copies")
-    reps = copies.where(F.col("doc_id") == F.col("copy_of")).select("doc_id", "digest")
-    bands = signed.join(reps, ["doc_id", "digest"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_kmers").alias("n"), F.posexplode("signature").alias("j", "code"))
-    buckets = stage_table(bands.select("id", "n", F.xxhash64("j", "code").alias("band")), "buckets")
-    least = stage_table(buckets.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("id")).where(F.col("size") > 1).select("band", "id"), "least")
-    shared = stage_table(buckets.join(least.select("band"), "band"), "shared")
-    nodes = stage_table(shared.select("id").distinct(), "nodes")
-    involved = nodes.select(F.col("id").alias("doc_id")).join(reps, "doc_id")
-    texts = stage_table(hashed.join(involved, ["doc_id", "digest"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "words"), "member-texts")
-    sketches = stage_table(texts.mapInPandas(_sketches(k), "id long, sketch array<long>"), "sketches")
-    members = stage_table(shared.join(sketches, "id").select("band", "id", "n", F.col("id").alias("c"), "sketch"), "members")
-    heads = stage_table(members.join(least, ["band", "id"], "left_semi").select("band", F.array(F.struct(*HEAD)).alias("heads")), "heads")
-
-    links = stage_table(_verified(_met(members, heads, threshold), texts, k, threshold), "links-1")
-    classes = _close(members, links, nodes, texts, k, threshold)
-    by_doc = copies.join(classes, copies["copy_of"] == classes["id"], "left").select(copies["doc_id"], F.coalesce("class_id", "copy_of").alias("class_id"), "copy_of")
-    return docs.select("doc_id").join(by_doc, "doc_id", "left")
+        rest = large.drop("size", "shortest").join(leaders.select("band", "id"), ["band", "id"], "left_anti")
+        left = _split(rest, classes)
+        # longer partners than this cannot share enough with what comes after the k-mer
+        longest = (F.col("n") - F.col("pos")) * ((1 + threshold) / threshold) - F.col("n") + 1e-6
+        buckets = stage_table(left.where(longest >= F.col("shortest")).drop("size", "shortest"), "later")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -323,10 +314,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> D
     return both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long, similarity double")
 
 
+def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, sketches: int = SKETCHES, ell: int = ELL) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, class_id (the least id of its class), copy_of (the least id with an equal text)."""
+    return _classed(docs.select("doc_id", "text"), k, threshold, sketches, ell).drop("__digest", "__class")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    words = ascii_words(F.coalesce("text", F.lit("")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(words, lambda w: F.hash(w)).alias("words"), F.md5(F.array_join(words, " ")).alias("digest"))
+
+
+def _classed(docs: DataFrame, k: int, threshold: float, sketches: int, ell: int) -> DataFrame:
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    hashed = _hashed(docs)
+    signed = stage_table(hashed.mapInPandas(_bands(k, sketches, ell), "doc_id long, digest string, n_kmers long, signature array<long>"), "signatures")
+    # one node for each distinct text, numbered when it is written
+    owned = signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of"))
+    copies = stage_table(owned.select("digest", "copy_of", F.monotonically_increasing_id().alias("id")), "copies")
+    bands = signed.dropDuplicates(["digest"]).join(copies.select("digest", "id"), "digest")
+    bands = bands.select("id", F.col("n_kmers").alias("n"), F.posexplode("signature").alias("j", "code"))
+    buckets = stage_table(bands.select("id", "n", F.xxhash64("j", "code").alias("band")), "buckets")
+    least = stage_table(buckets.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.min(F.struct("n", "id"))["id"].alias("shortest")).where(F.col("size") > 1), "least")
+    shared = stage_table(buckets.join(least.select("band"), "band"), "shared")
+    nodes = stage_table(shared.select("id").distinct(), "nodes")
+    involved = nodes.join(copies, "id").select("id", "digest")
+    texts = stage_table(hashed.join(involved, "digest").dropDuplicates(["id"]).select("id", "words"), "member-texts")
+    sketched = stage_table(texts.mapInPandas(_sketches(k), "id long, sketch array<long>"), "sketches")
+    members = stage_table(shared.join(sketched, "id").select("band", "id", "n", F.col("id").alias("c"), "sketch", F.lit(0).cast("long").alias("pos")), "members")
+    picked = least.select("band", F.explode(F.array_distinct(F.array("first", "shortest"))).alias("id"))
+    heads = stage_table(_lists(members.join(picked, ["band", "id"], "left_semi")), "heads")
+
+    links = stage_table(_verified(_met(members, heads, threshold), texts, k, threshold), "links-1")
+    split = stage_table(_split(members, connected(links, nodes)), "split")
+    small = split.where(F.col("size") <= SMALL)
+    more = stage_table(_verified(_met(small, _lists(small), threshold), texts, k, threshold), "links-2")
+    links = stage_table(links.unionByName(more), "all-links")
+    classes = connected(links, nodes)
+    wide = stage_table(_split(split.where(F.col("size") > SMALL).drop("size", "shortest"), classes).select("id").distinct(), "wide")
+    if not wide.isEmpty():
+        classes = _second_way(wide, sketched, links, nodes, texts, k, threshold)
+    classes = stage_table(classes, "classes")
+    joined = stage_table(copies.join(classes, "id", "left").select("digest", "copy_of", F.coalesce("class_id", "id").alias("class")), "text-classes")
+    rows = stage_table(signed.select("doc_id", "digest").join(joined, "digest"), "classed-rows")
+    # an id of several texts names a class only if the class has no other
+    whose = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.min("class") != F.max("class")).alias("several"))
+    ids = rows.select("class", "doc_id").distinct().join(whose, "doc_id")
+    named = ids.groupBy("class").agg(F.coalesce(F.min(F.when(~F.col("several"), F.col("doc_id"))), F.min("doc_id")).alias("class_id"))
+    out = rows.join(stage_table(named, "class-names"), "class", "left")
+    return out.select("doc_id", "class_id", "copy_of", F.col("digest").alias("__digest"), F.col("class").alias("__class"))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, the one with the least id, with the columns of ``docs``; rows without an id stay."""
-    classes = near_duplicates(docs.select("doc_id", "text"), **options)
-    heads = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi")
-    rest = docs.where(F.col("doc_id").isNull())
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(rest)
+    """One row of each class with the columns of ``docs``: a row of the least id, of the least text digest where that id has several texts."""
+    settings = {"k": K, "threshold": THRESHOLD, "sketches": SKETCHES, "ell": ELL} | options
+    classed = _classed(docs.select("doc_id", "text"), **settings)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__digest")
+    heads = classed.groupBy("__class").agg(F.min(order).alias("h")).select("h.doc_id", F.col("h.__digest").alias("digest"))
+    renamed = docs.withColumnsRenamed({c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")})
+    digest = F.md5(F.array_join(ascii_words(F.coalesce("text", F.lit(""))), " "))
+    keyed = renamed.withColumn("__digest", digest)
+    met = keyed.join(heads, keyed["doc_id"].cast("long").eqNullSafe(heads["doc_id"]) & (keyed["__digest"] == heads["digest"]), "left_semi")
+    # rows equal in id and words: one of them
+    kept = met.dropDuplicates(["doc_id", "__digest"])
+    return kept.select(*[F.col(c if c in ("doc_id", "text") else f"__{i}").alias(c) for i, c in enumerate(docs.columns)])

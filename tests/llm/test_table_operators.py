@@ -412,11 +412,11 @@ def test_one_large_group_of_near_copies(spark):
     assert got == {i: 0 if i < 600 else i for i, _ in rows}
 
 
-@pytest.mark.parametrize("wide", [near_dedup.WIDE, 8])
-def test_buckets_of_unlike_texts_lose_no_link(spark, monkeypatch, wide):
+@pytest.mark.parametrize("small, turn", [(near_dedup.SMALL, near_dedup.TURN), (4, 2)])
+def test_buckets_of_unlike_texts_lose_no_link(spark, monkeypatch, small, turn):
     """Texts about a similarity of 0.8 apart in one family, and a passage in many texts, some of them alike besides it."""
-    monkeypatch.setattr(near_dedup, "SMALL", 4)
-    monkeypatch.setattr(near_dedup, "WIDE", wide)
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "TURN", turn)
     rng = random.Random(12)
     family, passage = [f"w{i}" for i in range(90)], [f"p{i}" for i in range(60)]
     texts = []
@@ -436,16 +436,62 @@ def test_buckets_of_unlike_texts_lose_no_link(spark, monkeypatch, wide):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("small, turn", [(near_dedup.SMALL, near_dedup.TURN), (4, 2)])
+def test_texts_of_little_else_than_common_passages(spark, monkeypatch, small, turn):
+    """Two passages, alone and together, with own words before and after that make texts just alike, or just not."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "TURN", turn)
+    rng = random.Random(31)
+    one, two = [f"p{i}" for i in range(60)], [f"q{i}" for i in range(30)]
+    texts = []
+    for i in range(150):
+        middle = rng.choice([one, one, one + two, two + one, two])
+        own = [f"y{i}_{j}" for j in range(rng.choice([3, 6, 8, 10, 12, 14, 20]))]
+        at = rng.randint(0, len(own))
+        texts.append(" ".join(own[:at] + middle + own[at:]))
+        if rng.random() < 0.3:  # shares a part of its own words too
+            texts.append(" ".join(own[:at] + middle + [f"z{i}_{j}" for j in range(len(own) - at)]))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert got == want and 5 < len(set(want.values())) < 140
+
+
+def test_the_search_is_linear_in_the_texts_with_a_common_passage(spark, monkeypatch):
+    """No pair within the bucket of a passage is formed, whatever the number of texts that hold it."""
+    verified = []
+    plain = near_dedup._verified
+
+    def counted(pairs, *rest):
+        pairs = stage_table(pairs, "counted")
+        verified.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    passage = " ".join(f"p{i}" for i in range(60))
+    for n in (300, 1200):
+        rows = [(i, " ".join(f"y{i}_{j}" for j in range(40)) + " " + passage) for i in range(n)]
+        verified.clear()
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {(r["doc_id"], r["class_id"]) for r in got.collect()} == {(i, i) for i in range(n)}
+        assert sum(verified) < n
+
+
 def test_near_duplicates_on_awkward_rows(spark, awkward, no_docs):
     out = near_dedup.near_duplicates(awkward)
     got = Counter((r["doc_id"], r["class_id"], r["copy_of"]) for r in out.collect())
-    assert got[1, 1, 1] == got[2, 1, 1] == got[3, 1, 1] == 1 and got[6, 6, 6] == 2 and got[7, 6, 6] == 1 and got[8, 6, 8] == 1 and got[None, None, None] == 1
+    assert got[1, 1, 1] == got[2, 1, 1] == got[3, 1, 1] == 1 and got[6, 6, 6] == 2 and got[7, 6, 6] == 1 and got[8, 6, 8] == 1 and got[None, 6, 6] == 1
     assert sum(got.values()) == awkward.count()
     kept = near_dedup.keep_one(awkward)
-    assert kept.columns == awkward.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, 6, 6, None, 9, 10, -5, 2**62])
+    assert kept.columns == awkward.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, 6, 9, 10, -5, 2**62])
     assert near_dedup.keep_one(no_docs).count() == 0
     repeated = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g"), (3, "h i j k l m n")], "doc_id long, text string")
-    assert len({r["class_id"] for r in near_dedup.near_duplicates(repeated).collect()}) == 2
+    assert Counter((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(repeated).collect()) == Counter([(1, 2), (1, 3), (2, 2), (3, 3)])
+    assert near_dedup.keep_one(repeated).count() == 2
+    nameless = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (None, "other words here"), (1, None), (None, "")], "doc_id long, text string")
+    assert Counter((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(nameless).collect()) == Counter({(None, None): 3, (1, 1): 1, (None, 1): 1})
+    assert near_dedup.keep_one(nameless).count() == 3
 
 
 # -- pipeline -----------------------------------------------------------------------------
