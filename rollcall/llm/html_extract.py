@@ -60,7 +60,10 @@ ASIDE_WORDS = frozenset(
 #: Shared share of the open text above which a pair may be two copies.
 COPY_SHARE = 0.8
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<![^>]*>|<\?[^>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<![^>]*>|<\?[^>]*>", re.S)
+_NAME_END = re.compile(r"[\s/>]")
+_SPECIAL = re.compile(r"[>\"']")
+_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 _MARKS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -68,6 +71,77 @@ MAIN, OPEN, GONE = 2, 1, 0
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
+class _Tags:
+    """The tags of a page, found in time proportional to its length, broken ones included.
+
+    A well-formed tag is one match of the pattern. From the first tag that does
+    not end on, for which the pattern would run to the end of the page again and again, tags are found
+    by looking up where things end: the end of a name, the next bracket or quote, and the
+    end of a tag from there, each place once.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.broken = html, False
+        self.next: dict[str, int] = {}
+        self.ends: dict[int, int] = {}
+
+    def find(self, pos: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the first tag at or after ``pos``, without a name for a comment or declaration."""
+        html = self.html
+        while (pos := html.find("<", pos)) >= 0:
+            after = html[pos + 1 : pos + 2]
+            if after.isascii() and (after.isalpha() or after in ("/", "!", "?")) and after:
+                if not self.broken:
+                    m = _TOKEN.match(html, pos)
+                    if m:
+                        return pos, m.end(), m[1] or "", m[2] or "", m[3] or ""
+                    self.broken = after != "/" or html[pos + 2 : pos + 3].isalpha()
+                if self.broken and (found := self._slow(pos, after)):
+                    return found
+            pos += 1
+        return None
+
+    def _seek(self, kind: str, pos: int) -> int:
+        """The first place of a kind at or after ``pos``, which only grows; the page's length if there is none."""
+        at = self.next.get(kind, -1)
+        if at < pos:
+            if kind in "\"'>":
+                at = self.html.find(kind, pos)
+            else:
+                m = (_NAME_END if kind == "name" else _SPECIAL).search(self.html, pos)
+                at = m.start() if m else -1
+            at = self.next[kind] = len(self.html) if at < 0 else at
+        return at
+
+    def _slow(self, pos: int, after: str) -> tuple[int, int, str, str, str] | None:
+        html, size = self.html, len(self.html)
+        if html.startswith("<!--", pos):
+            end = html.find("-->", pos + 4)
+            return pos, size if end < 0 else end + 3, "", "", ""
+        if after in "!?":
+            end = self._seek(">", pos + 2)
+            return None if end == size else (pos, end + 1, "", "", "")
+        slash = "/" if after == "/" else ""
+        first = pos + 1 + len(slash)
+        if not (html[first : first + 1].isascii() and html[first : first + 1].isalpha()):
+            return None
+        name_end = self._seek("name", first)
+        end = self._tag_end(self._seek("special", name_end))
+        return None if end == size else (pos, end + 1, slash, html[first:name_end], html[name_end:end])
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag whose next bracket or quote is at ``at`` ends; the page's length if it does not."""
+        html, size, path = self.html, len(self.html), []
+        while at < size and html[at] != ">" and at not in self.ends:
+            path.append(at)
+            close = html.find(html[at], at + 1)
+            m = _SPECIAL.search(html, close + 1) if close >= 0 else None
+            at = m.start() if m else size
+        end = self.ends.get(at, at)
+        self.ends.update(dict.fromkeys(path, end))
+        return end
+
+
 def _is_aside(name: str, attributes: str) -> bool:
     if name in ASIDE:
         return True
@@ -120,21 +194,22 @@ def _parse(html: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int]],
         while marked and marked[-1][1] > len(stack):
             marked.pop()
 
+    tags, headless = _Tags(html), False
     while pos < size:
-        m = _TOKEN.search(html, pos)
-        upto = m.start() if m else size
+        tag = tags.find(pos)
+        upto = tag[0] if tag else size
         if upto > pos:
             line_state = state
             line.append(unescape(html[pos:upto]))
-        if not m:
+        if not tag:
             break
-        pos = m.end()
-        name = (m[2] or "").lower()
+        start, pos, slash, name, attributes = tag
+        name = name.lower()
         if not name:
             continue
         if name not in INLINE:
             end_line()
-        if m[1]:
+        if slash:
             at = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][0] == name), None)
             if at is not None and (name in CLOSES_P or name not in INLINE or not any(n not in INLINE for n, _ in stack[at + 1 :])):
                 if line and (state != stack[at][1] or marked and marked[-1][1] > at):
@@ -144,17 +219,18 @@ def _parse(html: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int]],
                 left()
             continue
         if name in RAW:
-            if m[3].endswith("/"):
+            if attributes.endswith("/"):
                 continue
             if name in ("head",):
                 # a head holds no text; it ends with its tag or where the body begins
-                stop = re.compile(r"</head\s*>|<body\b", re.I).search(html, pos)
+                stop = None if headless else _HEAD_END.search(html, pos)
+                headless = stop is None
                 pos = pos if stop is None else stop.end() if stop[0][1] == "/" else stop.start()
             else:
                 stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
                 pos = size if stop is None else stop.end()
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         if name in CLOSES_P and stack:
             at = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][0] not in INLINE), None)
@@ -164,17 +240,17 @@ def _parse(html: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int]],
                 left()
         stack.append((name, state))
         if hidden < 0 and name not in ("html", "body"):
-            if _is_aside(name, m[3]):
+            if _is_aside(name, attributes):
                 if line:
                     end_line()
                 hidden, state = len(stack), GONE
             else:
-                if _is_marked(name, m[3]):
+                if _is_marked(name, attributes):
                     if line:
                         end_line()
-                    marked.append((m.start(), len(stack)))
-                    held[m.start()] = 0
-                    if m.start() not in wrappers:
+                    marked.append((start, len(stack)))
+                    held[start] = 0
+                    if start not in wrappers:
                         state = GONE
                 if name in ("article", "main"):
                     within.append([at for at, _ in marked])

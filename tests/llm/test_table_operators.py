@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -316,6 +317,42 @@ def test_large_populations():
     assert abs(x.mean() - mean) < 5 * deviation / 60**0.5 and 0.6 < x.std() / deviation < 1.5
 
 
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<a<a", "<!x", "<?x", "<head>", "<a '\"", "</a ", "<a>\"<b '"])
+def test_broken_tags_take_time_in_proportion(unit):
+    start = time.time()
+    html_extract.blocks(unit * (1_000_000 // len(unit)))
+    assert time.time() - start < 20
+
+
+def test_tags_after_a_broken_one_are_still_found():
+    page = "<p>one <b <i two</p><p class='x>y'>three</p>&lt;<nav>gone</nav><p>four</p><a 'open"
+    whole = "<p>one</p><p class='x>y'>three</p>&lt;<nav>gone</nav><p>four</p>"
+    assert [t for t, state in html_extract.blocks(whole) if state == html_extract.OPEN] == ["one", "three", "<", "four"]
+    got = [t for t, state in html_extract.blocks(page) if state == html_extract.OPEN]
+    assert got[1:3] == ["three", "<"] and got[3] == "four" and "gone" not in " ".join(got)
+    # after the first tag without an end both ways of finding tags agree
+    slow, rng = html_extract._Tags(""), random.Random(3)
+    bits = ["<a", "<p>", "</p>", ">", '"', "'", " ", "x", "<!--", "-->", "<!d>", "text", "/", "=", "<b c='d>'>"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 30)))
+        plain, slow = html_extract._Tags(text), html_extract._Tags(text)
+        slow.broken = True
+        at = 0
+        while True:
+            a, b = plain.find(at), slow.find(at)
+            assert a == b, text
+            if a is None:
+                break
+            at = a[1]
+
+
+def test_a_long_page_and_a_page_without_an_id(spark):
+    article = "".join(f"<p>Sentence number {i} of a very long article.</p>" for i in range(100_000))
+    rows = [(None, "http://x.org/a", "<nav>Menu</nav><article><p>Short one.</p></article>"), (1, "http://x.org/b", f"<nav>Menu</nav><article>{article}</article>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[None] == "Short one." and got[1].count("\n") == 99_999
+
+
 # -- near-duplicates --------------------------------------------------------------------
 
 def brute_similarity(a, b, k=5):
