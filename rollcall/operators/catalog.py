@@ -66,7 +66,7 @@ def not_null(df: DataFrame, columns: Iterable[str], table: str) -> DataFrame:
     return df.select(*cols)
 
 
-def _ddl(table: str, schema, partition: str, location: str | None) -> str:
+def _ddl(table: str, schema, location: str | None, partition: str = "region") -> str:
     cols = []
     for f in schema.fields:
         if f.name == partition:
@@ -91,7 +91,7 @@ def create_tables(spark: SparkSession, database: str | None = None, location: st
         wanted.append((AWARDED_TABLE, schemas.AWARDED_BY_RUN, "run_date"))
     for name, schema, partition in wanted:
         path = f"{location}/{name}" if location else None
-        spark.sql(_ddl(prefix + name, schema, partition, path))
+        spark.sql(_ddl(prefix + name, schema, path, partition))
 
 
 def seed_missing_lists(spark: SparkSession, regions: DataFrame, table: str = LIST_TABLE) -> None:

@@ -7,11 +7,28 @@ Tables are the driver's pre-registered views.
 
 from __future__ import annotations
 
-from rollcall.constants import AWARD_RULES
 from rollcall.sources import fixtures as X
 
 ORACLE: dict[str, str] = {}
 
+#: Award rules as the source's settings state them: id, period, event class, leaders only, measure, threshold.
+RULES = (
+    (1, "year", "qsource", False, "posts", 25),
+    (2, "month", "qsource", False, "posts", 4),
+    (3, "month", "workout", True, "posts", 4),
+    (4, "month", "workout", True, "posts", 6),
+    (5, "week", "workout", True, "posts", 6),
+    (6, "month", "workout", True, "sites", 7),
+    (7, "year", "workout", True, "posts", 20),
+    (8, "year", "workout", False, "posts", 25),
+    (9, "year", "workout", False, "posts", 50),
+    (10, "year", "workout", False, "posts", 100),
+    (11, "year", "workout", False, "posts", 150),
+    (12, "year", "workout", False, "posts", 200),
+    (13, "week", "workout", False, "posts", 6),
+    (14, "year_ao", "workout", False, "posts", 50),
+)
+
 # regex: same patterns as the library; DuckDB (RE2) needs an explicit Unicode white-space class
 _WS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
 BB_QS = r"q.{0,1}source|q{0,1}[1-9]\.[0-9]" + _WS
@@ -60,7 +77,7 @@ _PERIOD_SQL = {"year": "year(date)", "month": "month(date)", "week": "week(date)
 def award_select(aid: int, thresholds=None, fact="fact") -> str:
     """One award as its own GROUP BY (the naive plan)."""
     thresholds = thresholds if thresholds is not None else X.DRIVER_THRESHOLDS
-    rule = {r[0]: r for r in AWARD_RULES}[aid]
+    rule = {r[0]: r for r in RULES}[aid]
     _, period, cls, leaders, measure, default = rule
     t = thresholds.get(aid, default)
     where = "is_qs" if cls == "qsource" else "is_w"
@@ -722,3 +739,115 @@ j2 AS ({j2_sql(X.FACT_AS_OF, False)})
 SELECT DISTINCT email FROM j2 WHERE q_flag = 1"""
 
 ORACLE["ever_led_state"] = ORACLE["ever_led"]
+
+
+# ---------------------------------------------------------------------------
+# the league
+# ---------------------------------------------------------------------------
+
+def _league_name(key: str) -> str:
+    return (
+        f"CASE {key} WHEN 3 THEN 'f3csra' WHEN 7 THEN 'f3devcommunity' WHEN 9 THEN 'x9' WHEN 11 THEN 'f3yellowhammer' "
+        f"ELSE 'f3r' || CAST({key} AS VARCHAR) END"
+    )
+
+
+LEAGUE_CTES = f"""
+lb AS (
+  SELECT {_league_name('c.c_nationkey')} AS region, CAST(o.o_custkey AS VARCHAR) AS user_id,
+         CAST(l.l_linenumber AS VARCHAR) AS ao_id, CAST(date_trunc('week', l.l_shipdate) AS DATE) AS date,
+         l.l_orderkey, l.l_quantity
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+),
+ll AS (
+  SELECT region, ao_id, year(date) AS year, min(user_id) AS lo, max(user_id) AS hi FROM lb GROUP BY region, ao_id, year(date)
+),
+n_beatdowns AS (
+  SELECT e.region, e.ao_id, e.date AS bd_date, CASE WHEN k % 11 <> 0 THEN lo END AS q_user_id,
+         CASE WHEN hi <> lo THEN hi END AS coq_user_id,
+         CASE WHEN maxq >= 49 THEN NULL WHEN minq <= 4 THEN 'QSource 2.1 lesson' ELSE 'Beatdown in the rain' END AS backblast
+  FROM (SELECT region, ao_id, date, min(l_orderkey) AS k, min(l_quantity) AS minq, max(l_quantity) AS maxq
+        FROM lb GROUP BY region, ao_id, date) e
+  JOIN ll ON e.region = ll.region AND e.ao_id = ll.ao_id AND year(e.date) = ll.year
+),
+n_attendance AS (
+  SELECT lb.region, lb.user_id, lb.ao_id, CASE WHEN lb.l_orderkey % 2 = 0 THEN ll.lo ELSE ll.hi END AS q_user_id, lb.date
+  FROM lb JOIN ll ON lb.region = ll.region AND lb.ao_id = ll.ao_id AND year(lb.date) = ll.year
+),
+n_users AS (
+  SELECT {_league_name('c_nationkey')} AS region, CAST(c_custkey AS VARCHAR) AS user_id,
+         CASE WHEN c_custkey % 53 = 0 THEN NULL WHEN c_acctbal < 0 THEN 'none'
+              ELSE 'pax' || CAST(c_custkey AS VARCHAR) || '@example.org' END AS email,
+         CASE WHEN c_custkey % 97 = 0 THEN 'PAXminer' ELSE c_name END AS user_name
+  FROM customer
+),
+n_aos AS (
+  SELECT region, CAST(no AS VARCHAR) AS channel_id,
+         CASE no WHEN 6 THEN '3rd-F-QSource' WHEN 7 THEN 'ao-the-ruck' ELSE 'ao-' || CAST(no AS VARCHAR) END AS ao,
+         CASE WHEN no <= 4 THEN 'UL' || region || '-' || CAST(no AS VARCHAR) END AS site_q_user_id
+  FROM (SELECT {_league_name('n_nationkey')} AS region, unnest(range(1, 8)) AS no FROM nation)
+)"""
+
+_LISTED = "a.region LIKE 'f3%' AND "
+
+
+def _listed(sql: str) -> str:
+    """A national join restricted to the region list."""
+    return sql.replace("WHERE ", f"WHERE {_LISTED}", 1)
+
+
+ORACLE["league_posts"] = f"""WITH {LEAGUE_CTES},
+j2 AS ({_listed(j2_sql(X.FACT_AS_OF, True))})
+SELECT email, ao_id, ao, date, q_flag,
+       coalesce(regexp_matches(lower(substr(backblast, 1, 100)), '{BB_QS}') OR regexp_matches(lower(ao), '{AO_QS}'), false) AS is_qs,
+       coalesce(NOT regexp_matches(lower(substr(backblast, 1, 100)), '{BB_QS}')
+                AND NOT regexp_matches(lower(ao), '{AO_NW}'), false) AS is_w,
+       site_region, user_id
+FROM j2"""
+
+ORACLE["league_home"] = f"""WITH {LEAGUE_CTES},
+j1 AS ({_listed(J1_SQL)}),
+{home_counts_sql('j1', X.FACT_AS_OF, False)}
+SELECT email, region, attendance FROM (
+  SELECT *, row_number() OVER (PARTITION BY email ORDER BY attendance DESC, region DESC) AS rn FROM counts
+) WHERE rn = 1"""
+
+ORACLE["league_lists"] = f"""
+SELECT region, c.id, c.name, c.description, c.verb, c.code
+FROM (SELECT {_league_name('n_nationkey')} AS region, unnest({_catalogue_list()}) AS c FROM nation)
+WHERE region LIKE 'f3%'"""
+
+LEAGUE_REPORT = f"""WITH {LEAGUE_CTES},
+j1 AS ({_listed(J1_SQL)}),
+{home_counts_sql('j1', X.FACT_AS_OF, True)},
+home AS (
+  SELECT email, region, user_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY email ORDER BY attendance DESC, region DESC, user_id DESC) AS rn
+    FROM counts)
+  WHERE rn = 1
+),
+j2 AS ({_listed(j2_sql(X.FACT_AS_OF, False))}),
+nfact AS (
+  SELECT j2.email, j2.ao_id, j2.ao, j2.date, j2.q_flag, home.region, home.user_id
+  FROM j2 JOIN home ON j2.email = home.email
+),
+{report_logic_ctes('nfact', 'listed_aos', X.FACT_AS_OF)}"""
+_CFG = report_logic_ctes("nfact", "listed_aos", X.FACT_AS_OF)
+LEAGUE_REPORT = LEAGUE_REPORT.replace(
+    _CFG,
+    "listed_aos AS (SELECT * FROM n_aos WHERE region LIKE 'f3%'),\n"
+    + _CFG.replace("SELECT CAST(n_nationkey AS VARCHAR) AS region,", f"SELECT {_league_name('n_nationkey')} AS region,").replace(
+        "FROM nation\n)", f"FROM nation WHERE {_league_name('n_nationkey')} LIKE 'f3%'\n)"
+    ),
+)
+ORACLE["league_noq"] = f"{LEAGUE_REPORT}\nSELECT * FROM noq"
+ORACLE["league_report"] = f"{LEAGUE_REPORT}\n{REPORT_TEXT_SELECT}"
+
+ORACLE["award_notifications"] = f"""
+SELECT 'award' AS kind, region, target, text, {_d(X.AWARD_AS_OF)} AS run_date FROM ({ORACLE['award_messages']})
+UNION ALL
+SELECT 'award_summary', region, target, text, {_d(X.AWARD_AS_OF)} FROM ({ORACLE['run_summary']})"""
+
+ORACLE["award_records"] = f"""WITH {DIFF_CTES}
+SELECT region, achievement_id, pax_id, date_awarded, {_d(X.AWARD_AS_OF)} AS run_date, count(*) AS n, count(*) AS n_ids
+FROM new GROUP BY region, achievement_id, pax_id, date_awarded"""

@@ -61,6 +61,12 @@ def _notes(df: DataFrame, kind: str) -> DataFrame:
     return df.select(F.lit(kind).alias("kind"), "region", "target", "text")
 
 
+def award_notes(messages: DataFrame, summary: DataFrame, as_of: _dt.date | str) -> DataFrame:
+    """SNK6 rows of an award run: kind, region, target, text, run_date."""
+    notes = _notes(messages, "award").unionByName(_notes(summary, "award_summary"))
+    return notes.withColumn("run_date", periods.as_date(periods.to_pydate(as_of)))
+
+
 def award_run(
     tables: AttendanceTables,
     region_config: DataFrame,
@@ -128,8 +134,7 @@ def award_run(
     ordinals = D.award_ordinals(run, prior)
     messages = N.award_messages(ordinals, award_list, eligible)
     summary = N.run_summary(run, eligible, N.log_channels(tables.aos), bot_name)
-    notes = _notes(messages, "award").unionByName(_notes(summary, "award_summary"))
-    notes = notes.withColumn("run_date", periods.as_date(periods.to_pydate(as_of)))
+    notes = award_notes(messages, summary, as_of)
     if notifications_path is not None:
         K.append_notifications(notes, notifications_path, replace_run=True)
     return {"new_awards": new, "messages": messages, "summary": summary, "notifications": notes}

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.constants import EXCLUDED_REGIONS_FACT
 from rollcall.functions import classify as C
 from rollcall.functions import periods
 from rollcall.operators import awards as A
@@ -27,6 +28,7 @@ from rollcall.operators import tags as T
 from rollcall.plans import jobs as J
 from rollcall.session import ensure_checkpoint_dir, stage_table
 from rollcall.sources import fixtures as X
+from rollcall.sources.tables import region_list
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -351,3 +353,68 @@ def ever_led_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = attendance.where((F.col("date") > F.lit(before)) & (F.col("date") <= F.lit(X.FACT_AS_OF)))
     S.refresh(attendance, beatdowns, aos, path, S.months_of(late))
     return S.ever_led(spark, path, users, X.FACT_AS_OF)
+
+
+# ---------------------------------------------------------------------------
+# the league: region list, deny lists, system and nameless accounts, lesson and ruck sites
+# ---------------------------------------------------------------------------
+
+def _league(spark: SparkSession, sf_dir: str) -> J.AttendanceTables:
+    return J.AttendanceTables(X.league_users(spark, sf_dir), X.league_attendance(spark, sf_dir), X.league_beatdowns(spark, sf_dir), X.league_aos(spark, sf_dir))
+
+
+@register("league_posts")
+def league_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1-F8: the year's valid posts of the listed regions with their class flags, as the award run joins them."""
+    t = _league(spark, sf_dir).restricted(region_list(X.league_regions(spark, sf_dir)), EXCLUDED_REGIONS_FACT)
+    return Fa.valid_posts(Fa.event_posts(*t.as_tuple(), since=X.FACT_AS_OF.replace(month=1, day=1)), X.FACT_AS_OF).drop("user_name")
+
+
+@register("league_home")
+def league_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1-U4 over the listed regions; accounts without an email count by the year alone."""
+    t = _league(spark, sf_dir).restricted(region_list(X.league_regions(spark, sf_dir)), EXCLUDED_REGIONS_FACT)
+    j1 = Fa.attendance_fact(*t.as_tuple(), since=H.lookback_start(X.FACT_AS_OF))
+    return H.pick_home_region(H.home_region_counts(j1, X.FACT_AS_OF), t.aos)
+
+
+@register("league_lists")
+def league_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U32: the seed list of every listed region."""
+    return K.seed_lists(region_list(X.league_regions(spark, sf_dir)))
+
+
+def _league_report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    stored = [stage_table(t, "league") for t in _league(spark, sf_dir).as_tuple()]
+    names = X.league_regions(spark, sf_dir)
+    return J.report_run(J.AttendanceTables(*stored), X.league_config(spark, sf_dir), X.FACT_AS_OF, region_names=names)
+
+
+@register("league_noq")
+def league_noq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U29 with site leads: never led, a post in the window, neither missing nor lapsed as a leader."""
+    return _league_report(spark, sf_dir)["noq"]
+
+
+@register("league_report")
+def league_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the listed regions to leads and default recipients."""
+    return _league_report(spark, sf_dir)["report"]
+
+
+@register("award_notifications")
+def award_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK6 payload: the award run's outgoing messages as rows."""
+    lst, history, regions = _award_inputs(spark, sf_dir)
+    ordinals = stage_table(D.new_award_ordinals(awards_region_users(spark, sf_dir), history, lst, regions, driver_specs()), "ordinals")
+    summary = N.run_summary(ordinals, regions, N.log_channels(X.award_aos(spark, sf_dir)))
+    return J.award_notes(N.award_messages(ordinals, lst, regions), summary, X.AWARD_AS_OF)
+
+
+@register("award_records")
+def award_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK1 payload: the rows the award run records, with the number of each row among equal ones instead of its hashed id."""
+    new, *_ = _new_awards(spark, sf_dir)
+    rows = K.awarded_rows(new).withColumn("run_date", periods.as_date(X.AWARD_AS_OF))
+    equal = ["region", "achievement_id", "pax_id", "date_awarded", "run_date"]
+    return rows.groupBy(*equal).agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))

@@ -259,6 +259,87 @@ def normalised_aos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------------------
+# the league: the normalised tables with rows that every filter bites on
+# ---------------------------------------------------------------------------
+
+LEAGUE_NAMES = {3: "f3csra", 7: "f3devcommunity", 9: "x9", 11: "f3yellowhammer"}
+
+
+def league_region(nation: str) -> Column:
+    """Region names with the prefix, but for one without; two are on the deny list, one more on that of the awards."""
+    name = F.concat(F.lit("f3r"), _s(nation))
+    for key, other in LEAGUE_NAMES.items():
+        name = F.when(F.col(nation) == key, F.lit(other)).otherwise(name)
+    return name
+
+
+def league_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(league_region("n_nationkey").alias("schema_name"))
+
+
+def league_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select(_s("n_nationkey").alias("region"), league_region("n_nationkey").alias("name"))
+    return region_config(spark, sf_dir).join(names, "region").drop("region").withColumnRenamed("name", "region")
+
+
+def league_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers; some have no email or the one of the unknown, some accounts are the system's."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    email = F.when(key % 53 == 0, F.lit(None).cast("string")).when(F.col("c_acctbal") < 0, F.lit("none"))
+    return c.select(
+        league_region("c_nationkey").alias("region"),
+        _s("c_custkey").alias("user_id"),
+        email.otherwise(F.concat(F.lit("pax"), _s("c_custkey"), F.lit("@example.org"))).alias("email"),
+        F.when(key % 97 == 0, F.lit("PAXminer")).otherwise(F.col("c_name")).alias("user_name"),
+    )
+
+
+def _league_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select(_s("n_nationkey").alias("region"), league_region("n_nationkey").alias("name"))
+    base = _normalised_base(spark, sf_dir).join(F.broadcast(names), "region")  # 25 nations at every size
+    return base.drop("region").withColumnRenamed("name", "region")
+
+
+def _league_leaders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The attendance base, and the two leaders of each site and year, so that most accounts never lead."""
+    base = _league_base(spark, sf_dir).withColumn("year", F.year("date"))
+    return base, base.groupBy("region", "ao_id", "year").agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi"))
+
+
+def league_beatdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events; one in eleven has lost its Q, some have no write-up."""
+    base, leaders = _league_leaders(spark, sf_dir)
+    g = base.groupBy("region", "ao_id", "year", "date").agg(
+        F.min("l_orderkey").alias("k"), F.min("l_quantity").alias("minq"), F.max("l_quantity").alias("maxq")
+    )
+    text = F.when(F.col("maxq") >= 49, F.lit(None).cast("string")).when(F.col("minq") <= 4, F.lit("QSource 2.1 lesson")).otherwise(F.lit("Beatdown in the rain"))
+    return g.join(leaders, ["region", "ao_id", "year"]).select(
+        "region",
+        "ao_id",
+        F.col("date").alias("bd_date"),
+        F.when(F.col("k") % 11 != 0, F.col("lo")).alias("q_user_id"),
+        F.when(F.col("hi") != F.col("lo"), F.col("hi")).alias("coq_user_id"),
+        text.alias("backblast"),
+    )
+
+
+def league_attendance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attendance rows; the recorded leader is the first of the site's two (even order key) or the second."""
+    base, leaders = _league_leaders(spark, sf_dir)
+    leader = F.when(F.col("l_orderkey") % 2 == 0, F.col("lo")).otherwise(F.col("hi"))
+    return base.join(leaders, ["region", "ao_id", "year"]).select("region", "user_id", "ao_id", leader.alias("q_user_id"), "date")
+
+
+def league_aos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven sites a region: the sixth is for lessons, the seventh for rucks; the first four have a lead."""
+    n = table(spark, sf_dir, "nation").select(league_region("n_nationkey").alias("region"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("no"))
+    ao = F.when(F.col("no") == 6, F.lit("3rd-F-QSource")).when(F.col("no") == 7, F.lit("ao-the-ruck")).otherwise(F.concat(F.lit("ao-"), _s("no")))
+    lead = F.when(F.col("no") <= 4, F.concat(F.lit("UL"), F.col("region"), F.lit("-"), _s("no")))
+    return n.select("region", _s("no").alias("channel_id"), ao.alias("ao"), lead.alias("site_q_user_id"))
+
+
 # ---------------------------------------------------------------------------
 # home region
 # ---------------------------------------------------------------------------

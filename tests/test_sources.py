@@ -132,8 +132,8 @@ def test_tables_stored_by_event_join_without_an_exchange(spark):
     try:
         for k, v in keep.items():
             spark.conf.set(k, v)
-        # the two large tables stay out of reach of a broadcast: sites and users are dimensions
-        large = [spark.table(f"rc_stored.{t}").hint("merge") if t in ("bd_attendance", "beatdowns") else spark.table(f"rc_stored.{t}") for t in S.ATTENDANCE_TABLES]
+        # users and sites are dimensions and may be broadcast; the two large tables are not
+        large = [df.hint("merge") if name == "bd_attendance" else df for name, df in zip(S.ATTENDANCE_TABLES, stored)]
         plan = Fa.event_posts(*large, since=dt.date(1998, 1, 1))._jdf.queryExecution().executedPlan().toString()
     finally:
         for k, v in old.items():
