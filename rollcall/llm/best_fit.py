@@ -1,29 +1,31 @@
 """Best-fit packing into bins of several permitted sequence lengths.
 
-Documents longer than the largest length are cut into full pieces and a
-rest. The pieces are dealt by hash to blocks of bounded size; in each block
+A document's length is its number of tokens (``count_tokens``). Documents longer
+than the largest length are cut into full pieces and a rest. The pieces are dealt by hash to blocks of bounded size; in each block
 they are placed longest first into the open bin with the least room that
 still takes them. Where none does, a bin is opened at the permitted length
 with the least cost for each token it can expect to hold, given what is left
 to place; at the end every bin is downsized to the least permitted length
 that holds its contents.
 
-Defined results: a null or wordless text has length 0 and takes no room: one
+Defined results: a null or empty text has length 0 and takes no room: one
 piece with no bin; repeated rows are pieces of their own; an empty table
 gives an empty table. No piece is dropped and no text is cut off.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import ascii_words, stage_table
+from rollcall.llm.common import ascii_words, bounded_batches, stage_table
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: Pieces a block is meant to hold; a block is one task's work.
@@ -73,6 +75,34 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, cost: Callable[[
     return at_bin, at, [lengths[bisect_left(lengths, u)] for u in used]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoding(ranks: bytes, pattern: str):
+    """The encoder of a worker process, which serves all its tasks."""
+    import tiktoken
+
+    pairs = (line.split() for line in ranks.splitlines() if line)
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(t): int(r) for t, r in pairs}, special_tokens={})
+
+
+def count_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens) per row: the tokens of the whole text by a rank file, without special tokens; 0 for a null text.
+
+    The file (under 1 MB) is read on the driver and broadcast. Each row is counted where it is read.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    with open(ranks_path, "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = _encoding(shared.value, pattern).encode_ordinary
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": [len(encode(t)) for t in batch["text"]]})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInPandas(counted, "doc_id long, n_tokens long")
+
+
 def pieces_of(docs: DataFrame, length: Column, largest: int) -> DataFrame:
     """(doc_id, piece, start, length): every document cut at multiples of ``largest``; a document without length has one empty piece."""
     n = F.greatest(F.ceil(length / largest), F.lit(1)).cast("int")
@@ -84,7 +114,7 @@ def pieces_of(docs: DataFrame, length: Column, largest: int) -> DataFrame:
 def best_fit_packing(docs: DataFrame, length: Column | None = None, lengths: tuple[int, ...] = LENGTHS, block: int = BLOCK) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, bin_id, bin_offset, bin_length.
 
-    ``length`` counts a document's tokens (by default its words). Only ids
+    ``length`` counts a document's tokens, as ``count_tokens`` does (by default its words). Only ids
     and lengths are shuffled. Blocks come from a hash of the piece and a
     running row number, so neither copies nor repeated ids gather in one; their
     number follows the count of pieces, so a block's memory does not grow.
@@ -107,4 +137,4 @@ def best_fit_packing(docs: DataFrame, length: Column | None = None, lengths: tup
     return dealt.groupBy("__block").applyInPandas(packed, schema).unionByName(empty)
 
 
-__all__ = ["LENGTHS", "attention_cost", "best_fit_packing", "pack", "pieces_of"]
+__all__ = ["LENGTHS", "attention_cost", "best_fit_packing", "count_tokens", "pack", "pieces_of"]

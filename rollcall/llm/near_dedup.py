@@ -22,8 +22,8 @@ among the rarest fifth of each text (the prefix filter of set similarity joins),
 how far down that fifth it comes bounds the other text's length. Where texts have enough k-mers of their
 own, as texts with a common passage do, nothing is shared there, and they are
 done. What is left are texts made of little else than common passages: if two of them are
-similar, each is similar to a shorter one too, so members meet the shortest ones of
-a rare k-mer's bucket, in turns, and leave as soon as no text is short enough for them.
+similar, each is similar to a shorter one too, so members of a large bucket of a rare k-mer meet
+its shortest ones, in turns, and leave as soon as no text is short enough for them.
 
 Classes are the connected components of the links, found by spreading the
 least number with pointer jumping; nothing but counts reaches the driver. Only
@@ -56,8 +56,8 @@ THRESHOLD = 0.8
 SHORT = 8
 #: Members of a bucket that is searched pair by pair; those of larger ones go the exact second way.
 SMALL = 32
-#: Shortest members of a rare k-mer's bucket that the others meet in a turn.
-TURN = 16
+#: Members of a rare k-mer's bucket that is searched pair by pair, and the shortest ones that those of a larger one meet in a turn.
+RARE, TURN = 256, 64
 #: Bits of the sketch that candidates are compared by before their texts are fetched; a multiple of 64.
 BITS = 512
 #: Standard deviations by which the sketches of a pair at the threshold may differ more than expected.
@@ -195,21 +195,20 @@ def _kmers(k: int):
 def connected(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, class_id): the least id of each node's component. ``links`` (a, b) joins ids of ``nodes`` (id).
 
-    Each round takes the least class among a node's neighbours, then follows
-    classes to their own class, until nothing changes. A node with very many
+    In each round a node takes the least of its own class, its neighbours' and
+    its class's class, until nothing changes. A node with very many
     links meets plain joins, which Spark splits, and partial minima.
     """
     both = stage_table(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     if both.isEmpty():
         return nodes.select("id", F.col("id").alias("class_id"))
-    linked = stage_table(both.select(F.col("a").alias("id")).distinct().withColumn("class_id", F.col("id")), "classes")
+    linked = both.select(F.col("a").alias("id")).distinct().withColumn("class_id", F.col("id"))
     while True:
-        near = both.join(linked.select(F.col("id").alias("b"), F.col("class_id").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
-        lower = linked.join(near, "id", "left").select("id", F.col("class_id").alias("before"), F.least("class_id", F.coalesce("c", "class_id")).alias("class_id"))
-        lower = stage_table(lower, "classes")
-        heads = lower.select(F.col("id").alias("class_id"), F.col("class_id").alias("head"))
-        after = lower.join(heads, "class_id").select("id", "before", F.col("head").alias("class_id"))
-        linked = stage_table(after, "classes")
+        named = linked.select(F.col("id").alias("b"), F.col("class_id").alias("c"))
+        near = both.join(named, "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
+        above = linked.select(F.col("id").alias("class_id"), F.col("class_id").alias("up"))
+        met = linked.join(near, "id").join(above, "class_id")
+        linked = stage_table(met.select("id", F.col("class_id").alias("before"), F.least("class_id", "c", "up").alias("class_id")), "classes")
         if linked.where(F.col("before") != F.col("class_id")).isEmpty():
             break
         linked = linked.select("id", "class_id")
@@ -267,21 +266,31 @@ def _prefixes(wide: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     return common.withColumn("pos", pos).where(F.col("pos") < length).select(F.col("kmer").alias("band"), "id", "n", "pos")
 
 
-def _second_way(wide: DataFrame, sketches: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (id, class_id) after further ``links`` (a, b): the components of the classes that they join."""
+    of_a = classes.select(F.col("id").alias("a"), F.col("class_id").alias("ca"))
+    of_b = classes.select(F.col("id").alias("b"), F.col("class_id").alias("cb"))
+    between = links.select("a", "b").join(of_a, "a").join(of_b, "b").where(F.col("ca") != F.col("cb"))
+    between = stage_table(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "class-links")
+    if between.isEmpty():
+        return classes
+    joined = between.select(F.col("a").alias("id")).union(between.select(F.col("b").alias("id"))).distinct()
+    new = connected(between, joined).select(F.col("id").alias("class_id"), F.col("class_id").alias("into"))
+    return stage_table(classes.join(new, "class_id", "left").select("id", F.coalesce("into", "class_id").alias("class_id")), "classes")
+
+
+def _second_way(wide: DataFrame, sketches: DataFrame, classes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """Classes (id, class_id) after all texts of ``wide`` (id) have been compared by their rarest k-mers."""
     rare = _prefixes(wide, texts, k, threshold).join(sketches, "id")
-    buckets, classes = stage_table(rare, "rare"), connected(links, nodes)
+    buckets = stage_table(rare, "rare")
     while True:
         split = stage_table(_split(buckets, classes), "rare-split")
         if split.isEmpty():
             return classes
-        small, large = split.where(F.col("size") <= SMALL), split.where(F.col("size") > SMALL)
+        small, large = split.where(F.col("size") <= RARE), split.where(F.col("size") > RARE)
         leaders = stage_table(_shortest(large, TURN), "leaders")
         heads = _lists(small).union(_lists(leaders))
-        more = stage_table(_verified(_met(split, heads, threshold), texts, k, threshold), "links")
-        if not more.isEmpty():
-            links = stage_table(links.unionByName(more), "all-links")
-            classes = connected(links, nodes)
+        classes = _merged(classes, _verified(_met(split, heads, threshold), texts, k, threshold))
         rest = large.drop("size", "shortest").join(leaders.select("band", "id"), ["band", "id"], "left_anti")
         left = _split(rest, classes)
         # longer partners than this cannot share enough with what comes after the k-mer
@@ -346,15 +355,13 @@ def _classed(docs: DataFrame, k: int, threshold: float, sketches: int, ell: int)
     heads = stage_table(_lists(members.join(picked, ["band", "id"], "left_semi")), "heads")
 
     links = stage_table(_verified(_met(members, heads, threshold), texts, k, threshold), "links-1")
-    split = stage_table(_split(members, connected(links, nodes)), "split")
+    classes = stage_table(connected(links, nodes), "classes-1")
+    split = stage_table(_split(members, classes), "split")
     small = split.where(F.col("size") <= SMALL)
-    more = stage_table(_verified(_met(small, _lists(small), threshold), texts, k, threshold), "links-2")
-    links = stage_table(links.unionByName(more), "all-links")
-    classes = connected(links, nodes)
+    classes = _merged(classes, _verified(_met(small, _lists(small), threshold), texts, k, threshold))
     wide = stage_table(_split(split.where(F.col("size") > SMALL).drop("size", "shortest"), classes).select("id").distinct(), "wide")
     if not wide.isEmpty():
-        classes = _second_way(wide, sketched, links, nodes, texts, k, threshold)
-    classes = stage_table(classes, "classes")
+        classes = _second_way(wide, sketched, classes, texts, k, threshold)
     joined = stage_table(copies.join(classes, "id", "left").select("digest", "copy_of", F.coalesce("class_id", "id").alias("class")), "text-classes")
     rows = stage_table(signed.select("doc_id", "digest").join(joined, "digest"), "classed-rows")
     # an id of several texts names a class only if the class has no other

@@ -31,7 +31,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit.best_fit_packing(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    import public_tokenizers
+
+    counted = best_fit.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return best_fit.best_fit_packing(counted, F.col("n_tokens"))
 
 
 @register
@@ -95,7 +98,12 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-_BOILERPLATE = quality_rules.BOILERPLATE
+#: The notices' phrases of the SQL form (stated here by themselves).
+_BOILERPLATE = (
+    r"all rights reserved|terms of (use|service)|privacy policy|cookie policy|(we|site) uses? cookies|accept (all )?cookies"
+    r"|enable javascript|javascript is (disabled|required)|subscribe to our|sign up for our|click here to|skip to (main )?content"
+    r"|licen[sc]ed under|copyright ©|copyright \(c\)"
+)
 
 #: Words by Spark's and DuckDB's common regular expressions; verdicts from literal thresholds, not from the operator's parameters.
 ORACLE["op1_quality_rules"] = r"""

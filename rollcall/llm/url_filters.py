@@ -7,8 +7,10 @@ rules of its own tokens by an equi-join. DataFrame functions and Spark ML only.
 
 Defined results: a null URL, or one without ``://``, has an empty host and
 path, no rule and no tokens, and is allowed; repeated rows each get a row; no
-labels, or none that agree with any combination, give no mined rules; an
-empty table gives an empty table.
+labels, or none that agree with any combination, give no mined rules; a very
+long URL, or one of very many parts, is judged whole; an empty table gives an
+empty table. ``labels`` marks documents, not URLs: a page has the mark of the
+document of its id, so on tables where the two have nothing in common few rules are found.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rollcall.llm.common import stage_table
 
@@ -56,43 +57,77 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, parts))
 
 
+def token_classes(baskets: DataFrame) -> DataFrame:
+    """(t, rep): for each token the least one of those that are in exactly the same baskets (basket, items).
+
+    Told by the number of its baskets and two sums of hashes of their numbers.
+    """
+    held = baskets.select("basket", F.explode(F.array_distinct("items")).alias("t"))
+    signed = held.groupBy("t").agg(F.count("*").alias("n"), F.sum(F.xxhash64("basket").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit("second"), "basket")).alias("b"))
+    reps = signed.groupBy("n", "a", "b").agg(F.min("t").alias("rep"))
+    return signed.join(reps, ["n", "a", "b"]).select("t", "rep")
+
+
+def _subsets(tokens: Column) -> Column:
+    """All subsets of a sorted array but the empty one and itself, each sorted."""
+    start = F.array(F.array().cast("array<string>"))
+    every = F.aggregate(tokens, start, lambda found, t: F.concat(found, F.transform(found, lambda s: F.array_append(s, t))))
+    return F.filter(every, lambda s: (F.size(s) > 0) & (F.size(s) < F.size(tokens)))
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, partitions: int = 64) -> DataFrame:
     """Association rules ``tokens -> label`` from rows (tokens array, bad boolean).
 
     Kept: label as the consequent, at least ``min_support`` of the rows,
-    ``min_confidence``, lift over 1, and more confidence than every kept label
+    ``min_confidence``, lift over 1, and more confidence than every label
     rule on a subset of its tokens (a longer rule must add something).
-    Returns (rule_id, tokens, bad, confidence, support).
+    Tokens that are in exactly the same rows, such as the parts of one site's common path, are mined as one: a set
+    with two of them says no more than a set with one, and would only double the sets for each.
+    Returns (rule_id, tokens, bad, confidence, support, alternatives); ``alternatives`` has for each
+    of ``tokens`` all that stand for it.
     """
     label = F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))
-    baskets = stage_table(labelled.where(F.col("bad").isNotNull()).select(F.array_append("tokens", label).alias("items")), "url-baskets")
-    empty = T.StructType([T.StructField("rule_id", T.LongType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("bad", T.BooleanType()), T.StructField("confidence", T.DoubleType()), T.StructField("support", T.DoubleType())])
-    if baskets.isEmpty():
+    marked = labelled.where(F.col("bad").isNotNull()).select(F.monotonically_increasing_id().alias("basket"), F.col("tokens").alias("items"), label.alias("label"))
+    marked = stage_table(marked, "url-baskets")
+    empty = "rule_id long, tokens array<string>, bad boolean, confidence double, support double, alternatives array<array<string>>"
+    if marked.isEmpty():
         return labelled.sparkSession.createDataFrame([], empty)
+    classes = stage_table(token_classes(marked), "url-token-classes")
+    held = marked.select("basket", "label", F.explode_outer(F.array_distinct("items")).alias("t")).join(classes, "t", "left")
+    # a row without tokens still counts for the shares
+    baskets = stage_table(held.groupBy("basket", "label").agg(F.collect_set("rep").alias("reps")).select(F.array_append("reps", F.col("label")).alias("items")), "url-mined")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=partitions).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0].isin(BAD, GOOD) & (F.col("lift") > 1))
     rules = found.select(
-        F.xxhash64("antecedent", "consequent").alias("rule_id"), F.sort_array("antecedent").alias("tokens"), (F.col("consequent")[0] == BAD).alias("bad"), "confidence", "support"
+        F.xxhash64(F.sort_array("antecedent"), "consequent").alias("rule_id"), F.sort_array("antecedent").alias("tokens"), F.col("consequent").alias("side"), (F.col("consequent")[0] == BAD).alias("bad"), "confidence", "support"
     )
     rules = stage_table(rules, "url-rules")
-    # a rule's subsets share its tokens: meet them through each token, then compare
-    tokens = rules.select(F.explode("tokens").alias("t"), F.struct("rule_id", "tokens", "bad", "confidence").alias("r"))
-    longer = tokens.select("t", F.col("r").alias("l")).join(tokens.select("t", F.col("r").alias("s")), "t").where(
-        (F.size("l.tokens") > F.size("s.tokens")) & (F.col("l.bad") == F.col("s.bad")) & (F.col("l.confidence") <= F.col("s.confidence")) & (F.size(F.array_except("s.tokens", "l.tokens")) == 0)
-    )
-    return rules.join(longer.select(F.col("l.rule_id").alias("rule_id")).distinct(), "rule_id", "left_anti")
+    # a rule meets the rules on its subsets by their ids, not through shared tokens
+    parts = rules.where(F.size("tokens") > 1).select("rule_id", "confidence", "side", F.explode(_subsets(F.col("tokens"))).alias("part"))
+    looked = parts.select(F.xxhash64("part", "side").alias("shorter"), F.col("rule_id").alias("longer"), F.col("confidence").alias("c"))
+    lesser = looked.join(rules.select(F.col("rule_id").alias("shorter"), F.col("confidence").alias("sc")), "shorter").where(F.col("c") <= F.col("sc"))
+    kept = rules.drop("side").join(lesser.select(F.col("longer").alias("rule_id")).distinct(), "rule_id", "left_anti")
+    same = classes.groupBy("rep").agg(F.sort_array(F.collect_set("t")).alias("same"))
+    named = kept.select("rule_id", F.explode("tokens").alias("rep")).join(same, "rep")
+    choices = named.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("rep", "same"))).alias("c"))
+    return kept.join(choices, "rule_id").select("rule_id", "tokens", "bad", "confidence", "support", F.transform("c", lambda x: x["same"]).alias("alternatives"))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """Per matching row of ``urls`` (key, tokens): the most confident bad and good rule. Inverted index on the rarest token."""
-    common = rules.select(F.explode("tokens").alias("t")).groupBy("t").count()
+    """Per matching row of ``urls`` (key, tokens): the most confident bad and good rule. Inverted index on the rarest token.
+
+    A rule is met if the URL has one of each of its ``alternatives``.
+    """
+    common = rules.select(F.explode("tokens").alias("rep")).groupBy("rep").count()
     index = (
-        rules.select("rule_id", "tokens", "bad", "confidence", F.explode("tokens").alias("t"))
-        .join(common, "t")
+        rules.select("rule_id", "bad", "confidence", "alternatives", F.explode(F.arrays_zip("tokens", "alternatives")).alias("x"))
+        .select("rule_id", "bad", "confidence", "alternatives", F.col("x.tokens").alias("rep"), F.col("x.alternatives").alias("same"))
+        .join(common, "rep")
         .groupBy("rule_id")
-        .agg(F.min(F.struct("count", "t"))["t"].alias("t"), F.first("tokens").alias("rule_tokens"), F.first("bad").alias("bad"), F.first("confidence").alias("confidence"))
+        .agg(F.min(F.struct("count", "rep", "same"))["same"].alias("same"), F.first("alternatives").alias("alternatives"), F.first("bad").alias("bad"), F.first("confidence").alias("confidence"))
+        .select("rule_id", "alternatives", "bad", "confidence", F.explode("same").alias("t"))
     )
-    met = urls.select(key, "tokens", F.explode("tokens").alias("t")).join(index, "t").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
+    met = urls.select(key, "tokens", F.explode("tokens").alias("t")).join(index, "t").where(F.forall("alternatives", lambda a: F.arrays_overlap(a, F.col("tokens"))))
     return met.groupBy(key).agg(F.max(F.when(F.col("bad"), F.col("confidence"))).alias("bad_confidence"), F.max(F.when(~F.col("bad"), F.col("confidence"))).alias("good_confidence"))
 
 

@@ -9,12 +9,14 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from compare_oracle import digest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rollcall.llm import best_fit, html_extract, near_dedup, queries, sharding, url_filters, warc
+from rollcall.llm import best_fit, bpe, html_extract, near_dedup, queries, sharding, url_filters, warc
 from rollcall.session import stage_table
 
 SMOKE = "/root/testdata/sf0.001"
@@ -53,6 +55,22 @@ def test_pack_equals_brute_force():
             assert Counter((ends[b], sum(s for _, s in p)) for b, p in used.items()) == brute_pack(sizes, (64, 128, 512), lambda c: c + 0.002 * c * c)
 
 
+def test_packing_by_tokens(spark, awkward):
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(queries.RANKS)), special_tokens={})
+    counted = best_fit.count_tokens(awkward, public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN)
+    want = Counter((r["doc_id"], len(enc.encode_ordinary(r["text"] or ""))) for r in awkward.collect())
+    assert Counter(map(tuple, counted.collect())) == want
+    out = queries.op2_best_fit_packing(spark, SMOKE).collect()
+    used, total = Counter(), Counter()
+    for r in out:
+        total[r["doc_id"]] += r["length"]
+        if r["bin_id"] is not None:
+            used[r["bin_id"], r["bin_length"]] += r["length"]
+    assert all(n <= length <= max(best_fit.LENGTHS) for (_, length), n in used.items())
+    for r in spark.read.parquet(f"{SMOKE}/documents.parquet").collect():
+        assert total[r["doc_id"]] == len(enc.encode_ordinary(r["text"]))
+
+
 def test_packing_covers_every_token(awkward, no_docs):
     out = best_fit.best_fit_packing(awkward, block=5).collect()
     want = Counter()
@@ -207,6 +225,27 @@ def test_mined_rules_equal_brute_force(spark):
         assert met.get(i, (None, None)) == tuple(best)
 
 
+def test_tokens_of_a_common_path_are_mined_as_one(spark):
+    path = [f"p:part{i}" for i in range(40)]
+    rows = [(["h:site", *path, f"p:own{i}"], True) for i in range(100)] + [(["h:site", "p:clean"], False) for _ in range(50)] + [(["h:other"], False) for _ in range(50)]
+    start = time.time()
+    rules = url_filters.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.6)
+    got = {(tuple(map(tuple, r["alternatives"])), r["bad"]): r["confidence"] for r in rules.collect()}
+    assert time.time() - start < 60
+    assert got == {((tuple(sorted(path)),), True): 1.0, ((("h:site",),), True): 100 / 150, ((("p:clean",),), False): 1.0, ((("h:other",),), False): 1.0}
+    urls = spark.createDataFrame([(1, [path[7], "x"]), (2, ["h:site"]), (3, ["x"]), (4, ["h:site", "p:clean"]), (5, path * 20)], "page_id long, tokens array<string>")
+    met = {r["page_id"]: (r["bad_confidence"], r["good_confidence"]) for r in url_filters.match_rules(urls, rules, "page_id").collect()}
+    assert met == {1: (1.0, None), 2: (100 / 150, None), 4: (100 / 150, 1.0), 5: (1.0, None)}
+
+
+def test_very_long_urls(spark):
+    long = "http://Long.Example.COM/de/" + "part/" * 20_000 + "end?q=1"
+    pages = spark.createDataFrame([(1, long), (2, "http://x.net/" + "y" * 1_000_000)], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filters.url_verdicts(pages, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")).collect()}
+    assert got[1]["host"] == "long.example.com" and got[1]["path"] == "/de/" + "part/" * 20_000 + "end" and (got[1]["rule"], got[1]["verdict"]) == ("example.com/de/", "block")
+    assert (got[2]["rule"], got[2]["verdict"]) == ("net/", "block")
+
+
 def test_url_verdicts_on_awkward_rows(spark):
     rows = [(1, None), (2, ""), (3, "http://spam.org/buy/1"), (3, "http://spam.org/buy/1"), (None, "http://spam.org/buy/2"), (4, "http://fine.org/read/1")] + [(i, f"http://spam.org/buy/{i}") for i in range(5, 20)] + [(i, f"http://fine.org/read/{i}") for i in range(20, 40)]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(0), "tokens": F.lit(0), "rule": F.lit(0)})
@@ -453,6 +492,7 @@ def test_one_large_group_of_near_copies(spark):
 def test_buckets_of_unlike_texts_lose_no_link(spark, monkeypatch, small, turn):
     """Texts about a similarity of 0.8 apart in one family, and a passage in many texts, some of them alike besides it."""
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "RARE", small)
     monkeypatch.setattr(near_dedup, "TURN", turn)
     rng = random.Random(12)
     family, passage = [f"w{i}" for i in range(90)], [f"p{i}" for i in range(60)]
@@ -477,6 +517,7 @@ def test_buckets_of_unlike_texts_lose_no_link(spark, monkeypatch, small, turn):
 def test_texts_of_little_else_than_common_passages(spark, monkeypatch, small, turn):
     """Two passages, alone and together, with own words before and after that make texts just alike, or just not."""
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "RARE", small)
     monkeypatch.setattr(near_dedup, "TURN", turn)
     rng = random.Random(31)
     one, two = [f"p{i}" for i in range(60)], [f"q{i}" for i in range(30)]
