@@ -8,10 +8,13 @@ executor costs at most a part of one stage.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rollcall.llm import best_fit, near_dedup, quality_classifier, quality_rules
 from rollcall.llm.common import read, stage_table
+from rollcall.llm.queries import RANKS
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +33,9 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in the bins."""
-    return best_fit.best_fit_packing(docs)
+    """The pieces of the documents, by tokens, and their places in the bins."""
+    counted = best_fit.count_tokens(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return best_fit.best_fit_packing(counted, F.col("n_tokens"))
 
 
 STAGES = [("quality_rules", clean), ("quality_classifier", classify), ("near_dedup", dedup), ("best_fit_packing", pack)]
