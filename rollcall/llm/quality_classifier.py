@@ -313,6 +313,8 @@ def kth_largest(rows: DataFrame, column: str, k: int, bits: int = 16) -> int | N
         counts = sorted(at.groupBy(digit.alias("d")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["d"])
         if not counts:
             return None
+        if shift + bits == 64:
+            k = min(k, sum(r["n"] for r in counts))
         for r in counts:
             if above + r["n"] >= k:
                 break
