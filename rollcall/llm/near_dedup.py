@@ -258,12 +258,20 @@ def _prefixes(wide: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     first n - ceil(threshold * n) + 1. ``pos`` k-mers of the text come before it.
     """
     kmers = stage_table(texts.join(wide, "id", "left_semi").mapInPandas(_kmers(k), "id long, n long, kmer long"), "wide-kmers")
-    shared = kmers.groupBy("kmer").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    common = kmers.join(shared, "kmer")
-    own = F.col("n") - F.count("*").over(Window.partitionBy("id"))
-    pos = own + F.row_number().over(Window.partitionBy("id").orderBy("df", "kmer")) - 1
+    counted = stage_table(kmers.groupBy("kmer").agg(F.count("*").alias("df"), F.min("id").alias("id")), "kmer-counts")
+    # the k-mers a text has alone come first; a text with enough of them shares none of its rarest
+    alone = counted.where(F.col("df") == 1).groupBy("id").agg(F.count("*").alias("own"))
     length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return common.withColumn("pos", pos).where(F.col("pos") < length).select(F.col("kmer").alias("band"), "id", "n", "pos")
+    sizes = kmers.groupBy("id").agg(F.first("n").alias("n")).join(alone, "id", "left")
+    open_ = stage_table(sizes.select("id", F.coalesce("own", F.lit(0)).alias("own"), length.alias("length")).where("own < length"), "open-texts")
+    shared = counted.where(F.col("df") > 1).select("kmer", "df")
+    # then those of few texts; only a text that has too few of these too goes on to the frequent ones
+    rare = stage_table(kmers.join(open_, "id").join(shared.where(F.col("df") <= RARE), "kmer"), "rare-kmers")
+    after = open_.join(rare.groupBy("id").agg(F.count("*").alias("few")), "id", "left").where(F.col("own") + F.coalesce("few", F.lit(0)) < F.col("length"))
+    often = kmers.join(after.drop("few"), "id").join(shared.where(F.col("df") > RARE), "kmer")
+    pos = F.col("own") + F.row_number().over(Window.partitionBy("id").orderBy("df", "kmer")) - 1
+    common = rare.unionByName(often).withColumn("pos", pos)
+    return common.where(F.col("pos") < F.col("length")).select(F.col("kmer").alias("band"), "id", "n", "pos")
 
 
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
