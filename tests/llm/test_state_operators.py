@@ -175,6 +175,16 @@ def test_alignment_of_no_documents(no_docs):
     assert alignment.align_documents(no_docs, JSON_A, MODEL_B).count() == 0
 
 
+def test_the_fast_encoder_gives_the_same_ids(spark, pair):
+    assert pair.fast_a is not None
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()] + [t for _, t in ODD_TEXTS]
+    texts += ["don't we'll THEY'RE 'sup", "tab\t\t x \r\n\r\n  y\u00a0\u2003z ", "½ ² Ⅷ ٣ १ 一 あ ﬁ ǅ", "a\u0301 \u200b\u200d👩‍👩‍👧 🇩🇪", "\x00\x1c\x1d\x85 end", "<|endoftext|>"]
+    for i in range(0, len(texts), 100):
+        part = texts[i : i + 100]
+        slow = [e.ids for e in pair.a.encode_batch([" " + t for t in part], add_special_tokens=False)]
+        assert pair.ids_a(part) == slow
+
+
 def as_tuple(f):
     return (f.cut, *(np.asarray(getattr(f, c)).tolist() for c in alignment._ARRAYS))
 
