@@ -39,16 +39,16 @@ def summarise(df) -> dict:
 
 def main(argv) -> None:
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
+    from rollcall import queries
     from rollcall.session import local_session
 
     spark = local_session(8, shuffle_partitions=8)
-    print("# Physical plans of the registered queries\n")
+    print("# Physical plans of the registered queries of the award, report and photo operators\n")
     print(f"Generated by `scripts/plan_report.py` on `{sf_dir}` (AQE initial plans; AQE may turn")
     print("sort-merge joins into broadcast joins at run time and reuses identical exchanges).\n")
     print("| query | parquet scans | shuffles | broadcasts | SMJ | BHJ | range filters pushed on | all-pairs / Python |")
     print("|---|---|---|---|---|---|---|---|")
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(queries.REGISTRY.items()):
         s = summarise(fn(spark, sf_dir))
         scans = ", ".join(f"{k}x{v}" for k, v in sorted(s["scans"].items()))
         print(
