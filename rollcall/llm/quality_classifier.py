@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
-from rollcall.llm.common import WS, bounded_batches, clean_columns, workspace, write_table
+from rollcall.llm.common import WS, bounded_batches, clean_columns, collected, workspace, write_table
 
 #: Buckets of the shapes' bigrams, and of the words' unigrams and bigrams each.
 BUCKETS, WORD_BUCKETS = 1 << 12, 1 << 18
@@ -175,8 +175,10 @@ def classes(labels: DataFrame) -> DataFrame:
 
 def labelled_ids(labels: DataFrame, most: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
     """The labelled ids, ascending, and whether each is a target; of more than ``most`` those of the least hashes."""
-    chosen = classes(labels).select(F.col("doc_id").cast("long").alias("doc_id"), "target").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas().sort_values("doc_id")
-    return chosen["doc_id"].to_numpy(np.int64), chosen["target"].to_numpy(bool)
+    chosen = classes(labels).select(F.col("doc_id").cast("long").alias("doc_id"), "target").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids, target = collected(chosen)
+    order = np.argsort(ids)
+    return ids[order], target[order]
 
 
 def _class(ids: pd.Series, labelled: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -217,11 +219,12 @@ def count_models(docs: DataFrame, labelled: tuple[np.ndarray, np.ndarray]) -> li
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = texts.mapInPandas(counted, "model int, bucket long, target long, labelled long, raw long")
-    rows = parts.groupBy("model", "bucket").agg(*[F.sum(c).alias(c) for c in ("target", "labelled", "raw")]).toPandas()
+    model, bucket, *sums = collected(parts.groupBy("model", "bucket").agg(*[F.sum(c).alias(c) for c in ("target", "labelled", "raw")]))
     out = [np.zeros((n + 1, 3), np.int64) for n in SIZES]
-    for model in range(3):
-        mine = rows[rows["model"] == model]
-        out[model][mine["bucket"].to_numpy(int)] = mine[["target", "labelled", "raw"]].to_numpy(np.int64)
+    for i, counts in enumerate(out):
+        mine = model == i
+        for c, column in enumerate(sums):
+            counts[bucket[mine], c] = column[mine]
     return out
 
 
@@ -310,16 +313,16 @@ def kth_largest(rows: DataFrame, column: str, k: int, bits: int = 16) -> int | N
     for shift in range(64 - bits, -1, -bits):
         at = flipped if shift + bits == 64 else flipped.where(F.shiftrightunsigned("x", shift + bits) == prefix)
         digit = F.shiftrightunsigned("x", shift).bitwiseAND(F.lit((1 << bits) - 1))
-        counts = sorted(at.groupBy(digit.alias("d")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["d"])
-        if not counts:
+        digits, counts = collected(at.groupBy(digit.alias("d")).agg(F.count("*").alias("n")))
+        if not len(digits):
             return None
+        order = np.argsort(-digits)
+        reached = above + np.cumsum(counts[order])
         if shift + bits == 64:
-            k = min(k, sum(r["n"] for r in counts))
-        for r in counts:
-            if above + r["n"] >= k:
-                break
-            above += r["n"]
-        prefix = prefix << bits | r["d"]
+            k = min(k, int(reached[-1]))
+        i = int(np.searchsorted(reached, k))
+        above = int(reached[i - 1]) if i else above
+        prefix = prefix << bits | int(digits[order[i]])
     return prefix - 2**63
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import unicodedata
 from collections import Counter
 
@@ -260,6 +261,25 @@ def test_models_and_importance_equal_brute_force(spark, table):
     assert min(r["gumbel_key"] for r in out.values() if r["kept"]) > max(r["gumbel_key"] for r in out.values() if not r["kept"])
 
 
+def test_the_models_take_little_of_the_driver(spark):
+    """The counts of nearly all buckets, collected as arrays whatever the session's settings."""
+    text = " ".join(f"w{i * 7919 % 1_000_003}" for i in range(400_000))
+    docs = spark.createDataFrame([(i, text[i:]) for i in (0, 1)], "doc_id long, text string").localCheckpoint()
+    labels = (np.array([0]), np.array([True]))
+    setting = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    tracemalloc.start()
+    try:
+        counts = qc.count_models(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(setting, before)
+    assert sum((c[:, 2] > 0).sum() for c in counts) > 380_000
+    assert peak < 80e6
+
+
 def test_words_pass_beyond_chance_only():
     counts = np.zeros((qc.WORD_BUCKETS + 1, 3), np.int64)
     counts[-1] = 300, 400, 1000
