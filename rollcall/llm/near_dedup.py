@@ -18,7 +18,8 @@ copies, however large. After that only buckets that still hold several
 classes are searched, and only between classes: those of at most ``SMALL`` members pair by pair.
 Larger ones come from passages that many texts share; no pair within them is formed.
 Their members go a second way, which is exact: a pair at the threshold must share a k-mer
-among the rarest fifth of each text (the prefix filter of set similarity joins), and
+among the rarest fifth of each text (the prefix filter of set similarity joins; any common order
+is exact, and a table of counts of a fixed size tells what is frequent), and
 how far down that fifth it comes bounds the other text's length. Where texts have enough k-mers of their
 own, as texts with a common passage do, nothing is shared there, and they are
 done. What is left are texts made of little else than common passages: if two of them are
@@ -26,7 +27,7 @@ similar, each is similar to a shorter one too, so members of a large bucket of a
 its shortest ones, in turns, and leave as soon as no text is short enough for them.
 
 Classes are the connected components of the links, found by spreading the
-least number with pointer jumping; nothing but counts reaches the driver. Only
+least number with pointer jumping; nothing but counts, ``SLOTS`` at most, reaches the driver. Only
 texts that share a bucket are shuffled.
 
 Defined results: a null text is the empty text, texts without words are one
@@ -46,7 +47,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import ascii_words, bounded_batches, stage_table
+from rollcall.llm.common import ascii_words, bounded_batches, collected, stage_table
 
 K = 5
 SKETCHES = 20
@@ -58,6 +59,8 @@ SHORT = 8
 SMALL = 32
 #: Members of a rare k-mer's bucket that is searched pair by pair, and the shortest ones that those of a larger one meet in a turn.
 RARE, TURN = 256, 64
+#: Slots of the table that k-mers are counted in; a power of two.
+SLOTS = 1 << 20
 #: Bits of the sketch that candidates are compared by before their texts are fetched; a multiple of 64.
 BITS = 512
 #: Standard deviations by which the sketches of a pair at the threshold may differ more than expected.
@@ -181,13 +184,38 @@ def _sketches(k: int):
     return of
 
 
-def _kmers(k: int):
+def _slots(kmers: np.ndarray, slots: int) -> np.ndarray:
+    return (_mixed(kmers * MIX) >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
+
+
+def _slot_counts(k: int, slots: int):
+    """How many k-mers fall into each slot; a task adds up its texts before it sends them on."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(slots, np.int64)
+        for batch in batches:
+            for w in batch["words"]:
+                np.add.at(counts, _slots(labelled_kmers(np.asarray(w, np.int64), k), slots), 1)
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"slot": at, "n": counts[at]})
+
+    return of
+
+
+def _rarest(k: int, threshold: float, shared):
+    """The rarest k-mers of each text by the counts of their slots, but those that are alone in theirs, as no other text has them."""
+
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = shared.value
         for batch in batches:
             for i, w in zip(batch["id"], batch["words"], strict=True):
-                kmers = labelled_kmers(np.asarray(w, np.int64), k).view(np.int64)
-                for at in range(0, len(kmers), 100_000):
-                    yield pd.DataFrame({"id": i, "n": len(kmers), "kmer": kmers[at : at + 100_000]})
+                kmers = labelled_kmers(np.asarray(w, np.int64), k)
+                n, found = len(kmers), counts[_slots(kmers, len(counts))]
+                order = np.lexsort((kmers, found))[: n - int(np.ceil(n * threshold - 1e-9)) + 1]
+                alone = int(np.searchsorted(found[order], 1, "right"))
+                for at in range(alone, len(order), 100_000):
+                    part = order[at : at + 100_000]
+                    yield pd.DataFrame({"band": kmers[part].view(np.int64), "id": i, "n": n, "pos": np.arange(at, at + len(part))})
 
     return of
 
@@ -252,26 +280,20 @@ def _shortest(members: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(wide: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(band, id, n, pos) for each k-mer among the rarest of a text of ``wide`` (id) that another text there has too.
+    """(band, id, n, pos) for each k-mer among the rarest of a text of ``wide`` (id) that another text may have among its rarest too.
 
-    Rarest: in ascending order of the number of texts, ties by the k-mer; with n k-mers the
-    first n - ceil(threshold * n) + 1. ``pos`` k-mers of the text come before it.
+    Any order that all texts share will do. Here: ascending by the number of k-mers in the k-mer's slot of a
+    table of ``SLOTS``, which is never below the number of texts that have it, ties by the k-mer; with n k-mers
+    the first n - ceil(threshold * n) + 1. ``pos`` k-mers of the text come before it. The table has a fixed size, so
+    it is broadcast, and the others of a text's k-mers are neither written nor sent.
     """
-    kmers = stage_table(texts.join(wide, "id", "left_semi").mapInPandas(_kmers(k), "id long, n long, kmer long"), "wide-kmers")
-    counted = stage_table(kmers.groupBy("kmer").agg(F.count("*").alias("df"), F.min("id").alias("id")), "kmer-counts")
-    # the k-mers a text has alone come first; a text with enough of them shares none of its rarest
-    alone = counted.where(F.col("df") == 1).groupBy("id").agg(F.count("*").alias("own"))
-    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    sizes = kmers.groupBy("id").agg(F.first("n").alias("n")).join(alone, "id", "left")
-    open_ = stage_table(sizes.select("id", F.coalesce("own", F.lit(0)).alias("own"), length.alias("length")).where("own < length"), "open-texts")
-    shared = counted.where(F.col("df") > 1).select("kmer", "df")
-    # then those of few texts; only a text that has too few of these too goes on to the frequent ones
-    rare = stage_table(kmers.join(open_, "id").join(shared.where(F.col("df") <= RARE), "kmer"), "rare-kmers")
-    after = open_.join(rare.groupBy("id").agg(F.count("*").alias("few")), "id", "left").where(F.col("own") + F.coalesce("few", F.lit(0)) < F.col("length"))
-    often = kmers.join(after.drop("few"), "id").join(shared.where(F.col("df") > RARE), "kmer")
-    pos = F.col("own") + F.row_number().over(Window.partitionBy("id").orderBy("df", "kmer")) - 1
-    common = rare.unionByName(often).withColumn("pos", pos)
-    return common.where(F.col("pos") < F.col("length")).select(F.col("kmer").alias("band"), "id", "n", "pos")
+    spark = texts.sparkSession
+    chosen = stage_table(texts.join(wide, "id", "left_semi"), "wide-texts")
+    slots, numbers = collected(chosen.select("words").mapInPandas(_slot_counts(k, SLOTS), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
+    counts = np.zeros(SLOTS, np.int64)
+    counts[slots] = numbers
+    shared = spark.sparkContext.broadcast(counts)
+    return chosen.mapInPandas(_rarest(k, threshold, shared), "band long, id long, n long, pos long")
 
 
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -289,8 +311,9 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _second_way(wide: DataFrame, sketches: DataFrame, classes: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """Classes (id, class_id) after all texts of ``wide`` (id) have been compared by their rarest k-mers."""
-    rare = _prefixes(wide, texts, k, threshold).join(sketches, "id")
-    buckets = stage_table(rare, "rare")
+    rare = stage_table(_prefixes(wide, texts, k, threshold), "rare")
+    several = rare.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1).select("band")
+    buckets = stage_table(rare.join(several, "band", "left_semi").join(sketches, "id"), "rare-buckets")
     while True:
         split = stage_table(_split(buckets, classes), "rare-split")
         if split.isEmpty():

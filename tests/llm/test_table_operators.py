@@ -556,6 +556,29 @@ def test_the_search_is_linear_in_the_texts_with_a_common_passage(spark, monkeypa
         assert sum(verified) < n
 
 
+@pytest.mark.parametrize("slots", [near_dedup.SLOTS, 16])
+def test_of_common_passages_the_rarest_kmers_only_are_listed(spark, monkeypatch, slots):
+    """Of the texts of a large bucket at most a fifth of the k-mers becomes rows; with too few slots to tell k-mers apart links stay whole."""
+    monkeypatch.setattr(near_dedup, "SLOTS", slots)
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    plain, staged = near_dedup.stage_table, []
+
+    def counted(df, name):
+        staged.append((name, plain(df, name)))
+        return staged[-1][1]
+
+    monkeypatch.setattr(near_dedup, "stage_table", counted)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for i in range(80):
+        own = [f"y{i // 2 if i < 20 else i}_{j}" for j in range(19)]
+        rows.append((i, " ".join(passage + own + ["end"] * (i % 2))))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) == 70
+    after = [n for n, _ in staged].index("wide") + 1
+    kmers = sum(len(t.split()) - 4 for _, t in rows)
+    assert len(staged) > after and max(df.count() for _, df in staged[after:]) <= kmers // 5 + len(rows)
+
+
 def test_near_duplicates_on_awkward_rows(spark, awkward, no_docs):
     out = near_dedup.near_duplicates(awkward)
     got = Counter((r["doc_id"], r["class_id"], r["copy_of"]) for r in out.collect())
