@@ -59,8 +59,8 @@ SHORT = 8
 SMALL = 32
 #: Members of a rare k-mer's bucket that is searched pair by pair, and the shortest ones that those of a larger one meet in a turn.
 RARE, TURN = 256, 64
-#: Slots of the table that k-mers are counted in; a power of two.
-SLOTS = 1 << 20
+#: Slots of the table that k-mers are counted in, and those of it that are sent as one row; powers of two.
+SLOTS, BLOCK = 1 << 20, 1 << 10
 #: Bits of the sketch that candidates are compared by before their texts are fetched; a multiple of 64.
 BITS = 512
 #: Standard deviations by which the sketches of a pair at the threshold may differ more than expected.
@@ -189,19 +189,24 @@ def _slots(kmers: np.ndarray, slots: int) -> np.ndarray:
 
 
 def _slot_counts(k: int, slots: int):
-    """How many k-mers fall into each slot; a task adds up its texts before it sends them on."""
+    """How many k-mers fall into each slot, in blocks of ``BLOCK`` slots; a task adds up its texts before it sends them on."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(slots, np.int64)
         for batch in batches:
             for w in batch["words"]:
                 np.add.at(counts, _slots(labelled_kmers(np.asarray(w, np.int64), k), slots), 1)
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"slot": at, "n": counts[at]})
+        blocks = counts.reshape(-1, min(BLOCK, slots))
+        at = np.flatnonzero(blocks.any(axis=1))
+        yield pd.DataFrame({"block": at, "counts": list(blocks[at])})
 
     return of
 
 
+def _block_sums(parts: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"block": parts["block"].iloc[:1], "counts": [np.sum(parts["counts"].tolist(), axis=0)]})
+
+
 def _rarest(k: int, threshold: float, shared):
     """The rarest k-mers of each text by the counts of their slots, but those that are alone in theirs, as no other text has them."""
 
@@ -289,9 +294,12 @@ def _prefixes(wide: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     """
     spark = texts.sparkSession
     chosen = stage_table(texts.join(wide, "id", "left_semi"), "wide-texts")
-    slots, numbers = collected(chosen.select("words").mapInPandas(_slot_counts(k, SLOTS), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
+    schema = "block long, counts array<long>"
+    parts = chosen.select("words").mapInPandas(_slot_counts(k, SLOTS), schema).groupBy("block").applyInPandas(_block_sums, schema)
     counts = np.zeros(SLOTS, np.int64)
-    counts[slots] = numbers
+    blocks = counts.reshape(-1, min(BLOCK, SLOTS))
+    for block, sums in zip(*collected(parts), strict=True):
+        blocks[block] = sums
     shared = spark.sparkContext.broadcast(counts)
     return chosen.mapInPandas(_rarest(k, threshold, shared), "band long, id long, n long, pos long")
 
