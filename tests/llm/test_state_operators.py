@@ -217,6 +217,49 @@ def test_ranges_are_encoded_as_the_whole(pair):
     assert [i for p in parts for i in pair.b.encode(p)] == pair.b.encode(text)
 
 
+def test_texts_are_aligned_without_searches_or_the_slow_library(monkeypatch):
+    with open(JSON_A, encoding="utf-8") as a, open(MODEL_B, "rb") as b:
+        tokenizers = alignment.TokenizerPair(a.read(), b.read())
+    writer = alignment.GroupText(len(tokenizers.bytes_a), len(tokenizers.bytes_b))
+    texts = [t or "" for _, t in ODD_TEXTS] + ["Plain words, then 12,345 numbers; naïve 😀😀 日本語 and more."]
+
+    def refused(*_, **__):
+        raise AssertionError("sorts or searches tokens")
+
+    with monkeypatch.context() as m:
+        for name in ("intersect1d", "searchsorted", "unique"):
+            m.setattr(np, name, refused)
+        got = [alignment._aligned_row(f, writer) for f in tokenizers.fragments(texts)]
+    assert "a" not in vars(tokenizers)
+    for text, row in zip(texts, got, strict=True):
+        groups = brute_groups(tokenizers, text)
+        links = Counter(x << 32 | y for xs, ys in groups for x in xs for y in ys)
+        shown = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        assert row[:4] == (sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), sum(links.values()))
+        assert row[4] == (hashlib.sha256(shown.encode()).hexdigest() if groups else "")
+        assert dict(zip(np.asarray(row[5]).tolist(), np.asarray(row[6]).tolist(), strict=True)) == links
+
+
+def test_fragments_and_links_of_any_sizes():
+    rng = random.Random(8)
+    for _ in range(200):
+        # tokens of no bytes stay with the group before them
+        ends = [np.cumsum([rng.choice((0, 1, 1, 2, 5)) for _ in range(rng.randint(0, 12))]).astype(np.int64) + rng.choice((0, 7)) for _ in range(2)]
+        ids = [np.array([rng.randrange(4) for _ in e], np.int32) for e in ends]
+        cuts = sorted(set(ends[0].tolist()) & set(ends[1].tolist()))
+        sides = [[[i for i, e in zip(x.tolist(), y.tolist(), strict=True) if (not k or e > cuts[k - 1]) and (k == len(cuts) or e <= cuts[k])] for k in range(len(cuts) + 1)] for x, y in zip(ids, ends, strict=True)]
+        f = alignment.fragment(ids[0], ends[0], ids[1], ends[1])
+        assert f.cut == bool(cuts)
+        for side, prefix, closed, sizes, suffix in zip(sides, (f.prefix_a, f.prefix_b), (f.closed_a, f.closed_b), (f.sizes_a, f.sizes_b), (f.suffix_a, f.suffix_b), strict=True):
+            assert prefix.tolist() == side[0] and suffix.tolist() == (side[-1] if cuts else [])
+            assert closed.tolist() == sum(side[1:-1], []) and sizes.tolist() == [len(x) for x in side[1:-1]]
+        sizes = [np.array([rng.choice((1, 1, 2, 40)) for _ in range(6)], np.int64) for _ in range(2)]
+        a, b = (np.array([rng.randrange(9) for _ in range(x.sum())], np.int32) for x in sizes)
+        links = Counter(x << 32 | y for i, j, n, m in zip(np.cumsum(sizes[0]).tolist(), np.cumsum(sizes[1]).tolist(), *(x.tolist() for x in sizes), strict=True) for x in a[i - n : i].tolist() for y in b[j - m : j].tolist())
+        pairs, counts = alignment.pair_counts(a, b, *sizes)
+        assert list(zip(pairs.tolist(), counts.tolist(), strict=True)) == sorted(links.items())
+
+
 # -- whitening ------------------------------------------------------------------
 
 def brute_whitening(rows, components):
