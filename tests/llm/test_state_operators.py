@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import uuid
 from collections import Counter, defaultdict
 from functools import reduce
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from compare_oracle import digest
 from pyspark.sql import functions as F
@@ -260,6 +262,50 @@ def test_fragments_and_links_of_any_sizes():
         assert list(zip(pairs.tolist(), counts.tolist(), strict=True)) == sorted(links.items())
 
 
+def test_workers_hold_few_texts_at_once(spark, tmp_path, monkeypatch):
+    """What goes to a worker and comes from it is bounded by bytes, however long the texts are."""
+    def watched(plain):
+        def method(self, func, schema, *more, **named):
+            def noted(batches):
+                for x in batches:
+                    record = x if isinstance(x, pa.RecordBatch) else pa.RecordBatch.from_pandas(x)
+                    with open(f"{tmp_path}/{uuid.uuid4().hex}", "w") as f:
+                        f.write(str(record.get_total_buffer_size() if record.num_rows > 1 else 0))  # one row may have any size
+                    yield x
+
+            return plain(self, lambda batches: noted(func(noted(batches))), schema, *more, **named)
+
+        return method
+
+    texts = [" ".join(f"{k} word{i} tail" for i in range(3_000)) for k in range(100)] + [" ".join(f"{k} short{i}" for i in range(2_200)) for k in range(250)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    kind, key = type(rows), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with monkeypatch.context() as m:
+        for name in ("mapInPandas", "mapInArrow"):
+            m.setattr(kind, name, watched(getattr(kind, name)))
+        got = {r["doc_id"]: r for r in alignment.align_documents(rows, JSON_A, MODEL_B, hot=1_000).collect()}
+    seen = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert len(seen) > 10 and 100_000 < max(seen) <= 3 << 20
+    assert spark.conf.get(key) == before
+    with open(JSON_A, encoding="utf-8") as a, open(MODEL_B, "rb") as b:
+        tokenizers = alignment.TokenizerPair(a.read(), b.read())
+    assert len(got) == len(texts)
+    for i in (0, 99, 100, 349):
+        f = tokenizers.fragments([texts[i]])[0]
+        want = alignment._aligned_row(f, alignment.GroupText(len(tokenizers.bytes_a), len(tokenizers.bytes_b)))
+        assert tuple(got[i][c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")) == want[:5]
+
+
+def test_slices_hold_every_place_once():
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.choice((0, 1, 5, 9, 30)) for _ in range(rng.randint(0, 12))]
+        parts = [sizes[x] for x in alignment.slices(sizes, 10)]
+        assert sum(parts, []) == sizes and all(parts)
+        assert all(len(p) == 1 or sum(p) <= 10 for p in parts)
+
+
 # -- whitening ------------------------------------------------------------------
 
 def brute_whitening(rows, components):
